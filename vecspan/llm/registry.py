@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat_format, exact_dedup, langid, line_dedup, toxicity
+from . import bpe, chat_format, exact_dedup, langid, lattice, line_dedup, toxicity
 from .common import table, train_side
 
 
@@ -57,6 +57,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 _OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -104,6 +108,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_chat_format": (op2_chat_format, _OP2_SQL),
     "op4_exact_dedup": (op4_exact_dedup, _OP4_SQL),
     "op5_toxicity": (op5_toxicity, None),
+    "op6_embedding_near_dedup": (op6_embedding_near_dedup, None),
     "op8_bpe": (op8_bpe, None),
     "op9_line_dedup": (op9_line_dedup, _OP9_SQL),
 }
