@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat_format, exact_dedup, langid, lattice, line_dedup, ngram_join, toxicity
+from . import bpe, chat_format, exact_dedup, langid, lattice, line_dedup, ngram_join, suffix, toxicity
 from .common import table, train_side
 
 
@@ -65,6 +65,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_texts(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.drop_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 _OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -113,6 +117,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op4_exact_dedup": (op4_exact_dedup, _OP4_SQL),
     "op5_toxicity": (op5_toxicity, None),
     "op6_embedding_near_dedup": (op6_embedding_near_dedup, None),
+    "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_bpe": (op8_bpe, None),
     "op9_line_dedup": (op9_line_dedup, _OP9_SQL),
     "op10_ngram_join": (op10_ngram_join, None),
