@@ -1,5 +1,68 @@
-"""A corpus pipeline: each stage calls one operator on all that the stage before it kept."""
+"""A corpus pipeline: each stage calls one operator on all that the stage before it kept.
+
+Rows that repeat a document's id together with its text are that same document and stay or go
+together. Nulls, empty tables and further columns are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecspan.llm import bpe, exact_dedup, langid, mixing, ngram_join
+from vecspan.llm.common import stored, table
+
+#: Ids of dropped rows that may be broadcast (8 bytes each); beyond it they are joined by shuffle.
+_MOST_IDS = 200_000
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``dropped``."""
+    dropped = stored(dropped.select("doc_id").where("doc_id is not null").distinct())
+    return docs.join(F.broadcast(dropped) if dropped.count() <= _MOST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the corpus's own language labels have taught."""
+    model = langid.fit(docs)
+    found = langid.identify(docs, model, keep=docs.columns)
+    return found.where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    return _without(docs, ngram_join.similar_texts(docs).where("doc_id <> component_id"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources evened out as far as reading a document 1.25 times allows; every document stays."""
+    return mixing.mix(docs, docs.columns, repeats=1.25, budget="cover", order=False)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and the digest of what they decode to."""
+    return bpe.encode_texts(docs, ("n_tokens", "ids", "decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_copies),
+    ("ngram_join", near_copies),
+    ("mixing", mixture),
+    ("bpe", tokens),
+]
+
+#: SQL can't express the language model, the join or the tokenizer.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

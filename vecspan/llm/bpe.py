@@ -117,48 +117,47 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def bpe_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int>, decoded string of every row. Null text: empty."""
-    return _mapped(docs, path, id_col, text_col, "doc_id {0}, ids array<int>, decoded string", lambda ids, decoded: (ids, decoded))
+#: What a row can give, and its type.
+_OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def bpe_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row.
+def encode_texts(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the chosen outputs of every row: n_tokens, ids, decoded, ids_sha256 (of the
+    ids as little-endian unsigned 32-bit integers), decoded_sha256.
 
-    Whole texts, null and empty ones give no tokens (both hashes then are of nothing); repeated
-    rows give a row each; an empty table gives an empty result; other columns are ignored.
+    Whole texts; null and empty ones give no tokens and decode to the empty text. Repeated rows
+    give a row each; an empty table gives an empty result; other columns are ignored.
     """
-
-    def digests(ids, decoded):
-        import numpy as np
-
-        packed = np.asarray(ids, dtype="<u4").tobytes()
-        return len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
-
-    return _mapped(docs, path, id_col, text_col, "doc_id {0}, n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
-
-
-def _mapped(docs, path, id_col, text_col, schema, shape) -> DataFrame:
     import pyarrow as pa
 
     path = path or default_path()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = schema.format(kind)
+    decodes = any(o.startswith("decoded") for o in outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         bpe = loaded(path)
+        types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out = []
+                found: dict[str, list] = {o: [] for o in outputs}
                 for x in part.column(1):
                     ids = bpe.encode(x.as_py() or "")
-                    out.append(shape(ids, bpe.decode(ids)))
-                cols = [part.column(0), *(pa.array([r[k] for r in out]) for k in range(len(out[0])))]
-                names = ["doc_id", "ids", "decoded"] if len(cols) == 3 else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if len(cols) == 3:
-                    cols[1] = cols[1].cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return rows.mapInArrow(run, schema)
+                    text = bpe.decode(ids) if decodes else ""
+                    for o in outputs:
+                        if o == "n_tokens":
+                            v = len(ids)
+                        elif o == "ids":
+                            v = ids
+                        elif o == "decoded":
+                            v = text
+                        else:
+                            raw = np.asarray(ids, dtype="<u4").tobytes() if o == "ids_sha256" else text.encode("utf-8")
+                            v = hashlib.sha256(raw).hexdigest()
+                        found[o].append(v)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, types.get(o, pa.string())) for o, v in found.items())], names=["doc_id", *outputs])
+
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{o} {_OUTPUTS[o]}" for o in outputs)]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat_format, exact_dedup, langid, lattice, line_dedup, ngram_join, suffix, toxicity
+from . import bpe, chat_format, exact_dedup, langid, lattice, line_dedup, mixing, ngram_join, suffix, toxicity
 from .common import table, train_side
 
 
@@ -39,6 +39,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id", "source"], entropy=0.95, repeats=4.0, budget=1.0)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digests(table(spark, sf_dir, "documents"))
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +107,56 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS l
 FROM g
 """
 
+_OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS n,
+    ('0x' || substr(md5('1:' || coalesce(source, '∅') || ':' || doc_id), 1, 8))::BIGINT % 1024 AS block,
+    md5('1:row:' || doc_id) AS h
+  FROM documents
+), sized AS (SELECT source, block, sum(n)::BIGINT AS bt FROM d GROUP BY source, block
+), src AS (SELECT source, sum(bt)::BIGINT AS t FROM sized GROUP BY source
+), sh AS (SELECT source, t, (sum(t) OVER ())::BIGINT AS total, t::DOUBLE / (sum(t) OVER ())::DOUBLE AS p FROM src WHERE t > 0
+), ps AS (SELECT list(p ORDER BY p) AS ps, count(*) AS k FROM sh
+), even(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 8.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN flat THEN mid ELSE lo END, CASE WHEN flat THEN hi ELSE mid END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+      ln(list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2))))
+        - (lo + hi) / 2 * list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2) * ln(p))) / list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2)))
+        > 0.95 * ln(k) AS flat
+    FROM even, ps WHERE i < 60)
+), often(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN more THEN mid ELSE lo END, CASE WHEN more THEN hi ELSE mid END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+      pow(list_min(ps), (lo + hi) / 2 - 1) / list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2))) > 4.0 AS more
+    FROM often, ps WHERE i < 60)
+), solved AS (
+  SELECT greatest((SELECT hi FROM even WHERE i = 60), (SELECT hi FROM often WHERE i = 60)) AS a
+), z AS (SELECT a, list_sum(list_transform(ps, lambda p: pow(p, a))) AS z FROM solved, ps
+), quota AS (SELECT source, t, floor(pow(p, a) / z * total + 1e-6)::BIGINT AS b FROM sh, z
+), plan AS (
+  SELECT source, b // t AS fulls, b % t AS rest FROM quota
+  UNION ALL SELECT source, 1, 0 FROM src WHERE t = 0
+), epochs AS (
+  SELECT s.source, block, bt, fulls, rest, unnest(range(0, fulls + 1)) AS epoch FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+), ranked AS (
+  SELECT *, row_number() OVER w AS block_rank, sum(bt) OVER w - bt AS before FROM epochs
+  WINDOW w AS (PARTITION BY source, epoch ORDER BY md5('1:' || epoch || ':' || coalesce(source, '∅') || ':' || block), block ROWS UNBOUNDED PRECEDING)
+), taken AS (
+  SELECT source, block, epoch, block_rank,
+    CASE WHEN epoch < fulls OR (rest > 0 AND before + bt <= rest) THEN -1 WHEN epoch = fulls AND before < rest THEN rest - before END AS room
+  FROM ranked
+), rows_ AS (
+  SELECT doc_id, d.source, epoch, block_rank, room,
+    sum(n) OVER (PARTITION BY d.source, epoch, d.block ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN taken t ON d.source IS NOT DISTINCT FROM t.source AND d.block = t.block WHERE room IS NOT NULL
+)
+SELECT doc_id, source, epoch, block_rank FROM rows_ WHERE room < 0 OR upto <= room
+"""
+
 _OP4_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents
@@ -114,6 +168,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_chat_format": (op2_chat_format, _OP2_SQL),
+    "op3_mixing": (op3_mixing, _OP3_SQL),
     "op4_exact_dedup": (op4_exact_dedup, _OP4_SQL),
     "op5_toxicity": (op5_toxicity, None),
     "op6_embedding_near_dedup": (op6_embedding_near_dedup, None),
@@ -121,6 +176,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_bpe": (op8_bpe, None),
     "op9_line_dedup": (op9_line_dedup, _OP9_SQL),
     "op10_ngram_join": (op10_ngram_join, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 
