@@ -14,6 +14,8 @@ from .shingles import mixed
 #: Bytes of distinct text in one suffix array.
 SHARD_BYTES = 1 << 20
 _GRAM = 32
+#: Bytes whose windows are found at once: their arrays fit the processor's cache.
+PIECE = 1 << 16
 
 
 def anchors(data, offsets, length: int):
@@ -82,7 +84,7 @@ class SuffixArray:
             packed[: n - k] |= self.text[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
         rank = np.full(n, -1, np.int64)
         live = np.flatnonzero(room >= 8)
-        order = live[np.argsort(packed[live], kind="stable")]
+        order = live[np.argsort(packed[live])]
         head = np.concatenate([[True], packed[order[1:]] != packed[order[:-1]]]) if len(order) else np.zeros(0, bool)
         rank[order] = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
         h = 8
@@ -92,9 +94,7 @@ class SuffixArray:
             r = rank[live]
             sizes = np.bincount(r, minlength=n)
             live = live[sizes[r] > 1]
-            # Two stable sorts: by the second half, then by the group.
-            by = live[np.argsort(rank[live + step], kind="stable")]
-            by = by[np.argsort(rank[by], kind="stable")]
+            by = live[np.argsort(rank[live] * n + rank[live + step])]  # by the group, then by the second half
             r, second = rank[by], rank[by + step]
             group = np.concatenate([[True], r[1:] != r[:-1]]) if len(by) else np.zeros(0, bool)
             head = group | np.concatenate([[True], second[1:] != second[:-1]]) if len(by) else group
@@ -105,7 +105,7 @@ class SuffixArray:
             h += step
         self.rank = rank
         ready = np.flatnonzero(room >= length)
-        self.order = ready[np.argsort(rank[ready], kind="stable")]
+        self.order = ready[np.argsort(rank[ready])]
 
     def common(self):
         """Length, up to ``length``, of the prefix each suffix shares with the one before it.
@@ -234,7 +234,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             k1, k2 = (batch.column(c).to_numpy() for c in (0, 1))
-            for i, j in slices(offsets, 1 << 19):
+            for i, j in slices(offsets, PIECE):
                 part = offsets[i : j + 1] - offsets[i]
                 text, _, _, gram = anchors(data[offsets[i] : offsets[j]], part, length)
                 by = np.lexsort((gram, text))
@@ -260,9 +260,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         names = ["bucket", "lo", "hi", "own", "k1", "k2", "starts", "context"]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                data, offsets = text_bytes(part.column(2))
+            every, ends = text_bytes(batch.column(2))
+            for at, to in slices(ends, PIECE):
+                part = batch.slice(at, to - at)
+                data, offsets = every[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
                 k1, k2, grams = (part.column(c).to_pylist() for c in (0, 1, 3))
                 text, first, last, gram = anchors(data, offsets, length)
                 cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
