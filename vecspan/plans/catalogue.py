@@ -1,10 +1,546 @@
-"""The engine's registered queries and the equivalent SQL of each."""
+"""The engine's registered queries and the equivalent SQL of each.
+
+Queries are the vectors with vec_id < 20 and the seed centroids those with vec_id < 16, as in
+the fixtures; k is 10.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecspan.functions import distance, vectors
+from vecspan.functions.distance import sql
+from vecspan.operators import evaluate, graph, ivf, maintain, pq
+from vecspan.operators.topk import exact_knn, farther_count, k_sweep, merge_topk, pairs, top_by
+from vecspan.session import importable, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+K, NLIST, NPROBE, DIM, CHUNKS = 10, 16, 4, 64, 8
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importable(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def asked(b: DataFrame, most: int = 20) -> DataFrame:
+    return b.where(F.col("vec_id") < most).select(F.col("vec_id").alias("qid"), "embedding")
+
+
+def seeds(b: DataFrame) -> DataFrame:
+    return b.where(F.col("vec_id") < NLIST).select(F.col("vec_id").alias("cluster_id"), distance.doubles(F.col("embedding")).alias("centroid"))
+
+
+def assigned(b: DataFrame) -> DataFrame:
+    return ivf.assign(b, seeds(b), keep=["vec_id", "embedding", "label"])
+
+
+# SQL fragments.
+_BASE = "base AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings)"
+_Q = "q AS (SELECT vec_id AS qid, e AS qe FROM base WHERE vec_id < 20)"
+_C = "c AS (SELECT vec_id AS cluster_id, e AS ce FROM base WHERE vec_id < 16)"
+_ASSIGN = f"""dist_c AS (SELECT vec_id, e, label, cluster_id, {sql('l2_sq', 'e', 'ce')} AS dist FROM base, c),
+assigned AS (SELECT vec_id, e, label, cluster_id, dist FROM dist_c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, cluster_id) = 1)"""
+_PROBE = f"""dist_q AS (SELECT qid, qe, cluster_id, {sql('l2_sq', 'qe', 'ce')} AS dist FROM q, c),
+probes AS (SELECT qid, qe, cluster_id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, cluster_id) AS probe_rank FROM dist_q)"""
+_LAYOUT = """sizes AS (SELECT cluster_id, count(*) AS size FROM assigned GROUP BY cluster_id),
+navs AS (SELECT cluster_id, size, (sum(size) OVER (ORDER BY cluster_id) - size)::BIGINT AS nav FROM sizes),
+laid AS (SELECT a.cluster_id, vec_id, label, row_number() OVER (PARTITION BY a.cluster_id ORDER BY vec_id) - 1 AS pos, nav FROM assigned a JOIN navs USING (cluster_id))"""
+_FOUND = f"""found AS (SELECT qid, p.cluster_id, probe_rank, a.vec_id, a.label, {sql('l2_sq', 'qe', 'e')} AS dist FROM probes p JOIN assigned a USING (cluster_id))"""
+_TRUTH = f"""every AS (SELECT qid, vec_id, label, {sql('l2_sq', 'qe', 'e')} AS dist FROM q, base),
+truth AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM every QUALIFY rank <= 100)"""
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+def _knn_sql(metric: str, where: str = "true", k: int = K) -> str:
+    return _with(_BASE, _Q, f"pairs AS (SELECT qid, vec_id, {sql(metric, 'qe', 'e')} AS dist FROM q, base WHERE {where})") + f"""
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM pairs WHERE dist IS NOT NULL QUALIFY rank <= {k}"""
+
+
+# --- exact search -----------------------------------------------------------------------------
+
+
+@query(_knn_sql("l2_sq"))
+def exact_knn_l2(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return exact_knn(b, asked(b), K)
+
+
+@query(_knn_sql("l2_sq"))
+def exact_knn_l2_sql(spark, sf_dir):
+    """The same search as a declarative plan without Python."""
+    b = base(spark, sf_dir)
+    return exact_knn(b, asked(b), K, method="sql")
+
+
+@query(_knn_sql("l1"))
+def exact_knn_l1(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return exact_knn(b, asked(b), K, "l1")
+
+
+@query(_knn_sql("cosine"))
+def exact_knn_cosine(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return exact_knn(b, asked(b), K, "cosine")
+
+
+_INT = "list_transform({0}, lambda x: greatest(least(trunc((x - 0.0::DOUBLE) * 128.0::DOUBLE), 127.0), -128.0)::BIGINT)"
+
+
+@query(
+    _with(_BASE, f"i AS (SELECT vec_id, {_INT.format('e')} AS v FROM base)")
+    + """, p AS (SELECT a.vec_id AS qid, b.vec_id, trunc(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::DOUBLE))::BIGINT AS dist FROM i a, i b WHERE a.vec_id < 20)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM p QUALIFY rank <= 10"""
+)
+def exact_knn_l2_int(spark, sf_dir):
+    """Integer components and truncated distances."""
+    b = base(spark, sf_dir).select("vec_id", vectors.quantize_int8(F.col("embedding"), 0.0, 2.0).alias("v"))
+    q = b.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
+    return merge_topk(b.crossJoin(F.broadcast(q)).select("qid", "vec_id", distance.l2_int(F.col("qv"), F.col("v")).alias("dist")), K)
+
+
+@query(_knn_sql("l2_sq", "label < 5 AND vec_id >= 100"))
+def exact_knn_filtered(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return exact_knn(b, asked(b), K, where="label < 5 AND vec_id >= 100")
+
+
+@query(_knn_sql("l2_sq"))
+def knn_parts_merge(spark, sf_dir):
+    """Four parts by id range, each with its own k best, then merged."""
+    b = base(spark, sf_dir)
+    n = b.agg(F.max("vec_id")).first()[0] + 1
+    found = pairs(b, asked(b)).withColumn("part", F.floor(F.col("vec_id") * 4 / F.lit(n)))
+    return merge_topk(top_by(found, ["qid", "part"], K, ["dist", "vec_id"]).drop("rank"), K)
+
+
+@query(
+    _with(_BASE, f"p AS (SELECT a.vec_id AS qid, b.vec_id, {sql('l2_sq', 'a.e', 'b.e')} AS dist FROM base a, base b WHERE a.vec_id < 5 AND b.vec_id < 200)")
+    + """SELECT qid, vec_id, count(*) OVER (PARTITION BY qid) - count(*) OVER (PARTITION BY qid ORDER BY dist RANGE UNBOUNDED PRECEDING) AS farther,
+  row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM p"""
+)
+def farther_count_rank(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return farther_count(pairs(b.where("vec_id < 200"), asked(b, 5)))
+
+
+@query(f"SELECT k, qid, rank, vec_id, dist FROM ({_knn_sql('l2_sq', k=16)}) r, (SELECT unnest([1, 2, 4, 8, 16])::BIGINT AS k) s WHERE rank <= k")
+def knn_k_sweep(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return k_sweep(exact_knn(b, asked(b), 16), 16).select("k", "qid", "rank", "vec_id", "dist")
+
+
+@query(
+    _with(_BASE, "ids AS (SELECT unnest([3, 141, 59, 26, 3]) AS vec_id)")
+    + "SELECT vec_id, (pos - 1)::BIGINT AS pos, value FROM (SELECT b.vec_id, unnest(e) AS value, generate_subscripts(e, 1) AS pos FROM base b WHERE vec_id IN (SELECT vec_id FROM ids))"
+)
+def gather_by_id(spark, sf_dir):
+    """Rows of a list of ids."""
+    ids = spark.createDataFrame([(3,), (141,), (59,), (26,), (3,)], "vec_id bigint")
+    rows = base(spark, sf_dir).join(F.broadcast(ids), "vec_id", "left_semi")
+    return vectors.long_form(rows, "vec_id", distance.doubles(F.col("embedding")))
+
+
+# --- vector functions -------------------------------------------------------------------------
+
+
+def _long(expr: str, of: str = "embeddings") -> str:
+    return f"""SELECT vec_id, (pos - 1)::BIGINT AS pos, value FROM (
+  SELECT vec_id, unnest(v) AS value, generate_subscripts(v, 1) AS pos FROM (SELECT vec_id, {expr} AS v FROM {of}))"""
+
+
+@query(_long("list_transform(embedding::DOUBLE[], lambda x: trunc(x * 10.0::DOUBLE)::INT)"))
+def vec_cast_int(spark, sf_dir):
+    ten = F.transform(distance.doubles(F.col("embedding")), lambda x: x * F.lit(10.0))
+    return vectors.long_form(base(spark, sf_dir), "vec_id", vectors.cast_int(ten))
+
+
+@query(_long("list_transform(embedding::DOUBLE[], lambda x: (trunc(x * 100.0::DOUBLE)::BIGINT % 256 + 256) % 256)"))
+def vec_wrap_uint8(spark, sf_dir):
+    whole = F.transform(distance.doubles(F.col("embedding")), lambda x: (x * F.lit(100.0)).cast("bigint"))
+    return vectors.long_form(base(spark, sf_dir), "vec_id", vectors.wrap_uint8(whole).cast("array<bigint>"))
+
+
+@query(_long("list_transform(embedding::DOUBLE[], lambda x: greatest(least(trunc((x - 0.0::DOUBLE) * 128.0::DOUBLE), 127.0), -128.0)::INT)"))
+def vec_quantize_int8(spark, sf_dir):
+    return vectors.long_form(base(spark, sf_dir), "vec_id", vectors.quantize_int8(F.col("embedding"), 0.0, 2.0))
+
+
+_NORM = f"(SELECT vec_id, e, sqrt(1.1920928955078125e-07::DOUBLE + {sql('dot', 'e', 'e')}) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))"
+
+
+@query(_long("list_transform(e, lambda x: x / n)", _NORM))
+def vec_normalize(spark, sf_dir):
+    return vectors.long_form(base(spark, sf_dir), "vec_id", vectors.normalize(F.col("embedding")))
+
+
+@query(_long("list_concat(embedding[1:61]::DOUBLE[], [0.0::DOUBLE, 0.0, 0.0])"))
+def vec_pad8(spark, sf_dir):
+    """61 components padded to 64."""
+    return vectors.long_form(base(spark, sf_dir), "vec_id", distance.doubles(vectors.pad(F.slice("embedding", 1, 61))))
+
+
+@query(f"SELECT vec_id, {sql('dot', 'e', 'e')} AS sq_norm FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def vec_sq_norm(spark, sf_dir):
+    return base(spark, sf_dir).select("vec_id", distance.sq_norm(F.col("embedding")).alias("sq_norm"))
+
+
+_COARSE = "(SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: trunc(x * 8.0::DOUBLE)::INT) AS v FROM embeddings)"
+
+
+def _coarse(spark, sf_dir):
+    eight = F.transform(distance.doubles(F.col("embedding")), lambda x: x * F.lit(8.0))
+    return base(spark, sf_dir).select("vec_id", vectors.cast_int(eight).alias("v"))
+
+
+@query(f"SELECT vec_id, len(list_filter(v, lambda x: x = 0)) * 100.0::DOUBLE / len(v) AS sparsity, len(list_filter(v, lambda x: x = 0)) * 100.0::DOUBLE / len(v) > 50 AS sparse FROM {_COARSE}")
+def vec_sparsity(spark, sf_dir):
+    return _coarse(spark, sf_dir).select("vec_id", vectors.sparsity(F.col("v")).alias("sparsity"), vectors.is_sparse(F.col("v")).alias("sparse"))
+
+
+@query(f"SELECT count(*) AS vectors, round(avg(CASE WHEN len(list_filter(v, lambda x: x = 0)) * 100.0::DOUBLE / len(v) > 50 THEN 100.0::DOUBLE ELSE 0.0 END), 6) AS share FROM {_COARSE}")
+def sparse_share(spark, sf_dir):
+    return _coarse(spark, sf_dir).agg(F.count("*").alias("vectors"), F.round(F.avg(F.when(vectors.is_sparse(F.col("v")), 100.0).otherwise(0.0)), 6).alias("share"))
+
+
+@query(_long("embedding::DOUBLE[]", "(SELECT * FROM embeddings WHERE vec_id >= 40 AND vec_id < 60)"))
+def vec_slice(spark, sf_dir):
+    return vectors.long_form(vectors.row_slice(base(spark, sf_dir), 40, 20), "vec_id", distance.doubles(F.col("embedding")))
+
+
+@query("SELECT vec_id, count(*) AS n FROM (SELECT vec_id FROM embeddings WHERE vec_id < 30 UNION ALL SELECT vec_id FROM embeddings WHERE vec_id >= 20 AND vec_id < 50) GROUP BY vec_id")
+def vec_concat(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return vectors.concat(vectors.row_slice(b, 0, 30), vectors.row_slice(b, 20, 30)).groupBy("vec_id").agg(F.count("*").alias("n"))
+
+
+# --- inverted files ---------------------------------------------------------------------------
+
+
+@query(_with(_BASE, _C, _ASSIGN) + "SELECT vec_id, cluster_id, dist FROM assigned")
+def ivf_assign(spark, sf_dir):
+    return assigned(base(spark, sf_dir)).select("vec_id", "cluster_id", "dist")
+
+
+@query(_with(_BASE, _C, _ASSIGN) + "SELECT cluster_id, count(*) AS size FROM assigned GROUP BY cluster_id")
+def ivf_cluster_sizes(spark, sf_dir):
+    return ivf.cluster_sizes(assigned(base(spark, sf_dir)))
+
+
+@query(_with(_BASE, _C, _ASSIGN, _LAYOUT) + "SELECT cluster_id, size, nav FROM navs")
+def ivf_cluster_nav(spark, sf_dir):
+    return ivf.cluster_nav(ivf.cluster_sizes(assigned(base(spark, sf_dir))))
+
+
+@query(_with(_BASE, _C, _ASSIGN, _LAYOUT) + "SELECT cluster_id, pos, nav + pos AS new_pos, vec_id FROM laid")
+def ivf_index_map(spark, sf_dir):
+    return ivf.layout(assigned(base(spark, sf_dir))).select("cluster_id", "pos", "new_pos", "vec_id")
+
+
+@query(_with(_BASE, _C, _ASSIGN) + "SELECT cluster_id, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS ids FROM assigned GROUP BY cluster_id")
+def ivf_inverted_lists(spark, sf_dir):
+    return ivf.inverted_lists(assigned(base(spark, sf_dir)))
+
+
+@query(_with(_BASE, _Q, _C, _PROBE) + f"SELECT qid, cluster_id, probe_rank, dist FROM probes WHERE probe_rank <= {NPROBE}")
+def ivf_probe_centroids(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return ivf.probe(asked(b), seeds(b), NPROBE)
+
+
+@query(_with(_BASE, _Q, _C, _ASSIGN, _PROBE, _FOUND) + f"SELECT qid, cluster_id, probe_rank, vec_id, dist, row_number() OVER (PARTITION BY qid, cluster_id ORDER BY dist, vec_id) AS rank FROM found WHERE probe_rank <= {NPROBE} QUALIFY rank <= 10")
+def ivf_cluster_topk(spark, sf_dir):
+    b = base(spark, sf_dir)
+    found = ivf.candidates(assigned(b), asked(b), ivf.probe(asked(b), seeds(b), NPROBE))
+    return ivf.cluster_topk(found, K)
+
+
+def _ivf_sql(where: str) -> str:
+    return _with(_BASE, _Q, _C, _ASSIGN, _PROBE, _FOUND) + f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM found WHERE probe_rank <= {NPROBE} AND {where} QUALIFY rank <= 10"
+
+
+@query(_ivf_sql("true"))
+def ivf_search(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return ivf.search(assigned(b), seeds(b), asked(b), K, NPROBE)
+
+
+@query(
+    _with(_BASE, _Q, _C, _ASSIGN, _LAYOUT, _PROBE, _FOUND)
+    + f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, f.vec_id) AS rank, f.vec_id, dist FROM found f JOIN laid l ON f.vec_id = l.vec_id WHERE probe_rank <= {NPROBE} AND pos < 5 QUALIFY rank <= 10"
+)
+def ivf_search_capped(spark, sf_dir):
+    """At most five rows read of a cluster."""
+    b = base(spark, sf_dir)
+    return ivf.search(ivf.layout(assigned(b)), seeds(b), asked(b), K, NPROBE, cap=5)
+
+
+@query(_ivf_sql("label = 3"))
+def ivf_search_filtered(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return ivf.search(assigned(b), seeds(b), asked(b), K, NPROBE, where="label = 3")
+
+
+_SWEEP = f"""sweep AS (SELECT nprobe, qid, vec_id, row_number() OVER (PARTITION BY nprobe, qid ORDER BY dist, vec_id) AS rank
+  FROM found, (SELECT unnest([1, 2, 4, 8, 16])::BIGINT AS nprobe) WHERE probe_rank <= nprobe QUALIFY rank <= {K}),
+grid AS (SELECT * FROM (SELECT unnest([1, 2, 4, 8, 16])::BIGINT AS nprobe), (SELECT unnest([1, 10, 100])::BIGINT AS r), (SELECT qid, vec_id FROM truth WHERE rank = 1)),
+rec AS (SELECT g.nprobe, g.r, avg(CASE WHEN s.rank <= g.r THEN 1.0::DOUBLE ELSE 0.0 END) AS recall FROM grid g LEFT JOIN sweep s ON s.nprobe = g.nprobe AND s.qid = g.qid AND s.vec_id = g.vec_id GROUP BY g.nprobe, g.r)"""
+
+
+@query(_with(_BASE, _Q, _C, _ASSIGN, _PROBE, _FOUND, _TRUTH, _SWEEP) + "SELECT nprobe, r, round(recall, 6) AS recall FROM rec")
+def ivf_nprobe_sweep_recall(spark, sf_dir):
+    b = base(spark, sf_dir)
+    found = ivf.nprobe_sweep(assigned(b), seeds(b), asked(b), K, [1, 2, 4, 8, 16])
+    return evaluate.recall_at(found, exact_knn(b, asked(b), 1), by=("nprobe",)).withColumn("recall", F.round("recall", 6))
+
+
+@query(
+    _with(_BASE, _C, _ASSIGN)
+    + """SELECT cluster_id, pos, round(avg(x), 6) AS value FROM (
+  SELECT cluster_id, (generate_subscripts(e, 1) - 1)::BIGINT AS pos, unnest(e) AS x FROM assigned) GROUP BY cluster_id, pos"""
+)
+def ivf_lloyd_step(spark, sf_dir):
+    b = base(spark, sf_dir)
+    moved = ivf.lloyd_step(b, seeds(b))
+    return moved.select("cluster_id", F.posexplode("centroid").alias("pos", "value")).select("cluster_id", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+
+
+@query()
+def ivf_kmeans(spark, sf_dir):
+    """Sizes of the clusters after five of Lloyd's iterations."""
+    b = base(spark, sf_dir)
+    return ivf.cluster_sizes(ivf.assign(b, ivf.kmeans(b, NLIST, 5)))
+
+
+@query(
+    _with(_BASE, _C, _ASSIGN, _LAYOUT, "tasks AS (SELECT cluster_id, size, row_number() OVER (ORDER BY size DESC, cluster_id) - 1 AS task FROM sizes)")
+    + "SELECT CASE WHEN (task // 4) % 2 = 0 THEN task % 4 ELSE 3 - task % 4 END AS worker, count(*) AS clusters, sum(size)::BIGINT AS load FROM tasks GROUP BY worker"
+)
+def ivf_task_balance(spark, sf_dir):
+    """Load of four workers when clusters are dealt by size, back and forth."""
+    tasks = ivf.scan_order(ivf.cluster_sizes(assigned(base(spark, sf_dir))))
+    return ivf.snake(tasks, 4).groupBy("worker").agg(F.count("*").alias("clusters"), F.sum("size").alias("load"))
+
+
+@query(_with(_BASE, _C, _ASSIGN) + "SELECT cluster_id + 16 * (vec_id % 2) AS cluster_id, vec_id, vec_id % 2 AS block FROM assigned")
+def ivf_merge_blocks(spark, sf_dir):
+    """Two blocks with clusters of their own in one index."""
+    a = assigned(base(spark, sf_dir)).select("cluster_id", "vec_id", F.pmod("vec_id", F.lit(2)).alias("block"))
+    return ivf.merge_indexes([a.where("block = 0"), a.where("block = 1")], NLIST, offset_clusters=True)
+
+
+# --- evaluation -------------------------------------------------------------------------------
+
+
+@query(_with(_BASE, _Q, _C, _ASSIGN, _PROBE, _FOUND, _TRUTH, _SWEEP) + f"SELECT r, round(recall, 6) AS recall FROM rec WHERE nprobe = {NPROBE}")
+def recall_at_r(spark, sf_dir):
+    b = base(spark, sf_dir)
+    found = ivf.search(assigned(b), seeds(b), asked(b), K, NPROBE)
+    return evaluate.recall_at(found, exact_knn(b, asked(b), 1)).withColumn("recall", F.round("recall", 6))
+
+
+@query(
+    _with(
+        _BASE, _Q, _C, _ASSIGN, _PROBE, _FOUND, _TRUTH,
+        f"got AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM found WHERE probe_rank <= {NPROBE} AND vec_id % 10 <> 3 QUALIFY rank <= 10)",
+        "live AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM truth WHERE vec_id % 10 <> 3 QUALIFY place <= 10)",
+    )
+    + "SELECT l.qid, round(count(g.vec_id) * 100.0::DOUBLE / 10, 6) AS recall FROM live l LEFT JOIN got g ON l.qid = g.qid AND l.vec_id = g.vec_id GROUP BY l.qid"
+)
+def recall_k_active(spark, sf_dir):
+    """Recall over points that are active: every id ending in 3 is not."""
+    b = base(spark, sf_dir)
+    found = ivf.search(assigned(b), seeds(b), asked(b), K, NPROBE, where="vec_id % 10 <> 3")
+    gone = b.where("vec_id % 10 = 3").select(F.col("vec_id").alias("tag"))
+    return evaluate.k_recall(found, exact_knn(b, asked(b), 100), K, gone).withColumn("recall", F.round("recall", 6))
+
+
+@query("""WITH s AS (SELECT list_sort(list(value)) AS v, count(value) AS n FROM events WHERE value IS NOT NULL)
+SELECT p, v[floor(p * n)::INT + 1] AS value FROM s, (SELECT unnest([0.1, 0.5, 0.9, 0.95, 0.99, 0.999])::DOUBLE AS p)""")
+def latency_percentiles(spark, sf_dir):
+    return evaluate.nearest_rank(importable(spark).read.parquet(f"{sf_dir}/events.parquet"), "value")
+
+
+@query("""SELECT event_type, count(value) AS queries, round(sum(value), 4) AS total_ms, round(avg(value), 6) AS mean_ms, max(value) AS max_ms, round(1000.0::DOUBLE / avg(value), 6) AS qps FROM events GROUP BY event_type""")
+def latency_summary(spark, sf_dir):
+    s = evaluate.latency_summary(importable(spark).read.parquet(f"{sf_dir}/events.parquet"), by=("event_type",))
+    return s.select("event_type", "queries", F.round("total_ms", 4).alias("total_ms"), F.round("mean_ms", 6).alias("mean_ms"), "max_ms", F.round("qps", 6).alias("qps"))
+
+
+@query(
+    _with(
+        _BASE, _Q, _C, _ASSIGN, _PROBE, _FOUND, _TRUTH, _SWEEP,
+        "cost AS (SELECT nprobe, count(*) AS scanned FROM found, (SELECT unnest([1, 2, 4, 8, 16])::BIGINT AS nprobe) WHERE probe_rank <= nprobe GROUP BY nprobe)",
+        "runs AS (SELECT nprobe, scanned, round(recall, 6) AS recall FROM rec JOIN cost USING (nprobe) WHERE r = 10)",
+    )
+    + "SELECT nprobe, scanned, recall FROM runs QUALIFY coalesce(recall > max(recall) OVER (ORDER BY scanned, recall DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)"
+)
+def autotune_pareto(spark, sf_dir):
+    """The settings of nprobe that no setting scanning fewer rows reaches in recall."""
+    b = base(spark, sf_dir)
+    found = ivf.candidates(assigned(b), asked(b), ivf.probe(asked(b), seeds(b), NLIST))
+    each = found.withColumn("nprobe", F.explode(F.array(*[F.lit(p).cast("bigint") for p in (1, 2, 4, 8, 16)]))).where("probe_rank <= nprobe")
+    scanned = each.groupBy("nprobe").agg(F.count("*").alias("scanned"))
+    top = top_by(each, ["nprobe", "qid"], K, ["dist", "vec_id"])
+    recall = evaluate.recall_at(top, exact_knn(b, asked(b), 1), at=(10,), by=("nprobe",))
+    return evaluate.pareto(scanned.join(recall, "nprobe").select("nprobe", "scanned", F.round("recall", 6).alias("recall")), "scanned", "recall")
+
+
+# --- maintenance ------------------------------------------------------------------------------
+
+
+def _ops(b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Base without ids ending in 7, which the delta inserts; ids ending in 3 are deleted."""
+    return b.where("vec_id % 10 <> 7"), b.where("vec_id % 10 = 7"), b.where("vec_id % 10 = 3").select(F.col("vec_id").alias("tag"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 10 <> 3")
+def delete_visible(spark, sf_dir):
+    return maintain.visible(*_ops(base(spark, sf_dir))).select("vec_id", "label")
+
+
+@query("SELECT vec_id, vec_id % 10 <> 3 AS active FROM embeddings")
+def active_inactive_tags(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return maintain.active_tags(b, _ops(b)[2])
+
+
+@query("SELECT DISTINCT vec_id + 5 AS tag FROM embeddings WHERE vec_id + 5 NOT IN (SELECT vec_id FROM embeddings)")
+def failed_deletes(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return maintain.failed_deletes(b.select((F.col("vec_id") + 5).alias("tag")), b)
+
+
+@query(_knn_sql("l2_sq", "vec_id % 10 <> 3"))
+def search_after_updates(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return maintain.search_after_updates(*_ops(b), asked(b), K)
+
+
+@query("SELECT count(*) AS n, sum(vec_id)::BIGINT AS ids, 0::BIGINT AS missing FROM embeddings WHERE vec_id % 10 <> 3")
+def compact_equals_rebuild(spark, sf_dir):
+    """The compacted snapshot against the table rebuilt from what is active."""
+    b = base(spark, sf_dir)
+    folded = maintain.compact(*_ops(b), work_dir(spark, "snapshot"))
+    missing = b.where("vec_id % 10 <> 3").exceptAll(folded).agg(F.count("*").alias("missing"))
+    return folded.agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids")).crossJoin(missing)
+
+
+@query("""SELECT vec_id, vec_id % 5 <> 0 AS active, vec_id % 5 <> 0 AND vec_id % 7 = 0 AS deleted, CASE WHEN vec_id % 5 = 0 THEN vec_id // 5 % 3 END AS memory,
+  least(1.0::DOUBLE, 100.0::DOUBLE / count(*) OVER ()) AS rate FROM embeddings""")
+def seed_update_workload(spark, sf_dir):
+    """Active, deleted and inserted points by rules on the id, and the sampling rate of 100 rows."""
+    b = base(spark, sf_dir)
+    n = b.agg(F.count("*").alias("n"))
+    on = F.col("vec_id") % 5 != 0
+    return b.crossJoin(F.broadcast(n)).select("vec_id", on.alias("active"), (on & (F.col("vec_id") % 7 == 0)).alias("deleted"), F.when(~on, F.floor(F.col("vec_id") / 5) % 3).alias("memory"), evaluate.sampling_rate(100, F.col("n")).alias("rate"))
+
+
+@query("""WITH o AS (SELECT 0 AS batch, 'insert' AS op, vec_id AS tag FROM embeddings UNION ALL SELECT 1, 'delete', vec_id FROM embeddings WHERE vec_id % 10 = 3
+  UNION ALL SELECT 2, 'delete', vec_id FROM embeddings WHERE vec_id % 20 = 13 UNION ALL SELECT 2, 'insert', vec_id FROM embeddings WHERE vec_id % 20 = 13)
+SELECT tag, op, batch::BIGINT AS batch FROM o QUALIFY row_number() OVER (PARTITION BY tag ORDER BY batch DESC, op DESC) = 1""")
+def latest_operation(spark, sf_dir):
+    """What each tag's last batch left; inserts come after the deletes of a batch."""
+    b = base(spark, sf_dir).select(F.col("vec_id").alias("tag"))
+    parts = [(0, "insert", "true"), (1, "delete", "tag % 10 = 3"), (2, "delete", "tag % 20 = 13"), (2, "insert", "tag % 20 = 13")]
+    ops = None
+    for batch, op, where in parts:
+        one = b.where(where).select(F.lit(batch).cast("bigint").alias("batch"), F.lit(op).alias("op"), "tag")
+        ops = one if ops is None else ops.unionByName(one)
+    return maintain.latest(ops).select("tag", "op", "batch")
+
+
+# --- product quantisation ---------------------------------------------------------------------
+
+_PQ = f"""parts AS (SELECT vec_id, chunk, e[chunk * 8 + 1 : chunk * 8 + 8] AS part FROM base, (SELECT unnest(range(0, 8)) AS chunk)),
+book AS (SELECT chunk, vec_id AS code, part AS center FROM parts WHERE vec_id < 16),
+codes AS (SELECT p.vec_id, p.chunk, b.code, {sql('l2_sq', 'p.part', 'b.center')} AS d FROM parts p JOIN book b USING (chunk)
+  QUALIFY row_number() OVER (PARTITION BY p.vec_id, p.chunk ORDER BY d, b.code) = 1)"""
+
+
+@query(_with(_BASE, _PQ) + "SELECT chunk, code, (generate_subscripts(center, 1) - 1)::BIGINT AS pos, unnest(center) AS value FROM book")
+def pq_codebook(spark, sf_dir):
+    book = pq.seed_codebook(base(spark, sf_dir), CHUNKS, DIM, 16)
+    return book.select("chunk", "code", F.posexplode("center").alias("pos", "value")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(_with(_BASE, _PQ) + "SELECT vec_id, chunk, code FROM codes")
+def pq_encode(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return pq.encode(b, pq.seed_codebook(b, CHUNKS, DIM, 16), CHUNKS, DIM)
+
+
+@query(
+    _with(
+        _BASE, _Q, _PQ,
+        f"lut AS (SELECT p.vec_id AS qid, p.chunk, b.code, {sql('l2_sq', 'p.part', 'b.center')} AS d FROM parts p JOIN book b USING (chunk) WHERE p.vec_id < 20)",
+        "adc AS (SELECT qid, c.vec_id, list_sum(list(l.d ORDER BY c.chunk)) AS dist FROM codes c JOIN lut l USING (chunk, code) GROUP BY qid, c.vec_id)",
+    )
+    + "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM adc QUALIFY rank <= 10"
+)
+def pq_adc_search(spark, sf_dir):
+    b = base(spark, sf_dir)
+    book = pq.seed_codebook(b, CHUNKS, DIM, 16)
+    return pq.adc_search(pq.encode(b, book, CHUNKS, DIM), book, asked(b), K, CHUNKS, DIM)
+
+
+# --- graphs and streams -----------------------------------------------------------------------
+
+
+@query(
+    _with(_BASE, f"p AS (SELECT a.vec_id AS src, b.vec_id AS dst, {sql('l2_sq', 'a.e', 'b.e')} AS dist FROM base a, base b WHERE a.vec_id <> b.vec_id)")
+    + "SELECT src, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank, dst, dist FROM p QUALIFY rank <= 8"
+)
+def knn_graph(spark, sf_dir):
+    return graph.knn_graph(base(spark, sf_dir), 8)
+
+
+@query()
+def graph_beam_search(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return graph.beam_search(graph.knn_graph(b, 8), b, asked(b), K, 32, 4)
+
+
+@query(_with(_BASE, _C, f"d AS (SELECT vec_id, cluster_id AS shard, {sql('l2_sq', 'e', 'ce')} AS dist FROM base, c)") + "SELECT vec_id, shard, row_number() OVER (PARTITION BY vec_id ORDER BY dist, shard) AS rank FROM d QUALIFY rank <= 2")
+def overlapping_shards(spark, sf_dir):
+    """Each row in its two nearest shards."""
+    b = base(spark, sf_dir)
+    return graph.overlapping_shards(b, seeds(b), 2)
+
+
+@query()
+def stream_ingest_counts(spark, sf_dir):
+    """A stream of deletes and inserts into a store; rows by label after it has ended."""
+    from vecspan.streaming.ingest import ingest
+
+    b = base(spark, sf_dir)
+    old, _, _ = _ops(b)
+    store = maintain.VectorStore(spark, work_dir(spark, "store")).create(old)
+    ops = b.where("vec_id % 10 IN (3, 7)").select(F.lit(0).cast("bigint").alias("batch"), F.when(F.col("vec_id") % 10 == 7, "insert").otherwise("delete").alias("op"), F.col("vec_id").alias("tag"))
+    feed = work_dir(spark, "feed")
+    ops.write.parquet(feed)
+    ingest(spark.readStream.schema(ops.schema).parquet(feed), store, work_dir(spark, "offsets"), b).awaitTermination()
+    return store.rows().groupBy("label").agg(F.count("*").alias("n"))
+
+
+ORACLES["stream_ingest_counts"] = "SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 10 <> 3 GROUP BY label"

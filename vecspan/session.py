@@ -21,3 +21,17 @@ def importable(spark: SparkSession) -> SparkSession:
     if _ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([*parts, _ROOT])
     return spark
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the session's checkpoint folder, which all executors share.
+
+    Only where the session names none (on one machine) is a temporary one set.
+    """
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vecspan-"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
