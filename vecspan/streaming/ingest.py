@@ -46,4 +46,5 @@ def ingest(stream: DataFrame, store: VectorStore, checkpoint: str, vectors: Data
 
 def event_windows(events: DataFrame, every: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of an event stream by window and type; late rows beyond the watermark are left out."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
