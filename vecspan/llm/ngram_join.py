@@ -12,105 +12,139 @@ from .common import connected_components, stored, text_bytes
 
 #: Bytes of sets joined in one tree; larger groups are dealt out in pairs of blocks.
 BLOCK_BYTES = 8 << 20
+#: Bytes that the nodes' n-grams may take as bits.
+BIT_BYTES = 32 << 20
 
 
 class PrefixTree:
-    """Globally ordered n-gram sets in a path-compressed trie.
+    """Distinct, globally ordered n-gram sets in a path-compressed trie.
 
-    ``sets``: sorted arrays of small integers that keep the global order. A node holds the
-    n-grams that all sets below share after those of its parent.
+    ``sets``: sorted arrays of small integers that keep the global order, ``kinds`` of them. A
+    node holds the n-grams that all sets below share after those of its parent. Nodes are kept
+    level by level in arrays.
     """
 
-    def __init__(self, sets):
+    def __init__(self, sets, kinds: int):
         import numpy as np
 
-        self.sets = sets
         order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">i8").tobytes())
-        self.start, self.end, self.label, self.parent = [0], [0], [order[0]], [-1]
-        self.kids: list[list[int]] = [[]]
-        self.leaf: list[list[int]] = [[]]
-        self.home = [0] * len(sets)
+        start, end, label, parent, ends_here = [0], [0], [order[0]], [-1], [-1]
         path = [0]
         before = None
         for k in order:
             x = sets[k]
+            common = 0
             if before is not None:
                 m = min(len(x), len(before))
                 differ = np.flatnonzero(x[:m] != before[:m])
                 common = int(differ[0]) if len(differ) else m
-            else:
-                common = 0
-            while self.start[path[-1]] >= common and len(path) > 1 and self.end[path[-1]] > common:
+            while start[path[-1]] >= common and end[path[-1]] > common and len(path) > 1:
                 path.pop()
             top = path[-1]
-            if self.end[top] > common:  # split the node
-                self._split(top, common)
+            if end[top] > common:  # the node keeps what is common; a new one above it takes the place
+                start.append(start[top])
+                end.append(common)
+                label.append(label[top])
+                parent.append(parent[top])
+                ends_here.append(-1)
+                start[top], parent[top] = common, len(start) - 1
+                path[-1] = len(start) - 1
             if common < len(x):
-                path.append(self._node(top, common, len(x), k))
-            self.home[k] = path[-1]
-            self.leaf[path[-1]].append(k)
+                start.append(common)
+                end.append(len(x))
+                label.append(k)
+                parent.append(path[-1])
+                ends_here.append(k)
+                path.append(len(start) - 1)
+            else:
+                ends_here[path[-1]] = k
             before = x
-        self.least, self.most, self.live = [1 << 60] * len(self.start), [0] * len(self.start), [0] * len(self.start)
-        for k in range(len(sets)):
-            at = self.home[k]
-            while at >= 0:
-                self.least[at], self.most[at] = min(self.least[at], len(sets[k])), max(self.most[at], len(sets[k]))
-                self.live[at] += 1
-                at = self.parent[at]
-
-    def _node(self, parent: int, start: int, end: int, label: int) -> int:
-        for field, v in ((self.start, start), (self.end, end), (self.label, label), (self.parent, parent), (self.kids, []), (self.leaf, [])):
-            field.append(v)
-        self.kids[parent].append(len(self.start) - 1)
-        return len(self.start) - 1
-
-    def _split(self, node: int, at: int) -> None:
-        """Keep the part before ``at`` in the node and move the rest to a new child."""
-        low = self._node(node, at, self.end[node], self.label[node])
-        self.kids[node].remove(low)
-        self.kids[low], self.kids[node] = self.kids[node], [low]
-        for c in self.kids[low]:
-            self.parent[c] = low
-        self.leaf[low], self.leaf[node] = self.leaf[node], []
-        for k in self.leaf[low]:
-            self.home[k] = low
-        self.end[node] = at
+        kids: list[list[int]] = [[] for _ in start]
+        for node, up in enumerate(parent):
+            if up >= 0:
+                kids[up].append(node)
+        level = [0]
+        for node in level:
+            level += kids[node]
+        at = np.empty(len(level), np.int64)
+        at[level] = np.arange(len(level))
+        self.end = np.array(end)[level]
+        self.size = self.end - np.array(start)[level]
+        self.parent = np.array([at[parent[n]] if parent[n] >= 0 else -1 for n in level])
+        self.leaf = np.array(ends_here)[level]
+        self.kid_count = np.array([len(kids[n]) for n in level])
+        self.kid_first = np.array([at[kids[n][0]] if kids[n] else 0 for n in level])
+        self.flat = np.concatenate([sets[label[n]][start[n] : end[n]] for n in level])
+        self.first = np.cumsum(self.size) - self.size
+        self.last = np.where(self.size > 0, self.flat[np.minimum(self.first + self.size, len(self.flat)) - 1], -1)
+        self.least, self.most, self.live = np.full(len(level), 1 << 60), np.zeros(len(level), np.int64), np.zeros(len(level), np.int64)
+        own = self.leaf >= 0
+        self.least[own] = self.most[own] = self.end[own]
+        self.live[own] = 1
+        for n in range(len(level) - 1, 0, -1):
+            up = self.parent[n]
+            self.least[up], self.most[up] = min(self.least[up], self.least[n]), max(self.most[up], self.most[n])
+            self.live[up] += self.live[n]
+        self.home = np.empty(len(sets), np.int64)
+        self.home[self.leaf[own]] = np.flatnonzero(own)
+        self.sets, self.kinds = sets, kinds
+        # Nodes also hold their n-grams as bits where that takes little room, but for those that
+        # one set alone has.
+        several = np.bincount(np.concatenate(sets), minlength=kinds) > 1
+        self.bit = np.where(several, np.cumsum(several) - 1, -1)
+        words = -(-int(several.sum()) // 64)
+        self.bits = None
+        if len(level) * words * 8 <= BIT_BYTES:
+            owner, bit = np.repeat(np.arange(len(level)), self.size), self.bit[self.flat]
+            owner, bit = owner[bit >= 0], bit[bit >= 0]
+            self.bits = np.zeros((len(level), words), np.uint64)
+            np.add.at(self.bits, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
 
     def remove(self, k: int) -> None:
         at = self.home[k]
-        self.leaf[at].remove(k)
+        self.leaf[at] = -1
         while at >= 0:
             self.live[at] -= 1
             at = self.parent[at]
 
-    def partners(self, x, member, share: int, of: int) -> list[int]:
-        """Sets still in the tree whose Jaccard similarity with ``x`` is at least share / of.
+    def partners(self, k: int, share: int, of: int) -> list[int]:
+        """Sets still in the tree whose Jaccard similarity with set k is at least share / of.
 
-        ``member``: truth of each n-gram for x. The overlap of a path is found once for all sets
-        below it; a subtree goes when even its remaining n-grams can't reach the share.
+        The overlap of a path is found once for all sets below it; a subtree goes when even its
+        remaining n-grams can't reach the share. Paths are followed a level at a time.
         """
         import numpy as np
 
-        n, out = len(x), []
-        whole = share + of
-        stack = [(0, 0)]
-        while stack:
-            node, overlap = stack.pop()
-            if not self.live[node]:
-                continue
-            s, e = self.start[node], self.end[node]
-            left = n
-            if e > s:
-                piece = self.sets[self.label[node]][s:e]
-                overlap += int(np.count_nonzero(member[piece]))
-                left = n - int(np.searchsorted(x, piece[-1], "right"))
-            need = -(-share * (n + self.least[node]) // whole)
-            if overlap + min(left, self.most[node] - e) < need:
-                continue
-            for k in self.leaf[node]:
-                if whole * overlap >= share * (n + len(self.sets[k])):
-                    out.append(k)
-            stack += [(c, overlap) for c in self.kids[node]]
+        def ranges(first, size):
+            """All of first[i], first[i] + 1, ... of size[i] each."""
+            ends = np.cumsum(size)
+            return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
+
+        x = self.sets[k]
+        n, whole, out = len(x), share + of, []
+        member = np.zeros(self.kinds + 1, np.int64)
+        member[x + 1] = 1
+        upto = np.cumsum(member)  # n-grams of x up to each
+        if self.bits is not None:
+            mine, bit = np.zeros(self.bits.shape[1], np.uint64), self.bit[x]
+            bit = bit[bit >= 0]
+            np.add.at(mine, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+        nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(nodes):
+            if self.bits is not None:
+                overlap = overlap + np.bitwise_count(self.bits[nodes] & mine).sum(1, dtype=np.int64)
+            else:
+                size = self.size[nodes]
+                hits = np.concatenate([[0], np.cumsum(member[self.flat[ranges(self.first[nodes], size)] + 1])])
+                ends = np.cumsum(size)
+                overlap = overlap + hits[ends] - hits[ends - size]
+            left = np.minimum(n - upto[self.last[nodes] + 1], self.most[nodes] - self.end[nodes])
+            keep = (self.live[nodes] > 0) & (overlap + left >= -(-share * (n + self.least[nodes]) // whole))
+            nodes, overlap = nodes[keep], overlap[keep]
+            found = (self.leaf[nodes] >= 0) & (whole * overlap >= share * (n + self.end[nodes]))
+            out += self.leaf[nodes[found]].tolist()
+            count = self.kid_count[nodes]
+            nodes, overlap = ranges(self.kid_first[nodes], count), np.repeat(overlap, count)
         return out
 
 
@@ -119,28 +153,37 @@ def linked_forest(raw: list[bytes], share: int = 75, of: int = 100) -> list[tupl
     import numpy as np
 
     flat, inverse = np.unique(np.concatenate([np.frombuffer(r, ">u8") for r in raw]), return_inverse=True)
-    cuts = np.cumsum([0, *(len(r) // 8 for r in raw)])
-    sets = [inverse[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    tree = PrefixTree(sets)
-    member = np.zeros(len(flat), bool)
-    edges, open_ = [], set(range(len(sets)))
-    while open_:
-        queue = [min(open_)]
-        open_.discard(queue[0])
+    size = np.array([len(r) // 8 for r in raw])
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    owner = np.repeat(np.arange(len(raw)), size)
+    # A set with a link has that share of its n-grams in other sets, too. Others go, until none does.
+    stay = np.ones(len(raw), bool)
+    while True:
+        here = stay[owner]
+        held = np.bincount(inverse[here], minlength=len(flat)) > 1
+        now = stay & (of * np.bincount(owner[here], held[inverse[here]], len(raw)) >= share * size)
+        if (now == stay).all():
+            break
+        stay = now
+    left = np.flatnonzero(stay)
+    if len(left) < 2:
+        return []
+    tree = PrefixTree([inverse[cuts[k] : cuts[k + 1]] for k in left], len(flat))
+    edges, open_ = [], set(range(len(left)))
+    while len(open_) > 1:
+        queue = [open_.pop()]
         tree.remove(queue[0])
         while queue and open_:
             k = queue.pop()
-            member[sets[k]] = True
-            for other in tree.partners(sets[k], member, share, of):
-                edges.append((k, other))
+            for other in tree.partners(k, share, of):
+                edges.append((int(left[k]), int(left[other])))
                 open_.discard(other)
                 tree.remove(other)
                 queue.append(other)
-            member[sets[k]] = False
     return edges
 
 
-def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, signature: int = 24) -> DataFrame:
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, signature: int = 32) -> DataFrame:
     """doc_id, n_shingles, s1, s2 (128-bit hash of the set), sig (its first n-grams in the global order)."""
     import pyarrow as pa
 
@@ -165,7 +208,7 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, sig array<long>")
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: int = 75, of: int = 100, signature: int = 24) -> DataFrame:
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: int = 75, of: int = 100, signature: int = 32) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Two texts link when ``of`` * intersection >= ``share`` * union of their sets of distinct
@@ -177,12 +220,15 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Method: the global order of n-grams is that of their 64-bit hashes. Texts with equal sets
     are collapsed to the least id. The signature of a set is its first ``signature`` n-grams.
     In a random order each of the first n-grams of a union is common to both sets with the odds
-    of their similarity, so that two sets with a link share none with odds of at most 0.25 ** 24
-    (below 1e-14), and fewer than four with odds below 1e-9; sets no larger than their
-    signature are treated exactly. So only sets with four n-grams that another signature has
-    (one for sets within their signature) are fetched whole. A group is the sets that have one
-    n-gram in common; n-grams with the same members make one group. Each group is joined in a
-    prefix tree, large ones in pairs of blocks, and returns a spanning forest of its links.
+    of their similarity; linked sets therefore have at least a quarter of their signatures in
+    common, but for odds below 1e-9 (sets of at most 3/4 * ``signature`` n-grams: exactly, three
+    quarters of their n-grams). Only sets that share so many n-grams with other signatures are
+    fetched whole. Of those shared n-grams, ordered from the rarest, a set leaves out the last
+    ones, one fewer than the quarter (prefix filtering): a link still has one in common, and
+    n-grams such as those of a passage that many texts quote seldom bring texts together. A
+    group is the sets that have one n-gram in common; n-grams with the same members make one
+    group. Each group is joined in a prefix tree, large ones in pairs of blocks, and returns a
+    spanning forest of its links.
     """
     import pyarrow as pa
 
@@ -191,11 +237,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = stored(prof.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps = prof.where("n_shingles > 0").join(classes, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["s1", "s2"])
     tok = stored(reps.select("rep", "n_shingles", F.explode("sig").alias("t")))
-    shared = tok.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t")
-    least = F.when(F.col("n_shingles") <= signature, 1).otherwise(4)
-    near = tok.join(shared, "t").groupBy("rep", "n_shingles").agg(F.collect_list("t").alias("ts")).where(F.size("ts") >= least)
-    near = stored(near)
-    live = near.select("rep", "n_shingles", F.explode("ts").alias("t"))
+    shared = tok.groupBy("t").agg(F.count("*").alias("m")).where("m > 1")
+    least = F.when(F.col("n_shingles") <= signature * 3 // 4, F.ceil(F.col("n_shingles") * share / of)).otherwise(signature // 4).cast("int")
+    near = tok.join(shared, "t").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("ts")).withColumn("least", least)
+    near = near.where(F.size("ts") >= F.col("least"))
+    near = stored(near.select("rep", "n_shingles", F.slice("ts", F.lit(1), F.size("ts") - F.col("least") + 1).alias("ts")))
+    live = near.select("rep", "n_shingles", F.explode("ts").alias("x")).select("rep", "n_shingles", "x.t")
     groups = live.groupBy("t").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("p1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("p2"), F.sum(F.col("n_shingles") * 8).alias("bytes")).where("m > 1")
     groups = groups.groupBy("m", "p1", "p2").agg(F.min("t").alias("t"), F.min("bytes").alias("bytes"))
     groups = groups.select("t", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
