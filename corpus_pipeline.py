@@ -25,8 +25,8 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus's own language labels have taught."""
     model = langid.fit(docs)
-    found = langid.identify(docs, model, keep=docs.columns)
-    return found.where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+    found = langid.identify(docs, model, keep=docs.columns, names=("__lang", "__score", "__bits"))
+    return found.where("__lang <> 'und' and __score >= 0.5").select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

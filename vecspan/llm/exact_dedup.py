@@ -13,8 +13,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z; null counts as the empty text, so
     null and empty texts form one group. Of equal texts the row with the largest id stays
-    (repeated rows with that same id all count as kept). An empty table gives an empty result;
-    other columns are ignored.
+    (repeated rows with that same id all count as kept; a row without an id only where its whole
+    group has none). An empty table gives an empty result; other columns are ignored.
 
     Method: one pass writes (id, digest). A Misra-Gries summary (the mergeable frequent-items
     sketch behind ``approx_top_k``; ``track`` counters, whatever the input size) names the
@@ -34,4 +34,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frequent = d.join(F.broadcast(winners), "digest")
     w = Window.partitionBy("digest")
     rest = d.join(F.broadcast(winners), "digest", "left_anti").select("doc_id", "digest", F.max("doc_id").over(w).alias("keep_id"), F.count("*").over(w).alias("group_size"))
-    return frequent.select(rest.columns).unionByName(rest).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return frequent.select(rest.columns).unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

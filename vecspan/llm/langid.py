@@ -72,7 +72,6 @@ class ByteTrees:
         for order in (0, 1, 2, 3):
             for ctx, row in rows[order].items():
                 self.index[ctx :: a**order] = row
-        
 
     def bits(self, data, offsets):
         """Code length of each text under each language, in bits: (texts, languages)."""
@@ -133,8 +132,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     return ByteTrees({k: sorted(v) for k, v in by.items()})
 
 
-def identify(docs: DataFrame, model: ByteTrees, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (the id by default) with lang_pred, score, bits_per_byte of every row.
+def identify(docs: DataFrame, model: ByteTrees, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """``keep`` columns (the id by default) with the prediction, its score and the bits a byte of every row.
 
     The language with the shortest code for the whole text wins (ties: the first by name);
     score is its posterior under equal priors. Null, empty and letterless texts, and every text
@@ -148,7 +147,7 @@ def identify(docs: DataFrame, model: ByteTrees, id_col: str = "doc_id", text_col
     keep = keep or [id_col]
     fields = [docs.schema[c] for c in keep]
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, bits_per_byte double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{names[0]} string, {names[1]} double, {names[2]} double"])
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +166,6 @@ def identify(docs: DataFrame, model: ByteTrees, id_col: str = "doc_id", text_col
                 score[letters] = post[letters]
                 rate = low / np.maximum(1, np.diff(offsets))
             cols = [*(batch.column(k) for k in range(len(keep))), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rate)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])
 
     return rows.mapInArrow(run, schema)

@@ -87,6 +87,24 @@ def _exponent_by_steps(shares: DataFrame, entropy, repeats, cover: bool, scale:
     return 1.0 if entropy is None and repeats is None else found
 
 
+def _quotas(sources: DataFrame, count: int, entropy, repeats, cover: bool, scale: float) -> DataFrame:
+    """(s, full, rest): whole epochs, and tokens of the last one, of each source with tokens."""
+    some = sources.where("t > 0")
+    total = some.agg(F.sum("t")).first()[0]
+    shares = some.select("s", "t", (F.col("t") / F.lit(total)).alias("p"))
+    if count <= MOST_SOURCES:
+        solved = shares.agg(F.sort_array(F.collect_list("p")).alias("ps")).select("ps", _exponent(F.col("ps"), entropy, repeats, cover, scale).alias("a"))
+        solved = solved.select("a", F.aggregate("ps", F.lit(0.0), lambda z, p: z + F.pow(p, F.col("a"))).alias("z"), F.array_max("ps").alias("top"), F.array_min("ps").alias("low"))
+    else:
+        a = _exponent_by_steps(shares, entropy, repeats, cover, scale)
+        solved = shares.agg(F.sum(F.pow("p", F.lit(a))).alias("z"), F.max("p").alias("top"), F.min("p").alias("low")).withColumn("a", F.lit(a))
+    r = solved.first()  # four numbers
+    # Where every source is covered, the one with the most budget wanted for a token it has sets the scale.
+    unit = max(r.top ** (1 - r.a), r.low ** (1 - r.a)) * r.z if cover else scale
+    plan = shares.select("s", "t", F.floor(F.pow("p", F.lit(r.a)) / F.lit(r.z) * F.lit(unit) * F.lit(total) + 1e-6).cast("long").alias("b"))
+    return plan.select("s", F.expr("b div t").alias("full"), F.expr("b % t").alias("rest"))
+
+
 def mix(docs: DataFrame, keep: list[str], source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", entropy: float | None = None, repeats: float | None = None, budget: float | str = 1.0, seed: int = 1, blocks: int = BLOCKS, order: bool = True) -> DataFrame:
     """The realised mixture: ``keep`` columns, and with ``order`` also epoch and block_rank.
 
@@ -114,34 +132,22 @@ def mix(docs: DataFrame, keep: list[str], source_col: str = "source", id_col: st
     sized = stored(sized)
     sources = stored(sized.groupBy("s").agg(F.sum("bt").alias("t")))
     count = sources.where("t > 0").count()
-    totals = sources.where("t > 0").agg(F.sum("t").alias("all"))
     scale = 1.0 if cover else float(budget)
-    shares = sources.where("t > 0").crossJoin(F.broadcast(totals)).select("s", "t", "all", (F.col("t") / F.col("all")).alias("p"))
-    if count <= MOST_SOURCES:
-        solved = shares.agg(F.sort_array(F.collect_list("p")).alias("ps")).select("ps", _exponent(F.col("ps"), entropy, repeats, cover, scale).alias("a"))
-        solved = solved.select("a", F.aggregate("ps", F.lit(0.0), lambda z, p: z + F.pow(p, F.col("a"))).alias("z"), F.array_max("ps").alias("top"), F.array_min("ps").alias("low"))
-    else:
-        a = _exponent_by_steps(shares, entropy, repeats, cover, scale)
-        solved = shares.agg(F.sum(F.pow("p", F.lit(a))).alias("z"), F.max("p").alias("top"), F.min("p").alias("low")).withColumn("a", F.lit(a))
-    weight = F.pow("p", "a") / F.col("z")
-    # Tokens of a source per token it has, in units of the budget.
-    unit = F.greatest(F.pow("top", 1 - F.col("a")), F.pow("low", 1 - F.col("a"))) * F.col("z") if cover else F.lit(scale)
-    plan = shares.crossJoin(F.broadcast(solved)).select("s", "t", F.floor(weight * unit * F.col("all") + 1e-6).cast("long").alias("b"))
-    plan = plan.select("s", (F.col("b") / F.col("t")).cast("long").alias("full"), (F.col("b") % F.col("t")).alias("rest"))
-    plan = plan.unionByName(sources.where("t = 0").select("s", F.lit(1).cast("long").alias("full"), F.lit(0).cast("long").alias("rest")))
+    free = sources.where("t = 0").select("s", F.lit(1).cast("long").alias("full"), F.lit(0).cast("long").alias("rest"))
+    plan = free if not count else _quotas(sources, count, entropy, repeats, cover, scale).unionByName(free)
     by_epoch = sized.join(plan.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2"))).select("s", "__block", "bt", "full", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))).alias("epoch"))
     w = Window.partitionBy("s", "epoch").orderBy(_hash(F.lit(seed), F.col("epoch"), F.col("s"), F.col("__block")), "__block")
     ranked = by_epoch.select("s", "__block", "epoch", "full", "rest", "bt", F.row_number().over(w).cast("long").alias("block_rank"), (F.sum("bt").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bt")).alias("before"))
     taken = F.when((F.col("epoch") < F.col("full")) | ((F.col("rest") > 0) & (F.col("before") + F.col("bt") <= F.col("rest"))), F.lit(-1).cast("long")).when((F.col("epoch") == F.col("full")) & (F.col("before") < F.col("rest")), F.col("rest") - F.col("before"))
-    ranked = stored(ranked.select(F.col("s").alias("__s"), F.col("__block").alias("__b"), "epoch", "block_rank", taken.alias("__left")).where("__left is not null"))
+    ranked = stored(ranked.select(F.col("s").alias("__s"), F.col("__block").alias("__b"), F.col("epoch").alias("__epoch"), F.col("block_rank").alias("__rank"), taken.alias("__left")).where("__left is not null"))
     held = ranked.count() <= MOST_PLAN_ROWS
     rows = docs.select(*[F.col(c) for c in dict.fromkeys([*keep, source_col, id_col, text_col])], block)
 
     def against(part: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(part) if held else part, (F.col("__block") == F.col("__b")) & F.col(source_col).eqNullSafe(F.col("__s")))
 
-    out = [*keep, "epoch", "block_rank"] if order else keep
+    out = [*keep, F.col("__epoch").alias("epoch"), F.col("__rank").alias("block_rank")] if order else keep
     whole = against(ranked.where("__left < 0")).select(*out)
-    inside = Window.partitionBy("__s", "epoch", "__b").orderBy(_hash(F.lit(seed), F.lit("row"), F.col(id_col)), id_col).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__s", "__epoch", "__b").orderBy(_hash(F.lit(seed), F.lit("row"), F.col(id_col)), id_col).rowsBetween(Window.unboundedPreceding, 0)
     cut_short = against(ranked.where("__left >= 0")).withColumn("__sum", F.sum(word_count(F.col(text_col))).over(inside)).where("__sum <= __left").select(*out)
     return whole.unionByName(cut_short)

@@ -252,7 +252,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = again.select("gram", F.ceil(F.col("n") * context / SHARD_BYTES).cast("int").alias("blocks"))
     wanted = marks.select("k1", "k2", "gram").join(again, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "blocks")).alias("grams"))
     wanted = wanted.join(classes, ["k1", "k2"]).select("k1", "k2", "rep", "grams")
-    texts = rows.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).where("doc_id = rep").select("k1", "k2", "text", "grams")
+    texts = rows.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("k1", "k2", "text", "grams")
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
