@@ -150,3 +150,17 @@ def test_index_saved(spark, tmp_path):
     assert sorted(map(tuple, again.search(q, 5, 8).collect())) == sorted(map(tuple, exact_knn(b, q, 5).collect()))
     few, more = (again.search(q, 5, p).count() for p in (1, 8))
     assert few <= more == 25
+
+
+def test_workloads(spark, tmp_path):
+    b = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "vec_id bigint, embedding array<float>")
+    store = maintain.VectorStore(spark, str(tmp_path / "c")).create(b)
+    for low, full in maintain.delete_reinsert_cycles(store, b, 0.3, 2):
+        assert low < full == 60
+    assert vectors.same_rows(store.rows(), b) and not vectors.same_rows(b, b.limit(3))
+    grown = maintain.ramp_up(maintain.VectorStore(spark, str(tmp_path / "r")).create(b.limit(0)), b, 2, 0.5, 0.1)
+    assert 0 < grown[0] < grown[1] <= 60
+    one, two = (vectors.random_values(b, seed=4).collect() for _ in range(2))
+    assert one == two and all(0 <= x < 1 for r in one for x in r.embedding)
+    more = ivf.IvfIndex.build(b.where("vec_id < 30"), 4, 1).add(b.where("vec_id >= 30"))
+    assert more.lists.count() == 60

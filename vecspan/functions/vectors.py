@@ -116,3 +116,18 @@ def truth_name(count: int) -> str:
 def throughput(latency_ms: Column) -> Column:
     """Queries per second of one stream."""
     return F.lit(1000.0) / latency_ms
+
+
+def random_values(df: DataFrame, vec_col: str = "embedding", seed: int = 0) -> DataFrame:
+    """The table with its vectors' components replaced by uniform values that repeat for a seed."""
+    draw = F.transform(vec_col, lambda x, i: (F.pmod(F.xxhash64(F.lit(seed), F.col(vec_col), i), F.lit(1 << 24)) / float(1 << 24)).cast("float"))
+    return df.withColumn(vec_col, draw)
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables hold the same rows, repeated rows as often in each."""
+    cols = sorted(a.columns)
+    if cols != sorted(b.columns):
+        return False
+    x, y = a.select(*cols), b.select(*cols)
+    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecspan.session import work_dir
+
 from .topk import top_by
 
 
@@ -34,7 +36,8 @@ def nearest_rank(values: DataFrame, value: str, shares: tuple[float, ...] = (0.1
     """
     counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("c"))
     spread = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
-    spread = spread.cache()  # the ranges must be the same for both uses
+    work_dir(values.sparkSession, "ranges")  # sets a checkpoint folder where the session has none
+    spread = spread.checkpoint()  # the ranges must be the same for both uses
     before = spread.groupBy("part").agg(F.sum("c").alias("s")).select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     w = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     upto = spread.join(F.broadcast(before), "part").select("value", "c", (F.col("before") + F.sum("c").over(w)).alias("upto"))

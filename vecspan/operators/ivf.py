@@ -166,13 +166,13 @@ class IvfIndex:
     @staticmethod
     def build(base: DataFrame, nlist: int, iterations: int = 10, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", learn: DataFrame | None = None) -> IvfIndex:
         cents = kmeans(base if learn is None else learn, nlist, iterations, id_col, vec_col)
-        index = IvfIndex(cents, base.limit(0).withColumn("cluster_id", F.lit(0).cast("bigint")), metric, id_col, vec_col, {"nlist": nlist})
-        return index.add(base)
+        lists = assign(base, cents, metric, id_col, vec_col, keep=base.columns).drop("dist")
+        return IvfIndex(cents, lists, metric, id_col, vec_col, {"nlist": nlist})
 
     def add(self, rows: DataFrame) -> IvfIndex:
-        """A new index that holds more rows; centroids stay."""
+        """A new index that holds more rows (a block of a larger table, say); centroids stay."""
         new = assign(rows, self.centroids, self.metric, self.id_col, self.vec_col, keep=rows.columns).drop("dist")
-        return IvfIndex(self.centroids, self.lists.unionByName(new) if self.lists.columns == new.columns and self.info.get("rows") else new, self.metric, self.id_col, self.vec_col, self.info | {"rows": True})
+        return IvfIndex(self.centroids, self.lists.unionByName(new), self.metric, self.id_col, self.vec_col, self.info)
 
     def save(self, path: str) -> None:
         """Parquet tables, the rows partitioned by cluster, and a manifest."""
@@ -186,7 +186,7 @@ class IvfIndex:
     def load(spark: SparkSession, path: str) -> IvfIndex:
         m = json.loads(spark.read.text(f"{path}/manifest").first().value)
         lists = spark.read.parquet(f"{path}/lists").withColumn("cluster_id", F.col("cluster_id").cast("bigint"))
-        return IvfIndex(spark.read.parquet(f"{path}/centroids"), lists, m["metric"], m["id_col"], m["vec_col"], {"nlist": m["nlist"], "rows": True})
+        return IvfIndex(spark.read.parquet(f"{path}/centroids"), lists, m["metric"], m["id_col"], m["vec_col"], {"nlist": m["nlist"]})
 
     def search(self, queries: DataFrame, k: int, nprobe: int, where: Column | str | None = None) -> DataFrame:
         return search(self.lists, self.centroids, queries, k, nprobe, self.metric, self.id_col, self.vec_col, where=where)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .topk import exact_knn
@@ -75,62 +76,70 @@ def seed_workload(ids: DataFrame, active: float, deletes: float, memories: int =
 
 @dataclass
 class VectorStore:
-    """A versioned table of vectors with a delta and tombstones, in Parquet under one folder."""
+    """A versioned table of vectors with a delta and tombstones, in Parquet under one folder.
 
-    spark: object
+    Files are only ever added: inserts and deletes carry a rising number, and a row is visible
+    where no later delete names it and no later insert replaces it. One writer, any readers.
+    """
+
+    spark: SparkSession
     path: str
     merge_rows: int = 30_000_000
     id_col: str = "vec_id"
 
+    def _exists(self, at: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{at}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
     def _read(self, kind: str) -> DataFrame | None:
-        version = self._version()
-        try:
-            df = self.spark.read.parquet(f"{self.path}/v{version}/{kind}")
-            df.schema  # noqa: B018
-            return df
-        except Exception as e:  # Spark names a missing path in its own error class
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+        at = f"v{self._version()}/{kind}"
+        return self.spark.read.parquet(f"{self.path}/{at}") if self._exists(at) else None
 
     def _version(self) -> int:
-        try:
-            return int(self.spark.read.text(f"{self.path}/current").first().value)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
+        return int(self.spark.read.text(f"{self.path}/current").first().value) if self._exists("current") else 0
+
+    def _point(self, version: int) -> None:
+        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
 
     def create(self, base: DataFrame) -> VectorStore:
         base.write.parquet(f"{self.path}/v0/base")
         self._point(0)
         return self
 
-    def _point(self, version: int) -> None:
-        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
-
     def insert(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.path}/v{self._version()}/delta")
-        pending = self._read("delta")
-        if pending is not None and pending.count() >= self.merge_rows:
+        rows.withColumn("__seq", F.lit(time.time_ns())).write.mode("append").parquet(f"{self.path}/v{self._version()}/delta")
+        if self._read("delta").count() >= self.merge_rows:
             self.merge()
 
     def delete(self, tags: DataFrame) -> DataFrame:
         """Lazy delete; returns the tags that weren't there."""
-        tags = tags.select(F.col(tags.columns[0]).cast("bigint").alias("tag")).distinct()
-        failed = failed_deletes(tags, self.rows(), "tag", self.id_col).collect()
-        keep = self._read("delta")
-        if keep is not None:  # a pending insert is dropped at once
-            gone = tags.select(F.col("tag").alias(self.id_col))
-            left = keep.join(gone, self.id_col, "left_anti")
-            version = self._version()
-            left.write.mode("overwrite").parquet(f"{self.path}/v{version}/delta_next")
-            self.spark.read.parquet(f"{self.path}/v{version}/delta_next").write.mode("overwrite").parquet(f"{self.path}/v{version}/delta")
-        tags.write.mode("append").parquet(f"{self.path}/v{self._version()}/tombstones")
-        return self.spark.createDataFrame(failed, "tag bigint")
+        seq = time.time_ns()
+        at = f"{self.path}/v{self._version()}"
+        tags.select(F.col(tags.columns[0]).cast("bigint").alias("tag")).distinct().write.parquet(f"{at}/asked-{seq}")
+        asked = self.spark.read.parquet(f"{at}/asked-{seq}")
+        failed_deletes(asked, self.rows(), "tag", self.id_col).write.parquet(f"{at}/failed-{seq}")
+        asked.withColumn("__seq", F.lit(seq)).write.mode("append").parquet(f"{at}/tombstones")
+        return self.spark.read.parquet(f"{at}/failed-{seq}")
+
+    def eager_delete(self, tags: DataFrame) -> DataFrame:
+        """Delete and rewrite the table at once; returns the tags that weren't there."""
+        failed = self.delete(tags)
+        self.merge()
+        return failed
 
     def rows(self) -> DataFrame:
-        return visible(self._read("base"), self._read("delta"), self._read("tombstones"), self.id_col)
+        base, delta, dead = self._read("base"), self._read("delta"), self._read("tombstones")
+        if dead is not None:
+            dead = dead.groupBy(F.col("tag").alias(self.id_col)).agg(F.max("__seq").alias("__dead"))
+        if delta is not None:
+            last = delta.groupBy(self.id_col).agg(F.max("__seq").alias("__seq"))
+            delta = delta.join(last, [self.id_col, "__seq"], "left_semi")
+            if dead is not None:
+                delta = delta.join(dead, self.id_col, "left").where("__dead is null or __dead < __seq").drop("__dead")
+            base = base.join(last, self.id_col, "left_anti")
+        if dead is not None:
+            base = base.join(dead, self.id_col, "left_anti")
+        return base if delta is None else base.unionByName(delta.select(*base.columns))
 
     def search(self, queries: DataFrame, k: int, **how) -> DataFrame:
         return exact_knn(self.rows(), queries, k, id_col=self.id_col, **how)
@@ -138,5 +147,32 @@ class VectorStore:
     def merge(self) -> None:
         """Write the next snapshot, then point readers at it; the old one stays for running searches."""
         version = self._version()
-        compact(self._read("base"), self._read("delta"), self._read("tombstones"), f"{self.path}/v{version + 1}/base", self.id_col)
+        self.rows().write.parquet(f"{self.path}/v{version + 1}/base")
         self._point(version + 1)
+
+
+def delete_reinsert_cycles(store: VectorStore, source: DataFrame, share: float, cycles: int, seed: int = 0) -> list[tuple[int, int]]:
+    """Each cycle deletes a share of the points by hash, folds that in, and inserts them again.
+
+    Returns per cycle the rows visible after the deletes and after the inserts.
+    """
+    seen = []
+    for cycle in range(cycles):
+        picked = source.where(F.pmod(F.xxhash64(F.lit(seed + cycle), F.col(store.id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
+        store.eager_delete(picked.select(store.id_col))
+        after = store.rows().count()
+        store.insert(picked)
+        seen.append((after, store.rows().count()))
+    return seen
+
+
+def ramp_up(store: VectorStore, source: DataFrame, rounds: int = 50, step: float = 0.02, drop: float = 0.1, seed: int = 0) -> list[int]:
+    """Rounds of inserting the next ``step`` of the points, then of deleting ``drop`` of what is there."""
+    at = F.pmod(F.xxhash64(F.lit(seed), F.col(store.id_col)), F.lit(1_000_000)) / 1_000_000.0
+    seen = []
+    for r in range(rounds):
+        store.insert(source.where((at >= r * step) & (at < (r + 1) * step)))
+        gone = store.rows().where(F.pmod(F.xxhash64(F.lit(seed + r + 1), F.col(store.id_col)), F.lit(1_000_000)) < int(drop * 1_000_000))
+        store.delete(gone.select(store.id_col))
+        seen.append(store.rows().count())
+    return seen
