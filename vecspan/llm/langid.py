@@ -113,17 +113,23 @@ class ByteTrees:
         return self.costs[self.index[ctx], c]
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train: Column | None = None, per_lang: int = 400, most_bytes: int = 1 << 16) -> ByteTrees:
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train: Column | None = None, per_lang: int = 400, most_bytes: int = 1 << 16, most_langs: int = 1000) -> ByteTrees:
     """Context trees from a bounded sample of labelled rows.
 
     The bound is documented: of the rows that ``train`` admits and that have a language and a
     text of at most ``most_bytes`` bytes, the ``per_lang`` rows of each language that come first
-    by a hash of the id. Nothing else about the model depends on the size of the input.
+    by a hash of the id, in the ``most_langs`` languages with the most rows. Nothing else about
+    the model depends on the size of the input.
     """
     ok = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= most_bytes)
     rows = docs.where(ok if train is None else ok & train).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = rows.withColumn("r", rank).where(F.col("r") <= per_lang).select("id").distinct()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    # A share by hash of which per_lang rows or more are all but certain comes first, so that a
+    # language's rows don't meet in one task; rows that share is short of don't matter.
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    some = rows.withColumn("draw", draw).join(F.broadcast(sizes), "lang").where(F.col("draw") * F.col("n") <= 1.5 * per_lang)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
+    ids = some.withColumn("r", rank).where(F.col("r") <= per_lang).select("id").distinct()
     picked = docs.where(ok).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     by: dict[str, list[bytes]] = defaultdict(list)
     # At most per_lang rows of each language, of most_bytes each.
