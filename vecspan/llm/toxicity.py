@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -35,6 +37,11 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def _shared(words: set[str]) -> set[str]:
+    """The same words, held once however many texts have them."""
+    return set(map(sys.intern, words))
+
+
 def swaps(words: set[str]) -> Iterator[set[str]]:
     """The text's words with each identity term replaced by the next of its kind."""
     for kind in IDENTITY:
@@ -64,7 +71,7 @@ def train(rows: Iterable[tuple[str | None, int]], penalty: float = 4.0, ridge: f
     """
     import numpy as np
 
-    rows = [(words_of(t), int(y)) for t, y in rows]
+    rows = [(_shared(words_of(t)), int(y)) for t, y in rows]
     n, pos = len(rows), sum(y for _, y in rows)
     if not n or not pos or pos == n:
         return ToxicModel({}, -4.0 if not pos else 4.0)
@@ -120,7 +127,7 @@ def train(rows: Iterable[tuple[str | None, int]], penalty: float = 4.0, ridge: f
     return ToxicModel({f: float(w[i]) for f, i in at.items() if w[i]}, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 12_000, most_bytes: int = 1 << 16) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 8_000, most_bytes: int = 1 << 15) -> ToxicModel:
     """Train on a bounded sample of labelled rows.
 
     The bound is documented: of the labelled rows that ``train_rows`` admits, half of
@@ -131,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "d
     by = [ok.where(F.col("y") == y).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most_rows // 2) for y in (0, 1)]
     chosen = by[0].unionByName(by[1])
     texts = docs.where(F.octet_length(text_col) <= most_bytes).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = sorted((r.id, r.y, r.text) for r in texts.join(F.broadcast(chosen), "id").toLocalIterator())
-    return train((t, y) for _, y, t in found)
+    found = sorted((r.id, r.y, zlib.compress(r.text.encode("utf-8"), 1)) for r in texts.join(F.broadcast(chosen), "id").toLocalIterator())
+    return train((zlib.decompress(t).decode("utf-8"), y) for _, y, t in found)
 
 
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
