@@ -94,3 +94,17 @@ class CsvDocument:
 
     def save(self, path: str, sep: str = ",") -> None:
         self.df.orderBy(self.key).select(*self.names).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+
+
+def write_tags(tags: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A tag a line."""
+    tags.select(F.col(tags.columns[0]).cast("string").alias("value")).write.mode(mode).text(path)
+
+
+def write_results(results: DataFrame, path: str, k: int) -> None:
+    """(qid, rank, id, dist) as a line a query: id and distance of each of the k ranks in turn, tab-separated."""
+    id_col = next(c for c in results.columns if c not in ("qid", "rank", "dist"))
+    pair = F.struct("rank", F.col(id_col).cast("string").alias("id"), F.col("dist").cast("string").alias("d"))
+    lines = results.where(F.col("rank") <= k).groupBy("qid").agg(F.sort_array(F.collect_list(pair)).alias("r"))
+    text = F.array_join(F.flatten(F.transform("r", lambda x: F.array(x["id"], x["d"]))), "\t")
+    lines.repartitionByRange("qid").sortWithinPartitions("qid").select(text.alias("value")).write.mode("overwrite").text(path)
