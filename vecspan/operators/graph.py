@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspan.functions import distance
+from vecspan.session import work_dir
 
 from .ivf import assign, candidates, probe
 from .topk import exact_knn, merge_topk, top_by
@@ -47,11 +48,13 @@ def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, w
     """Follow edges from the first rows for a fixed number of hops, keeping the ``width`` best seen.
 
     A hop joins the beam with the edge list and the vectors, both by shuffle; the beam has
-    ``width`` rows a query. width must be at least k.
+    ``width`` rows a query and is checkpointed. width must be at least k. ``graph`` is read once
+    a hop, so it had better be a table.
     """
     if width < k:
         raise ValueError("width must be at least k")
     measure = distance.metric(metric)
+    work_dir(base.sparkSession, "beam")  # sets a checkpoint folder where the session has none
     q = queries.select("qid", distance.doubles(F.col(vec_col)).alias("q"))
     vec = base.select(F.col(id_col).alias("node"), distance.doubles(F.col(vec_col)).alias("v"))
     first = vec.orderBy("node").limit(starts)
@@ -59,5 +62,5 @@ def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, w
     for _ in range(hops):
         step = beam.join(graph.select(F.col("src").alias("node"), "dst"), "node").select("qid", F.col("dst").alias("node")).distinct()
         new = step.join(beam.select("qid", "node"), ["qid", "node"], "left_anti").join(vec, "node").join(q, "qid").select("qid", "node", measure(F.col("q"), F.col("v")).alias("dist"))
-        beam = top_by(beam.unionByName(new), ["qid"], width, ["dist", "node"]).drop("rank")
+        beam = top_by(beam.unionByName(new), ["qid"], width, ["dist", "node"]).drop("rank").checkpoint()
     return merge_topk(beam.withColumnRenamed("node", id_col), k, id_col)

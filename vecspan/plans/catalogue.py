@@ -518,7 +518,9 @@ def knn_graph(spark, sf_dir):
 @query()
 def graph_beam_search(spark, sf_dir):
     b = base(spark, sf_dir)
-    return graph.beam_search(graph.knn_graph(b, 8), b, asked(b), K, 32, 4)
+    path = work_dir(spark, "graph")
+    graph.knn_graph(b, 8).write.parquet(path)
+    return graph.beam_search(spark.read.parquet(path), b, asked(b), K, 32, 4)
 
 
 @query(_with(_BASE, _C, f"d AS (SELECT vec_id, cluster_id AS shard, {sql('l2_sq', 'e', 'ce')} AS dist FROM base, c)") + "SELECT vec_id, shard, row_number() OVER (PARTITION BY vec_id ORDER BY dist, shard) AS rank FROM d QUALIFY rank <= 2")
