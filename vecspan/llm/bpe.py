@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 #: Words kept per worker; beyond it the memo starts anew. It bounds memory, not results.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 
 def byte_chars() -> list[str]:

@@ -256,15 +256,17 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 out: list[tuple] = []
+                size = 0
                 for rep, groups_, x in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(*text_bytes(part.column(1)), words), strict=True):
                     raw = x.astype(">u8").tobytes()
                     spread = int.from_bytes(hashlib.blake2b(str(rep).encode(), digest_size=8).digest())
                     for g in groups_:
                         own = spread % g["blocks"]
                         out += [(g["t"], min(own, o), max(own, o), rep, raw) for o in range(g["blocks"])]
-                    if len(out) > 512:
+                    size += len(raw) * len(groups_)
+                    if size > 1 << 21:
                         yield shipped(out)
-                        out = []
+                        out, size = [], 0
                 if out:
                     yield shipped(out)
 
@@ -286,12 +288,14 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         held: dict[bytes, int] = {}
         last = None
         for batch in batches:
-            for t, lo, hi, rep, raw in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if (t, lo, hi) != last:
-                    if (out := settle(held)) is not None:
-                        yield out
-                    held, last = {}, (t, lo, hi)
-                held[raw] = rep
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                for t, lo, hi, rep, raw in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
+                    if (t, lo, hi) != last:
+                        if (out := settle(held)) is not None:
+                            yield out
+                        held, last = {}, (t, lo, hi)
+                    held[raw] = rep
         if (out := settle(held)) is not None:
             yield out
 
