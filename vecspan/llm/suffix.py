@@ -79,7 +79,7 @@ class SuffixArray:
         self.begin = np.concatenate([[0], np.cumsum(size)])
         n = len(self.text)
         room = np.repeat(self.begin[1:], size) - np.arange(n)  # bytes left in the context
-        packed = np.zeros(n, np.uint64)
+        self.packed = packed = np.zeros(n, np.uint64)  # eight bytes from each position on
         for k in range(8):
             packed[: n - k] |= self.text[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
         rank = np.full(n, -1, np.int64)
@@ -131,23 +131,17 @@ class SuffixArray:
         return lcp[order]
 
     def _extend(self, p, before, lcp) -> None:
+        """Go on comparing from lcp, eight bytes at a time."""
         import numpy as np
 
+        p = p[lcp[p] < self.length]
         while len(p):
-            p = p[lcp[p] < self.length]
-            same = self.text[p + lcp[p]] == self.text[before[p] + lcp[p]]
-            p = p[same]
-            lcp[p] += 1
-            # Long agreements go on in words.
-            q = p[lcp[p] + 16 <= self.length]
-            while len(q):
-                a, b = q + lcp[q], before[q] + lcp[q]
-                ok = np.ones(len(q), bool)
-                for k in range(16):
-                    ok &= self.text[a + k] == self.text[b + k]
-                q = q[ok]
-                lcp[q] += 16
-                q = q[lcp[q] + 16 <= self.length]
+            differ = self.packed[p + lcp[p]] ^ self.packed[before[p] + lcp[p]]
+            same = np.zeros(len(p), np.int64)
+            for k in range(8):
+                same += differ < np.uint64(1 << (8 * k)) if k else differ == 0
+            lcp[p] = np.minimum(self.length, lcp[p] + same)
+            p = p[(same == 8) & (lcp[p] < self.length)]
 
     def holds(self, other: SuffixArray, starts):
         """Whether this array has a suffix that agrees with other's at each of ``starts``: binary search."""
