@@ -214,8 +214,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two texts link when ``of`` * intersection >= ``share`` * union of their sets of distinct
     shingles of ``words`` words; component_id is the least id reachable by links. A text with
     fewer words is one shingle; null texts and texts without words are empty and link with
-    nothing. Repeated rows and copies are one class throughout; an empty table gives an empty
-    result; other columns are ignored.
+    nothing. Repeated rows and copies are one class throughout, and rows that share an id are
+    linked; rows without an id link with nothing; an empty table gives an empty result; other
+    columns are ignored. ``share`` / ``of`` is 0.75 at least.
 
     Method: the global order of n-grams is that of their 64-bit hashes. Texts with equal sets
     are collapsed to the least id. The signature of a set is its first ``signature`` n-grams.
@@ -232,6 +233,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     import pyarrow as pa
 
+    if 4 * share < 3 * of:
+        raise ValueError("similarities below 0.75 need longer signatures")
     prof = stored(profiles(docs, id_col, text_col, words, signature))
     kind = prof.schema["doc_id"].dataType.simpleString()
     classes = stored(prof.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
