@@ -11,7 +11,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-#: Words kept per worker; beyond it the memo starts anew. It bounds memory, not results.
+#: Words kept per worker in each of two generations: when the newer is full it becomes the older,
+#: so that words in use stay. It bounds memory, not results.
 MEMO_WORDS = 150_000
 
 
@@ -47,6 +48,7 @@ class WordBpe:
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of one word: a queue of merge ranks over a doubly linked list of symbols."""
@@ -93,10 +95,13 @@ class WordBpe:
             for w in self.words.findall(low):
                 ids = memo.get(w)
                 if ids is None:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    ids = self.word(w)
+                    ids = self.older.get(w)
+                    if ids is None:
+                        ids = self.word(w)
                     if len(w) <= 64:
+                        if len(memo) >= MEMO_WORDS:
+                            self.older, self.memo = memo, {}
+                            memo = self.memo
                         memo[w] = ids
                 out += ids
         return out
