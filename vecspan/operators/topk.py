@@ -26,11 +26,17 @@ def merge_topk(parts: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
 
 
 def pairs(base: DataFrame, queries: DataFrame, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Every (query, base row) with its distance, as a declarative plan."""
+    """Every (query, base row) with its distance, as a declarative plan; queries are broadcast in blocks of about QUERY_BLOCK."""
     b = base.select(F.col(id_col), distance.doubles(F.col(vec_col)).alias("v"))
     q = queries.select("qid", distance.doubles(F.col(vec_col)).alias("q"))
     d = distance.metric(metric)(F.col("q"), F.col("v"))
-    return b.crossJoin(F.broadcast(q)).select("qid", id_col, d.alias("dist")).where("dist is not null")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for i in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else q
+        found = b.crossJoin(F.broadcast(part)).select("qid", id_col, d.alias("dist")).where("dist is not null")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2_sq", where: Column | str | None = None, method: str = "arrow", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

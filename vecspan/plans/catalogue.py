@@ -43,6 +43,11 @@ def asked(b: DataFrame, most: int = 20) -> DataFrame:
     return b.where(F.col("vec_id") < most).select(F.col("vec_id").alias("qid"), "embedding")
 
 
+def hundredth(b: DataFrame) -> DataFrame:
+    """The stated query set: every row whose id is divisible by 100."""
+    return b.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), "embedding")
+
+
 def seeds(b: DataFrame) -> DataFrame:
     return b.where(F.col("vec_id") < NLIST).select(F.col("vec_id").alias("cluster_id"), distance.doubles(F.col("embedding")).alias("centroid"))
 
@@ -144,6 +149,17 @@ def farther_count_rank(spark, sf_dir):
     return farther_count(pairs(b.where("vec_id < 200"), asked(b, 5)))
 
 
+@query(
+    _with(_BASE, f"p AS (SELECT a.vec_id AS qid, b.vec_id, {sql('l2_sq', 'a.e', 'b.e')} AS dist FROM base a, base b WHERE a.vec_id % 100 = 0)")
+    + """SELECT qid, vec_id, count(*) OVER (PARTITION BY qid) - count(*) OVER (PARTITION BY qid ORDER BY dist RANGE UNBOUNDED PRECEDING) AS farther,
+  row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM p"""
+)
+def farther_count_rank_whole(spark, sf_dir):
+    """farther_count_rank over all rows, for every query whose id is divisible by 100."""
+    b = base(spark, sf_dir)
+    return farther_count(pairs(b, hundredth(b)))
+
+
 @query(f"SELECT k, qid, rank, vec_id, dist FROM ({_knn_sql('l2_sq', k=16)}) r, (SELECT unnest([1, 2, 4, 8, 16])::BIGINT AS k) s WHERE rank <= k")
 def knn_k_sweep(spark, sf_dir):
     b = base(spark, sf_dir)
