@@ -21,3 +21,23 @@ def test_farther_counts_whole(spark, monkeypatch):
     for q in range(0, len(v), 100):
         order = np.argsort(((v - v[q]) ** 2).sum(1), kind="stable")
         assert [got[q, int(i)] for i in order] == [(len(v) - 1 - at, at + 1) for at in range(len(v))]
+
+
+def others(v, q, k):
+    d = ((v - v[q]) ** 2).sum(1)
+    return [int(i) for i in np.lexsort((np.arange(len(v)), d)) if i != q][:k]
+
+
+def ten_recall(spark, name):
+    v, got = vectors(spark), {}
+    for r in QUERIES[name](spark, SF).collect():
+        got.setdefault(r.qid, set()).add(r.vec_id)
+    assert set(got) == set(range(0, len(v), 100))
+    return np.mean([len(got[q] & set(others(v, q, 9))) / 9 for q in got])  # the tenth result is the own row
+
+
+def test_trained_recall(spark):
+    assert ten_recall(spark, "ivf_search_trained") >= 0.9
+    rows = {(r["of"], r.r): r.recall for r in QUERIES["recall_trained"](spark, SF).collect()}
+    assert set(rows) == {("1", 1), ("1", 10), ("1", 100), ("k", 10)} and rows["k", 10] >= 0.9
+    assert rows["1", 1] <= rows["1", 10] <= rows["1", 100]

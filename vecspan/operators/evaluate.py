@@ -29,6 +29,19 @@ def k_recall(results: DataFrame, truth: DataFrame, k: int, inactive: DataFrame |
     return wanted.join(got, ["qid", id_col], "left").groupBy("qid").agg((F.count("hit") * 100.0 / k).alias("recall"))
 
 
+def others(results: DataFrame, k: int, by: tuple[str, ...] = (), id_col: str = "vec_id") -> DataFrame:
+    """Results without each query's own row, ranked anew: at most k a query. Search k + 1 for k."""
+    return top_by(results.where(F.col("qid") != F.col(id_col)).drop("rank"), [*by, "qid"], k, ["dist", id_col])
+
+
+def mean_k_recall(results: DataFrame, truth: DataFrame, k: int, by: tuple[str, ...] = (), id_col: str = "vec_id") -> DataFrame:
+    """(by, recall): share of the first k true neighbours, over all queries, that the first k results hold."""
+    wanted = truth.where(F.col("rank") <= k).select("qid", id_col)
+    wanted = wanted.crossJoin(F.broadcast(results.select(*by).distinct())) if by else wanted
+    got = results.where(F.col("rank") <= k).select(*by, "qid", id_col, F.lit(1).alias("hit"))
+    return wanted.join(got, [*by, "qid", id_col], "left").groupBy(*by).agg((F.count("hit") / F.count("*")).alias("recall"))
+
+
 def nearest_rank(values: DataFrame, value: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9, 0.95, 0.99, 0.999)) -> DataFrame:
     """(p, value): sorted[floor(p * n)], without gathering the values in one place.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vecspan.functions import distance
 
+from .evaluate import mean_k_recall, others
 from .topk import merge_topk, rank_small, top_by
 
 #: Probe rows (query, cluster, vector) that may be broadcast; more are joined by shuffle.
@@ -127,6 +128,20 @@ def nprobe_sweep(lists: DataFrame, centroids: DataFrame, queries: DataFrame, k:
     return top_by(each, ["nprobe", "qid"], k, ["dist", id_col]).select("nprobe", "qid", "rank", id_col, "dist")
 
 
+def choose_nprobe(lists: DataFrame, centroids: DataFrame, queries: DataFrame, truth: DataFrame, k: int, least: float, nlist: int, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding") -> int:
+    """The least power of two, or else nlist, with a mean k-recall of at least ``least``, own rows left out.
+
+    ``truth`` has the k nearest others of each query, with their rank.
+    """
+    steps = sorted({*(1 << i for i in range(nlist.bit_length()) if 1 << i < nlist), nlist})
+    for nprobe in steps[:-1]:
+        found = others(search(lists, centroids, queries, k + 1, nprobe, metric, id_col, vec_col), k, id_col=id_col)
+        recall = mean_k_recall(found, truth, k, id_col=id_col).first()
+        if recall is None or recall.recall is None or recall.recall >= least:
+            return nprobe
+    return steps[-1]
+
+
 def scan_order(sizes: DataFrame) -> DataFrame:
     """Clusters as scan tasks, the largest first: adds task."""
     w = Window.orderBy(F.desc("size"), "cluster_id")

@@ -365,6 +365,51 @@ def ivf_merge_blocks(spark, sf_dir):
     return ivf.merge_indexes([a.where("block = 0"), a.where("block = 1")], NLIST, offset_clusters=True)
 
 
+#: Queries, those with the least hashes of their ids, on which nprobe is chosen; and the k-recall wanted.
+TUNE_QUERIES, LEAST_RECALL = 256, 0.9
+
+
+def _trained(b: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Inverted lists, centroids and nprobe. About sqrt(rows) centroids, 16 to 4,096, are trained on all
+    rows up to 256 a centroid and beyond that on a sample of so many by the hash of the id. nprobe is
+    the least power of two whose measured 10-recall is LEAST_RECALL, own rows left out.
+    """
+    nlist = min(4096, max(NLIST, int(b.count() ** 0.5)))
+    cents = ivf.kmeans(b, nlist, 10, train_rows=256 * nlist)
+    lists = ivf.assign(b, cents, keep=["vec_id", "embedding", "label"])
+    tune = hundredth(b).orderBy(F.xxhash64("qid"), "qid").limit(TUNE_QUERIES)
+    truth = evaluate.others(exact_knn(b, tune, K + 1), K)
+    return lists, cents, ivf.choose_nprobe(lists, cents, tune, truth, K, LEAST_RECALL, nlist)
+
+
+@query()
+def ivf_search_trained(spark, sf_dir):
+    """Search of trained lists for every id divisible by 100."""
+    b = base(spark, sf_dir)
+    lists, cents, nprobe = _trained(b)
+    return ivf.search(lists, cents, hundredth(b), K, nprobe)
+
+
+@query()
+def ivf_search_filtered_trained(spark, sf_dir):
+    b = base(spark, sf_dir)
+    lists, cents, nprobe = _trained(b)
+    return ivf.search(lists, cents, hundredth(b), K, nprobe, where="label = 3")
+
+
+@query()
+def recall_trained(spark, sf_dir):
+    """Of the trained lists, own rows left out: 10-recall ("k"), and 1-recall among R = 1, 10 and 100 of 100 results."""
+    b = base(spark, sf_dir)
+    lists, cents, nprobe = _trained(b)
+    q = hundredth(b)
+    truth = evaluate.others(exact_knn(b, q, K + 1), K)
+    found = evaluate.others(ivf.search(lists, cents, q, 101, nprobe), 100)
+    first = evaluate.recall_at(found, truth).select(F.lit("1").alias("of"), "r", "recall")
+    tenth = evaluate.mean_k_recall(found, truth, K).select(F.lit("k").alias("of"), F.lit(K).cast("bigint").alias("r"), "recall")
+    return first.unionByName(tenth).select(F.lit(nprobe).cast("bigint").alias("nprobe"), "of", "r", F.round("recall", 6).alias("recall"))
+
+
 # --- evaluation -------------------------------------------------------------------------------
 
 
