@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from vecspan.operators import topk
+from vecspan.operators import graph, topk
 from vecspan.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -41,3 +41,16 @@ def test_trained_recall(spark):
     rows = {(r["of"], r.r): r.recall for r in QUERIES["recall_trained"](spark, SF).collect()}
     assert set(rows) == {("1", 1), ("1", 10), ("1", 100), ("k", 10)} and rows["k", 10] >= 0.9
     assert rows["1", 1] <= rows["1", 10] <= rows["1", 100]
+
+
+def test_beam_recall(spark):
+    assert ten_recall(spark, "graph_beam_search") >= 0.9
+
+
+def test_beam_goes_on(spark):
+    """A line of 60 rows, whose far end is 59 edges from the first row."""
+    base = spark.createDataFrame([(i, [float(i)]) for i in range(60)], "vec_id long, embedding array<float>")
+    line = spark.createDataFrame([(i, j) for i in range(60) for j in (i - 1, i + 1) if 0 <= j < 60], "src long, dst long")
+    q = base.where("vec_id = 59").selectExpr("vec_id AS qid", "embedding")
+    found = graph.beam_search(line, base, q, 2, 4, starts=1).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [59, 58]

@@ -44,12 +44,26 @@ def overlapping_shards(base: DataFrame, centroids: DataFrame, k: int, id_col: st
     return rank_small(base, centroids, k, "l2_sq", id_col, vec_col).select(id_col, F.col("cluster_id").alias("shard"), "rank")
 
 
-def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, width: int, hops: int = 6, starts: int = 8, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Follow edges from the first rows for a fixed number of hops, keeping the ``width`` best seen.
+def both_ways(graph: DataFrame) -> DataFrame:
+    """(src, dst): edges with their reverses, so that a row in no other's list is reached too."""
+    return graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
-    A hop joins the beam with the edge list and the vectors, both by shuffle; the beam has
-    ``width`` rows a query and is checkpointed. width must be at least k. ``graph`` is read once
-    a hop, so it had better be a table.
+
+def entry_points(base: DataFrame, centroids: DataFrame, queries: DataFrame, starts: int, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(qid, node): for each query the row nearest to each of its ``starts`` nearest centroids."""
+    near = exact_knn(base, centroids.select(F.col("cluster_id").alias("qid"), F.col("centroid").alias(vec_col)), 1, metric, id_col=id_col, vec_col=vec_col)
+    pivots = near.select(F.col("qid").alias("cluster_id"), F.col(id_col).alias("node"))
+    return probe(queries, centroids, starts, metric, vec_col).join(F.broadcast(pivots), "cluster_id").select("qid", "node").distinct()
+
+
+def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, width: int, hops: int | None = None, starts: int = 8, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", centroids: DataFrame | None = None) -> DataFrame:
+    """Follow edges until no beam, the ``width`` best rows seen for a query, changes.
+
+    ``hops`` ends it earlier. It starts from the rows nearest to a query's ``starts`` nearest
+    centroids, or without centroids from the first rows. A hop joins the rows that are new in
+    the beam with the edge list and the vectors, both by shuffle; the beam has ``width`` rows a
+    query and is checkpointed. width must be at least k. ``graph`` is read once a hop, so it had
+    better be a table.
     """
     if width < k:
         raise ValueError("width must be at least k")
@@ -57,10 +71,19 @@ def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, w
     work_dir(base.sparkSession, "beam")  # sets a checkpoint folder where the session has none
     q = queries.select("qid", distance.doubles(F.col(vec_col)).alias("q"))
     vec = base.select(F.col(id_col).alias("node"), distance.doubles(F.col(vec_col)).alias("v"))
-    first = vec.orderBy("node").limit(starts)
-    beam = q.crossJoin(F.broadcast(first)).select("qid", "node", measure(F.col("q"), F.col("v")).alias("dist"))
-    for _ in range(hops):
-        step = beam.join(graph.select(F.col("src").alias("node"), "dst"), "node").select("qid", F.col("dst").alias("node")).distinct()
-        new = step.join(beam.select("qid", "node"), ["qid", "node"], "left_anti").join(vec, "node").join(q, "qid").select("qid", "node", measure(F.col("q"), F.col("v")).alias("dist"))
-        beam = top_by(beam.unionByName(new), ["qid"], width, ["dist", "node"]).drop("rank").checkpoint()
-    return merge_topk(beam.withColumnRenamed("node", id_col), k, id_col)
+    if centroids is None:
+        first = q.select("qid").crossJoin(F.broadcast(vec.select("node").orderBy("node").limit(starts)))
+    else:
+        first = entry_points(base, centroids, queries, starts, metric, id_col, vec_col)
+
+    def measured(nodes: DataFrame) -> DataFrame:
+        return nodes.join(vec, "node").join(q, "qid").select("qid", "node", measure(F.col("q"), F.col("v")).alias("dist"), F.lit(True).alias("fresh"))
+
+    beam = top_by(measured(first), ["qid"], width, ["dist", "node"]).drop("rank").checkpoint()
+    hop = 0
+    while (hops is None or hop < hops) and not beam.where("fresh").isEmpty():
+        step = beam.where("fresh").join(graph.select(F.col("src").alias("node"), "dst"), "node").select("qid", F.col("dst").alias("node")).distinct()
+        new = measured(step.join(beam.select("qid", "node"), ["qid", "node"], "left_anti"))
+        beam = top_by(beam.withColumn("fresh", F.lit(False)).unionByName(new), ["qid"], width, ["dist", "node"]).drop("rank").checkpoint()
+        hop += 1
+    return merge_topk(beam.drop("fresh").withColumnRenamed("node", id_col), k, id_col)

@@ -580,8 +580,9 @@ def knn_graph(spark, sf_dir):
 def graph_beam_search(spark, sf_dir):
     b = base(spark, sf_dir)
     path = work_dir(spark, "graph")
-    graph.knn_graph(b, 8).write.parquet(path)
-    return graph.beam_search(spark.read.parquet(path), b, asked(b), K, 32, 4)
+    graph.both_ways(graph.knn_graph(b, 8)).write.parquet(path)
+    cents = ivf.kmeans(b, min(4096, max(NLIST, int(b.count() ** 0.5))), 3, train_rows=256 * 4096)
+    return graph.beam_search(spark.read.parquet(path), b, hundredth(b), K, 32, centroids=cents)
 
 
 @query(_with(_BASE, _C, f"d AS (SELECT vec_id, cluster_id AS shard, {sql('l2_sq', 'e', 'ce')} AS dist FROM base, c)") + "SELECT vec_id, shard, row_number() OVER (PARTITION BY vec_id ORDER BY dist, shard) AS rank FROM d QUALIFY rank <= 2")
