@@ -74,6 +74,16 @@ def test_lines(spark, odd_docs, no_docs, probe, monkeypatch):
     assert line_dedup.dedup_lines(no_docs, probe=probe).count() == 0
 
 
+@pytest.mark.parametrize("probe", ["broadcast", "routed"])
+def test_lines_without_id(spark, probe, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    rows = [(-1, "held by two ids\nown line one"), (5, "held by two ids\nonly five and null"), (None, "held by two ids\nonly five and null\nnull's own line"), (None, "Held by two ids"), (None, None), (0, "shared by 0 and 7\nshort"), (7, "shared by 0 and 7"), (None, "shared by 0 and 7\nshort")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(df, probe=probe).collect()), key=str)
+    want = [(-1, 2, 0, rows[0][1]), (5, 2, 1, "only five and null"), (None, 3, 1, "only five and null\nnull's own line"), (None, 1, 1, ""), (None, 1, 0, ""), (0, 2, 0, rows[5][1]), (7, 1, 1, ""), (None, 2, 1, "short")]
+    assert got == sorted(want, key=str)
+
+
 def test_perfect_hash():
     r = np.random.default_rng(1)
     h = r.integers(0, 2**63, (5000, 2)).astype(np.uint64)

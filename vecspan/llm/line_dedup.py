@@ -101,7 +101,7 @@ class PerfectTable:
 
 
 def _key_rows(docs: DataFrame, least: int) -> DataFrame:
-    """(h1, h2, doc_id): each distinct line key of each row."""
+    """(h1, h2, doc_id, row): each distinct line key of each row of ``docs`` (doc_id, text, row)."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,15 +110,16 @@ def _key_rows(docs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                own, ids = [], []
-                for d, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                own, ids, rows = [], [], []
+                for d, t, r in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
                     keys = {k for k in line_keys(t.as_py(), least)[1] if k is not None}
                     own += keys
                     ids += [d] * len(keys)
+                    rows += [r] * len(keys)
                 h = _halves(own).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64())], names=["h1", "h2", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(rows, pa.int64())], names=["h1", "h2", "doc_id", "row"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long")
+    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, row long")
 
 
 def _tables(dup: DataFrame, shards: int) -> DataFrame:
@@ -140,7 +141,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys of at
     least ``least`` code points that two or more ids hold lose all their lines except in the
-    smallest such id. Null and empty texts are one empty line; rows with one id share its fate,
+    smallest such id. A row without an id counts as no holder and loses all lines of such keys.
+    Null and empty texts are one empty line; rows with one id share its fate,
     row by row; an empty table gives an empty result; other columns are ignored.
 
     Method: the distinct keys of each document are counted by a map-side combined aggregation of
@@ -154,6 +156,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
+    # A row without an id owns no key and is known by its text.
+    rows = rows.withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
     keys = _key_rows(rows, least)
     dup = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.count("*").alias("n"))
     dup = stored(dup.where("owner < other").select("h1", "h2", "owner", "n"))
@@ -185,14 +189,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             def lost(ids, lists):
                 flat = [k for ks in lists for k in ks if k is not None]
                 h = _halves(flat)
-                own = np.repeat(np.array([-1 if d is None else d for d in ids.to_pylist()], np.int64), [sum(k is not None for k in ks) for ks in lists])
+                n_keys = [sum(k is not None for k in ks) for ks in lists]
+                own = np.repeat(ids.fill_null(0).to_numpy(), n_keys)
+                no_id = np.repeat(ids.is_null().to_numpy(zero_copy_only=False), n_keys)
                 shard = h[:, 0].view(np.int64) % shards if len(h) else np.zeros(0, np.int64)
                 gone = np.zeros(len(flat), bool)
                 for s in np.unique(shard):
                     if s in loaded:
                         at = np.flatnonzero(shard == s)
                         found, owner = loaded[s].owner(np.ascontiguousarray(h[at, 0]), np.ascontiguousarray(h[at, 1]))
-                        gone[at] = found & (owner != own[at])
+                        gone[at] = found & (no_id[at] | (owner != own[at]))
                 it = iter(gone.tolist())
                 return [[k is not None and next(it) for k in ks] for ks in lists]
 
@@ -201,12 +207,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     part = batch.slice(at, 1024)
                     yield result(part.column(0), part.column(1), lost)
 
-        return rows.mapInArrow(run, schema)
+        return rows.select("doc_id", "text").mapInArrow(run, schema)
 
     # Routed: table rows come first in each partition, then the keys to look up.
     none = [F.lit(None).cast(t).alias(c) for c, t in (("sizes", "array<int>"), ("bits", "binary"), ("fps", "binary"), ("owners", "binary"), ("counts", "binary"))]
-    probes = keys.select(F.pmod("h1", F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(_SPREAD)).alias("salt"), F.lit(1).alias("side"), "h1", "h2", "doc_id", *none)
-    held = tables.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SPREAD - 1).cast("long"))).alias("salt"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(0).cast("long").alias("doc_id"), "sizes", "bits", "fps", "owners", "counts")
+    probes = keys.select(F.pmod("h1", F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("row"), F.lit(_SPREAD)).alias("salt"), F.lit(1).alias("side"), "h1", "h2", F.col("doc_id").isNull().alias("no_id"), "row", *none)
+    held = tables.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SPREAD - 1).cast("long"))).alias("salt"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(False).alias("no_id"), F.lit(0).cast("long").alias("row"), "sizes", "bits", "fps", "owners", "counts")
     both = held.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,15 +229,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     i += 1
                 if i < j and tab is not None and at == shard[i]:
                     part = batch.slice(i, j - i)
-                    h1, h2, ids = (part.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
+                    h1, h2, ids = (part.column(c).to_numpy() for c in ("h1", "h2", "row"))
+                    no_id = part.column("no_id").to_numpy(zero_copy_only=False)
                     found, owner = tab.owner(h1.view(np.uint64), h2.view(np.uint64))
-                    gone = np.flatnonzero(found & (owner != ids))
+                    gone = np.flatnonzero(found & (no_id | (owner != ids)))
                     if len(gone):
-                        yield part.select(["doc_id", "h1", "h2"]).take(pa.array(gone))
+                        yield part.select(["row", "no_id", "h1", "h2"]).take(pa.array(gone))
 
-    gone = both.mapInArrow(look, "doc_id long, h1 long, h2 long")
-    by_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    joined = rows.join(by_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "gone")
+    gone = both.mapInArrow(look, "row long, no_id boolean, h1 long, h2 long")
+    by_doc = gone.groupBy("row", "no_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    joined = rows.withColumn("no_id", F.col("doc_id").isNull()).join(by_doc.hint("shuffle_hash"), ["row", "no_id"], "left").select("doc_id", "text", "gone")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
