@@ -3,7 +3,7 @@
 import numpy as np
 
 from vecspan.operators import graph, topk
-from vecspan.plans.catalogue import QUERIES
+from vecspan.plans.catalogue import ORACLES, QUERIES, SEARCHES
 
 SF = "/root/testdata/sf0.01"
 
@@ -54,3 +54,15 @@ def test_beam_goes_on(spark):
     q = base.where("vec_id = 59").selectExpr("vec_id AS qid", "embedding")
     found = graph.beam_search(line, base, q, 2, 4, starts=1).orderBy("rank").collect()
     assert [r.vec_id for r in found] == [59, 58]
+
+
+def test_stated_queries(spark, monkeypatch):
+    """Blocks of queries too: with two a block there are three of them."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    for name in SEARCHES:
+        sql = ORACLES[f"{name}_hundredth"]
+        assert "vec_id < 20" in ORACLES[name] and "vec_id < 20" not in sql and "vec_id % 100 = 0" in sql
+    for name in ("exact_knn_l2", "exact_knn_l2_sql"):
+        got = {(r.qid, r["rank"]): r.vec_id for r in QUERIES[f"{name}_hundredth"](spark, SF).collect()}
+        v = vectors(spark)
+        assert got == {(q, at + 1): i for q in range(0, len(v), 100) for at, i in enumerate([q, *others(v, q, 9)])}
