@@ -1,25 +1,45 @@
 """A corpus pipeline: each stage calls one operator on all that the stage before it kept.
 
 Rows that repeat a document's id together with its text are that same document and stay or go
-together. Nulls, empty tables and further columns are handled as the operators' docstrings say.
+together; two texts under one id are two documents, as are two texts without an id. Nulls, empty tables and further columns are handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspan.llm import bpe, exact_dedup, langid, mixing, ngram_join
-from vecspan.llm.common import stored, table
+from vecspan.llm.common import ascii_lower, stored, table
 
-#: Ids of dropped rows that may be broadcast (8 bytes each); beyond it they are joined by shuffle.
+#: Dropped documents that may be broadcast; beyond it they are joined by shuffle.
 _MOST_IDS = 200_000
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``dropped``."""
-    dropped = stored(dropped.select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(F.broadcast(dropped) if dropped.count() <= _MOST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``dropped``."""
+    dropped = stored(dropped.select(key).distinct())
+    return docs.join(F.broadcast(dropped) if dropped.count() <= _MOST_IDS else dropped, key, "left_anti")
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _document(doc_id: str, digest: Column | str) -> Column:
+    """A document's id, or null, and the digest of its text as one key."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), digest)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds __key, which no two documents share: doc_id, or where ids are null or on two texts, text that sorts by id, nulls last."""
+    rows = docs.select("doc_id", F.unhex(_digest(F.col("text"))).alias("d"))
+    each = rows.groupBy("doc_id").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    if each.where("doc_id is null or low <> high").isEmpty():
+        return docs.withColumn("__key", F.col("doc_id"))
+    # Flipping the sign bit makes hexadecimal digits sort as the numbers do.
+    by_id = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return docs.withColumn("__key", F.concat(F.coalesce(by_id, F.lit("null")), _digest(F.col("text"))))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +50,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    """Of equal texts the document with the largest id; one without an id stays where no copy has one."""
+    dropped = exact_dedup.exact_dedup(docs).where("not kept").select(_document("doc_id", "text_sha256").alias("__key"))
+    keyed = docs.withColumn("__key", _document("doc_id", _digest(ascii_lower(F.col("text")))))
+    return _without(keyed, dropped, "__key").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    return _without(docs, ngram_join.similar_texts(docs).where("doc_id <> component_id"))
+    """Of each group of near copies the document with the smallest id, or else one without an id."""
+    keyed = _keyed(docs)
+    links = ngram_join.similar_texts(keyed, id_col="__key").where("doc_id <> component_id")
+    return _without(keyed, links.select(F.col("doc_id").alias("__key")), "__key").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

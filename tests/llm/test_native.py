@@ -1,6 +1,7 @@
 """Chat formatting, mixing and the pipeline."""
 
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,17 @@ def test_pipeline_stages(spark, odd_docs, no_docs, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             at = stage(spark, at, "")
         assert at.count() >= 0
+
+
+def test_pipeline_odd_ids(spark):
+    """Copies without an id go, and of two texts under one id only the copy."""
+    text = " ".join(f"word{i}" for i in range(60))
+    near, other, third = text + " more", text.replace("word", "other"), text.replace("word", "third")
+    rows = [(1, text), (2, other), (3, text.upper()), (3, third), (None, text), (None, third + " tail"), (None, "alone " * 9), (None, None), (5, near), (None, near), (-4, other + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.exact_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(x for x in rows if x not in [(1, text), (None, text), (None, near)])
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, text), (3, third), (-4, other + " tail"), (None, "alone " * 9), (None, None)])
