@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,15 @@ def test_pipeline_odd_ids(spark):
     kept = corpus_pipeline.near_copies(spark, docs, "")
     assert kept.columns == docs.columns
     assert Counter(map(tuple, kept.collect())) == Counter([(1, text), (3, third), (-4, other + " tail"), (None, "alone " * 9), (None, None)])
+
+
+def test_cover_of_large_sources(spark):
+    """Quotas in double arithmetic; at 1e12 tokens some fell short of their source."""
+    r = np.random.default_rng(11)
+    short = 0
+    for _ in range(12):
+        sizes = [int(x) for x in r.integers(10**11, 10**13, 5)]
+        sources = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(sizes)], "s string, t long")
+        plan = mixing._quotas(sources, 5, None, 1.25, True, 1.0).collect()
+        short += sum(x.full < 1 for x in plan)
+    assert short == 0

@@ -102,6 +102,8 @@ def _quotas(sources: DataFrame, count: int, entropy, repeats, cover: bool, scale
     # Where every source is covered, the one with the most budget wanted for a token it has sets the scale.
     unit = max(r.top ** (1 - r.a), r.low ** (1 - r.a)) * r.z if cover else scale
     plan = shares.select("s", "t", F.floor(F.pow("p", F.lit(r.a)) / F.lit(r.z) * F.lit(unit) * F.lit(total) + 1e-6).cast("long").alias("b"))
+    if cover:
+        plan = plan.withColumn("b", F.greatest("t", "b"))  # rounding must not cost a source its last document
     return plan.select("s", F.expr("b div t").alias("full"), F.expr("b % t").alias("rest"))
 
 
