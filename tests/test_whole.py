@@ -66,3 +66,8 @@ def test_stated_queries(spark, monkeypatch):
         got = {(r.qid, r["rank"]): r.vec_id for r in QUERIES[f"{name}_hundredth"](spark, SF).collect()}
         v = vectors(spark)
         assert got == {(q, at + 1): i for q in range(0, len(v), 100) for at, i in enumerate([q, *others(v, q, 9)])}
+
+
+def test_concat_whole(spark):
+    n = len(vectors(spark))
+    assert sorted(map(tuple, QUERIES["vec_concat_whole"](spark, SF).collect())) == [(i, 2) for i in range(n)]

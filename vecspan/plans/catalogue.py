@@ -251,6 +251,13 @@ def vec_concat(spark, sf_dir):
     return vectors.concat(vectors.row_slice(b, 0, 30), vectors.row_slice(b, 20, 30)).groupBy("vec_id").agg(F.count("*").alias("n"))
 
 
+@query("SELECT vec_id, count(*) AS n FROM (SELECT vec_id FROM embeddings UNION ALL SELECT vec_id FROM embeddings) GROUP BY vec_id")
+def vec_concat_whole(spark, sf_dir):
+    """The whole table concatenated with itself."""
+    b = base(spark, sf_dir)
+    return vectors.concat(b, b).groupBy("vec_id").agg(F.count("*").alias("n"))
+
+
 # --- inverted files ---------------------------------------------------------------------------
 
 
