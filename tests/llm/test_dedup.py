@@ -36,6 +36,8 @@ def test_components(spark):
     want = components(500, edges)
     assert got == {i: c for i, c in enumerate(want) if any(i in e and e[0] != e[1] for e in edges)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError, match="still change"):
+        connected_components(spark.createDataFrame(edges, "a long, b long"), rounds=2)
 
 
 def test_exact(spark, odd_docs, no_docs):
@@ -111,6 +113,66 @@ def mutated(r, words, share):
     return [w if r.random() > share else f"m{r.integers(10**6)}" for w in words]
 
 
+def global_order(words):
+    """The hashes, by which n-grams are ordered, of the five-word shingles, in that order."""
+    from vecspan.llm.shingles import shingle_sets
+
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return next(shingle_sets(raw, np.array([0, len(raw)])))
+
+
+@pytest.mark.parametrize("sets", [1024, 2])
+def test_ngram_join_where_signatures_differ(spark, sets, monkeypatch):
+    """Texts at exactly 0.75 whose own shingles come first in the global order, so that signatures have nothing in common."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
+    body = [f"b{i}" for i in range(304)]  # 300 shingles
+    least = global_order(body)[0]
+
+    def tail(name):
+        """50 more words whose shingles include three that come before all of the body's."""
+        tries = ([f"{name}{k}_{i}" for i in range(50)] for k in range(10**6))
+        return next(t for t in tries if global_order(body[-4:] + t)[2] < least)
+
+    texts = [" ".join(body + tail(name)) for name in "xyz"] + [" ".join(body + [f"far{i}" for i in range(120)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.similar_texts(df, signature=3).collect()))
+    assert got == brute_texts(texts, list(range(4))) and [g[2] for g in got] == [0, 0, 0, 3]
+
+
+def test_second_pass_finds_what_signatures_hide(spark, odd_docs, monkeypatch):
+    """With signatures of one n-gram the first pass misses most links; the result is the same."""
+    r = np.random.default_rng(15)
+    words = [[f"g{g}_{i}" for i in range(int(r.integers(3, 200)))] for g in range(6)]
+    texts = [" ".join(mutated(r, w, 0.03) + [f"t{r.integers(9)}"] * int(r.integers(0, 9))) for w in words for _ in range(9)]
+    df = spark.createDataFrame([(str(1000 + i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    want = brute_texts(texts, [str(1000 + i) for i in range(len(texts))])
+    for signature, sets in ((1, 1024), (16, 3)):
+        monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
+        assert sorted(map(tuple, ngram_join.similar_texts(df, signature=signature).collect())) == want
+
+
+def test_prefixes_hold_what_links_have_in_common():
+    r = np.random.default_rng(16)
+    for _ in range(3000):
+        n = int(r.integers(1, 200))
+        m = int(r.integers(1, 200))
+        c = int(r.integers(0, min(n, m) + 1))
+        if 100 * c < 75 * (n + m - c):
+            continue
+        order = r.permutation(n + m - c)
+        x, y = np.sort(order[:n]), np.sort(order[n - c :])
+        both = np.intersect1d(x[: ngram_join.prefix_length(n, 75, 100)], y[: ngram_join.prefix_length(m, 75, 100)])
+        assert len(both) >= min(ngram_join.spare(n), ngram_join.spare(m)) >= max(ngram_join.spare(ngram_join.needed(k, 75, 100)) for k in (n, m))
+
+
+def test_ids_of_the_join(spark):
+    """Without an id: the component of the class; two sets under one id: linked."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (7, text + " end"), (3, text), (None, "all alone here now yes"), (5, "x " * 9), (5, "one two three four five"), (None, "one two three four five six")]
+    got = [tuple(r) for r in ngram_join.similar_texts(spark.createDataFrame(rows, "`a.b` long, text string"), id_col="a.b").collect()]
+    assert sorted(got, key=str) == sorted([(None, 36, 3), (7, 37, 3), (3, 36, 3), (None, 1, None), (5, 1, 5), (5, 1, 5), (None, 2, None)], key=str)
+
+
 @pytest.mark.parametrize("block", [1 << 23, 4000])
 def test_ngram_join(spark, odd_docs, no_docs, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block)

@@ -79,30 +79,78 @@ def text_bytes(column):
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def pick(df: DataFrame, **names: str) -> DataFrame:
+    """Columns under new names: ``pick(df, id="doc_id")``. Found by place, so that dots, quotes and names that differ in case only don't matter."""
+    have = df.columns
+
+    def place(name: str) -> str:
+        if name in have:
+            return f"c{have.index(name)}"
+        alike = [i for i, c in enumerate(have) if c.lower() == name.lower()]
+        if len(alike) != 1:
+            raise ValueError(f"no column {name!r} among {', '.join(have)}")
+        return f"c{alike[0]}"
+
+    by_place = df.toDF(*[f"c{i}" for i in range(len(have))])
+    return by_place.select(*[F.col(place(old)).alias(new) for new, old in names.items()])
+
+
+def packed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, packed): texts as zstd frames, for a shuffle; null as null. Read by ``unpacked``."""
+    import pyarrow as pa
+
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            raw, ends = memoryview(data), offsets.tolist()
+            frames = [zip_.compress(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary())], names=[id_col, "packed"])
+
+    return rows.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, packed binary")
+
+
+def unpacked(column):
+    """The Arrow binary column of the texts in a column of ``packed``."""
+    import pyarrow as pa
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor()
+    return pa.array([open_.decompress(x.as_py()) for x in column], pa.large_binary())
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """Components of an undirected graph: (node, component), component = least node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) over DataFrames; each
     round is cut with a checkpoint, and nothing but a count reaches the driver. Nodes without
-    an edge don't appear; null ends and loops are ignored.
+    an edge don't appear; null ends and loops are ignored. It needs about log2(nodes) rounds; a
+    graph that still changes after ``rounds`` is an error. The least neighbours of nodes are a
+    table of their own before they are joined with the edges, so that the join is a plain one
+    whose hot node (a hub, as the least node of a large component becomes) is split at run time.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = cut(e)
-    last = None
-    for _ in range(rounds):
+    last, stable = None, e.isEmpty()
+    for _ in range(0 if stable else rounds):
         # Large star: each node's larger neighbours point to the least of its neighbourhood.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # Small star: each node and its smaller neighbours point to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s"))
         e = cut(small.select(F.col("s.u").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct())
         # Stable once every node has one edge, to a node that is no node's child.
         seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == last or seen[0] == 0:
+        if stable := seen == last:
             break
         last = seen
+    if not stable:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

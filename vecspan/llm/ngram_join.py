@@ -8,10 +8,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored, text_bytes
-
-#: Bytes of sets joined in one tree; larger groups are dealt out in pairs of blocks.
-BLOCK_BYTES = 8 << 20
+from .common import connected_components, packed, pick, slices, stored, text_bytes, unpacked
+
+#: Bytes of sets, and sets, joined in one tree; larger groups are dealt out in blocks.
+BLOCK_BYTES, BLOCK_SETS = 8 << 20, 1024
+#: The prefixes of linked sets of n n-grams have n / SPARE in common.
+SPARE = 16
+#: Rows of what to fetch that may be broadcast (about 30 bytes each); more are joined by shuffle.
+MOST_WANTED = 100_000
 #: Bytes that the nodes' n-grams may take as bits.
 BIT_BYTES = 32 << 20
 
@@ -183,11 +187,40 @@ def linked_forest(raw: list[bytes], share: int = 75, of: int = 100) -> list[tupl
     return edges
 
 
-def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, signature: int = 32) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (128-bit hash of the set), sig (its first n-grams in the global order)."""
+def needed(n, share: int, of: int):
+    """N-grams of a set of ``n`` that a linked set has too, at least."""
+    return -(-n * share // of)
+
+
+def spare(n):
+    """How many common n-grams the prefixes of two linked sets are made to hold, by the smaller set's size."""
+    import numpy as np
+
+    return np.maximum(1, n // SPARE)
+
+
+def prefix_length(n, share: int, of: int):
+    """With prefixes of so many n-grams, linked sets have min(spare(n), spare(m)) of them in common.
+
+    The i-th common n-gram has at least needed(n) - i others of the common ones after it, so it
+    is among the first n - needed(n) + i of the set.
+    """
+    return n - needed(n, share, of) + spare(n)
+
+
+def _lists(arrays):
+    import numpy as np
+    import pyarrow as pa
+
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)], dtype=np.int32), pa.array(flat))
+
+
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: int = 75, of: int = 100, most: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, s1, s2 (128-bit hash of the set), grams: the prefix in the global order, or its first ``most``."""
     import pyarrow as pa
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,96 +229,85 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         from .shingles import shingle_sets
 
         for batch in batches:
-            n, s, sig = [], [], []
-            for x in shingle_sets(*text_bytes(batch.column(1)), words):
-                n.append(len(x))
-                s.append(np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64))
-                sig.append(x[:signature].view(np.int64))
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sig)], dtype=np.int32), pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int64)))
-            s = np.array(s, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), lists], names=["doc_id", "n_shingles", "s1", "s2", "sig"])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, sig array<long>")
-
-
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: int = 75, of: int = 100, signature: int = 32) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
-
-    Two texts link when ``of`` * intersection >= ``share`` * union of their sets of distinct
-    shingles of ``words`` words; component_id is the least id reachable by links. A text with
-    fewer words is one shingle; null texts and texts without words are empty and link with
-    nothing. Repeated rows and copies are one class throughout, and rows that share an id are
-    linked; rows without an id link with nothing; an empty table gives an empty result; other
-    columns are ignored. ``share`` / ``of`` is 0.75 at least.
-
-    Method: the global order of n-grams is that of their 64-bit hashes. Texts with equal sets
-    are collapsed to the least id. The signature of a set is its first ``signature`` n-grams.
-    In a random order each of the first n-grams of a union is common to both sets with the odds
-    of their similarity; linked sets therefore have at least a quarter of their signatures in
-    common, but for odds below 1e-9 (sets of at most 3/4 * ``signature`` n-grams: exactly, three
-    quarters of their n-grams). Only sets that share so many n-grams with other signatures are
-    fetched whole. Of those shared n-grams, ordered from the rarest, a set leaves out the last
-    ones, one fewer than the quarter (prefix filtering): a link still has one in common, and
-    n-grams such as those of a passage that many texts quote seldom bring texts together. A
-    group is the sets that have one n-gram in common; n-grams with the same members make one
-    group. Each group is joined in a prefix tree, large ones in pairs of blocks, and returns a
-    spanning forest of its links.
+            for at, to in slices(text_bytes(batch.column(1))[1], 1 << 22):
+                part = batch.slice(at, to - at)
+                n, s, grams = [], [], []
+                for x in shingle_sets(*text_bytes(part.column(1)), words):
+                    n.append(len(x))
+                    s.append(np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64))
+                    first = x[: int(prefix_length(len(x), share, of))] if len(x) else x
+                    grams.append(first[:most].view(np.int64))
+                s = np.array(s, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), _lists(grams)], names=["doc_id", "n_shingles", "s1", "s2", "grams"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, grams array<long>")
+
+
+def _groups(live: DataFrame) -> DataFrame:
+    """(t, blocks) of the groups in ``live`` (rep, n_shingles, t); n-grams with the same members make one group."""
+    each = live.groupBy("t").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("p1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("p2"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
+    one = each.where("m > 1").groupBy("m", "p1", "p2").agg(F.min("t").alias("t"), F.min("bytes").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("m") / BLOCK_SETS))
+    return one.select("t", F.least("m", blocks).cast("int").alias("blocks"))
+
+
+def _forests(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, share: int, of: int, pairs: bool) -> DataFrame:
+    """Edges (a, b) between the nodes of ``wanted`` (rep, node, t, blocks) that connect what links inside the groups connect.
+
+    A group of several blocks is joined block by block with ``pairs``: every two blocks meet.
+    Without, each set goes to two blocks drawn by hash, so that links are found in work that
+    grows with the group, but not all.
     """
     import pyarrow as pa
 
-    if 4 * share < 3 * of:
-        raise ValueError("similarities below 0.75 need longer signatures")
-    prof = stored(profiles(docs, id_col, text_col, words, signature))
-    kind = prof.schema["doc_id"].dataType.simpleString()
-    classes = stored(prof.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
-    reps = prof.where("n_shingles > 0").join(classes, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["s1", "s2"])
-    tok = stored(reps.select("rep", "n_shingles", F.explode("sig").alias("t")))
-    shared = tok.groupBy("t").agg(F.count("*").alias("m")).where("m > 1")
-    least = F.when(F.col("n_shingles") <= signature * 3 // 4, F.ceil(F.col("n_shingles") * share / of)).otherwise(signature // 4).cast("int")
-    near = tok.join(shared, "t").groupBy("rep", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("ts")).withColumn("least", least)
-    near = near.where(F.size("ts") >= F.col("least"))
-    near = stored(near.select("rep", "n_shingles", F.slice("ts", F.lit(1), F.size("ts") - F.col("least") + 1).alias("ts")))
-    live = near.select("rep", "n_shingles", F.explode("ts").alias("x")).select("rep", "n_shingles", "x.t")
-    groups = live.groupBy("t").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("p1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("p2"), F.sum(F.col("n_shingles") * 8).alias("bytes")).where("m > 1")
-    groups = groups.groupBy("m", "p1", "p2").agg(F.min("t").alias("t"), F.min("bytes").alias("bytes"))
-    groups = groups.select("t", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-    wanted = live.join(groups, "t").groupBy("rep").agg(F.collect_list(F.struct("t", "blocks")).alias("groups"))
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), "rep")
+    kind = wanted.schema["node"].dataType.simpleString()
+    few = wanted.limit(MOST_WANTED + 1).count() <= MOST_WANTED
+    wanted = wanted.groupBy("rep").agg(F.collect_list(F.struct("t", "blocks", "node")).alias("groups"))
+    own = pick(docs, rep=id_col, text=text_col)
+    # Texts travel compressed, or where few are wanted not at all.
+    texts = own.join(F.broadcast(wanted), "rep") if few else packed(own, "rep", "text").join(wanted, "rep")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .shingles import shingle_sets
 
+        def shipped(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), None, pa.binary()), strict=True)], names=["t", "lo", "hi", "own", "node", "ngrams"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 out: list[tuple] = []
                 size = 0
-                for rep, groups_, x in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(*text_bytes(part.column(1)), words), strict=True):
+                column = part.column(1) if few else unpacked(part.column(1))
+                for rep, groups_, x in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(*text_bytes(column), words), strict=True):
                     raw = x.astype(">u8").tobytes()
-                    spread = int.from_bytes(hashlib.blake2b(str(rep).encode(), digest_size=8).digest())
                     for g in groups_:
-                        own = spread % g["blocks"]
-                        out += [(g["t"], min(own, o), max(own, o), rep, raw) for o in range(g["blocks"])]
-                    size += len(raw) * len(groups_)
-                    if size > 1 << 21:
-                        yield shipped(out)
-                        out, size = [], 0
+                        b = g["blocks"]
+                        d = int.from_bytes(hashlib.blake2b(f"{g['t']}:{rep}".encode(), digest_size=8).digest())
+                        home, second = d % b, (d + 1 + (d >> 32) % max(1, b - 1)) % b
+                        for o in range(b) if pairs else {home, second}:
+                            lo, hi = (min(home, o), max(home, o)) if pairs else (o, o)
+                            out.append((g["t"], lo, hi, home, g["node"], raw))
+                            size += len(raw)
+                            if size > 1 << 21:
+                                yield shipped(out)
+                                out, size = [], 0
                 if out:
                     yield shipped(out)
 
-    def shipped(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), None, pa.binary()), strict=True)], names=["t", "lo", "hi", "rep", "ngrams"])
-
-    sets = texts.mapInArrow(fetch, f"t long, lo int, hi int, rep {kind}, ngrams binary")
+    sets = texts.mapInArrow(fetch, f"t long, lo int, hi int, own int, node {kind}, ngrams binary")
     sets = sets.repartition("t", "lo", "hi").sortWithinPartitions("t", "lo", "hi")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(rows: dict[bytes, int]) -> pa.RecordBatch | None:
             raw = list(rows)
-            edges = linked_forest(raw, share, of) if len(raw) > 1 else []
+            if len(set(rows.values())) < 2:
+                return None
+            edges = [(rows[raw[i]], rows[raw[j]]) for i, j in linked_forest(raw, share, of)]
+            edges = [e for e in dict.fromkeys(edges) if e[0] != e[1]]
             if edges:
-                ids = [rows[r] for r in raw]
-                return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in edges]), pa.array([ids[j] for _, j in edges])], names=["a", "b"])
+                a, b = zip(*edges, strict=True)
+                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
             return None
 
         held: dict[bytes, int] = {}
@@ -293,17 +315,79 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                for t, lo, hi, rep, raw in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
+                for t, lo, hi, node, raw in zip(*(part.column(c).to_pylist() for c in (0, 1, 2, 4, 5)), strict=True):
                     if (t, lo, hi) != last:
                         if (out := settle(held)) is not None:
                             yield out
                         held, last = {}, (t, lo, hi)
-                    held[raw] = rep
+                    held[raw] = node
         if (out := settle(held)) is not None:
             yield out
 
-    edges = sets.mapInArrow(join, f"a {kind}, b {kind}")
-    comps = connected_components(stored(edges)).select(F.col("node").alias("rep"), "component")
-    of_class = classes.join(comps, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    return stored(sets.mapInArrow(join, f"a {kind}, b {kind}").distinct())
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: int = 75, of: int = 100, signature: int = 16) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    Two texts link when ``of`` * intersection >= ``share`` * union of their sets of distinct
+    shingles of ``words`` words; component_id is the least id reachable by links. A text with
+    fewer words is one shingle; null texts and texts without words are empty and link with
+    nothing. Repeated rows and copies are one class throughout, and rows that share an id are
+    linked. A row without an id has the component of the rows with its set of shingles, and a
+    null one where none of them has an id; it links with nothing else. Ids may be of any type that
+    sorts. A text of any length is one set, held by one task. An empty table gives an empty
+    result; other columns, whatever their names, are ignored.
+
+    Method: the global order of n-grams is that of their 64-bit hashes, and texts with equal
+    sets are collapsed to the least id. A group is the sets that have one n-gram in common; the
+    sets of a group are joined in a prefix tree, which returns a spanning forest of the links.
+    Groups are formed twice.
+
+    First by signatures, the first ``signature`` n-grams of a set: sets that share a quarter of
+    theirs go to the groups of those n-grams, the most common ones left out. That finds nearly
+    all links of near copies, but not surely, in work that grows with the input.
+
+    Then exactly, for links between the components found so far. Prefix filtering: linked sets
+    have spare(n) n-grams of their prefixes (prefix_length) in common. N-grams that only one
+    component has can't be such, which leaves little. Of the others, ordered from the rarest, a
+    set needs spare(needed(n)), as the other set may be so much smaller, and leaves out the last
+    ones, one fewer than that: a link still has an n-gram in common. Large groups are joined in
+    pairs of blocks, so no link is lost.
+    """
+    prof = stored(profiles(docs, id_col, text_col, words, share, of, signature))
+    classes = stored(prof.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")))
+    reps = prof.where("n_shingles > 0").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id = rep")
+    tok = stored(reps.select("rep", "n_shingles", F.size("grams").alias("signed"), F.explode("grams").alias("t")).distinct())
+    shared = tok.groupBy("t").agg(F.count("*").alias("m")).where("m > 1")
+    least = F.greatest(F.lit(1), F.floor(F.col("signed") / 4).cast("int"))
+    near = tok.join(shared, "t").groupBy("rep", "n_shingles", "signed").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("ts")).withColumn("least", least)
+    near = near.where(F.size("ts") >= F.col("least"))
+    near = stored(near.select("rep", "n_shingles", F.explode(F.slice("ts", F.lit(1), F.size("ts") - F.col("least") + 1)).alias("x")).select("rep", "n_shingles", "x.t"))
+    wanted = stored(near.join(_groups(near), "t").select("rep", F.col("rep").alias("node"), "t", "blocks").distinct())
+    found = _forests(docs, wanted, id_col, text_col, words, share, of, pairs=False)
+    comps = connected_components(found).select(F.col("node").alias("rep"), "component")
+    # A representative of two sets counts by the smaller, as what a link has in common is the least of the two.
+    own = classes.where("rep is not null").groupBy("rep").agg(F.min("n_shingles").alias("n_shingles"))
+    own = stored(own.join(comps, "rep", "left").select("rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
+
+    # What links are left run between components.
+    whole = profiles(docs, id_col, text_col, words, share, of).where("n_shingles > 0").select(F.col("doc_id").alias("rep"), "s1", "s2", "grams")
+    whole = whole.join(classes.select("s1", "s2", "rep"), ["s1", "s2", "rep"])
+    tok = whole.join(own, "rep").select("rep", F.xxhash64("component").alias("c"), F.explode("grams").alias("t"))
+    several = tok.groupBy("t").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t", "m")
+    need = F.ceil(F.col("n_shingles") * share / of)
+    least = F.greatest(F.lit(1), F.floor(need / SPARE).cast("int"))
+    near = tok.select("rep", "t").join(several, "t").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("m", "t"))).alias("ts"))
+    near = near.join(own, "rep").withColumn("least", least).where(F.size("ts") >= F.col("least"))
+    near = near.select("rep", "n_shingles", "component", F.explode(F.slice("ts", F.lit(1), F.size("ts") - F.col("least") + 1)).alias("x"))
+    near = stored(near.select("rep", "n_shingles", "component", "x.t"))
+    mixed_ = near.groupBy("t").agg(F.min(F.xxhash64("component")).alias("low"), F.max(F.xxhash64("component")).alias("high")).where("low < high").select("t")
+    near = near.join(mixed_, "t", "left_semi")
+    wanted = stored(near.join(_groups(near), "t").select("rep", F.col("component").alias("node"), "t", "blocks"))
+    found = _forests(docs, wanted, id_col, text_col, words, share, of, pairs=True)
+    joined = connected_components(found).select(F.col("node").alias("component"), F.col("component").alias("last"))
+    label = own.join(joined, "component", "left").select("rep", F.coalesce("last", "component").alias("component"))
+    of_class = classes.join(label, "rep", "left").select("s1", "s2", "component")
     out = prof.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
