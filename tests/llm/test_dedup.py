@@ -278,23 +278,28 @@ def brute_vectors(rows, least=0.93):
     return sorted((rows[i][0], links[i], low[comp[i]], rows[i][0] == low[comp[i]]) for i in range(n))
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_near_vectors(spark, block, monkeypatch):
+@pytest.mark.parametrize("block, fine", [(2048, 0), (16, 0), (2048, 1)])
+def test_near_vectors(spark, block, fine, monkeypatch):
     monkeypatch.setattr(lattice, "BLOCK", block)
+    if fine:  # the lattices of large labels
+        monkeypatch.setattr(lattice, "FINENESS", ((0, 1.0, 5), (20, 0.8, 9), (40, 0.65, 20), (1 << 21, 0.55, 45)))
     r = np.random.default_rng(6)
     rows = []
     for c in range(30):
         base = r.standard_normal(32)
-        for _ in range(int(r.integers(1, 8)) if c else 60):
+        for _ in range(int(r.integers(1, 8)) if c else 90):
             rows.append((len(rows), int(c % 2), [float(x) for x in base + 0.15 * r.standard_normal(32)]))
     rows += [(1000, None, rows[0][2]), (1001, 0, None), (1002, 0, [0.0] * 32), (1003, 0, [float("nan")] * 32), (1004, 0, [None] * 32), (1005, 0, [1.0, 2.0]), (1006, 0, [2.0, 4.0]), (1007, 0, []), (1008, 0, rows[0][2]), (1009, 0, [2 * x for x in rows[0][2]])]
     df = spark.createDataFrame([(*x, 1, 2) for x in rows], "vec_id long, label int, embedding array<double>, rep long, codes int")
-    got = sorted(map(tuple, lattice.near_vectors(df).collect()))
-    want = brute_vectors(rows)
-    assert len(got) == len(want) and sum(g == w for g, w in zip(got, want, strict=True)) >= 0.97 * len(want)
-    found, true = sum(g[1] for g in got), sum(w[1] for w in want)
-    assert 0.97 * true <= found <= true
-    assert lattice.near_vectors(df.limit(0)).count() == 0
+    assert sorted(map(tuple, lattice.near_vectors(df).collect())) == brute_vectors(rows)
+    floats = [(a, b, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for a, b, v in rows]
+    df = spark.createDataFrame(floats, "`vec.id` long, label int, embedding array<float>").unionByName(spark.createDataFrame([(None, 0, rows[0][2])], "`vec.id` long, label int, embedding array<float>"))
+    got = lattice.near_vectors(df, id_col="vec.id").collect()
+    want = brute_vectors([*floats, (-1, 0, floats[0][2])])
+    alike = {w[0] for w in want if w[2] == -1}
+    assert sorted(tuple(g) for g in got if g.vec_id is not None and g.vec_id not in alike) == [w for w in want if w[0] not in alike]
+    assert {g.vec_id: g.n_links for g in got if g.vec_id in alike} == {w[0]: w[1] for w in want if w[0] in alike and w[0] >= 0}
+    assert lattice.near_vectors(df.limit(0), id_col="vec.id").count() == 0
 
 
 def test_lattice():
@@ -310,12 +315,19 @@ def test_lattice():
         assert (d <= ((z - x - v) ** 2).sum(1) + 1e-9).all()
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("tier", range(4))
+def test_recall_at_the_threshold(tier):
+    """At every fineness over 99 % of the pairs at a cosine of exactly 0.93 share a cell, and few random pairs do."""
     r = np.random.default_rng(9)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
-    a = unit(r.standard_normal((2000, 64)))
-    g = r.standard_normal((2000, 64))
+    a = unit(r.standard_normal((1500, 64)))
+    g = r.standard_normal((1500, 64))
     g = unit(g - (g * a).sum(1, keepdims=True) * a)
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * g
-    ca, cb = lattice.cells(a, 10, 3, 1.0, 7), lattice.cells(b, 10, 3, 1.0, 7)
-    assert (ca[:, :, :, None] == cb[:, :, None, :]).any((1, 2, 3)).mean() >= 0.97
+    _, scale, tables = lattice.FINENESS[tier]
+    ca, cb, cg = (lattice.cells(x, tables, 7, scale, 7) for x in (a, b, g))
+    meet = lambda x, y: np.mean([(x[k][:, :, None] == y[k][:, None, :]).any() for k in range(len(x))])
+    assert meet(ca, cb) >= 0.99
+    assert meet(ca, cg) <= (0.02, 0.006, 0.004, 0.004)[tier]
+    some = r.permutation(1500)[:7]
+    assert (lattice.cells(a[some], tables, 7, scale, 7) == ca[some]).all()
