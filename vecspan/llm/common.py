@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspan.session import importable
@@ -43,6 +44,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark deletes them once the driver has collected the objects that stand for them, which may
+    otherwise be after the job; what is still in use stays.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, _UPPER, _UPPER.lower())
@@ -140,10 +151,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         # Large star: each node's larger neighbours point to the least of its neighbourhood.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        # Small star: each node and its smaller neighbours point to the least of them.
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Small star: each node and its smaller neighbours, few after the large star, point to the least of them.
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        small = small.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s"))
         e = cut(small.select(F.col("s.u").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct())
         # Stable once every node has one edge, to a node that is no node's child.
         seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -8,12 +8,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, packed, pick, slices, stored, text_bytes, unpacked
+from .common import connected_components, packed, pick, release, slices, stored, text_bytes, unpacked
 
 #: Bytes of sets, and sets, joined in one tree; larger groups are dealt out in blocks.
 BLOCK_BYTES, BLOCK_SETS = 8 << 20, 1024
 #: The prefixes of linked sets of n n-grams have n / SPARE in common.
-SPARE = 16
+SPARE = 8
+#: Groups in which a set looks for its near copies at first.
+FIRST_GROUPS = 4
 #: Rows of what to fetch that may be broadcast (about 30 bytes each); more are joined by shuffle.
 MOST_WANTED = 100_000
 #: Bytes that the nodes' n-grams may take as bits.
@@ -345,15 +347,16 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Groups are formed twice.
 
     First by signatures, the first ``signature`` n-grams of a set: sets that share a quarter of
-    theirs go to the groups of those n-grams, the most common ones left out. That finds nearly
-    all links of near copies, but not surely, in work that grows with the input.
+    theirs go to the groups of FIRST_GROUPS of those n-grams, the most common ones left out. That
+    joins nearly all near copies, but not surely, in work that grows with the input.
 
     Then exactly, for links between the components found so far. Prefix filtering: linked sets
     have spare(n) n-grams of their prefixes (prefix_length) in common. N-grams that only one
     component has can't be such, which leaves little. Of the others, ordered from the rarest, a
     set needs spare(needed(n)), as the other set may be so much smaller, and leaves out the last
-    ones, one fewer than that: a link still has an n-gram in common. Large groups are joined in
-    pairs of blocks, so no link is lost.
+    ones, one fewer than that: a link still has an n-gram in common. Groups that share members
+    are joined as one cluster, so that a set is sent once; where a cluster is large its groups
+    are joined each, and large groups in pairs of blocks, so no link is lost.
     """
     prof = stored(profiles(docs, id_col, text_col, words, share, of, signature))
     classes = stored(prof.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")))
@@ -363,13 +366,15 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = F.greatest(F.lit(1), F.floor(F.col("signed") / 4).cast("int"))
     near = tok.join(shared, "t").groupBy("rep", "n_shingles", "signed").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("ts")).withColumn("least", least)
     near = near.where(F.size("ts") >= F.col("least"))
-    near = stored(near.select("rep", "n_shingles", F.explode(F.slice("ts", F.lit(1), F.size("ts") - F.col("least") + 1)).alias("x")).select("rep", "n_shingles", "x.t"))
+    rare = F.transform(F.slice("ts", F.lit(1), F.size("ts") - F.col("least") + 1), lambda x: x["t"])
+    near = stored(near.select("rep", "n_shingles", F.explode(F.slice(F.array_sort(rare), 1, FIRST_GROUPS)).alias("t")))
     wanted = stored(near.join(_groups(near), "t").select("rep", F.col("rep").alias("node"), "t", "blocks").distinct())
     found = _forests(docs, wanted, id_col, text_col, words, share, of, pairs=False)
     comps = connected_components(found).select(F.col("node").alias("rep"), "component")
     # A representative of two sets counts by the smaller, as what a link has in common is the least of the two.
     own = classes.where("rep is not null").groupBy("rep").agg(F.min("n_shingles").alias("n_shingles"))
     own = stored(own.join(comps, "rep", "left").select("rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
+    release(docs.sparkSession)
 
     # What links are left run between components.
     whole = profiles(docs, id_col, text_col, words, share, of).where("n_shingles > 0").select(F.col("doc_id").alias("rep"), "s1", "s2", "grams")
@@ -384,7 +389,16 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = stored(near.select("rep", "n_shingles", "component", "x.t"))
     mixed_ = near.groupBy("t").agg(F.min(F.xxhash64("component")).alias("low"), F.max(F.xxhash64("component")).alias("high")).where("low < high").select("t")
     near = near.join(mixed_, "t", "left_semi")
-    wanted = stored(near.join(_groups(near), "t").select("rep", F.col("component").alias("node"), "t", "blocks"))
+    near = stored(near.join(_groups(near), "t"))
+    release(docs.sparkSession)
+    # Groups that have members in common form a cluster, whose sets travel once; a large cluster goes group by group.
+    heads = near.groupBy("t").agg(F.min("rep").alias("head"))
+    bound = connected_components(near.join(heads, "t").select(F.col("rep").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("rep"), F.xxhash64("component").alias("cluster"))
+    sizes = near.select("rep", "n_shingles").distinct().join(bound, "rep").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
+    small = (F.col("sets") <= 4 * BLOCK_SETS) & (F.col("bytes") <= BLOCK_BYTES)
+    near = stored(near.join(bound, "rep").join(sizes.select("cluster", small.alias("small")), "cluster"))
+    by_cluster = near.where("small").select("rep", F.col("component").alias("node"), F.col("cluster").alias("t"), F.lit(1).alias("blocks")).distinct()
+    wanted = stored(by_cluster.unionByName(near.where("not small").select("rep", F.col("component").alias("node"), "t", "blocks")))
     found = _forests(docs, wanted, id_col, text_col, words, share, of, pairs=True)
     joined = connected_components(found).select(F.col("node").alias("component"), F.col("component").alias("last"))
     label = own.join(joined, "component", "left").select("rep", F.coalesce("last", "component").alias("component"))
