@@ -245,6 +245,44 @@ def test_suffix_dedup(spark, odd_docs, no_docs, shard, monkeypatch):
     assert suffix.drop_repeats(no_docs).count() == 0
 
 
+def test_ranges():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        starts = np.cumsum(r.choice([1, 1, 1, 2, 7], r.integers(1, 40)))
+        assert [f + i * s for f, s, n in suffix.ranges(starts) for i in range(n)] == starts.tolist()
+    assert suffix.ranges(np.arange(5, 10**6)) == [(5, 1, 10**6 - 5)]
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 4000])
+def test_long_texts_and_licences(spark, shard, monkeypatch):
+    """Texts longer than a piece, runs and periods in them, and passages that most texts have, whole or in part."""
+    monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix, "PIECE", 700)
+    r = np.random.default_rng(21)
+    text = lambda n: "".join(r.choice(list("abcdefgh"), n))
+    licence, part = text(400), text(185)
+    texts = [text(30) + licence + text(40) for _ in range(40)] + [text(100) + part + text(100) for _ in range(40)]
+    texts += ["x" * 5000, text(900) + "y" * 3000 + text(50), "abc" * 1500, text(2500) + licence + text(2500), licence * 6, text(230) * 9]
+    rows = list(enumerate(texts))
+    got = sorted(map(tuple, suffix.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()))
+    assert got == [(d, *b) for (d, _), b in zip(rows, brute_repeats(texts, 200), strict=True)]
+
+
+def test_licence_ships_linear_rows():
+    """One licence in every text: a text's contexts of a hot anchor are a few bytes' worth each, and equal between texts."""
+    r = np.random.default_rng(22)
+    licence = "".join(r.choice(list("abcdefgh"), 400)).encode()
+    texts = [bytes(r.choice(list(b"ijkl"), 300).tolist()) + licence + bytes(r.choice(list(b"mnop"), 300).tolist()) for _ in range(30)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    _, _, _, gram, _ = suffix.anchors(data, offsets, 200)
+    common = [g for g, n in Counter(gram.tolist()).items() if n >= 30]
+    found = list(suffix.contexts(data, offsets, 200, [np.array(common)] * 30, True))
+    keys = Counter(k for _, k, _, _ in found)
+    shared = {raw for _, k, _, raw in found if keys[k] == 30}
+    whole = [raw for _, k, _, raw in found if keys[k] == 30 and raw in licence]
+    assert whole and len(set(whole)) == len(whole) / 30 and sum(map(len, shared)) < 60 * sum(map(len, set(whole)))
+
+
 def test_suffix_order():
     r = np.random.default_rng(4)
     texts = [bytes(r.choice(list(b"ab"), 300).tolist()) for _ in range(20)]
