@@ -13,7 +13,7 @@ from .common import connected_components, packed, pick, release, slices, stored,
 #: Bytes of sets, and sets, joined in one tree; larger groups are dealt out in blocks.
 BLOCK_BYTES, BLOCK_SETS = 8 << 20, 1024
 #: The prefixes of linked sets of n n-grams have n / SPARE in common.
-SPARE = 8
+SPARE = 16
 #: Groups in which a set looks for its near copies at first.
 FIRST_GROUPS = 4
 #: Rows of what to fetch that may be broadcast (about 30 bytes each); more are joined by shuffle.
@@ -380,10 +380,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = profiles(docs, id_col, text_col, words, share, of).where("n_shingles > 0").select(F.col("doc_id").alias("rep"), "s1", "s2", "grams")
     whole = whole.join(classes.select("s1", "s2", "rep"), ["s1", "s2", "rep"])
     tok = whole.join(own, "rep").select("rep", F.xxhash64("component").alias("c"), F.explode("grams").alias("t"))
-    several = tok.groupBy("t").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t", "m")
+    several = tok.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
     need = F.ceil(F.col("n_shingles") * share / of)
     least = F.greatest(F.lit(1), F.floor(need / SPARE).cast("int"))
-    near = tok.select("rep", "t").join(several, "t").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("m", "t"))).alias("ts"))
+    tok = stored(tok.select("rep", "t").join(several, "t").distinct())
+    release(docs.sparkSession)
+    near = tok.join(tok.groupBy("t").agg(F.count("*").alias("m")), "t").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("ts"))
     near = near.join(own, "rep").withColumn("least", least).where(F.size("ts") >= F.col("least"))
     near = near.select("rep", "n_shingles", "component", F.explode(F.slice("ts", F.lit(1), F.size("ts") - F.col("least") + 1)).alias("x"))
     near = stored(near.select("rep", "n_shingles", "component", "x.t"))
