@@ -146,8 +146,9 @@ def test_second_pass_finds_what_signatures_hide(spark, odd_docs, monkeypatch):
     texts = [" ".join(mutated(r, w, 0.03) + [f"t{r.integers(9)}"] * int(r.integers(0, 9))) for w in words for _ in range(9)]
     df = spark.createDataFrame([(str(1000 + i), t) for i, t in enumerate(texts)], "doc_id string, text string")
     want = brute_texts(texts, [str(1000 + i) for i in range(len(texts))])
-    for signature, sets in ((1, 1024), (16, 3)):
+    for signature, sets, cluster in ((1, 1024, 4096), (1, 1024, 5), (16, 3, 2)):
         monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
+        monkeypatch.setattr(ngram_join, "CLUSTER_SETS", cluster)
         assert sorted(map(tuple, ngram_join.similar_texts(df, signature=signature).collect())) == want
 
 

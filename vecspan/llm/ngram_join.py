@@ -16,6 +16,8 @@ BLOCK_BYTES, BLOCK_SETS = 8 << 20, 1024
 SPARE = 16
 #: Groups in which a set looks for its near copies at first.
 FIRST_GROUPS = 4
+#: Sets of groups that share members, joined in one tree.
+CLUSTER_SETS = 4096
 #: Rows of what to fetch that may be broadcast (about 30 bytes each); more are joined by shuffle.
 MOST_WANTED = 100_000
 #: Bytes that the nodes' n-grams may take as bits.
@@ -253,6 +255,71 @@ def _groups(live: DataFrame) -> DataFrame:
     return one.select("t", F.least("m", blocks).cast("int").alias("blocks"))
 
 
+def _clustered(near: DataFrame) -> DataFrame:
+    """``near`` (rep, n_shingles, component, t) without groups of one component and groups that repeat another, with
+    the blocks of a group, the cluster of groups that share members, and whether that is small enough to be joined as one.
+    """
+    c = F.xxhash64("component")
+    near = stored(near)
+    several = near.groupBy("t").agg(F.min(c).alias("low"), F.max(c).alias("high")).where("low < high").select("t")
+    near = near.join(several, "t", "left_semi")
+    near = stored(near.join(_groups(near), "t"))
+    heads = near.groupBy("t").agg(F.min("rep").alias("head"))
+    edges = near.join(heads, "t").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    bound = connected_components(edges).select(F.col("node").alias("rep"), F.xxhash64("component").alias("cluster"))
+    sizes = near.select("rep", "n_shingles").distinct().join(bound, "rep").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
+    small = (F.col("sets") <= CLUSTER_SETS) & (F.col("bytes") <= BLOCK_BYTES)
+    return stored(near.join(bound, "rep").join(sizes.select("cluster", small.alias("small")), "cluster"))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, few: bool, id_col: str, text_col: str) -> DataFrame:
+    """(rep, text, ...): the texts of ``wanted`` (rep, ...). They travel compressed, or where few are wanted not at all."""
+    own = pick(docs, rep=id_col, text=text_col)
+    return own.join(F.broadcast(wanted), "rep") if few else packed(own, "rep", "text").join(wanted, "rep")
+
+
+def _by_whole_sets(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, words: int, share: int, of: int) -> DataFrame:
+    """(rep, n_shingles, component, t) of the n-grams by which ``sets`` (rep, n_shingles, component) can be linked.
+
+    As by prefixes, but of whole sets in the order of their n-grams' true frequency among them: a
+    linked set has needed(n) n-grams in sets of other components, again and again as sets that
+    haven't go, and leaves out the most common ones, one fewer than that.
+    """
+    import pyarrow as pa
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    few = sets.limit(MOST_WANTED + 1).count() <= MOST_WANTED
+    texts = _texts(docs, sets.select("rep", F.xxhash64("component").alias("c")).distinct(), few, id_col, text_col)
+
+    def ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        from .shingles import shingle_sets
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                column = part.column(1) if few else unpacked(part.column(1))
+                for i, x in enumerate(shingle_sets(*text_bytes(column), words)):
+                    for cut in range(0, len(x), 1 << 16):
+                        t = x[cut : cut + (1 << 16)].view(np.int64)
+                        who = pa.array(np.full(len(t), i))
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(2).take(who), pa.array(t)], names=["rep", "c", "t"])
+
+    tok = stored(texts.mapInArrow(ngrams, f"rep {kind}, c long, t long").distinct())
+    need = sets.groupBy("rep").agg(F.min("n_shingles").alias("n")).select("rep", F.ceil(F.col("n") * share / of).alias("need"))
+    for _ in range(2):
+        several = tok.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
+        tok = tok.join(several, "t")
+        enough = tok.groupBy("rep").agg(F.count("*").alias("have")).join(need, "rep").where("have >= need").select("rep")
+        tok = stored(tok.join(enough, "rep"))
+    near = tok.join(tok.groupBy("t").agg(F.count("*").alias("m")), "t").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("ts")).join(need, "rep")
+    # With its last needed n-grams gone in part by a round of the loop, a set can't be linked either.
+    near = near.where(F.size("ts") >= F.col("need"))
+    near = near.select("rep", F.explode(F.slice("ts", F.lit(1), (F.size("ts") - F.col("need") + 1).cast("int"))).alias("x")).select("rep", "x.t")
+    return near.join(sets, "rep").select("rep", "n_shingles", "component", "t")
+
+
 def _forests(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, share: int, of: int, pairs: bool) -> DataFrame:
     """Edges (a, b) between the nodes of ``wanted`` (rep, node, t, blocks) that connect what links inside the groups connect.
 
@@ -265,9 +332,7 @@ def _forests(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wor
     kind = wanted.schema["node"].dataType.simpleString()
     few = wanted.limit(MOST_WANTED + 1).count() <= MOST_WANTED
     wanted = wanted.groupBy("rep").agg(F.collect_list(F.struct("t", "blocks", "node")).alias("groups"))
-    own = pick(docs, rep=id_col, text=text_col)
-    # Texts travel compressed, or where few are wanted not at all.
-    texts = own.join(F.broadcast(wanted), "rep") if few else packed(own, "rep", "text").join(wanted, "rep")
+    texts = _texts(docs, wanted, few, id_col, text_col)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .shingles import shingle_sets
@@ -355,8 +420,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component has can't be such, which leaves little. Of the others, ordered from the rarest, a
     set needs spare(needed(n)), as the other set may be so much smaller, and leaves out the last
     ones, one fewer than that: a link still has an n-gram in common. Groups that share members
-    are joined as one cluster, so that a set is sent once; where a cluster is large its groups
-    are joined each, and large groups in pairs of blocks, so no link is lost.
+    are joined as one cluster, so that a set is sent once. Where a cluster is large, its sets are
+    filtered anew with all their n-grams in place of prefixes; where what is left is still large,
+    its groups are joined each, and large groups in pairs of blocks, so no link is lost.
     """
     prof = stored(profiles(docs, id_col, text_col, words, share, of, signature))
     classes = stored(prof.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")))
@@ -388,19 +454,16 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = tok.join(tok.groupBy("t").agg(F.count("*").alias("m")), "t").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("ts"))
     near = near.join(own, "rep").withColumn("least", least).where(F.size("ts") >= F.col("least"))
     near = near.select("rep", "n_shingles", "component", F.explode(F.slice("ts", F.lit(1), F.size("ts") - F.col("least") + 1)).alias("x"))
-    near = stored(near.select("rep", "n_shingles", "component", "x.t"))
-    mixed_ = near.groupBy("t").agg(F.min(F.xxhash64("component")).alias("low"), F.max(F.xxhash64("component")).alias("high")).where("low < high").select("t")
-    near = near.join(mixed_, "t", "left_semi")
-    near = stored(near.join(_groups(near), "t"))
+    near = _clustered(near.select("rep", "n_shingles", "component", "x.t"))
     release(docs.sparkSession)
-    # Groups that have members in common form a cluster, whose sets travel once; a large cluster goes group by group.
-    heads = near.groupBy("t").agg(F.min("rep").alias("head"))
-    bound = connected_components(near.join(heads, "t").select(F.col("rep").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("rep"), F.xxhash64("component").alias("cluster"))
-    sizes = near.select("rep", "n_shingles").distinct().join(bound, "rep").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
-    small = (F.col("sets") <= 4 * BLOCK_SETS) & (F.col("bytes") <= BLOCK_BYTES)
-    near = stored(near.join(bound, "rep").join(sizes.select("cluster", small.alias("small")), "cluster"))
-    by_cluster = near.where("small").select("rep", F.col("component").alias("node"), F.col("cluster").alias("t"), F.lit(1).alias("blocks")).distinct()
-    wanted = stored(by_cluster.unionByName(near.where("not small").select("rep", F.col("component").alias("node"), "t", "blocks")))
+    once = near.where("small")
+    large = near.where("not small").select("rep", "n_shingles", "component").distinct()
+    if not large.isEmpty():
+        near = _clustered(_by_whole_sets(docs, stored(large), id_col, text_col, words, share, of))
+        once = once.unionByName(near.where("small"))
+        large = near.where("not small").select("rep", F.col("component").alias("node"), "t", "blocks")
+    once = once.select("rep", F.col("component").alias("node"), F.col("cluster").alias("t"), F.lit(1).alias("blocks")).distinct()
+    wanted = stored(once.unionByName(large) if "blocks" in large.columns else once)
     found = _forests(docs, wanted, id_col, text_col, words, share, of, pairs=True)
     joined = connected_components(found).select(F.col("node").alias("component"), F.col("component").alias("last"))
     label = own.join(joined, "component", "left").select("rep", F.coalesce("last", "component").alias("component"))
