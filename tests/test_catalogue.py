@@ -3,6 +3,7 @@
 import pytest
 
 from oracle import differences
+from vecspan.plans import storage  # noqa: F401
 from vecspan.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -19,5 +20,5 @@ def test_query(spark, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 200
+    assert __spark_entry__.entry(spark).count() == 50
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -1,10 +1,11 @@
 """Properties of indexes, codebooks and graphs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vecspan.functions import vectors
-from vecspan.operators import factory, graph, ivf, pq
+from vecspan.operators import evaluate, factory, graph, ivf, pq, topk
 from vecspan.operators.topk import exact_knn
 from vecspan.sources import text
 
@@ -49,11 +50,88 @@ def test_codebook(base, queries):
     assert book.count() == 32
     codes = pq.encode(base, book, 4, 64)
     assert codes.count() == 800 and codes.agg(F.max("code")).first()[0] < 8
-    assert pq.adc_search(codes, book, queries, 5, 4, 64).count() == 30
+    assert pq.adc_search(base, book, queries, 5, 64).count() == 30
+
+    def loss(rounds):
+        centers = {(r.chunk, r.code): np.array(r.center) for r in pq.train_codebook(base, 4, 64, codes=8, iterations=rounds).collect()}
+        found = {(r.vec_id, r.chunk): r.code for r in pq.encode(base, pq.train_codebook(base, 4, 64, codes=8, iterations=rounds), 4, 64).collect()}
+        return sum(((np.array(r.embedding[16 * c : 16 * c + 16]) - centers[c, found[r.vec_id, c]]) ** 2).sum() for r in base.collect() for c in range(4))
+
+    assert loss(3) < loss(0)
     with pytest.raises(ValueError):
         pq.chunks(base, 5, 64)
 
 
+def test_ivf_pq(spark, base, queries, tmp_path):
+    """As many codes as rows: distances are exact, so the search is that of the lists."""
+    index = factory.build(base, "IVF4,PQ8", codes=200, iterations=2)
+    index.save(str(tmp_path / "i"))
+    again = pq.IvfPqIndex.load(spark, str(tmp_path / "i"))
+    want = pairs(ivf.search(ivf.assign(base, index.centroids, keep=["vec_id", "embedding"]), index.centroids, queries, 3, 2))
+    cents = index.centroids
+    book = pq.seed_codebook(pq.differences(base, cents), 8, 64, 200)
+    exact = pq.IvfPqIndex.build(base, 4, 8, centroids=cents, codebook=book)
+    assert pairs(exact.search(queries, 3, 2)) == want
+    assert pairs(again.search(queries, 3, 4)) == pairs(index.search(queries, 3, 4)) and again.lists.count() == 200
+    some = pq.IvfPqIndex.build(base.where("vec_id < 90"), 4, 8, centroids=cents, codebook=book).add(base.where("vec_id >= 90"))
+    assert pairs(some.search(queries, 3, 2)) == want
+    assert all(r.vec_id >= 50 for r in again.search(queries, 3, 4, where="vec_id >= 50").collect())
+    assert factory.build(base, "PQ4", codes=8, iterations=1).search(queries, 5, 1).count() == 30
+
+
+def test_sums_are_passed_on_in_pieces(base, monkeypatch):
+    want = ivf.kmeans(base, 8, 2).orderBy("cluster_id").collect()
+    monkeypatch.setattr(ivf, "MOST_SUMS", 0)
+    got = ivf.kmeans(base.repartition(3, "vec_id"), 8, 2).orderBy("cluster_id").collect()
+    assert [r.cluster_id for r in got] == [r.cluster_id for r in want]
+    assert np.allclose([r.centroid for r in got], [r.centroid for r in want], atol=1e-9)
+
+
+def test_block_join(base, queries, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(topk, "MOST_BLOCKS", 2)
+    want = pairs(exact_knn(base, queries, 5, method="sql"))
+    for block in (16, 1000):
+        monkeypatch.setattr(topk, "BASE_BLOCK", block)
+        assert pairs(exact_knn(base, queries, 5)) == want
+
+
+@pytest.mark.parametrize("metric", ["l2_sq", "l1", "cosine"])
+def test_vectors_without_distances(spark, metric):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [nan, 1.0]), (2, [0.0, 1.0]), (3, None), (4, [inf, 0.0]), (5, [None, 1.0]), (6, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    q = df.select(F.col("vec_id").alias("qid"), "embedding")
+    arrow, sql = (pairs(exact_knn(df, q, 5, metric, method=m)) for m in ("arrow", "sql"))
+    assert arrow == sql and {x[0] for x in arrow} == {x[2] for x in arrow} == {0, 2, 6} and len(arrow) == 9
+    cents = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cluster_id bigint, centroid array<double>")
+    assert sorted(r.vec_id for r in ivf.assign(df, cents, metric).collect()) == [0, 2, 6]
+
+
+def test_layout_of_a_large_cluster(base):
+    rows = base.withColumn("cluster_id", F.when(F.col("vec_id") < 150, 0).otherwise(F.col("vec_id") % 3 + 1).cast("bigint"))
+    want = sorted((r.cluster_id, r.vec_id) for r in rows.select("cluster_id", "vec_id").collect())
+    got = {(r.cluster_id, r.vec_id): (r.pos, r.new_pos) for r in ivf.layout(rows).collect()}
+    first = {c: i for i, (c, _) in reversed(list(enumerate(want)))}
+    assert got == {(c, v): (i - first[c], i) for i, (c, v) in enumerate(want)}
+
+
+def test_evaluation_sweep(base, queries):
+    cents = ivf.kmeans(base, 8, 1)
+    lists = ivf.assign(base, cents, keep=["vec_id", "embedding"])
+    out = evaluate.evaluate_index(lambda q, k, p: ivf.search(lists, cents, q, k, p), queries, exact_knn(base, queries, 1), 10, [1, 8]).collect()
+    assert {(r.setting, r.r) for r in out} == {(p, r) for p in (1, 8) for r in (1, 10, 100)} and all(r.milliseconds > 0 for r in out)
+    assert all(r.recall == 1.0 for r in out if r.setting == 8)
+
+
+def test_graph_sweep(base, queries):
+    edges = graph.both_ways(graph.knn_graph(base, 6))
+    sweep = graph.search_sweep(edges, base, queries, exact_knn(base, queries, 5), 5, [5, 40], centroids=ivf.kmeans(base, 8, 1))
+    rows = sorted((r.width, r.recall) for r in sweep.collect())
+    assert [w for w, _ in rows] == [5, 40] and rows[0][1] <= rows[1][1] and rows[1][1] >= 0.9
+    assert graph.tune_width(sweep, 0.0) == 5 and graph.tune_width(sweep, 1.1) is None
+
+
 def test_factory_builds(base, queries):
     assert pairs(factory.build(base, "IVF8,Flat", iterations=1).search(queries, 3, 8)) == pairs(exact_knn(base, queries, 3))
     assert factory.build(base, "Flat").count() == 200

@@ -82,6 +82,67 @@ def test_csv_document(spark, tmp_path):
     changed = doc.set_cell("b", 1, "z").remove_row(0).set_column("c", F.lit(5))
     assert [tuple(r) for r in changed.df.select(*changed.names).collect()] == [("2", "z", 5)]
     assert doc.remove_column("a").names == ["b"] and doc.append(doc).df.count() == 4
+    assert doc.append(doc).cell("b", 3) == "y" and doc.remove_row(0).cell("b", 0) == "y"
+    more = doc.insert_row(1, ("9", "new")).insert_column(1, "c", F.lit(1))
+    assert more.names == ["a", "c", "b"] and [more.cell("b", i) for i in range(3)] == ["x", "new", "y"]
+
+
+def test_rows_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("a\n" + "".join(f"{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        doc = text.CsvDocument.load(spark, str(tmp_path / "n.csv"))
+        assert doc.df.rdd.getNumPartitions() > 3
+        assert [doc.cell("a", i) for i in (0, 1700, 4999)] == ["0", "1700", "4999"]
+        (tmp_path / "lists.csv").write_text("".join(f"{i}\n" if i % 3 else "\n" for i in range(3000)))
+        got = text.read_lists(spark, str(tmp_path / "lists.csv")).collect()
+        assert sorted((r.cluster_id, r.vec_id) for r in got) == [(i, i) for i in range(3000) if i % 3]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_row_ranges_are_pushed_down(spark, base, tmp_path):
+    from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
+
+    formats.write_vectors(base, str(tmp_path / "v"), "fvecs", shards=3)
+    reader = formats._VectorReader("fvecs", {"path": str(tmp_path / "v"), "rows_per_split": "5"})
+    left = list(reader.pushFilters([GreaterThanOrEqual(("vec_id",), 12), LessThan(("vec_id",), 17)]))
+    assert len(left) == 2 and [(s.ordinal, s.rows) for s in reader.partitions()] in ([(12, 5)], [(12, 3), (15, 2)], [(12, 4), (16, 1)], [(12, 2), (14, 3)], [(12, 1), (13, 4)])
+    back = formats.read_vectors(spark, str(tmp_path / "v"), "fvecs").where("vec_id >= 12 and vec_id < 17 and vec_id <> 14")
+    assert [i for i, _ in rows(back)] == [12, 13, 15, 16]
+
+
+def test_matrices_inside_a_file(spark, base, tmp_path):
+    path = str(tmp_path / "m.fbin")
+    n = formats.save_matrix(base, path)
+    formats.save_matrix(base.where("vec_id < 5"), path, offset=n)
+    assert rows(formats.read_vectors(spark, path)) == rows(base)
+    assert rows(formats.read_vectors(spark, path, offset=n)) == rows(base.where("vec_id < 5"))
+    res = spark.createDataFrame([(0, 1, 7, 0.5), (0, 2, 8, 1.5), (3, 1, 9, 2.5)], "qid bigint, rank bigint, vec_id bigint, dist double")
+    formats.write_result_matrix(res, str(tmp_path / "r.bin"), 2)
+    raw = (tmp_path / "r.bin").read_bytes()
+    assert struct.unpack("<iiIfIfIfIf", raw)[:8] == (2, 2, 7, 0.5, 8, 1.5, 9, 2.5)
+
+
+def test_trace_stream(spark, tmp_path):
+    """Files that come later are later batches; a micro-batch that holds several ends as the last one leaves it."""
+    from vecspan.operators.maintain import VectorStore
+    from vecspan.streaming.ingest import apply_batch, ingest
+
+    base = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "vec_id bigint, embedding array<float>")
+    store = VectorStore(spark, str(tmp_path / "s")).create(base.where("vec_id < 5"))
+    ops = spark.createDataFrame([(0, "insert", 7), (0, "delete", 1), (1, "delete", 7), (1, "insert", 1)], "batch bigint, op string, tag bigint")
+    formats.write_trace(ops, str(tmp_path / "t"))
+    stream = formats.register(spark).readStream.format("trace").load(str(tmp_path / "t"))
+    ingest(stream, store, str(tmp_path / "o"), base).awaitTermination()
+    assert sorted(r.vec_id for r in store.rows().collect()) == [0, 1, 2, 3, 4]
+    np.array([1, 0, 9], "<u4").tofile(tmp_path / "t" / "batch-0000000002.bin")
+    ingest(stream, store, str(tmp_path / "o"), base).awaitTermination()
+    assert sorted(r.vec_id for r in store.rows().collect()) == [1, 2, 3, 4, 9]
+    apply_batch(store, spark.createDataFrame([(0, "insert", 3), (1, "delete", 3)], "batch bigint, op string, tag bigint"), base)
+    assert sorted(r.vec_id for r in store.rows().collect()) == [1, 2, 4, 9]
+    with pytest.raises(ValueError, match="deletes"):
+        formats.write_trace(ops.where("op = 'insert'"), str(tmp_path / "x"))
 
 
 def test_collections(spark, base, tmp_path):
@@ -99,6 +160,13 @@ def test_collections(spark, base, tmp_path):
     assert c.search(q, 3, expr="vec_id >= 40").agg(F.min("vec_id")).first()[0] >= 40
     with pytest.raises(Exception, match="not a vector"):
         c.insert(spark.createDataFrame([(1, [1.0])], "vec_id bigint, embedding array<float>"))
+    want = sorted(map(tuple, c.search(q, 3).collect()))
+    assert c.flush() == 50 and sorted(map(tuple, c.load().search(q, 3, nprobe=4).collect())) == want
+    c.drop_index()
+    assert not c.has_index() and sorted(map(tuple, c.load().search(q, 3).collect())) == want
+    c.release()
+    with pytest.raises(KeyError):
+        c.search(q, 3, nprobe=4)
     cat.drop("one")
     assert not cat.has("one")
 

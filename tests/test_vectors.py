@@ -47,6 +47,7 @@ def test_cosine(spark):
     distance.register(spark)
     assert [r[0] for r in rows.selectExpr("cosine_distance(a, b)").collect()] == [1.0, None]
     assert rows.selectExpr("l2_sq(a, b)").first()[0] == 5.0
+    assert rows.selectExpr("l2_int(a, b)").first()[0] == 2
 
 
 def test_scalar_functions(spark):
@@ -123,6 +124,21 @@ def test_store(spark, base, tmp_path):
     assert sorted((r.vec_id, tuple(r.embedding)) for r in store.rows().collect()) == before
 
 
+def test_search_during_merges(spark, tmp_path):
+    base = spark.createDataFrame([(i, [float(i)]) for i in range(20)], "vec_id bigint, embedding array<float>")
+    store = maintain.VectorStore(spark, str(tmp_path / "s")).create(base.where("vec_id < 10"))
+    q = spark.createDataFrame([(0, [0.0])], "qid bigint, embedding array<float>")
+    steps = [("insert", base.where("vec_id >= 10 and vec_id < 15")), ("delete", base.where("vec_id < 5").selectExpr("vec_id AS tag")), ("insert", base.where("vec_id >= 15"))]
+    seen = [sorted(r.vec_id for r in found) for found in maintain.update_while_searching(store, q, 100, steps)]
+    states = [list(range(10)), list(range(15)), list(range(5, 15)), list(range(5, 20))]
+    assert seen and all(s in states for s in seen) and [states.index(s) for s in seen] == sorted(states.index(s) for s in seen)
+    assert sorted(r.vec_id for r in store.rows().collect()) == states[-1] and store._version() == 3
+    tags = spark.createDataFrame([(0, 70), (1, maintain.INVALID_TAG)], "position bigint, tag bigint")
+    found = spark.createDataFrame([(0, 1, 0, 0.5), (0, 2, 1, 0.7)], "qid bigint, rank bigint, vec_id bigint, dist double")
+    assert [r.tag for r in maintain.positions_to_tags(found, tags).collect()] == [70]
+    assert [r.tag for r in maintain.sorted_tags(tags.select("tag")).collect()] == [70]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(1, 30), st.integers(1, 6), st.integers(1, 8), st.sampled_from(distance.METRICS), st.integers(0, 10**6))
 def test_nearest_is_exact(n, d, k, metric, seed):

@@ -56,6 +56,11 @@ def l2_int(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(longs, F.lit(0).cast("bigint"), lambda s, x: s + x).cast("double")).cast("bigint")
 
 
+def finite(v: Column) -> Column:
+    """Whether a vector and all its components are there and finite; others have no distance to anything."""
+    return v.isNotNull() & F.forall(doubles(v), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def metric(name: str) -> Callable[[Column, Column], Column]:
     """The Column builder of a metric; an unknown name is an error."""
     known = {"l2_sq": l2_sq, "l1": l1, "cosine": cosine}
@@ -103,10 +108,14 @@ def nearest(x, y, k: int, name: str, block: int = 1 << 22):
 
     A matrix product (or plain sums for l1) finds all rows that can be among the k nearest
     within its rounding; only those get exact distances. Ties go to the lower row of ``y``, and
-    rows without a distance are left out.
+    rows without a distance are left out, as are rows with a component that isn't finite.
     """
     import numpy as np
 
+    use_x, use_y = np.isfinite(x).all(1), np.isfinite(y).all(1)
+    if not (use_x.all() and use_y.all()):
+        i, j, d = nearest(x[use_x], y[use_y], k, name, block)
+        return np.flatnonzero(use_x)[i], np.flatnonzero(use_y)[j], d
     rows, cols, dist = [], [], []
     k = min(k, len(y))
     step = max(1, block // max(1, len(y) * (x.shape[1] if name == "l1" else 1)))
@@ -153,3 +162,5 @@ def register(spark: SparkSession) -> None:
     }
     for name, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")
+    longs = "aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0L, (s, t) -> s + t)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION l2_int(a ARRAY<BIGINT>, b ARRAY<BIGINT>) RETURNS BIGINT RETURN CAST(sqrt(CAST({longs} AS DOUBLE)) AS BIGINT)")

@@ -63,7 +63,7 @@ def long_form(df: DataFrame, id_col: str, vec: Column) -> DataFrame:
 
 
 def row_slice(df: DataFrame, offset: int, count: int, id_col: str = "vec_id", total: int | None = None) -> DataFrame:
-    """Rows [offset, offset + count) by ordinal id; pushed down to the scan."""
+    """Rows [offset, offset + count) by ordinal id; a filter that Parquet and, by ``formats.read_vectors``, vector files push down to the scan."""
     if offset < 0 or count < 0 or (total is not None and offset + count > total):
         raise ValueError(f"rows {offset} to {offset + count} lie outside the table")
     return df.where((F.col(id_col) >= offset) & (F.col(id_col) < offset + count))

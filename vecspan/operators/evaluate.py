@@ -42,6 +42,27 @@ def mean_k_recall(results: DataFrame, truth: DataFrame, k: int, by: tuple[str, .
     return wanted.join(got, [*by, "qid", id_col], "left").groupBy(*by).agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
+def evaluate_index(search, queries: DataFrame, truth: DataFrame, k: int, settings: list[int], at: tuple[int, ...] = (1, 10, 100), id_col: str = "vec_id") -> DataFrame:
+    """(setting, milliseconds a query, qps, r, recall): ``search(queries, k, setting)`` at each setting, against the truth.
+
+    A sweep over nprobe, say. Results are written before they are counted, so that the time is
+    that of the search.
+    """
+    import time
+
+    spark, out = queries.sparkSession, None
+    n = max(1, queries.count())
+    for setting in settings:
+        path = work_dir(spark, "results")
+        began = time.perf_counter()
+        search(queries, k, setting).write.parquet(path)
+        each = 1000 * (time.perf_counter() - began) / n
+        recall = recall_at(spark.read.parquet(path), truth, at, id_col)
+        one = recall.select(F.lit(setting).cast("bigint").alias("setting"), F.lit(each).alias("milliseconds"), F.lit(1000 / each).alias("qps"), "r", "recall")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def nearest_rank(values: DataFrame, value: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9, 0.95, 0.99, 0.999)) -> DataFrame:
     """(p, value): sorted[floor(p * n)], without gathering the values in one place.
 

@@ -34,7 +34,7 @@ def parse(key: str) -> IndexSpec:
 
 
 def build(base, key: str, **how):
-    """The index a factory string names: an IvfIndex, or for PQ its (codebook, codes), or the table itself."""
+    """The index a factory string names: an IvfIndex, for PQ an IvfPqIndex, or for "Flat" the table itself."""
     from pyspark.sql import functions as F
 
     from . import pq
@@ -48,11 +48,13 @@ def build(base, key: str, **how):
         col = how.get("vec_col", "embedding")
         rows = base.withColumn("__v", array_to_vector(F.col(col).cast("array<double>")))
         base = PCA(k=spec.pca, inputCol="__v", outputCol="__p").fit(rows).transform(rows).withColumn(col, vector_to_array("__p")).drop("__v", "__p")
-    index = IvfIndex.build(base, spec.nlist, **how) if spec.nlist else None
     if spec.pq is None:
-        return index or base
+        return IvfIndex.build(base, spec.nlist, **how) if spec.nlist else base
+    if spec.nlist:
+        return pq.IvfPqIndex.build(base, spec.nlist, spec.pq, **how)
     from vecspan.functions.vectors import dimension
 
+    cols = {k: v for k, v in how.items() if k in ("id_col", "vec_col")}
     dim = dimension(base, how.get("vec_col", "embedding"))
-    book = pq.train_codebook(base, spec.pq, dim)
-    return index, book, pq.encode(base, book, spec.pq, dim)
+    book = pq.train_codebook(base, spec.pq, dim, **{k: v for k, v in how.items() if k in ("id_col", "vec_col", "codes", "iterations")})
+    return pq.flat(base, book, dim, **cols)

@@ -11,6 +11,9 @@ from vecspan.session import work_dir
 from .ivf import assign, candidates, probe
 from .topk import exact_knn, merge_topk, top_by
 
+#: Rows of a beam (16 bytes; queries with their vectors) that may be broadcast; more are joined by shuffle.
+MOST_FRONTIER = 100_000
+
 
 def knn_graph(base: DataFrame, degree: int, metric: str = "l2_sq", centroids: DataFrame | None = None, nprobe: int = 8, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(src, rank, dst, dist): each row's ``degree`` nearest others.
@@ -44,6 +47,30 @@ def overlapping_shards(base: DataFrame, centroids: DataFrame, k: int, id_col: st
     return rank_small(base, centroids, k, "l2_sq", id_col, vec_col).select(id_col, F.col("cluster_id").alias("shard"), "rank")
 
 
+def search_sweep(graph: DataFrame, base: DataFrame, queries: DataFrame, truth: DataFrame, k: int, widths: list[int], metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", centroids: DataFrame | None = None, warm_up: bool = True) -> DataFrame:
+    """(width, recall, milliseconds) of the beam search at several widths; ``truth`` has the k nearest of each query.
+
+    With ``warm_up`` the first width is searched once before, uncounted.
+    """
+    import time
+
+    from .evaluate import mean_k_recall
+
+    rows = []
+    for width in [*widths[: 1 if warm_up else 0], *widths]:
+        began = time.perf_counter()
+        found = beam_search(graph, base, queries, k, width, metric=metric, id_col=id_col, vec_col=vec_col, centroids=centroids).checkpoint()
+        took = 1000 * (time.perf_counter() - began)
+        recall = mean_k_recall(found, truth, k, id_col=id_col).first().recall
+        rows.append((width, float(recall), took))
+    return base.sparkSession.createDataFrame(rows[1 if warm_up else 0 :], "width bigint, recall double, milliseconds double")
+
+
+def tune_width(sweep: DataFrame, least: float) -> int | None:
+    """The least width of a sweep with a recall of ``least``; None where no width has it."""
+    return sweep.where(F.col("recall") >= least).agg(F.min("width")).first()[0]
+
+
 def both_ways(graph: DataFrame) -> DataFrame:
     """(src, dst): edges with their reverses, so that a row in no other's list is reached too."""
     return graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -56,14 +83,16 @@ def entry_points(base: DataFrame, centroids: DataFrame, queries: DataFrame, star
     return probe(queries, centroids, starts, metric, vec_col).join(F.broadcast(pivots), "cluster_id").select("qid", "node").distinct()
 
 
-def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, width: int, hops: int | None = None, starts: int = 8, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", centroids: DataFrame | None = None) -> DataFrame:
+def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, width: int, hops: int | None = None, starts: int = 8, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", centroids: DataFrame | None = None, entry: DataFrame | None = None) -> DataFrame:
     """Follow edges until no beam, the ``width`` best rows seen for a query, changes.
 
     ``hops`` ends it earlier. It starts from the rows nearest to a query's ``starts`` nearest
-    centroids, or without centroids from the first rows. A hop joins the rows that are new in
-    the beam with the edge list and the vectors, both by shuffle; the beam has ``width`` rows a
-    query and is checkpointed. width must be at least k. ``graph`` is read once a hop, so it had
-    better be a table.
+    centroids, or without centroids from the first rows; ``entry`` (qid, node) names other ones, a
+    cache of nodes near the middle, say. A hop joins the rows that are new in the beam with the
+    edge list and the vectors. The beam has ``width`` rows a query and is checkpointed; what is
+    new in it and its neighbours are broadcast up to MOST_FRONTIER rows, so that neither edges nor
+    vectors are shuffled, and joined by shuffle beyond. width must be at least k. ``graph`` is read
+    once a hop, so it had better be a table.
     """
     if width < k:
         raise ValueError("width must be at least k")
@@ -71,18 +100,24 @@ def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, w
     work_dir(base.sparkSession, "beam")  # sets a checkpoint folder where the session has none
     q = queries.select("qid", distance.doubles(F.col(vec_col)).alias("q"))
     vec = base.select(F.col(id_col).alias("node"), distance.doubles(F.col(vec_col)).alias("v"))
-    if centroids is None:
+    if entry is not None:
+        first = entry.select("qid", "node").distinct()
+    elif centroids is None:
         first = q.select("qid").crossJoin(F.broadcast(vec.select("node").orderBy("node").limit(starts)))
     else:
         first = entry_points(base, centroids, queries, starts, metric, id_col, vec_col)
 
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.limit(MOST_FRONTIER + 1).count() <= MOST_FRONTIER else df
+
     def measured(nodes: DataFrame) -> DataFrame:
-        return nodes.join(vec, "node").join(q, "qid").select("qid", "node", measure(F.col("q"), F.col("v")).alias("dist"), F.lit(True).alias("fresh"))
+        nodes = nodes.checkpoint()
+        return vec.join(small(nodes), "node").join(small(q), "qid").select("qid", "node", measure(F.col("q"), F.col("v")).alias("dist"), F.lit(True).alias("fresh"))
 
     beam = top_by(measured(first), ["qid"], width, ["dist", "node"]).drop("rank").checkpoint()
     hop = 0
     while (hops is None or hop < hops) and not beam.where("fresh").isEmpty():
-        step = beam.where("fresh").join(graph.select(F.col("src").alias("node"), "dst"), "node").select("qid", F.col("dst").alias("node")).distinct()
+        step = graph.select(F.col("src").alias("node"), "dst").join(small(beam.where("fresh").select("qid", "node")), "node").select("qid", F.col("dst").alias("node")).distinct()
         new = measured(step.join(beam.select("qid", "node"), ["qid", "node"], "left_anti"))
         beam = top_by(beam.withColumn("fresh", F.lit(False)).unionByName(new), ["qid"], width, ["dist", "node"]).drop("rank").checkpoint()
         hop += 1

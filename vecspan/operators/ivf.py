@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspan.functions import distance
+from vecspan.session import importable, work_dir
 
 from .evaluate import mean_k_recall, others
-from .topk import merge_topk, rank_small, top_by
+from .topk import held, matrix, merge_topk, rank_small, top_by
 
 #: Probe rows (query, cluster, vector) that may be broadcast; more are joined by shuffle.
 MOST_PROBES = 200_000
@@ -29,25 +31,113 @@ def assign(base: DataFrame, centroids: DataFrame, metric: str = "l2_sq", id_col:
     return rank_small(base, centroids, 1, metric, id_col, vec_col, keep=keep).drop("rank")
 
 
-def lloyd_step(base: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Means of the assigned vectors; a centroid without vectors stays where it is."""
-    by = assign(base, centroids, id_col=id_col, vec_col=vec_col, keep=[id_col, vec_col])
-    parts = by.select("cluster_id", F.posexplode(distance.doubles(F.col(vec_col))).alias("pos", "x"))
-    means = parts.groupBy("cluster_id", "pos").agg(F.avg("x").alias("x"))
-    moved = means.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
-    return centroids.join(moved, "cluster_id", "left").select("cluster_id", F.coalesce("mean", "centroid").alias("centroid"))
+#: Numbers that a task sums up before it passes them on.
+MOST_SUMS = 1 << 24
 
 
-def kmeans(base: DataFrame, nlist: int, iterations: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", init: DataFrame | None = None, train_rows: int | None = None, seed: int = 0) -> DataFrame:
+def cluster_means(rows: DataFrame, assign_batch, size: int, dim: int) -> DataFrame:
+    """(part, cluster_id, mean) of the vectors that ``assign_batch`` gives to clusters.
+
+    ``rows`` is what the function reads: it yields (part, places, vectors) of a batch, places being
+    cluster numbers below ``size``. A task adds up its batches and passes on a sum and a count per
+    cluster; those, a row per task and cluster, are added in the order of the tasks.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    importable(rows.sparkSession)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        sums: dict[int, tuple] = {}
+        turn = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for part, (total, count) in sums.items():
+                some = np.flatnonzero(count)
+                lists = pa.ListArray.from_arrays(np.arange(0, len(some) * dim + 1, dim, dtype=np.int32), pa.array(total[some].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part)), pa.array(some), pa.array(np.full(len(some), task * (1 << 20) + turn)), lists, pa.array(count[some])], names=["part", "cluster_id", "turn", "total", "n"])
+
+        for batch in batches:
+            for part, place, vec in assign_batch(batch):
+                total, count = sums.setdefault(part, (np.zeros((size, dim)), np.zeros(size, np.int64)))
+                by = np.argsort(place, kind="stable")
+                heads = np.flatnonzero(np.diff(place[by], prepend=-1))
+                if len(heads):
+                    total[place[by][heads]] += np.add.reduceat(vec[by], heads, axis=0)
+                    count += np.bincount(place, minlength=size)
+            if len(sums) * size * dim > MOST_SUMS:
+                yield from flushed()
+                sums, turn = {}, turn + 1
+        yield from flushed()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, n = None, None, 0
+
+        def mean() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]]), pa.array([(total / n).tolist()], pa.list_(pa.float64()))], names=["part", "cluster_id", "mean"])
+
+        for batch in batches:
+            vec = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key != last:
+                    if last is not None:
+                        yield mean()
+                    last, total, n = key, np.zeros(dim), 0
+                total = total + vec[i]
+                n += batch.column(3)[i].as_py()
+        if last is not None:
+            yield mean()
+
+    sums = rows.mapInArrow(add, "part bigint, cluster_id bigint, turn bigint, total array<double>, n bigint")
+    by = sums.repartition("part", "cluster_id").sortWithinPartitions("part", "cluster_id", "turn").select("part", "cluster_id", "total", "n")
+    return by.mapInArrow(merge, "part bigint, cluster_id bigint, mean array<double>")
+
+
+def lloyd_step(base: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 12) -> DataFrame:
+    """Means of the assigned vectors, to ``digits`` decimals; a centroid without vectors stays where it is."""
+    import numpy as np
+
+    ids, cents = held(centroids)
+    if not len(ids):
+        return centroids
+    shared = base.sparkSession.sparkContext.broadcast(cents)
+
+    def nearest_one(batch):
+        from vecspan.functions.distance import nearest
+
+        vec = matrix(batch.column(0))
+        i, j, _ = nearest(vec, shared.value, 1, "l2_sq")
+        yield 0, j, vec[i]
+
+    means = cluster_means(base.where(F.col(vec_col).isNotNull()).select(vec_col), nearest_one, len(ids), cents.shape[1])
+    number = base.sparkSession.createDataFrame(list(enumerate(ids.tolist())), "place bigint, cluster_id bigint")
+    moved = means.select(F.col("cluster_id").alias("place"), F.transform("mean", lambda x: F.round(x, digits)).alias("mean")).join(F.broadcast(number), "place")
+    return centroids.join(moved.select("cluster_id", "mean"), "cluster_id", "left").select("cluster_id", F.coalesce("mean", "centroid").alias("centroid"))
+
+
+def sampled(base: DataFrame, rows: int | None, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 0) -> DataFrame:
+    """The (id, vector) rows to train on: all, or about ``rows`` by hash of the id, as a table that is read again and again."""
+    out = base.select(id_col, vec_col)
+    if rows is None:
+        return out
+    rate = min(1.0, rows / max(1, base.count()))
+    if rate >= 1:
+        return out
+    path = work_dir(base.sparkSession, "learn")
+    out.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000_000)) < int(rate * 1_000_000_000)).write.parquet(path)
+    return base.sparkSession.read.parquet(path)
+
+
+def kmeans(base: DataFrame, nlist: int, iterations: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", init: DataFrame | None = None, train_rows: int | None = None, seed: int = 0, digits: int = 12) -> DataFrame:
     """Lloyd's iterations from deterministic seeds; each round's nlist centroids are fixed by collecting them."""
     spark = base.sparkSession
-    if train_rows is not None:
-        total = base.count()
-        rate = min(1.0, train_rows / max(1, total))
-        base = base.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) < int(rate * 1_000_000)) if rate < 1 else base
+    base = sampled(base, train_rows, id_col, vec_col, seed)
     found = init if init is not None else seed_centroids(base, nlist, id_col, vec_col)
     for _ in range(iterations):
-        rows = lloyd_step(base, found, id_col, vec_col).collect()
+        rows = lloyd_step(base, found, id_col, vec_col, digits).collect()
         found = spark.createDataFrame(rows, "cluster_id bigint, centroid array<double>")
     return found
 
@@ -76,10 +166,22 @@ def cluster_nav(sizes: DataFrame) -> DataFrame:
 
 
 def layout(assigned: DataFrame, id_col: str = "vec_id") -> DataFrame:
-    """Adds pos, the place inside the cluster, and new_pos, the row in cluster order."""
-    nav = cluster_nav(cluster_sizes(assigned)).select("cluster_id", "nav")
-    pos = (F.row_number().over(Window.partitionBy("cluster_id").orderBy(id_col)) - 1).cast("bigint")
-    return assigned.withColumn("pos", pos).join(F.broadcast(nav), "cluster_id").withColumn("new_pos", F.col("nav") + F.col("pos")).drop("nav")
+    """Adds pos, the place inside the cluster, and new_pos, the row in cluster order.
+
+    Rows are sorted into ranges of (cluster, id), which split a large cluster; a range's start is
+    the number of rows before it.
+    """
+    spark = assigned.sparkSession
+    path = work_dir(spark, "layout")
+    assigned.repartitionByRange("cluster_id", id_col).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("__part", "cluster_id").agg(F.count("*").alias("n"))  # a row per range and cluster in it
+    by = Window.orderBy("cluster_id", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    of = Window.partitionBy("cluster_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", "cluster_id", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("__row"), F.coalesce(F.sum("n").over(of), F.lit(0)).alias("__pos"))
+    place = F.row_number().over(Window.partitionBy("__part", "cluster_id").orderBy(id_col)) - 1
+    out = rows.withColumn("__at", place).join(starts, ["__part", "cluster_id"])
+    return out.select(*assigned.columns, (F.col("__pos") + F.col("__at")).cast("bigint").alias("pos"), (F.col("__row") + F.col("__at")).cast("bigint").alias("new_pos"))
 
 
 def inverted_lists(assigned: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -167,6 +269,11 @@ def merge_indexes(parts: list[DataFrame], nlist: int, offset_clusters: bool = Fa
     return out
 
 
+def write_lists_table(lists: DataFrame, path: str, id_col: str = "vec_id") -> None:
+    """Parquet partitioned by cluster, in ranges of (cluster, id), so that a large cluster is several tasks' and files' work."""
+    lists.repartitionByRange("cluster_id", id_col).sortWithinPartitions("cluster_id", id_col).write.mode("overwrite").partitionBy("cluster_id").parquet(path)
+
+
 @dataclass
 class IvfIndex:
     """An index over a vector table: centroids, and the rows in cluster order."""
@@ -180,7 +287,8 @@ class IvfIndex:
 
     @staticmethod
     def build(base: DataFrame, nlist: int, iterations: int = 10, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", learn: DataFrame | None = None) -> IvfIndex:
-        cents = kmeans(base if learn is None else learn, nlist, iterations, id_col, vec_col)
+        """Centroids from ``learn`` or a sample of the base, of ``train_rows(nlist)`` rows, and every row in its list."""
+        cents = kmeans(base if learn is None else learn, nlist, iterations, id_col, vec_col, train_rows=train_rows(nlist, False))
         lists = assign(base, cents, metric, id_col, vec_col, keep=base.columns).drop("dist")
         return IvfIndex(cents, lists, metric, id_col, vec_col, {"nlist": nlist})
 
@@ -193,7 +301,7 @@ class IvfIndex:
         """Parquet tables, the rows partitioned by cluster, and a manifest."""
         spark = self.lists.sparkSession
         self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-        self.lists.repartition("cluster_id").sortWithinPartitions("cluster_id", self.id_col).write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/lists")
+        write_lists_table(self.lists, f"{path}/lists", self.id_col)
         manifest = json.dumps({"metric": self.metric, "id_col": self.id_col, "vec_col": self.vec_col, "nlist": self.info.get("nlist")})
         spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 

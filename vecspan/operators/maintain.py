@@ -39,6 +39,16 @@ def active_tags(all_ids: DataFrame, deleted: DataFrame, id_col: str = "vec_id")
     return all_ids.select(id_col).join(gone, id_col, "left").select(id_col, F.col("__gone").isNull().alias("active"))
 
 
+def positions_to_tags(results: DataFrame, tags: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """Results with their positions replaced by tags, from (position, tag) rows; positions without a tag, or with an invalid one, go."""
+    return results.join(valid_tags(tags).select(F.col("position").alias(id_col), "tag"), id_col).drop(id_col)
+
+
+def sorted_tags(tags: DataFrame, tag: str = "tag") -> DataFrame:
+    """Valid tags in rising order, each once."""
+    return valid_tags(tags, tag).select(tag).distinct().orderBy(tag)
+
+
 def valid_tags(tags: DataFrame, tag: str = "tag") -> DataFrame:
     return tags.where((F.col(tag) != INVALID_TAG) & F.col(tag).isNotNull())
 
@@ -67,11 +77,15 @@ def expired(df: DataFrame, inserted: str, ttl_seconds: int, now: Column | None =
 def seed_workload(ids: DataFrame, active: float, deletes: float, memories: int = 1, seed: int = 0, id_col: str = "vec_id") -> DataFrame:
     """(id, active, deleted, memory): which points start active, which of them go, and which in-memory index takes an insert."""
 
+    def number(salt: int) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(f"{seed}:{salt}"), F.col(id_col).cast("string")))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
     def draw(salt: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(id_col)), F.lit(1_000_000)) / 1_000_000.0
+        return number(salt) % 1_000_000 / F.lit(1_000_000.0)
 
     on = draw(1) < active
-    return ids.select(id_col, on.alias("active"), (on & (draw(2) < deletes)).alias("deleted"), F.when(~on, F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(memories))).cast("bigint").alias("memory"))
+    return ids.select(id_col, on.alias("active"), (on & (draw(2) < deletes)).alias("deleted"), F.when(~on, number(3) % memories).alias("memory"))
 
 
 @dataclass
@@ -79,7 +93,9 @@ class VectorStore:
     """A versioned table of vectors with a delta and tombstones, in Parquet under one folder.
 
     Files are only ever added: inserts and deletes carry a rising number, and a row is visible
-    where no later delete names it and no later insert replaces it. One writer, any readers.
+    where no later delete names it and no later insert replaces it. One writer, any readers: a
+    merge writes the next version beside the old one and then publishes its number, so that a
+    search that runs meanwhile goes on reading its own version.
     """
 
     spark: SparkSession
@@ -87,19 +103,24 @@ class VectorStore:
     merge_rows: int = 30_000_000
     id_col: str = "vec_id"
 
-    def _exists(self, at: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{at}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def _read(self, kind: str) -> DataFrame | None:
-        at = f"v{self._version()}/{kind}"
-        return self.spark.read.parquet(f"{self.path}/{at}") if self._exists(at) else None
+    def _read(self, kind: str, version: int | None = None) -> DataFrame | None:
+        """The base, or all inserts ("delta") or deletes ("tombstones") so far; each is a folder that counts once it is complete."""
+        at = f"{self.path}/v{self._version() if version is None else version}"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(at).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path(at))]
+        whole = [f"{at}/{n}" for n in sorted(names) if n.split("-")[0] == kind and fs.exists(path(f"{at}/{n}/_SUCCESS"))]
+        return self.spark.read.parquet(*whole) if whole else None
 
     def _version(self) -> int:
-        return int(self.spark.read.text(f"{self.path}/current").first().value) if self._exists("current") else 0
+        """The highest version that was published. A pointer is an empty file of its own that appears at once and never changes."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=0) if fs.exists(p) else 0
 
     def _point(self, version: int) -> None:
-        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{version}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p, False).close()
 
     def create(self, base: DataFrame) -> VectorStore:
         base.write.parquet(f"{self.path}/v0/base")
@@ -107,7 +128,8 @@ class VectorStore:
         return self
 
     def insert(self, rows: DataFrame) -> None:
-        rows.withColumn("__seq", F.lit(time.time_ns())).write.mode("append").parquet(f"{self.path}/v{self._version()}/delta")
+        seq = time.time_ns()
+        rows.withColumn("__seq", F.lit(seq)).write.parquet(f"{self.path}/v{self._version()}/delta-{seq}")
         if self._read("delta").count() >= self.merge_rows:
             self.merge()
 
@@ -118,7 +140,7 @@ class VectorStore:
         tags.select(F.col(tags.columns[0]).cast("bigint").alias("tag")).distinct().write.parquet(f"{at}/asked-{seq}")
         asked = self.spark.read.parquet(f"{at}/asked-{seq}")
         failed_deletes(asked, self.rows(), "tag", self.id_col).write.parquet(f"{at}/failed-{seq}")
-        asked.withColumn("__seq", F.lit(seq)).write.mode("append").parquet(f"{at}/tombstones")
+        asked.withColumn("__seq", F.lit(seq)).write.parquet(f"{at}/tombstones-{seq}")
         return self.spark.read.parquet(f"{at}/failed-{seq}")
 
     def eager_delete(self, tags: DataFrame) -> DataFrame:
@@ -128,7 +150,9 @@ class VectorStore:
         return failed
 
     def rows(self) -> DataFrame:
-        base, delta, dead = self._read("base"), self._read("delta"), self._read("tombstones")
+        """What is visible now. All parts are of one version, whatever is merged meanwhile."""
+        version = self._version()
+        base, delta, dead = (self._read(kind, version) for kind in ("base", "delta", "tombstones"))
         if dead is not None:
             dead = dead.groupBy(F.col("tag").alias(self.id_col)).agg(F.max("__seq").alias("__dead"))
         if delta is not None:
@@ -151,6 +175,38 @@ class VectorStore:
         self._point(version + 1)
 
 
+def update_while_searching(store: VectorStore, queries: DataFrame, k: int, steps: list[tuple[str, DataFrame]], **how) -> list[list]:
+    """Apply ("insert" | "delete", rows) steps with a merge after each while another thread goes on searching.
+
+    Returns the results of all searches, each of which saw one version whole.
+    """
+    import threading
+
+    found: list[list] = []
+    failed: list[BaseException] = []
+    stop = threading.Event()
+
+    def search() -> None:
+        try:
+            while not stop.is_set():
+                found.append(store.search(queries, k, **how).collect())
+        except BaseException as e:  # noqa: BLE001 - raised below, in the caller's thread
+            failed.append(e)
+
+    reader = threading.Thread(target=search)
+    reader.start()
+    try:
+        for op, rows in steps:
+            store.insert(rows) if op == "insert" else store.delete(rows)
+            store.merge()
+    finally:
+        stop.set()
+        reader.join()
+    if failed:
+        raise failed[0]
+    return found
+
+
 def delete_reinsert_cycles(store: VectorStore, source: DataFrame, share: float, cycles: int, seed: int = 0) -> list[tuple[int, int]]:
     """Each cycle deletes a share of the points by hash, folds that in, and inserts them again.
 

@@ -1,63 +1,258 @@
-"""Product quantisation."""
+"""Product quantisation: codebooks, codes, and search over codes in inverted lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspan.functions import distance
+from vecspan.session import importable
+
+from . import ivf
+from .topk import held, matrix, merge_topk
 
-from .ivf import kmeans
-from .topk import merge_topk
+#: Codes of a book times its components, at most: what a task holds.
+MOST_BOOK = 1 << 22
+#: Numbers of the probing queries that are sent to every task at once; more are searched block by block.
+MOST_PROBE_VALUES = 1 << 24
 
 
 def chunks(df: DataFrame, n: int, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, chunk, part): each vector's n slices of equal length."""
-    if dim % n:
-        raise ValueError(f"{dim} components don't divide into {n} chunks")
-    size = dim // n
+    size = part_size(n, dim)
     v = distance.doubles(F.col(vec_col))
     parts = F.array(*[F.slice(v, c * size + 1, size) for c in range(n)])
     return df.where(F.col(vec_col).isNotNull()).select(id_col, F.posexplode(parts).alias("chunk", "part")).withColumn("chunk", F.col("chunk").cast("bigint"))
 
 
+def part_size(n: int, dim: int) -> int:
+    if dim % n:
+        raise ValueError(f"{dim} components don't divide into {n} chunks")
+    return dim // n
+
+
 def seed_codebook(base: DataFrame, n: int, dim: int, codes: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(chunk, code, center) from the first rows by id."""
-    first = base.where(F.col(id_col) < codes)
+    first = base.where(F.col(vec_col).isNotNull()).orderBy(id_col).limit(codes)
     return chunks(first, n, dim, id_col, vec_col).select("chunk", F.col(id_col).cast("bigint").alias("code"), F.col("part").alias("center"))
 
 
-def train_codebook(base: DataFrame, n: int, dim: int, codes: int = 256, iterations: int = 15, id_col: str = "vec_id", vec_col: str = "embedding", sample: int | None = 256_000) -> DataFrame:
-    """(chunk, code, center) by k-means in each chunk on a bounded sample."""
-    parts = chunks(base, n, dim, id_col, vec_col)
-    out = None
-    for c in range(n):
-        found = kmeans(parts.where(F.col("chunk") == c), codes, iterations, id_col, "part", train_rows=sample)
-        one = found.select(F.lit(c).cast("bigint").alias("chunk"), F.col("cluster_id").alias("code"), F.col("centroid").alias("center"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def book_array(codebook: DataFrame):
+    """(chunks, codes, size) centers, and (chunks, codes) code numbers, in order. A codebook has at most MOST_BOOK numbers."""
+    import numpy as np
 
+    if codebook.agg(F.coalesce(F.sum(F.size("center")), F.lit(0))).first()[0] > MOST_BOOK:
+        raise ValueError(f"the codebook has over {MOST_BOOK} numbers")
+    rows = sorted((r.chunk, r.code, r.center) for r in codebook.select("chunk", "code", "center").collect())
+    n = len({c for c, _, _ in rows})
+    if not n or len(rows) % n:
+        raise ValueError("chunks differ in their number of codes")
+    return np.array([v for _, _, v in rows], np.float64).reshape(n, len(rows) // n, -1), np.array([c for _, c, _ in rows], np.int64).reshape(n, -1)
 
-def encode(df: DataFrame, codebook: DataFrame, n: int, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, chunk, code): the nearest center of each slice (ties: the lower code).
 
-    The codebook is held as one array a chunk (codes * dim numbers, whatever the table's size).
+def train_codebook(base: DataFrame, n: int, dim: int, codes: int = 256, iterations: int = 15, id_col: str = "vec_id", vec_col: str = "embedding", sample: int | None = 256_000, seed: int = 0) -> DataFrame:
+    """(chunk, code, center) by k-means in each chunk; a round is one pass over a bounded sample for all chunks."""
+    import numpy as np
+
+    spark = importable(base.sparkSession)
+    size = part_size(n, dim)
+    base = ivf.sampled(base.where(F.col(vec_col).isNotNull()), sample, id_col, vec_col, seed)
+    first = base.orderBy(id_col).limit(codes).select(vec_col).collect()
+    book = np.array([r[0] for r in first], np.float64).reshape(len(first), n, size).transpose(1, 0, 2)
+    for _ in range(iterations if len(first) else 0):
+        shared = spark.sparkContext.broadcast(book)
+
+        def by_chunk(batch, shared=shared):
+            from vecspan.functions.distance import nearest
+
+            vec = matrix(batch.column(0)).reshape(batch.num_rows, n, size)
+            for c in range(n):
+                part = np.ascontiguousarray(vec[:, c])
+                i, j, _ = nearest(part, shared.value[c], 1, "l2_sq")
+                yield c, j, part[i]
+
+        moved = ivf.cluster_means(base.select(vec_col), by_chunk, book.shape[1], size).collect()  # the codebook
+        book = book.copy()
+        for r in moved:
+            book[r.part, r.cluster_id] = np.round(r.mean, 12)
+        shared.unpersist()
+    rows = [(c, k, book[c, k].tolist()) for c in range(book.shape[0]) for k in range(book.shape[1])]
+    return spark.createDataFrame(rows, "chunk bigint, code bigint, center array<double>")
+
+
+def encode_rows(df: DataFrame, codebook: DataFrame, keep: list[str], vec_col: str = "embedding", centroids: DataFrame | None = None) -> DataFrame:
+    """``keep`` columns and codes, an array of a code a chunk: the nearest center of each slice (ties: the lower code).
+
+    With centroids (``keep`` then has cluster_id) what is encoded is the difference from the
+    row's own centroid. Map-only.
     """
-    books = codebook.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("code", "center"))).alias("book"))
-    best = F.array_min(F.transform("book", lambda b: F.struct(distance.l2_sq(F.col("part"), b["center"]).alias("d"), b["code"].alias("code"))))
-    return chunks(df, n, dim, id_col, vec_col).join(F.broadcast(books), "chunk").select(id_col, "chunk", best["code"].alias("code"))
+    import numpy as np
+    import pyarrow as pa
+
+    spark = importable(df.sparkSession)
+    shared = spark.sparkContext.broadcast((*book_array(codebook), *(held(centroids) if centroids is not None else (None, None))))
+    fields = [df.schema[c] for c in keep]
+    at = keep.index("cluster_id") if centroids is not None else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from vecspan.functions.distance import nearest
+
+        book, names, ids, cents = shared.value
+        n, _, size = book.shape
+        for batch in (b for b in batches if b.num_rows):
+            vec = matrix(batch.column(len(keep)))
+            if ids is not None:
+                vec = vec - cents[np.searchsorted(ids, batch.column(at).to_numpy())]
+            vec = vec.reshape(len(vec), n, size)
+            ok = np.flatnonzero(np.isfinite(vec).all((1, 2)))
+            codes = np.empty((len(ok), n), np.int64)
+            for c in range(n):
+                i, j, _ = nearest(np.ascontiguousarray(vec[ok, c]), book[c], 1, "l2_sq")
+                codes[i, c] = names[c][j]
+            lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, n, dtype=np.int32), pa.array(codes.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(ok)) for k in range(len(keep))), lists], names=[*keep, "codes"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "codes array<int>"])
+    return df.where(F.col(vec_col).isNotNull()).select(*keep, vec_col).mapInArrow(run, schema)
+
+
+def encode(df: DataFrame, codebook: DataFrame, n: int, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, chunk, code): the codes of ``encode_rows`` as a row each."""
+    part_size(n, dim)
+    rows = encode_rows(df, codebook, [id_col], vec_col)
+    return rows.select(id_col, F.posexplode("codes").alias("chunk", "code")).select(id_col, F.col("chunk").cast("bigint").alias("chunk"), F.col("code").cast("bigint").alias("code"))
 
 
-def adc_search(codes: DataFrame, codebook: DataFrame, queries: DataFrame, k: int, n: int, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Asymmetric distance search (qid, rank, id, dist).
+@dataclass
+class IvfPqIndex:
+    """Codes in inverted lists: centroids, a codebook, and (cluster_id, id, codes) rows.
 
-    Each query's table of distances to all centers is added up in chunk order along the codes
-    of a row, which are held as one array a row.
+    Codes are of the difference between a vector and its centroid. Distances are approximate:
+    the squared distance of the query to what a row's codes stand for.
     """
-    parts = chunks(queries, n, dim, "qid", vec_col)
-    table = parts.join(F.broadcast(codebook), "chunk").select("qid", "chunk", "code", distance.l2_sq(F.col("part"), F.col("center")).alias("d"))
-    maps = table.groupBy("qid", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("code", "d"))).alias("m"))
-    luts = maps.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", F.map_entries("m").alias("e")))), lambda s: F.map_from_entries(s["e"])).alias("lut"))
-    rows = codes.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "code"))), lambda s: s["code"]).alias("row"))
-    total = F.aggregate(F.zip_with("lut", "row", lambda m, c: F.element_at(m, c)), F.lit(0.0), lambda s, x: s + x)
-    return merge_topk(rows.crossJoin(F.broadcast(luts)).select("qid", id_col, total.alias("dist")), k, id_col)
+
+    centroids: DataFrame
+    codebook: DataFrame
+    lists: DataFrame
+    id_col: str = "vec_id"
+    vec_col: str = "embedding"
+
+    @staticmethod
+    def build(base: DataFrame, nlist: int, n: int, codes: int = 256, iterations: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", learn: DataFrame | None = None, centroids: DataFrame | None = None, codebook: DataFrame | None = None) -> IvfPqIndex:
+        """Centroids and codebook are trained on ``learn`` or the base by the train-size rules, where they aren't given."""
+        from vecspan.functions.vectors import dimension
+
+        source = base if learn is None else learn
+        cents = centroids if centroids is not None else ivf.kmeans(source, nlist, iterations, id_col, vec_col, train_rows=ivf.train_rows(nlist, False))
+        if codebook is None:
+            rows = differences(ivf.sampled(source, ivf.multi_train_rows(256_000, 8), id_col, vec_col), cents, id_col, vec_col)
+            codebook = train_codebook(rows, n, dimension(base, vec_col), codes, iterations, id_col, vec_col, None)
+        rows = ivf.assign(base, cents, "l2_sq", id_col, vec_col, keep=[id_col, vec_col]).drop("dist")
+        return IvfPqIndex(cents, codebook, encode_rows(rows, codebook, ["cluster_id", id_col], vec_col, cents), id_col, vec_col)
+
+    def add(self, rows: DataFrame) -> IvfPqIndex:
+        """A new index that holds more rows; centroids and codebook stay."""
+        new = ivf.assign(rows, self.centroids, "l2_sq", self.id_col, self.vec_col, keep=[self.id_col, self.vec_col]).drop("dist")
+        codes = encode_rows(new, self.codebook, ["cluster_id", self.id_col], self.vec_col, self.centroids)
+        return IvfPqIndex(self.centroids, self.codebook, self.lists.unionByName(codes), self.id_col, self.vec_col)
+
+    def save(self, path: str) -> None:
+        """Parquet tables, the codes partitioned by cluster, and a manifest."""
+        self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+        self.codebook.write.mode("overwrite").parquet(f"{path}/codebook")
+        ivf.write_lists_table(self.lists, f"{path}/lists", self.id_col)
+        manifest = json.dumps({"kind": "ivfpq", "id_col": self.id_col, "vec_col": self.vec_col})
+        self.lists.sparkSession.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> IvfPqIndex:
+        m = json.loads(spark.read.text(f"{path}/manifest").first().value)
+        lists = spark.read.parquet(f"{path}/lists").withColumn("cluster_id", F.col("cluster_id").cast("bigint"))
+        return IvfPqIndex(spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/codebook"), lists, m["id_col"], m["vec_col"])
+
+    def search(self, queries: DataFrame, k: int, nprobe: int, where: Column | str | None = None) -> DataFrame:
+        """(qid, rank, id, dist) over the codes of the probed clusters.
+
+        Probes, (query, cluster) pairs with the query's vector, go to every task in blocks of at
+        most MOST_PROBE_VALUES numbers, a map-only scan of the codes each, which reads the probed
+        clusters' partitions only; a task passes on the k best of a query, cluster and batch.
+        """
+        probes = ivf.probe(queries, self.centroids, nprobe, vec_col=self.vec_col)
+        asked = probes.select("qid", "cluster_id").join(queries.select("qid", distance.doubles(F.col(self.vec_col)).alias("q")), "qid")
+        lists = self.lists.where(where) if where is not None else self.lists
+        found, block, values = None, [], 0
+        for r in asked.toLocalIterator():
+            block.append((r.qid, r.cluster_id, r.q))
+            values += len(r.q)
+            if values >= MOST_PROBE_VALUES:
+                part = self._scan(lists, block, k)
+                found = part if found is None else found.unionByName(part)
+                block, values = [], 0
+        if block or found is None:
+            part = self._scan(lists, block, k)
+            found = part if found is None else found.unionByName(part)
+        return merge_topk(found, k, self.id_col)
+
+    def _scan(self, lists: DataFrame, block: list, k: int) -> DataFrame:
+        import numpy as np
+        import pyarrow as pa
+
+        spark = importable(lists.sparkSession)
+        by: dict[int, list] = {}
+        for qid, cluster, q in sorted(block):
+            by.setdefault(cluster, []).append((qid, q))
+        ids, cents = held(self.centroids)
+        at = {int(c): i for i, c in enumerate(ids)}
+        probes = {c: (np.array([q for q, _ in x], np.int64), np.array([v for _, v in x], np.float64) - cents[at[c]]) for c, x in by.items()}
+        shared = spark.sparkContext.broadcast((probes, *book_array(self.codebook)))
+        kind = lists.schema[self.id_col].dataType.simpleString()
+        id_col = self.id_col
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from vecspan.functions.distance import exact
+
+            probes_, book, names = shared.value
+            n, width, size = book.shape
+            place = [np.argsort(x) for x in names]
+            for batch in (b for b in batches if b.num_rows):
+                cluster, own = batch.column(0).to_numpy(), batch.column(1)
+                codes = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, n)
+                codes = np.stack([place[c][np.searchsorted(names[c], codes[:, c], sorter=place[c])] for c in range(n)], 1)
+                for c in np.unique(cluster):
+                    if int(c) not in probes_:
+                        continue
+                    rows = np.flatnonzero(cluster == c)
+                    qids, diff = probes_[int(c)]
+                    for qid, q in zip(qids.tolist(), diff.reshape(len(qids), n, size), strict=True):
+                        table = np.stack([exact(np.repeat(q[x][None], width, 0), book[x], "l2_sq") for x in range(n)])
+                        total = np.zeros(len(rows))
+                        for x in range(n):
+                            total += table[x, codes[rows, x]]
+                        near = np.flatnonzero(total <= np.partition(total, min(k, len(total)) - 1)[min(k, len(total)) - 1])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), qid)), own.take(pa.array(rows[near])), pa.array(total[near])], names=["qid", id_col, "dist"])
+
+        some = lists.where(F.col("cluster_id").isin(sorted(by))) if len(by) < 1000 else lists
+        return some.select("cluster_id", id_col, "codes").mapInArrow(run, f"qid bigint, `{id_col}` {kind}, dist double")
+
+
+def differences(df: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, vector): each vector minus its nearest centroid."""
+    rows = ivf.assign(df, centroids, "l2_sq", id_col, vec_col, keep=[id_col, vec_col])
+    minus = F.zip_with(distance.doubles(F.col(vec_col)), F.col("centroid"), lambda x, c: x - c)
+    return rows.join(F.broadcast(centroids), "cluster_id").select(id_col, minus.alias(vec_col))
+
+
+def flat(base: DataFrame, codebook: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> IvfPqIndex:
+    """Codes without inverted lists: one list around the origin."""
+    origin = base.sparkSession.createDataFrame([(0, [0.0] * dim)], "cluster_id bigint, centroid array<double>")
+    rows = base.select(F.lit(0).cast("bigint").alias("cluster_id"), id_col, vec_col)
+    return IvfPqIndex(origin, codebook, encode_rows(rows, codebook, ["cluster_id", id_col], vec_col), id_col, vec_col)
+
+
+def adc_search(base: DataFrame, codebook: DataFrame, queries: DataFrame, k: int, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Asymmetric distance search (qid, rank, id, dist) over the codes of all rows."""
+    return flat(base, codebook, dim, id_col, vec_col).search(queries, k, 1)

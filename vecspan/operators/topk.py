@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspan.functions import distance
-from vecspan.session import importable
+from vecspan.session import importable, work_dir
 
 #: Queries whose vectors are sent to every task at once; more are searched block by block.
 QUERY_BLOCK = 4096
+#: Blocks of queries that pass through the driver; beyond, queries and base are joined block by block.
+MOST_BLOCKS = 16
+#: Base rows that a task of the block join holds.
+BASE_BLOCK = 65_536
 
 
 def top_by(df: DataFrame, by: list[str], k: int, order: list[str], rank: str = "rank") -> DataFrame:
@@ -27,8 +31,8 @@ def merge_topk(parts: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
 
 def pairs(base: DataFrame, queries: DataFrame, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Every (query, base row) with its distance, as a declarative plan; queries are broadcast in blocks of about QUERY_BLOCK."""
-    b = base.select(F.col(id_col), distance.doubles(F.col(vec_col)).alias("v"))
-    q = queries.select("qid", distance.doubles(F.col(vec_col)).alias("q"))
+    b = base.where(distance.finite(F.col(vec_col))).select(F.col(id_col), distance.doubles(F.col(vec_col)).alias("v"))
+    q = queries.where(distance.finite(F.col(vec_col))).select("qid", distance.doubles(F.col(vec_col)).alias("q"))
     d = distance.metric(metric)(F.col("q"), F.col("v"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out = None
@@ -44,8 +48,10 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2_sq"
 
     ``queries`` has qid and the vector column. ``where`` filters the base before the search.
     "arrow" scans batches of base vectors with a matrix product and passes on the k best of each
-    batch; queries come in blocks of QUERY_BLOCK, each of which is broadcast. "sql" is the same
-    as a broadcast join over built-in functions. Null vectors are skipped.
+    batch; queries come in blocks of QUERY_BLOCK, each of which is broadcast; more than MOST_BLOCKS
+    blocks are searched by ``block_join`` instead. "sql" is the same as a broadcast join over
+    built-in functions. Null vectors and those with a component that is null or not finite are
+    skipped, on either side.
     """
     distance.metric(metric)
     base = base.where(where) if where is not None else base
@@ -56,6 +62,9 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2_sq"
     if method != "arrow":
         raise ValueError(f"unknown method {method!r}")
     rows = base.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"))
+    if queries.limit(MOST_BLOCKS * QUERY_BLOCK + 1).count() > MOST_BLOCKS * QUERY_BLOCK:
+        found = block_join(rows, queries.select(F.col("qid").cast("bigint").alias("qid"), F.col(vec_col).alias("v")), k, metric)
+        return merge_topk(found.withColumnRenamed("id", id_col), k, id_col)
     found = None
     block: list = []
     source = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col(vec_col).alias("v")).toLocalIterator()
@@ -71,6 +80,49 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2_sq"
     return merge_topk(found.withColumnRenamed("id", id_col), k, id_col)
 
 
+def block_join(rows: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """(qid, id, dist): of each block of base rows the k nearest of every query, for any number of queries.
+
+    Base rows (id, v) are dealt by hash into blocks of about BASE_BLOCK rows, and queries (qid, v)
+    are sent to each block, where they stream past the block's rows. Nothing passes through the
+    driver; what moves is the base once and the queries once a block.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    importable(rows.sparkSession)
+    blocks = max(1, -(-rows.count() // BASE_BLOCK))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    base = rows.select(block.alias("block"), F.lit(0).alias("side"), "id", distance.doubles(F.col("v")).alias("v"))
+    each = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), F.col("qid").alias("id"), distance.doubles(F.col("v")).alias("v"))
+    both = base.unionByName(each).repartition("block").sortWithinPartitions("block", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from vecspan.functions.distance import nearest
+
+        held: list[tuple] = []
+        ids = vec = at = None
+        for batch in (b for b in batches if b.num_rows):
+            key = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                part, here = batch.slice(i, j - i), int(key[i])
+                if here % 2 == 0:
+                    held = held if at == here else []
+                    held.append((part.column(2).to_numpy(), matrix(part.column(3))))
+                    ids, at = None, here
+                elif held and here == at + 1:
+                    if ids is None:
+                        ids, vec = (np.concatenate(x) for x in zip(*held, strict=True))
+                        by = np.argsort(ids, kind="stable")
+                        ids, vec = ids[by], vec[by]
+                    q, d_ = part.column(2).to_numpy(), matrix(part.column(3))
+                    x, y, d = nearest(d_, vec, k, metric)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[x]), pa.array(ids[y]), pa.array(d)], names=["qid", "id", "dist"])
+
+    return both.mapInArrow(run, "qid bigint, id bigint, dist double")
+
+
 def matrix(column):
     """(n, dim) doubles of an Arrow list column without nulls; all lists of one length."""
     import numpy as np
@@ -108,6 +160,17 @@ def _scan(rows: DataFrame, queries: list, k: int, metric: str) -> DataFrame:
     return rows.mapInArrow(run, "qid bigint, id bigint, dist double")
 
 
+def held(refs: DataFrame, ref_id: str = "cluster_id", ref_vec: str = "centroid", most: int = 65_536):
+    """(ids, matrix) of a small table in the order of its ids, after a check that it has at most ``most`` rows."""
+    import numpy as np
+
+    rows = refs.select(F.col(ref_id).cast("bigint").alias("r"), F.col(ref_vec).alias("v")).where("v is not null").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the table to rank against has over {most} rows")
+    rows.sort(key=lambda r: r.r)
+    return np.array([r.r for r in rows], np.int64), np.array([r.v for r in rows], np.float64).reshape(len(rows), -1)
+
+
 def rank_small(df: DataFrame, refs: DataFrame, k: int, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", ref_id: str = "cluster_id", ref_vec: str = "centroid", most: int = 65_536, keep: list[str] | None = None) -> DataFrame:
     """The k nearest of a small table for each row: ``keep`` (the id), ``ref_id``, rank, dist. Map-only.
 
@@ -118,11 +181,7 @@ def rank_small(df: DataFrame, refs: DataFrame, k: int, metric: str = "l2_sq", id
 
     keep = keep or [id_col]
     spark = importable(df.sparkSession)
-    held = refs.select(F.col(ref_id).cast("bigint").alias("r"), F.col(ref_vec).alias("v")).where("v is not null").limit(most + 1).collect()
-    if len(held) > most:
-        raise ValueError(f"the table to rank against has over {most} rows")
-    held.sort(key=lambda r: r.r)
-    shared = spark.sparkContext.broadcast((np.array([r.r for r in held], np.int64), np.array([r.v for r in held], np.float64).reshape(len(held), -1)))
+    shared = spark.sparkContext.broadcast(held(refs, ref_id, ref_vec, most))
     fields = [df.schema[c] for c in keep]
     rows = df.where(F.col(vec_col).isNotNull()).select(*keep, F.col(vec_col).alias("__v"))
 
@@ -143,11 +202,24 @@ def rank_small(df: DataFrame, refs: DataFrame, k: int, metric: str = "l2_sq", id
 
 
 def farther_count(dists: DataFrame) -> DataFrame:
-    """Per query and row, how many rows are strictly farther, and the rank that follows without ties."""
-    n = F.count("*").over(Window.partitionBy("qid"))
-    up_to = F.count("*").over(Window.partitionBy("qid").orderBy("dist").rangeBetween(Window.unboundedPreceding, 0))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "vec_id")).cast("bigint")
-    return dists.select("qid", "vec_id", (n - up_to).alias("farther"), rank.alias("rank"))
+    """Per query and row, how many rows are strictly farther, and the rank that follows without ties.
+
+    (qid, vec_id, dist) rows are sorted into ranges of (qid, dist), which take a query's rows
+    apart; a range knows how many rows of its first query lie before it, and equal distances
+    share a range. No task holds all rows of a query.
+    """
+    spread = dists.select("qid", "vec_id", "dist").repartitionByRange("qid", "dist").withColumn("part", F.spark_partition_id())
+    path = work_dir(dists.sparkSession, "ranges")
+    spread.write.parquet(path)  # the ranges must be the same for all uses
+    spread = dists.sparkSession.read.parquet(path)
+    # A row for each query and range that has rows of it.
+    sizes = spread.groupBy("qid", "part").agg(F.count("*").alias("n"))
+    over = Window.partitionBy("qid").orderBy("part")
+    sizes = sizes.select("qid", "part", F.sum("n").over(Window.partitionBy("qid")).alias("all"), F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part", "qid").orderBy("dist", "vec_id")
+    up_to = F.count("*").over(Window.partitionBy("part", "qid").orderBy("dist").rangeBetween(Window.unboundedPreceding, 0))
+    each = spread.select("qid", "vec_id", "part", up_to.alias("up_to"), F.row_number().over(inside).alias("place")).join(sizes, ["qid", "part"])
+    return each.select("qid", "vec_id", (F.col("all") - F.col("before") - F.col("up_to")).alias("farther"), (F.col("before") + F.col("place")).cast("bigint").alias("rank"))
 
 
 def k_sweep(results: DataFrame, most: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -26,12 +27,21 @@ def importable(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the session's checkpoint folder, which all executors share.
 
-    Only where the session names none (on one machine) is a temporary one set.
+    Only where the session names none and runs on one machine is a temporary one set; on a
+    cluster that is an error, as a machine's own folder isn't seen by the others.
     """
-    import tempfile
     import uuid
 
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; see ``work_dir``."""
+    import tempfile
+
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="vecspan-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return sc._jsc.sc().getCheckpointDir().get()

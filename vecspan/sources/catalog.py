@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ class Collection:
     vector_field: str
     dim: int
     ttl_seconds: int | None = None
+    _loaded: object = field(default=None, repr=False, compare=False)
 
     @property
     def _rows(self) -> str:
@@ -48,14 +49,58 @@ class Collection:
         index = ivf.IvfIndex.build(self.rows(), nlist, iterations, id_col=self.id_field, vec_col=self.vector_field)
         index.save(f"{self.root}/{self.name}/index")
 
+    def has_index(self) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.name}/index/manifest/_SUCCESS")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def drop_index(self) -> None:
+        """Searches with nprobe are an error until an index is created again; rows stay."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.name}/index")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.release()
+
+    def flush(self) -> int:
+        """Rewrite the rows that many small inserts have left as files of a good size; the rows there are afterwards."""
+        rows = self.spark.read.option("mergeSchema", True).parquet(self._rows)
+        fresh = f"{self.root}/{self.name}/rows-{time.time_ns()}"
+        rows.repartitionByRange(max(1, -(-rows.count() // 1_000_000)), self.id_field).write.parquet(fresh)
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self._rows).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = f"{self._rows}-old-{time.time_ns()}"
+        fs.rename(fs_path(self._rows), fs_path(old))
+        fs.rename(fs_path(fresh), fs_path(self._rows))
+        fs.delete(fs_path(old), True)
+        return self.count()
+
+    def load(self) -> Collection:
+        """Keep the index's lists, or without an index the rows, in the executors' memory and disks until ``release``."""
+        self.release()
+        if self.has_index():
+            index = self.index()
+            index.lists = index.lists.persist()
+            self._loaded = index
+        else:
+            self._loaded = self.rows().persist()
+        return self
+
+    def release(self) -> None:
+        if self._loaded is not None:
+            getattr(self._loaded, "lists", self._loaded).unpersist()
+            self._loaded = None
+
     def index(self) -> ivf.IvfIndex:
+        if isinstance(self._loaded, ivf.IvfIndex):
+            return self._loaded
+        if not self.has_index():
+            raise KeyError(f"{self.name} has no index")
         return ivf.IvfIndex.load(self.spark, f"{self.root}/{self.name}/index")
 
     def search(self, queries: DataFrame, k: int, nprobe: int | None = None, expr: Column | str | None = None, metric: str = "l2_sq") -> DataFrame:
         """(qid, rank, id, dist); over the index with ``nprobe``, else exact. ``expr`` filters first."""
         if nprobe is not None:
             return self.index().search(queries, k, nprobe, expr)
-        return exact_knn(self.rows(), queries, k, metric, expr, id_col=self.id_field, vec_col=self.vector_field)
+        rows = self.rows() if self._loaded is None or isinstance(self._loaded, ivf.IvfIndex) else self._loaded
+        return exact_knn(rows, queries, k, metric, expr, id_col=self.id_field, vec_col=self.vector_field)
 
     def timed_search(self, queries: DataFrame, k: int, **how) -> tuple[float, list]:
         """(milliseconds, result rows)."""

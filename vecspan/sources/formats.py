@@ -10,7 +10,10 @@
 
 All are little-endian. A path names a file or a folder of part files, which are read in the
 order of their names; vec_id is the ordinal over all of them. Options ``start`` and ``count``
-read a range of rows, and ``rows_per_split`` bounds a split. Paths may be of any store that
+read a range of rows, as do filters of vec_id, which are pushed down where the session allows it
+(``register`` asks for it); ``rows_per_split`` bounds a split. A trace is also a stream, whose
+files become batches as they appear. Option ``offset`` is the byte at which a matrix with a header
+begins inside a file. Paths may be of any store that
 ``pyarrow.fs`` opens by URI.
 """
 
@@ -21,7 +24,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from vecspan.session import importable
@@ -40,13 +44,22 @@ _TYPES = {
 }
 
 
-def files(path: str):
-    """(file system, [(path, bytes)]) of a file or a folder's files, in the order of their names."""
+def opened(path: str):
+    """(file system, path in it)."""
     import os
+    import re
+
+    from pyarrow import fs
+
+    path = re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+
 
+def files(path: str):
+    """(file system, [(path, bytes)]) of a file or a folder's files, in the order of their names."""
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    store, at = opened(path)
     info = store.get_file_info(at)
     if info.type == fs.FileType.File:
         return store, [(info.path, info.size)]
@@ -91,6 +104,22 @@ class _Vectors(DataSource):
 class _VectorReader(DataSourceReader):
     def __init__(self, kind: str, options: dict):
         self.kind, self.options = kind, options
+        #: The rows that pushed filters leave: [low, high).
+        self.low, self.high = 0, 1 << 62
+
+    def pushFilters(self, filters: list[Filter]):
+        """Take the bounds of vec_id; every filter is still applied to what is read."""
+        for f in filters:
+            if getattr(f, "attribute", None) != ("vec_id",):
+                yield f
+                continue
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, int(f.value) + isinstance(f, GreaterThan))
+            if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                self.high = min(self.high, int(f.value) + (not isinstance(f, LessThan)))
+            if isinstance(f, In) and f.value:
+                self.low, self.high = max(self.low, min(f.value)), min(self.high, max(f.value) + 1)
+            yield f
 
     def _head(self, store, path: str, size: int) -> tuple[int, int, int, int]:
         """(rows, dim, bytes before the rows, bytes of a row)."""
@@ -100,7 +129,9 @@ class _VectorReader(DataSourceReader):
         if self.kind == "dat":
             dim = int(self.options["dim"])
             return size // (dim * item), dim, 0, dim * item
+        offset = int(self.options.get("offset", 0))
         with store.open_input_file(path) as f:
+            f.seek(offset)
             head = f.read(8)
         if self.kind.endswith("vecs"):
             if not size:
@@ -110,14 +141,15 @@ class _VectorReader(DataSourceReader):
                 raise ValueError(f"{path} isn't {self.kind} of one dimension")
             return size // (4 + dim * item), dim, 0, 4 + dim * item
         rows, dim = struct.unpack("<ii", head)
-        if size < 8 + rows * dim * item:
+        if size < offset + 8 + rows * dim * item:
             raise ValueError(f"{path} ends before its {rows} rows")
-        return rows, dim, 8, dim * item
+        return rows, dim, offset + 8, dim * item
 
     def partitions(self) -> list[Split]:
         store, parts = files(self.options["path"])
         start = int(self.options.get("start", 0))
         end = start + int(self.options["count"]) if "count" in self.options else 1 << 62
+        start, end = max(start, self.low), min(end, self.high)
         most = int(self.options.get("rows_per_split", 100_000))
         out, ordinal = [], 0
         for path, size in parts:
@@ -163,12 +195,7 @@ class _VectorWriter(DataSourceArrowWriter):
         self.kind, self.options, self.overwrite = kind, options, overwrite
 
     def _store(self):
-        import os
-
-        from pyarrow import fs
-
-        path = self.options["path"]
-        store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+        store, at = opened(self.options["path"])
         store.create_dir(at, recursive=True)
         return store, at
 
@@ -291,34 +318,75 @@ class _Trace(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _TraceReader(dict(self.options))
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _TraceStream(dict(self.options))
+
+
+def _trace_splits(options: dict, first: int = 0, end: int = 1 << 62) -> list[Split]:
+    """Ranges of tags of the batches from ``first`` to before ``end``; a file is a batch, by its place among the names."""
+    store, parts = files(options["path"])
+    most = int(options.get("rows_per_split", 1_000_000))
+    out = []
+    for b, (path, size) in list(enumerate(parts))[first:end]:
+        with store.open_input_file(path) as f:
+            m = struct.unpack("<I", f.read(4))[0] if size >= 4 else 0
+        if size < 4 + 8 * m:
+            raise ValueError(f"{path} ends before its {m} inserts")
+        out += [Split(path, at, min(most, 2 * m - at), 0, b, 4, 4, m) for at in range(0, 2 * m, most)]
+    return out or [Split("", 0, 0, 0, 0, 0, 1, 0)]
+
+
+def _trace_rows(options: dict, split: Split) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    if not split.rows:
+        return
+    store, _ = files(options["path"])
+    with store.open_input_file(split.path) as f:
+        tags = np.frombuffer(f.read_at(4 * split.rows, split.head + 4 * split.first), "<u4").astype(np.int64)
+    insert = np.arange(split.first, split.first + split.rows) >= split.total
+    ops = pa.array(["delete", "insert"]).take(pa.array(insert.astype(np.int64)))
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tags), split.ordinal)), ops, pa.array(tags)], names=["batch", "op", "tag"])
+
 
 class _TraceReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self) -> list[Split]:
-        _, parts = files(self.options["path"])
-        return [Split(path, 0, size, 0, b, 0, 1, 0) for b, (path, size) in enumerate(parts)] or [Split("", 0, 0, 0, 0, 0, 1, 0)]
+        return _trace_splits(self.options)
 
     def read(self, split: Split) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+        return _trace_rows(self.options, split)
 
-        if not split.rows:
-            return
-        store, _ = files(self.options["path"])
-        with store.open_input_file(split.path) as f:
-            raw = np.frombuffer(f.read(), "<u4").astype(np.int64)
-        m = int(raw[0])
-        if len(raw) < 1 + 2 * m:
-            raise ValueError(f"{split.path} ends before its {m} inserts")
-        ops = ["delete"] * m + ["insert"] * m
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(2 * m, split.ordinal)), pa.array(ops, pa.string()), pa.array(raw[1 : 1 + 2 * m])], names=["batch", "op", "tag"])
+
+class _TraceStream(DataSourceStreamReader):
+    """The offset is the number of files read; files are to appear in the order of their names."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def initialOffset(self) -> dict:
+        return {"files": 0}
+
+    def latestOffset(self) -> dict:
+        return {"files": len(files(self.options["path"])[1])}
+
+    def partitions(self, start: dict, end: dict) -> list[Split]:
+        return _trace_splits(self.options, start["files"], end["files"])
+
+    def read(self, split: Split) -> Iterator:
+        return _trace_rows(self.options, split)
+
+    def commit(self, end: dict) -> None:
+        """Nothing to let go of."""
 
 
 def register(spark: SparkSession) -> SparkSession:
     """Make the formats known to the session."""
     importable(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for kind in _TYPES:
         spark.dataSource.register(type(kind, (_Vectors,), {"kind": kind, "__module__": __name__, "__reduce__": _Vectors.__reduce__}))
     spark.dataSource.register(_Truth)
@@ -344,21 +412,102 @@ def write_vectors(df: DataFrame, path: str, kind: str, mode: str = "append", id_
 
 
 def write_truthset(truth: DataFrame, path: str, tag_col: str | None = None) -> None:
-    """(qid, rank, vec_id, dist) as one truthset file. The file has a header and three matrices, and so is written in one piece from the driver's iterator."""
+    """(qid, rank, vec_id, dist) as one truthset file.
+
+    The file is a header and three matrices, one after the other, and so is written in three
+    passes over the sorted rows, of which the driver holds a partition at a time.
+    """
     import numpy as np
 
-    cols = ["qid", "rank", "vec_id", "dist"] + ([tag_col] if tag_col else [])
-    rows = list(truth.select(*cols).orderBy("qid", "rank").toLocalIterator())
-    n = len({r.qid for r in rows})
-    k = len(rows) // n if n else 0
-    if n * k != len(rows):
+    per = truth.groupBy("qid").agg(F.count("*").alias("k")).agg(F.count("*"), F.min("k"), F.max("k")).first()
+    n, low, k = per[0], per[1] or 0, per[2] or 0
+    if low != k:
         raise ValueError("queries differ in their number of neighbours")
-    ids = np.array([r.vec_id for r in rows], "<u4")
-    tags = np.array([r[4] for r in rows], "<u4") if tag_col else ids
-    from pyarrow import fs
-
+    order = truth.select("qid", "rank", F.col("vec_id").alias("id"), "dist", F.col(tag_col or "vec_id").alias("tag")).orderBy("qid", "rank")
+    store, at = opened(path)
+    with store.open_output_stream(at) as f:
+        f.write(struct.pack("<ii", n, k))
+        for column, kind in (("id", "<u4"), ("dist", "<f4"), ("tag", "<u4")):
+            held: list = []
+            for r in order.select("qid", "rank", column).toLocalIterator():
+                held.append(r[2])
+                if len(held) == 1 << 16:
+                    f.write(np.array(held, kind).tobytes())
+                    held = []
+            f.write(np.array(held, kind).tobytes())
+
+
+def save_matrix(df: DataFrame, path: str, kind: str = "fbin", offset: int = 0, id_col: str = "vec_id", vec_col: str = "embedding") -> int:
+    """Rows in the order of their ids as one matrix with its header, from byte ``offset`` of a local file on; returns the bytes written.
+
+    What the file has before stays. Read it with the option ``offset``. A file's inside can only
+    be written from one place, so rows pass through the driver a partition at a time; use
+    ``write_vectors`` for tables.
+    """
     import os
 
-    store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    import numpy as np
+
+    if not kind.endswith("bin"):
+        raise ValueError(f"{kind} has no header")
+    dtype = np.dtype(_TYPES[kind][0])
+    rows, dim, written = 0, 0, 8
+    with open(path, "r+b" if os.path.exists(path) else "w+b") as f:
+        f.seek(offset + 8)
+        for r in df.select(id_col, vec_col).orderBy(id_col).toLocalIterator():
+            raw = np.array(r[1]).astype(dtype)
+            if rows and len(raw) != dim:
+                raise ValueError("vectors differ in length")
+            rows, dim = rows + 1, len(raw)
+            written += f.write(raw.tobytes())
+        f.seek(offset)
+        f.write(struct.pack("<ii", rows, dim))
+    return written
+
+
+def write_result_matrix(results: DataFrame, path: str, k: int, id_col: str = "vec_id") -> None:
+    """(qid, rank, id, dist) as int32 queries, int32 k, then of each query in turn k pairs of uint32 id and float32 distance.
+
+    Missing ranks are id 4294967295 and an infinite distance. Written like a truthset, a
+    partition at a time.
+    """
+    import numpy as np
+
+    pair = F.struct("rank", F.col(id_col).alias("id"), "dist")
+    lines = results.where(F.col("rank") <= k).groupBy("qid").agg(F.sort_array(F.collect_list(pair)).alias("r"))
+    n = lines.count()
+    store, at = opened(path)
+    kind = np.dtype([("id", "<u4"), ("dist", "<f4")])
     with store.open_output_stream(at) as f:
-        f.write(struct.pack("<ii", n, k) + ids.tobytes() + np.array([r.dist for r in rows], "<f4").tobytes() + tags.tobytes())
+        f.write(struct.pack("<ii", n, k))
+        for line in lines.orderBy("qid").toLocalIterator():
+            row = np.zeros(k, kind)
+            row["id"], row["dist"] = 4294967295, np.inf
+            for x in line.r:
+                row[x["rank"] - 1] = (x["id"], x["dist"])
+            f.write(row.tobytes())
+
+
+def write_trace(ops: DataFrame, path: str) -> None:
+    """(batch, op, tag) rows as a trace: a file a batch, named in order. A batch has as many inserts as deletes.
+
+    A file is written from one place, so a batch's tags pass through the driver a partition at a time.
+    """
+    import numpy as np
+
+    store, at = opened(path)
+    store.create_dir(at, recursive=True)
+    counts = ops.groupBy("batch").agg(F.sum((F.col("op") == "delete").cast("bigint")).alias("d"), F.sum((F.col("op") == "insert").cast("bigint")).alias("i")).orderBy("batch").collect()
+    for r in counts:
+        if r.d != r.i:
+            raise ValueError(f"batch {r.batch} has {r.d} deletes and {r.i} inserts")
+        with store.open_output_stream(f"{at}/batch-{r.batch:010d}.bin") as f:
+            f.write(struct.pack("<I", r.d))
+            rows = ops.where(F.col("batch") == r.batch).orderBy("op", "tag").select("tag")
+            held: list[int] = []
+            for x in rows.toLocalIterator():
+                held.append(x.tag)
+                if len(held) == 1 << 16:
+                    f.write(np.array(held, "<u4").tobytes())
+                    held = []
+            f.write(np.array(held, "<u4").tobytes())

@@ -2,38 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LOG_COLUMNS = ("dataset", "nprobe", "index_type", "processor", "search_latency_ms", "throughput_qps", "R_1", "R_10", "R_100", "cpu_usage")
+#: The header of the log files, so that files of other drivers can be read and continued.
+LOG_COLUMNS = ("dataset", "nprobe", "index_type", "processor", "search_latency/ms", "throughput/QPS", "R_1", "R_10", "R_100", "cpu_usage/%")
+
+
+def numbered(rows: DataFrame, name: str = "__row") -> DataFrame:
+    """Adds the row's place in its file, or in a folder's files in the order of their names, from 0.
+
+    ``rows`` comes straight from a file source. Rows are counted by file and split, a row each,
+    and a split's rows follow all those of the splits before it.
+    """
+    at = [F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m")]
+    each = rows.select("*", *at)
+    splits = each.groupBy("__f", "__b").agg(F.min("__m").alias("__low"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("__f", "__b", (F.coalesce(before, F.lit(0)) - F.col("__low")).alias("__start"))
+    return each.join(starts, ["__f", "__b"]).select(*rows.columns, (F.col("__start") + F.col("__m")).cast("bigint").alias(name))
 
 
 def read_lists(spark: SparkSession, path: str) -> DataFrame:
     """(cluster_id, vec_id) from a file whose line i holds the ids of cluster i, joined by commas.
 
-    Lines have no key of their own, so the file is read as one value; blank lines are clusters
-    without rows and keep the others' numbers.
+    Lines have no key of their own and are numbered by split; blank lines are clusters without
+    rows and keep the others' numbers.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("c", "line"))
-    ids = lines.select(F.col("c").cast("bigint").alias("cluster_id"), F.explode(F.split("line", ",")).alias("id"))
+    ids = numbered(spark.read.text(path), "cluster_id").select("cluster_id", F.explode(F.split("value", ",")).alias("id"))
     return ids.select("cluster_id", F.trim("id").alias("id")).where("id <> ''").select("cluster_id", F.col("id").cast("bigint").alias("vec_id"))
 
 
 def write_lists(lists: DataFrame, nlist: int, path: str) -> None:
-    """(cluster_id, ids) as one text of nlist lines; clusters without rows are blank lines."""
+    """(cluster_id, ids) as nlist lines in part files whose names follow the numbers; clusters without rows are blank lines."""
     spark = lists.sparkSession
     full = spark.range(nlist).withColumnRenamed("id", "cluster_id").join(lists, "cluster_id", "left")
-    full.select("cluster_id", F.coalesce("ids", F.lit("")).alias("value")).repartition(1).sortWithinPartitions("cluster_id").select("value").write.mode("overwrite").text(path)
+    full.select("cluster_id", F.coalesce("ids", F.lit("")).alias("value")).repartitionByRange("cluster_id").sortWithinPartitions("cluster_id").select("value").write.mode("overwrite").text(path)
 
 
 def read_tsv(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """(embedding) of lines of white-space separated numbers; another number of fields is an error."""
+    """(vec_id, embedding) of lines of white-space separated numbers, vec_id being the line's place; another number of fields is an error.
+
+    Blank lines are left out, and numbered like others."""
     v = F.split(F.trim("value"), r"\s+").cast("array<float>")
     ok = F.when(F.size(v) == dim, v).otherwise(F.raise_error(F.concat(F.lit(f"expected {dim} fields: "), F.substring("value", 1, 80))))
-    return spark.read.text(path).where(F.trim("value") != "").select(ok.alias("embedding"))
+    return numbered(spark.read.text(path), "vec_id").where(F.trim("value") != "").select("vec_id", ok.alias("embedding"))
 
 
-def write_tsv(df: DataFrame, path: str, vec_col: str = "embedding", mode: str = "overwrite") -> None:
+def write_tsv(df: DataFrame, path: str, vec_col: str = "embedding", mode: str = "overwrite", id_col: str | None = None) -> None:
+    """A vector a line; in the order of an id, where one is named."""
+    df = df if id_col is None else df.repartitionByRange(id_col).sortWithinPartitions(id_col)
     df.select(F.array_join(F.transform(vec_col, lambda x: x.cast("string")), "\t").alias("value")).write.mode(mode).text(path)
 
 
@@ -48,7 +66,7 @@ def read_keyed_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
 
 def append_log(spark: SparkSession, path: str, rows: list[tuple]) -> None:
     """Append measurements, LOG_COLUMNS each, to a CSV log."""
-    schema = ", ".join(f"{c} {'string' if c in ('dataset', 'index_type', 'processor') else 'double'}" for c in LOG_COLUMNS)
+    schema = ", ".join(f"`{c}` {'string' if c in ('dataset', 'index_type', 'processor') else 'double'}" for c in LOG_COLUMNS)
     spark.createDataFrame([tuple(float(v) if isinstance(v, int) else v for v in r) for r in rows], schema).coalesce(1).write.mode("append").option("header", True).csv(path)
 
 
@@ -61,7 +79,7 @@ class CsvDocument:
     @staticmethod
     def load(spark: SparkSession, path: str, header: bool = True, sep: str = ",", schema: str | None = None) -> CsvDocument:
         reader = spark.read.option("header", header).option("sep", sep)
-        return CsvDocument((reader.schema(schema) if schema else reader).csv(path).withColumn("__row", F.monotonically_increasing_id()))
+        return CsvDocument(numbered((reader.schema(schema) if schema else reader).csv(path)))
 
     @property
     def names(self) -> list[str]:
@@ -87,10 +105,28 @@ class CsvDocument:
         return CsvDocument(self.df.drop(name), self.key)
 
     def remove_row(self, at: int) -> CsvDocument:
-        return CsvDocument(self.df.where(F.col(self.key) != at), self.key)
+        """Without the row; those after it move up."""
+        k = F.col(self.key)
+        return CsvDocument(self.df.where(k != at).withColumn(self.key, F.when(k > at, k - 1).otherwise(k)), self.key)
+
+    def insert_row(self, at: int, values: tuple) -> CsvDocument:
+        """A row in the place ``at``; those from there on move down."""
+        k = F.col(self.key)
+        moved = self.df.withColumn(self.key, F.when(k >= at, k + 1).otherwise(k))
+        names = self.names
+        new = self.df.sparkSession.range(1).select(F.lit(at).cast("bigint").alias(self.key), *[F.lit(v).cast(self.df.schema[c].dataType).alias(c) for c, v in zip(names, values, strict=True)])
+        return CsvDocument(moved.unionByName(new), self.key)
+
+    def insert_column(self, at: int, name: str, value) -> CsvDocument:
+        """A column in the place ``at`` among the names."""
+        names = self.names
+        return CsvDocument(self.df.withColumn(name, value).select(*names[:at], name, *names[at:], self.key), self.key)
 
     def append(self, other: CsvDocument) -> CsvDocument:
-        return CsvDocument(self.df.select(*self.names).unionByName(other.df.select(*other.names)).withColumn(self.key, F.monotonically_increasing_id()), self.key)
+        """The other document's rows after these."""
+        last = self.df.agg(F.coalesce(F.max(self.key), F.lit(-1))).first()[0]
+        more = other.df.select(*other.names, (F.col(other.key) + F.lit(last + 1)).alias(self.key))
+        return CsvDocument(self.df.unionByName(more), self.key)
 
     def save(self, path: str, sep: str = ",") -> None:
         self.df.orderBy(self.key).select(*self.names).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)

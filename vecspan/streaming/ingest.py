@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vecspan.operators.maintain import VectorStore
+from vecspan.operators.maintain import VectorStore, latest
 
 
 def apply_batch(store: VectorStore, ops: DataFrame, vectors: DataFrame | None = None) -> None:
-    """Apply (op, tag[, vector]) rows: deletes first, then inserts.
+    """Apply (op, tag[, batch][, vector]) rows, whatever batches they hold: each tag ends as its last batch leaves it.
 
-    Without a vector column the vectors of inserts are fetched from ``vectors`` by tag. The last
-    of repeated inserts isn't known within a batch, so tags are taken once.
+    In a batch deletes come first, then inserts (maintain.latest). Without a vector column the
+    vectors of inserts are fetched from ``vectors`` by tag. Which of several inserts of a tag in
+    its last batch holds isn't defined.
     """
+    if "batch" not in ops.columns:
+        ops = ops.withColumn("batch", F.lit(0).cast("bigint"))
+    last = latest(ops).withColumnRenamed("batch", "last")
+    ops = ops.join(last, ["tag", "op"]).where("batch = last").drop("last")
     deletes = ops.where("op = 'delete'").select("tag").distinct()
     inserts = ops.where("op = 'insert'").dropDuplicates(["tag"])
     if not deletes.isEmpty():
