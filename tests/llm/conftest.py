@@ -2,7 +2,7 @@
 
 import pytest
 
-CLASH = "rep long, n long, epoch long, k1 string, label int, score string, block_rank long"
+CLASH = "rep long, n long, epoch long, k1 string, label int, score string, block_rank long, __block long, __lang string, `a.b` long, key string, c0 long, block long, s string"
 
 
 @pytest.fixture(scope="session")
@@ -25,7 +25,7 @@ def odd_docs(spark):
         (12, "12345 !!! ---", None, "a"),
         (13, "\U0001f600 \u0000 \x1f end", "en", "d"),
     ]
-    rows = [(*r, 0, 1, 2, "k", 3, "s", 4) for r in rows]
+    rows = [(*r, 0, 1, 2, "k", 3, "s", 4, 5, "l", 6, "key", 7, 8, "s") for r in rows]
     return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {CLASH}").repartition(3)
 
 

@@ -81,6 +81,32 @@ def test_held_out_toxicity(spark):
     assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
 
 
+def test_toxicity_query_by_hand(spark):
+    """Every score of the query against a plain loop over all rows: the training rows, their words, and the sum of the weights."""
+    import zlib
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5:
+            labels[r.doc_id] = max(labels.get(r.doc_id, 0), r.toxic)
+    rows = [(docs[d], y) for d, y in sorted(labels.items()) if docs.get(d) is not None and len(docs[d].encode()) <= 1 << 15]
+    model = toxicity.train(rows)
+    got = {r.doc_id: r for r in registry.op5_toxicity(spark, SF).collect()}
+    assert set(got) == set(docs) and sum(labels.values()) > 5
+    for d, text in docs.items():
+        z = model.bias + sum(model.weights.get(f, 0.0) for w in toxicity.words_of(text) for f in {w, *(w[:k] + "*" for k in (4, 5) if len(w) > k)})
+        assert got[d].score == pytest.approx(1 / (1 + math.exp(-max(-60, min(60, z)))), abs=1e-6)
+        assert got[d].predicted == int(got[d].score >= 0.5) and got[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
+
+
+def test_languages_beyond_the_rows(spark):
+    df = spark.createDataFrame([(i, f"l{i}", "some text") for i in range(6)], "doc_id long, lang string, text string")
+    assert len(langid.fit(df, most_rows=6).langs) == 6
+    with pytest.raises(ValueError, match="over 5"):
+        langid.fit(df, most_rows=5)
+
+
 def test_counterfactuals_even_out_identity_terms():
     """A group named in toxic texts only: the penalty takes the blame off its name."""
     rows = [(f"the muslim said hello {i % 7}", 0) for i in range(4)] + [(f"the muslim is awful trash word{i % 5}", 1) for i in range(40)]
@@ -105,7 +131,7 @@ def test_tokenizer_equals_the_library(spark, odd_docs, no_docs):
 
     lib = Tokenizer.from_file(bpe.default_path())
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    extra = [(-1, "a<|endoftext|>B<|startoftext|>"), (-2, "ΑΣ İstanbul ﬁ x\x85y z don't I'LL 12½"), (-3, "a" * 3000)]
+    extra = [(-1, "a<|endoftext|>B<|startoftext|>"), (-2, "ΑΣ İstanbul ﬁ x\x85y z don't I'LL 12½"), (-3, "a" * 3000), (-4, "abcdefghij" * 2000), (-5, "ab" * 4096 + "\U0001f600" * 300)]
     both = docs.unionByName(odd_docs.select("doc_id", "text")).unionByName(spark.createDataFrame(extra, docs.schema))
     want = sorted((r.doc_id, *_library(lib, r.text or "")) for r in both.collect())
     got = sorted(map(tuple, bpe.encode_texts(both, ("n_tokens", "ids_sha256", "decoded_sha256")).collect()))

@@ -6,14 +6,19 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
+from .common import pick
+
 #: Words kept per worker in each of two generations: when the newer is full it becomes the older,
 #: so that words in use stay. It bounds memory, not results.
 MEMO_WORDS = 150_000
+#: Symbols of a word from which on they are held in arrays: about 80 bytes a symbol with the queue.
+LONG_WORD = 4096
 
 
 def byte_chars() -> list[str]:
@@ -56,31 +61,32 @@ class WordBpe:
         ids = [*(self.inner[b] for b in raw[:-1]), self.final[raw[-1]]]
         ids = [i for i in ids if i is not None]
         n = len(ids)
-        before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        queue: list[tuple[int, int, int, int]] = []
-        merges = self.merges
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j >= 0 and (m := merges.get((ids[i], ids[j]))):
-                heapq.heappush(queue, (m[0], i, ids[i], ids[j]))
-
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        if n > LONG_WORD:
+            ids, before, after = (array("i", x) for x in (ids, before, after))
+        # A rank stands for one pair of symbols, so (rank, place) in one number says which pair was offered.
+        merges, queue = self.merges, []
         for i in range(n - 1):
-            offer(i)
+            if m := merges.get((ids[i], ids[i + 1])):
+                queue.append(m[0] << 32 | i)
+        heapq.heapify(queue)
         while queue:
-            _, i, left, right = heapq.heappop(queue)
-            j = after[i] if alive[i] else -1
-            if j < 0 or ids[i] != left or ids[j] != right:
-                continue  # stale: a neighbour has merged since
-            ids[i] = merges[left, right][1]
-            alive[j] = False
+            top = heapq.heappop(queue)
+            i = top & 0xFFFFFFFF
+            j = after[i]
+            m = merges.get((ids[i], ids[j])) if j >= 0 else None
+            if m is None or m[0] != top >> 32:
+                continue  # stale: it or a neighbour has merged since
+            ids[i] = m[1]
             after[i] = k = after[j]
+            after[j] = -2  # no longer in the list
             if k >= 0:
                 before[k] = i
-            if (h := before[i]) >= 0:
-                offer(h)
-            offer(i)
-        return tuple(x for x, ok in zip(ids, alive, strict=True) if ok)
+                if m := merges.get((ids[i], ids[k])):
+                    heapq.heappush(queue, m[0] << 32 | i)
+            if (h := before[i]) >= 0 and (m := merges.get((ids[h], ids[i]))):
+                heapq.heappush(queue, m[0] << 32 | h)
+        return tuple(x for x, a in zip(ids, after, strict=True) if a != -2)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -130,13 +136,14 @@ def encode_texts(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids",
     """doc_id and the chosen outputs of every row: n_tokens, ids, decoded, ids_sha256 (of the
     ids as little-endian unsigned 32-bit integers), decoded_sha256.
 
-    Whole texts; null and empty ones give no tokens and decode to the empty text. Repeated rows
-    give a row each; an empty table gives an empty result; other columns are ignored.
+    Whole texts and whole words of any length; null and empty texts give no tokens and decode to
+    the empty text. Repeated rows, with or without an id, give a row each; an empty table gives an
+    empty result; other columns, whatever their names, are ignored.
     """
     import pyarrow as pa
 
     path = path or default_path()
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     decodes = any(o.startswith("decoded") for o in outputs)
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecspan.session import importable
+from vecspan.session import importable, shared_dir
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -19,17 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's own checkpoint folder.
-
-    Only where the session names none (unit tests on one machine) is a local one set.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vecspan-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint."""
     shared_dir(df.sparkSession)
@@ -41,7 +29,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -92,18 +89,23 @@ def text_bytes(column):
 
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """Columns under new names: ``pick(df, id="doc_id")``. Found by place, so that dots, quotes and names that differ in case only don't matter."""
-    have = df.columns
-
-    def place(name: str) -> str:
-        if name in have:
-            return f"c{have.index(name)}"
-        alike = [i for i, c in enumerate(have) if c.lower() == name.lower()]
-        if len(alike) != 1:
-            raise ValueError(f"no column {name!r} among {', '.join(have)}")
-        return f"c{alike[0]}"
-
-    by_place = df.toDF(*[f"c{i}" for i in range(len(have))])
-    return by_place.select(*[F.col(place(old)).alias(new) for new, old in names.items()])
+    at, place = placed(df)
+    return at.select(*[F.col(place(old)).alias(new) for new, old in names.items()])
+
+
+def _place(have: list[str], name: str) -> int:
+    if name in have:
+        return have.index(name)
+    alike = [i for i, c in enumerate(have) if c.lower() == name.lower()]
+    if len(alike) != 1:
+        raise ValueError(f"no column {name!r} among {', '.join(have)}")
+    return alike[0]
+
+
+def placed(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """The table with columns named c0, c1, ... by place, which nothing clashes with, and a function from old names to those."""
+    at = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return at, lambda name: f"c{_place(df.columns, name)}"
 
 
 def packed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

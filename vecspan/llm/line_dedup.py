@@ -8,13 +8,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import pick, stored
 
 _STRIP = b" \t\n\x0b\x0c\r"
 #: Keys of one shard, and the bytes of tables that may be broadcast; beyond it probes are routed.
 SHARD_KEYS, MOST_BROADCAST, _KEY_BYTES = 16_384, 48 << 20, 24
-#: Each shard's table is sent to this many places where probes are routed, so that a hot line is spread.
-_SPREAD = 8
+#: Where probes are routed, probes of one place: a shard's table is sent to as many places as its lines' documents need.
+PLACE_PROBES = 1_000_000
+#: Shards whose number of places may be broadcast.
+MOST_SHARDS = 200_000
 
 
 def line_keys(text: str | None, least: int) -> tuple[list[str], list[int | None]]:
@@ -96,7 +98,7 @@ class PerfectTable:
             open_ = open_[~hit]
             start += m
         found = slot >= 0
-        found[found] = self.fps[slot[found]] == h2[found]
+        found[found] = (self.fps[slot[found]] == h2[found]) & (self.counts[slot[found]] >= 2)
         return found, np.where(found, self.owners[np.maximum(slot, 0)] if len(self.owners) else 0, 0)
 
 
@@ -142,8 +144,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys of at
     least ``least`` code points that two or more ids hold lose all their lines except in the
     smallest such id. A row without an id counts as no holder and loses all lines of such keys.
-    Null and empty texts are one empty line; rows with one id share its fate,
-    row by row; an empty table gives an empty result; other columns are ignored.
+    Null and empty texts are one empty line; rows with one id share its fate, row by row. Texts
+    and lines of any length are read whole. Ids are integers; others are an error. An empty table
+    gives an empty result; other columns, whatever their names, are ignored.
 
     Method: the distinct keys of each document are counted by a map-side combined aggregation of
     128-bit hashes (a hot line is one row per task). Those found in two ids or more go to
@@ -154,7 +157,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     import pyarrow as pa
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    if rows.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"ids of lines are integers, not {rows.schema['doc_id'].dataType.simpleString()}")
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     spark = docs.sparkSession
     # A row without an id owns no key and is known by its text.
     rows = rows.withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
@@ -211,8 +217,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Routed: table rows come first in each partition, then the keys to look up.
     none = [F.lit(None).cast(t).alias(c) for c, t in (("sizes", "array<int>"), ("bits", "binary"), ("fps", "binary"), ("owners", "binary"), ("counts", "binary"))]
-    probes = keys.select(F.pmod("h1", F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("row"), F.lit(_SPREAD)).alias("salt"), F.lit(1).alias("side"), "h1", "h2", F.col("doc_id").isNull().alias("no_id"), "row", *none)
-    held = tables.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SPREAD - 1).cast("long"))).alias("salt"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(False).alias("no_id"), F.lit(0).cast("long").alias("row"), "sizes", "bits", "fps", "owners", "counts")
+    places = stored(dup.groupBy(F.pmod("h1", F.lit(shards)).alias("shard")).agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / PLACE_PROBES)).cast("long").alias("places")))
+    some = F.broadcast(places) if shards <= MOST_SHARDS else places
+    probes = keys.withColumn("shard", F.pmod("h1", F.lit(shards))).join(some, "shard").select("shard", F.pmod(F.xxhash64("row"), F.col("places")).alias("salt"), F.lit(1).alias("side"), "h1", "h2", F.col("doc_id").isNull().alias("no_id"), "row", *none)
+    held = tables.join(some, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("salt"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(False).alias("no_id"), F.lit(0).cast("long").alias("row"), "sizes", "bits", "fps", "owners", "counts")
     both = held.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +246,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     gone = both.mapInArrow(look, "row long, no_id boolean, h1 long, h2 long")
     by_doc = gone.groupBy("row", "no_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    joined = rows.withColumn("no_id", F.col("doc_id").isNull()).join(by_doc.hint("shuffle_hash"), ["row", "no_id"], "left").select("doc_id", "text", "gone")
+    joined = rows.withColumn("no_id", F.col("doc_id").isNull()).join(by_doc, ["row", "no_id"], "left").select("doc_id", "text", "gone")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import pick, stored
 
 #: Sources whose shares one row may hold; beyond it each bisection step is an aggregation.
 MOST_SOURCES = 100_000
 #: Rows of a block plan that may be broadcast (about 60 bytes each); beyond it the plan is joined by shuffle.
 MOST_PLAN_ROWS = 100_000
 BLOCKS, _STEPS, _HOTTEST = 1024, 60, 8.0
+#: Parts of a block in which a budget ends.
+SUBS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -122,34 +124,50 @@ def mix(docs: DataFrame, keep: list[str], source_col: str = "source", id_col: st
     is a sampling operator, and rows beyond a source's budget are left out by its definition.
 
     A null source is a source of its own, and a null text has no tokens; a source without
-    tokens is read once. Repeated rows count each. An empty table gives an empty result.
+    tokens is read once. Repeated rows count each, rows without an id too. A text of any length is
+    read whole. An empty table gives an empty result; other columns may have any names.
 
     The hot source is one of many (source, block) keys. The plan has a row per source, epoch and
     block; it is broadcast up to MOST_PLAN_ROWS rows, so that texts aren't shuffled but for the
-    blocks in which budgets end.
+    part of a block in which a budget ends: such a block is cut into SUBS parts in the order of
+    its rows' hashes, and rows are only ranked in the part that holds the end.
     """
     cover = budget == "cover"
-    block = (_number(_hash(F.lit(seed), F.col(source_col), F.col(id_col))) % blocks).alias("__block")
-    sized = docs.select(F.col(source_col).alias("s"), block, word_count(F.col(text_col)).alias("n")).groupBy("s", "__block").agg(F.sum("n").alias("bt"))
-    sized = stored(sized)
+    names = [f"k{i}" for i in range(len(keep))]
+    rows = pick(docs, **dict(zip(names, keep, strict=True)), source=source_col, id=id_col, text=text_col)
+    rows = rows.withColumn("block", _number(_hash(F.lit(seed), F.col("source"), F.col("id"))) % blocks)
+    sized = stored(rows.select(F.col("source").alias("s"), F.col("block").alias("b"), word_count(F.col("text")).alias("n")).groupBy("s", "b").agg(F.sum("n").alias("bt")))
     sources = stored(sized.groupBy("s").agg(F.sum("bt").alias("t")))
     count = sources.where("t > 0").count()
     scale = 1.0 if cover else float(budget)
     free = sources.where("t = 0").select("s", F.lit(1).cast("long").alias("full"), F.lit(0).cast("long").alias("rest"))
     plan = free if not count else _quotas(sources, count, entropy, repeats, cover, scale).unionByName(free)
-    by_epoch = sized.join(plan.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2"))).select("s", "__block", "bt", "full", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))).alias("epoch"))
-    w = Window.partitionBy("s", "epoch").orderBy(_hash(F.lit(seed), F.col("epoch"), F.col("s"), F.col("__block")), "__block")
-    ranked = by_epoch.select("s", "__block", "epoch", "full", "rest", "bt", F.row_number().over(w).cast("long").alias("block_rank"), (F.sum("bt").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bt")).alias("before"))
+    by_epoch = sized.join(plan.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2"))).select("s", "b", "bt", "full", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))).alias("epoch"))
+    w = Window.partitionBy("s", "epoch").orderBy(_hash(F.lit(seed), F.col("epoch"), F.col("s"), F.col("b")), "b")
+    ranked = by_epoch.select("s", "b", "epoch", "full", "rest", "bt", F.row_number().over(w).cast("long").alias("block_rank"), (F.sum("bt").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bt")).alias("before"))
     taken = F.when((F.col("epoch") < F.col("full")) | ((F.col("rest") > 0) & (F.col("before") + F.col("bt") <= F.col("rest"))), F.lit(-1).cast("long")).when((F.col("epoch") == F.col("full")) & (F.col("before") < F.col("rest")), F.col("rest") - F.col("before"))
-    ranked = stored(ranked.select(F.col("s").alias("__s"), F.col("__block").alias("__b"), F.col("epoch").alias("__epoch"), F.col("block_rank").alias("__rank"), taken.alias("__left")).where("__left is not null"))
-    held = ranked.count() <= MOST_PLAN_ROWS
-    rows = docs.select(*[F.col(c) for c in dict.fromkeys([*keep, source_col, id_col, text_col])], block)
-
-    def against(part: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(part) if held else part, (F.col("__block") == F.col("__b")) & F.col(source_col).eqNullSafe(F.col("__s")))
-
-    out = [*keep, F.col("__epoch").alias("epoch"), F.col("__rank").alias("block_rank")] if order else keep
-    whole = against(ranked.where("__left < 0")).select(*out)
-    inside = Window.partitionBy("__s", "__epoch", "__b").orderBy(_hash(F.lit(seed), F.lit("row"), F.col(id_col)), id_col).rowsBetween(Window.unboundedPreceding, 0)
-    cut_short = against(ranked.where("__left >= 0")).withColumn("__sum", F.sum(word_count(F.col(text_col))).over(inside)).where("__sum <= __left").select(*out)
-    return whole.unionByName(cut_short)
+    ranked = stored(ranked.select("s", "b", "epoch", "block_rank", taken.alias("room")).where("room is not null"))
+    held = ranked.limit(MOST_PLAN_ROWS + 1).count() <= MOST_PLAN_ROWS
+
+    def against(part: DataFrame, *on: Column) -> DataFrame:
+        few = held and part.limit(MOST_PLAN_ROWS + 1).count() <= MOST_PLAN_ROWS
+        match = (F.col("block") == F.col("b")) & F.col("source").eqNullSafe(F.col("s"))
+        for c in on:
+            match = match & c
+        return rows.join(F.broadcast(part) if few else part, match)
+
+    out = [*names, "epoch", "block_rank"] if order else names
+    whole = against(ranked.where("room < 0")).select(*out)
+    # The blocks in which a budget ends, cut by the first digits of the hash that orders their rows.
+    ended = ranked.where("room >= 0")
+    row_hash = _hash(F.lit(seed), F.lit("row"), F.col("id"))
+    sub = (_number(row_hash) / F.lit(2**32 // SUBS)).cast("long")
+    sums = against(ended).groupBy("s", "b", "epoch", "block_rank", "room", sub.alias("sub")).agg(F.sum(word_count(F.col("text"))).alias("n"))
+    by = Window.partitionBy("s", "epoch", "b").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0)
+    subs = sums.withColumn("before", F.sum("n").over(by) - F.col("n")).where("before <= room")
+    subs = stored(subs.select("s", "b", "epoch", "block_rank", "sub", F.when(F.col("before") + F.col("n") <= F.col("room"), F.lit(-1).cast("long")).otherwise(F.col("room") - F.col("before")).alias("room")))
+    inside = against(subs, sub == F.col("sub"))
+    at = Window.partitionBy("s", "epoch", "b", "sub").orderBy(row_hash, "id").rowsBetween(Window.unboundedPreceding, 0)
+    last = inside.where("room >= 0").withColumn("upto", F.sum(word_count(F.col("text"))).over(at)).where("upto <= room")
+    result = whole.unionByName(inside.where("room < 0").select(*out)).unionByName(last.select(*out))
+    return result.toDF(*keep, *(["epoch", "block_rank"] if order else []))

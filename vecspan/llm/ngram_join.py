@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, packed, pick, release, slices, stored, text_bytes, unpacked
+from .common import connected_components, cut, discard, packed, pick, release, slices, stored, text_bytes, unpacked
 
 #: Bytes of sets, and sets, joined in one tree; larger groups are dealt out in blocks.
 BLOCK_BYTES, BLOCK_SETS = 8 << 20, 1024
@@ -261,10 +261,11 @@ def _clustered(near: DataFrame) -> DataFrame:
     """
     c = F.xxhash64("component")
     near = stored(near)
-    several = near.groupBy("t").agg(F.min(c).alias("low"), F.max(c).alias("high")).where("low < high").select("t")
+    # Small tables by n-gram are cut off, so that joins with them are plain ones, whose hot n-grams are split at run time.
+    several = cut(near.groupBy("t").agg(F.min(c).alias("low"), F.max(c).alias("high")).where("low < high").select("t"))
     near = near.join(several, "t", "left_semi")
-    near = stored(near.join(_groups(near), "t"))
-    heads = near.groupBy("t").agg(F.min("rep").alias("head"))
+    near = stored(near.join(cut(_groups(near)), "t"))
+    heads = cut(near.groupBy("t").agg(F.min("rep").alias("head")))
     edges = near.join(heads, "t").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     bound = connected_components(edges).select(F.col("node").alias("rep"), F.xxhash64("component").alias("cluster"))
     sizes = near.select("rep", "n_shingles").distinct().join(bound, "rep").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
@@ -436,10 +437,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = stored(near.select("rep", "n_shingles", F.explode(F.slice(F.array_sort(rare), 1, FIRST_GROUPS)).alias("t")))
     wanted = stored(near.join(_groups(near), "t").select("rep", F.col("rep").alias("node"), "t", "blocks").distinct())
     found = _forests(docs, wanted, id_col, text_col, words, share, of, pairs=False)
+    discard(tok, near, wanted)
     comps = connected_components(found).select(F.col("node").alias("rep"), "component")
     # A representative of two sets counts by the smaller, as what a link has in common is the least of the two.
     own = classes.where("rep is not null").groupBy("rep").agg(F.min("n_shingles").alias("n_shingles"))
     own = stored(own.join(comps, "rep", "left").select("rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
+    discard(found)
     release(docs.sparkSession)
 
     # What links are left run between components.
@@ -449,9 +452,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = tok.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
     need = F.ceil(F.col("n_shingles") * share / of)
     least = F.greatest(F.lit(1), F.floor(need / SPARE).cast("int"))
-    tok = stored(tok.select("rep", "t").join(several, "t").distinct())
+    tok = stored(tok.select("rep", "t").join(several, "t"))
     release(docs.sparkSession)
-    near = tok.join(tok.groupBy("t").agg(F.count("*").alias("m")), "t").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("ts"))
+    near = tok.join(tok.groupBy("t").agg(F.count("*").alias("m")), "t").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("m", "t"))).alias("ts"))
     near = near.join(own, "rep").withColumn("least", least).where(F.size("ts") >= F.col("least"))
     near = near.select("rep", "n_shingles", "component", F.explode(F.slice("ts", F.lit(1), F.size("ts") - F.col("least") + 1)).alias("x"))
     near = _clustered(near.select("rep", "n_shingles", "component", "x.t"))

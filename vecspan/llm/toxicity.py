@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pick
+
 #: Identity terms by kind; a swap puts another term of the same kind in a term's place.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
@@ -132,12 +134,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "d
 
     The bound is documented: of the labelled rows that ``train_rows`` admits, half of
     ``most_rows`` of each label at most, those first by a hash of the id, with texts of at most
-    ``most_bytes`` bytes.
+    ``most_bytes`` bytes. An id with both labels counts as toxic; several texts of one id are a
+    training row each.
     """
-    ok = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(train_rows).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
-    by = [ok.where(F.col("y") == y).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most_rows // 2) for y in (0, 1)]
+    known = labels.where(train_rows)
+    ok = pick(known, id=id_col, y=label_col).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
+    by = [ok.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most_rows // 2) for y in (0, 1)]
     chosen = by[0].unionByName(by[1])
-    texts = docs.where(F.octet_length(text_col) <= most_bytes).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = pick(docs, id=id_col, text=text_col).where(F.octet_length("text") <= most_bytes)
     found = sorted((r.id, r.y, zlib.compress(r.text.encode("utf-8"), 1)) for r in texts.join(F.broadcast(chosen), "id").toLocalIterator())
     return train((zlib.decompress(t).decode("utf-8"), y) for _, y, t in found)
 
@@ -145,12 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "d
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every row.
 
-    Whole texts; null and empty ones get the score of a text without known words. Repeated rows
-    give a row each; an empty table gives an empty result; other columns are ignored.
+    Whole texts of any length; null and empty ones get the score of a text without known words.
+    Repeated rows, with or without an id, give a row each; an empty table gives an empty result;
+    other columns, whatever their names, are ignored.
     """
     import pyarrow as pa
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = pick(docs, doc_id=id_col, text=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
