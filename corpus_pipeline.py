@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspan.llm import bpe, exact_dedup, langid, mixing, ngram_join
-from vecspan.llm.common import ascii_lower, stored, table
+from vecspan.llm.common import ascii_lower, placed, stored, table
 
 #: Dropped documents that may be broadcast; beyond it they are joined by shuffle.
 _MOST_IDS = 200_000
@@ -32,35 +32,38 @@ def _document(doc_id: str, digest: Column | str) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds __key, which no two documents share: doc_id, or where ids are null or on two texts, text that sorts by id, nulls last."""
+    """Adds key to doc_id and text, which no two documents share: doc_id, or where ids are null or on two texts, text that sorts by id, nulls last."""
     rows = docs.select("doc_id", F.unhex(_digest(F.col("text"))).alias("d"))
     each = rows.groupBy("doc_id").agg(F.min("d").alias("low"), F.max("d").alias("high"))
     if each.where("doc_id is null or low <> high").isEmpty():
-        return docs.withColumn("__key", F.col("doc_id"))
+        return docs.withColumn("key", F.col("doc_id"))
     # Flipping the sign bit makes hexadecimal digits sort as the numbers do.
     by_id = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
-    return docs.withColumn("__key", F.concat(F.coalesce(by_id, F.lit("null")), _digest(F.col("text"))))
+    return docs.withColumn("key", F.concat(F.coalesce(by_id, F.lit("null")), _digest(F.col("text"))))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus's own language labels have taught."""
+    at, of = placed(docs)
     model = langid.fit(docs)
-    found = langid.identify(docs, model, keep=docs.columns, names=("__lang", "__score", "__bits"))
-    return found.where("__lang <> 'und' and __score >= 0.5").select(*docs.columns)
+    found = langid.identify(at, model, id_col=of("doc_id"), text_col=of("text"), keep=at.columns, names=("lang", "score", "bits"))
+    return found.where("lang <> 'und' and score >= 0.5").select(*at.columns).toDF(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id; one without an id stays where no copy has one."""
-    dropped = exact_dedup.exact_dedup(docs).where("not kept").select(_document("doc_id", "text_sha256").alias("__key"))
-    keyed = docs.withColumn("__key", _document("doc_id", _digest(ascii_lower(F.col("text")))))
-    return _without(keyed, dropped, "__key").select(*docs.columns)
+    at, of = placed(docs)
+    dropped = exact_dedup.exact_dedup(docs).where("not kept").select(_document("doc_id", "text_sha256").alias("key"))
+    keyed = at.withColumn("key", _document(of("doc_id"), _digest(ascii_lower(F.col(of("text"))))))
+    return _without(keyed, dropped, "key").select(*at.columns).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id, or else one without an id."""
-    keyed = _keyed(docs)
-    links = ngram_join.similar_texts(keyed, id_col="__key").where("doc_id <> component_id")
-    return _without(keyed, links.select(F.col("doc_id").alias("__key")), "__key").select(*docs.columns)
+    at, of = placed(docs)
+    keyed = _keyed(at.withColumns({"doc_id": F.col(of("doc_id")), "text": F.col(of("text"))}))
+    links = ngram_join.similar_texts(keyed, id_col="key").where("doc_id <> component_id")
+    return _without(keyed, links.select(F.col("doc_id").alias("key")), "key").select(*at.columns).toDF(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
