@@ -325,10 +325,10 @@ def ivf_search_filtered(spark, sf_dir):
 _STEPS = f"(SELECT unnest({SWEEP})::BIGINT AS nprobe)"
 _SWEEP = f"""sweep AS (SELECT nprobe, qid, vec_id, row_number() OVER (PARTITION BY nprobe, qid ORDER BY dist, vec_id) AS rank
   FROM found, {_STEPS} WHERE probe_rank <= nprobe AND vec_id <> qid QUALIFY rank <= 100),
-real AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM truth WHERE vec_id <> qid QUALIFY rank <= {K}),
+real AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM truth WHERE vec_id <> qid QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {K}),
 grid AS (SELECT * FROM {_STEPS}, (SELECT unnest([1, 10, 100])::BIGINT AS r), (SELECT qid, vec_id FROM real WHERE rank = 1)),
 rec AS (SELECT g.nprobe, g.r, avg(CASE WHEN s.rank <= g.r THEN 1.0::DOUBLE ELSE 0.0 END) AS recall FROM grid g LEFT JOIN sweep s ON s.nprobe = g.nprobe AND s.qid = g.qid AND s.vec_id = g.vec_id GROUP BY g.nprobe, g.r),
-krec AS (SELECT p.nprobe, count(s.vec_id) / count(*)::DOUBLE AS recall FROM {_STEPS} p, real t LEFT JOIN sweep s ON s.nprobe = p.nprobe AND s.qid = t.qid AND s.vec_id = t.vec_id AND s.rank <= {K} GROUP BY p.nprobe)"""
+krec AS (SELECT p.nprobe, count(s.vec_id) / count(*)::DOUBLE AS recall FROM {_STEPS} p CROSS JOIN real t LEFT JOIN sweep s ON s.nprobe = p.nprobe AND s.qid = t.qid AND s.vec_id = t.vec_id AND s.rank <= {K} GROUP BY p.nprobe)"""
 
 
 def _swept(b: DataFrame) -> tuple[DataFrame, DataFrame]:
