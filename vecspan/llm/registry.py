@@ -182,14 +182,50 @@ WITH RECURSIVE w AS (
 SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
+_OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.n * b.n) >= 0.93
+), reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT x, r FROM reach JOIN link ON y = reach.vec_id
+), least AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id
+), links AS (SELECT x AS vec_id, count(*) AS n_links FROM link GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN links USING (vec_id)
+"""
+
+_OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), n AS (SELECT doc_id, h, (length(h) // 2)::BIGINT AS n FROM d
+), k AS MATERIALIZED (
+  SELECT doc_id, i, md5(substring(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM n WHERE n >= 200)
+), r AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1
+), s AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM k SEMI JOIN r USING (k)
+), g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM s
+), gone AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, g
+), kept AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b, 1 AS span FROM gone
+  UNION ALL SELECT doc_id, coalesce(max(b), 0), any_value(n), 0 FROM n LEFT JOIN gone USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, any_value(n) AS n_bytes, (any_value(n) - sum(b - a))::BIGINT AS n_removed, sum(span)::BIGINT AS n_spans,
+  sha256(unhex(string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a))) AS kept_sha256
+FROM kept JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_chat_format": (op2_chat_format, _OP2_SQL),
     "op3_mixing": (op3_mixing, _OP3_SQL),
     "op4_exact_dedup": (op4_exact_dedup, _OP4_SQL),
     "op5_toxicity": (op5_toxicity, None),
-    "op6_embedding_near_dedup": (op6_embedding_near_dedup, None),
-    "op7_suffix_dedup": (op7_suffix_dedup, None),
+    "op6_embedding_near_dedup": (op6_embedding_near_dedup, _OP6_SQL),
+    "op7_suffix_dedup": (op7_suffix_dedup, _OP7_SQL),
     "op8_bpe": (op8_bpe, None),
     "op9_line_dedup": (op9_line_dedup, _OP9_SQL),
     "op10_ngram_join": (op10_ngram_join, _OP10_SQL),
