@@ -447,8 +447,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # What links are left run between components.
     whole = profiles(docs, id_col, text_col, words, share, of).where("n_shingles > 0").select(F.col("doc_id").alias("rep"), "s1", "s2", "grams")
-    whole = whole.join(classes.select("s1", "s2", "rep"), ["s1", "s2", "rep"])
-    tok = whole.join(own, "rep").select("rep", F.xxhash64("component").alias("c"), F.explode("grams").alias("t"))
+    marked = stored(classes.join(own.select("rep", "component"), "rep").select("s1", "s2", "rep", F.xxhash64("component").alias("c")))
+    tok = whole.join(marked, ["s1", "s2", "rep"]).select("rep", "c", F.explode("grams").alias("t"))
     several = tok.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
     need = F.ceil(F.col("n_shingles") * share / of)
     least = F.greatest(F.lit(1), F.floor(need / SPARE).cast("int"))
