@@ -148,6 +148,9 @@ def test_graphs(base, queries):
     assert found.count() == 18
     with pytest.raises(ValueError):
         graph.beam_search(whole, base, queries, 5, 3)
+    some, all_ = (sorted(map(tuple, graph.beam_search(whole, base, queries, 3, 16, checks=c).collect())) for c in (9, 10**6))
+    assert len(some) == 18 and all_ == sorted(map(tuple, graph.beam_search(whole, base, queries, 3, 16).collect()))
+    assert sum(x[3] for x in some) >= sum(x[3] for x in all_)
 
 
 def test_sampling(base):
