@@ -274,14 +274,15 @@ def contexts(data, offsets, length: int, wanted: list, hot: bool) -> Iterator[tu
             core = of(at[ok] - c * _STEP, length - _STEP + 1) ^ np.uint64(c + 1)
             parts.append((text[ok], lo[ok], hi[ok], mixed(core).view(np.int64)))
         text, first, last, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-    size = last - first + length
+    size, raw = last - first + length, data.tobytes()
     same = of(first, size)
     by = np.lexsort((first, same, size, key, text))
     text, first, size, key, same = (x[by] for x in (text, first, size, key, same))
     new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (same[1:] != same[:-1])]))
     for a, b in zip(new.tolist(), [*new[1:].tolist(), len(text)], strict=True):
         i = int(text[a])
-        yield i, int(key[a]), ranges(first[a:b] - offsets[i]), data[first[a] : first[a] + size[a]].tobytes()
+        s = int(first[a])
+        yield i, int(key[a]), [(s - int(offsets[i]), 1, 1)] if b == a + 1 else ranges(first[a:b] - offsets[i]), raw[s : s + int(size[a])]
 
 
 _RANGES = "array<struct<first: long, step: long, count: long>>"
