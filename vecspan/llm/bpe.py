@@ -12,11 +12,11 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, trimmed
 
 #: Words kept per worker in each of two generations: when the newer is full it becomes the older,
 #: so that words in use stay. It bounds memory, not results.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 100_000
 #: Symbols of a word from which on they are held in arrays: about 80 bytes a symbol with the queue.
 LONG_WORD = 4096
 
@@ -151,6 +151,7 @@ def encode_texts(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids",
         import numpy as np
 
         bpe = loaded(path)
+        bpe.older = {}
         types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -172,4 +173,4 @@ def encode_texts(docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "ids",
                         found[o].append(v)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, types.get(o, pa.string())) for o, v in found.items())], names=["doc_id", *outputs])
 
-    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{o} {_OUTPUTS[o]}" for o in outputs)]))
+    return rows.mapInArrow(trimmed(run), ", ".join([f"doc_id {kind}", *(f"{o} {_OUTPUTS[o]}" for o in outputs)]))

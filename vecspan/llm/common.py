@@ -61,6 +61,27 @@ def train_side(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0
 
 
+def trimmed(run):
+    """A function over Arrow batches that gives memory back to the system after each partition.
+
+    Python workers are used again by later stages, and what one has freed would else stay with it.
+    """
+
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def slices(offsets, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges [i, j) of at most ``most`` bytes; one longer row stands alone."""
     i, n = 0, len(offsets) - 1
@@ -119,12 +140,14 @@ def packed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         zip_ = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            raw, ends = memoryview(data), offsets.tolist()
-            frames = [zip_.compress(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary())], names=[id_col, "packed"])
-
-    return rows.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, packed binary")
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                data, offsets = text_bytes(part.column(1))
+                raw, ends = memoryview(data), offsets.tolist()
+                frames = [zip_.compress(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(frames, pa.binary())], names=[id_col, "packed"])
+
+    return rows.select(id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` {kind}, packed binary")
 
 
 def unpacked(column):

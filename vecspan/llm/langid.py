@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import pick, slices, text_bytes
+from .common import pick, slices, text_bytes, trimmed
 
 #: Bytes scored at once; longer texts are scored in pieces that see the bytes before them.
 _PIECE = 1 << 19
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, model: ByteTrees, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             texts = batch.column(batch.num_columns - 1)
             data, offsets = text_bytes(texts)
             letters = np.array([bool(x) and any(map(str.isalpha, x)) for x in (t.as_py() for t in texts)], bool)
@@ -179,4 +179,4 @@ def identify(docs: DataFrame, model: ByteTrees, id_col: str = "doc_id", text_col
             cols = [*(batch.column(k) for k in range(len(keep))), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rate)]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return rows.mapInArrow(run, schema).toDF(*keep, *names)
+    return rows.mapInArrow(trimmed(run), schema).toDF(*keep, *names)

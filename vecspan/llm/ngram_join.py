@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, discard, packed, pick, release, slices, stored, text_bytes, unpacked
+from .common import connected_components, cut, discard, packed, pick, release, stored, text_bytes, trimmed, unpacked
 
 #: Bytes of sets, and sets, joined in one tree; larger groups are dealt out in blocks.
 BLOCK_BYTES, BLOCK_SETS = 8 << 20, 1024
@@ -233,8 +233,8 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         from .shingles import shingle_sets
 
         for batch in batches:
-            for at, to in slices(text_bytes(batch.column(1))[1], 1 << 22):
-                part = batch.slice(at, to - at)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 n, s, grams = [], [], []
                 for x in shingle_sets(*text_bytes(part.column(1)), words):
                     n.append(len(x))
@@ -244,7 +244,7 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 s = np.array(s, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), _lists(grams)], names=["doc_id", "n_shingles", "s1", "s2", "grams"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, grams array<long>")
+    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, n_shingles long, s1 long, s2 long, grams array<long>")
 
 
 def _groups(live: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def _by_whole_sets(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str,
                         who = pa.array(np.full(len(t), i))
                         yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(2).take(who), pa.array(t)], names=["rep", "c", "t"])
 
-    tok = stored(texts.mapInArrow(ngrams, f"rep {kind}, c long, t long").distinct())
+    tok = stored(texts.mapInArrow(trimmed(ngrams), f"rep {kind}, c long, t long").distinct())
     need = sets.groupBy("rep").agg(F.min("n_shingles").alias("n")).select("rep", F.ceil(F.col("n") * share / of).alias("need"))
     for _ in range(2):
         several = tok.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
@@ -363,7 +363,7 @@ def _forests(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wor
                 if out:
                     yield shipped(out)
 
-    sets = texts.mapInArrow(fetch, f"t long, lo int, hi int, own int, node {kind}, ngrams binary")
+    sets = texts.mapInArrow(trimmed(fetch), f"t long, lo int, hi int, own int, node {kind}, ngrams binary")
     sets = sets.repartition("t", "lo", "hi").sortWithinPartitions("t", "lo", "hi")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +392,7 @@ def _forests(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wor
         if (out := settle(held)) is not None:
             yield out
 
-    return stored(sets.mapInArrow(join, f"a {kind}, b {kind}").distinct())
+    return stored(sets.mapInArrow(trimmed(join), f"a {kind}, b {kind}").distinct())
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: int = 75, of: int = 100, signature: int = 16) -> DataFrame:
