@@ -152,6 +152,39 @@ def test_second_pass_finds_what_signatures_hide(spark, odd_docs, monkeypatch):
         assert sorted(map(tuple, ngram_join.similar_texts(df, signature=signature).collect())) == want
 
 
+def rows_made(spark, node, run):
+    """Rows that plan nodes whose text matches ``node`` make while ``run`` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    before = {e.executionId() for e in each(store.executionsList())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    made = 0
+    for e in each(store.executionsList()):
+        if e.executionId() in before:
+            continue
+        values = store.executionMetrics(e.executionId())
+        for n in each(store.planGraph(e.executionId()).allNodes()):
+            for m in each(n.metrics()) if re.search(node, n.desc()) else []:
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_sets_of_a_large_cluster_are_joined_as_rows(spark):
+    """Filtering by whole sets joins by set as many rows as there are sets, not as many as they have n-grams."""
+    r = np.random.default_rng(18)
+    words = [[f"g{g}_{i}" for i in range(150)] for g in range(8)]
+    texts = [" ".join(mutated(r, w, 0.005)) for w in words for _ in range(4)] + [" ".join(f"o{k}_{i}" for i in range(150)) for k in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = docs.selectExpr("doc_id as rep", "146L as n_shingles", "doc_id as component").localCheckpoint()
+    found = []
+    run = lambda: found.extend(ngram_join._by_whole_sets(docs, sets, "doc_id", "text", 5, 75, 100).collect())
+    assert 0 < rows_made(spark, r"Join \[rep#\d+L?\], \[rep#\d+L?\], Inner", run) <= 2 * len(texts)
+    assert {x.rep for x in found} == set(range(32)) and {(x.n_shingles, x.component - x.rep) for x in found} == {(146, 0)}
+
+
 def test_prefixes_hold_what_links_have_in_common():
     r = np.random.default_rng(16)
     for _ in range(3000):

@@ -280,17 +280,19 @@ def _texts(docs: DataFrame, wanted: DataFrame, few: bool, id_col: str, text_col:
 
 
 def _by_whole_sets(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, words: int, share: int, of: int) -> DataFrame:
-    """(rep, n_shingles, component, t) of the n-grams by which ``sets`` (rep, n_shingles, component) can be linked.
+    """(rep, n_shingles, component, t) of the n-grams by which ``sets`` (rep, n_shingles, component), a rep once, can be linked.
 
     As by prefixes, but of whole sets in the order of their n-grams' true frequency among them: a
     linked set has needed(n) n-grams in sets of other components, again and again as sets that
-    haven't go, and leaves out the most common ones, one fewer than that.
+    haven't go, and leaves out the most common ones, one fewer than that. Between the rounds a set
+    is one row, so that only n-grams are joined row by row, and sets as often as there are sets.
     """
     import pyarrow as pa
 
     kind = sets.schema["rep"].dataType.simpleString()
     few = sets.limit(MOST_WANTED + 1).count() <= MOST_WANTED
-    texts = _texts(docs, sets.select("rep", F.xxhash64("component").alias("c")).distinct(), few, id_col, text_col)
+    need = F.ceil(F.col("n_shingles") * share / of)
+    texts = _texts(docs, sets.select("rep", F.xxhash64("component").alias("c"), need.alias("need")), few, id_col, text_col)
 
     def ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -305,20 +307,17 @@ def _by_whole_sets(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str,
                     for cut in range(0, len(x), 1 << 16):
                         t = x[cut : cut + (1 << 16)].view(np.int64)
                         who = pa.array(np.full(len(t), i))
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(2).take(who), pa.array(t)], names=["rep", "c", "t"])
+                        yield pa.RecordBatch.from_arrays([*(part.column(c).take(who) for c in (0, 2, 3)), pa.array(t)], names=["rep", "c", "need", "t"])
 
-    tok = stored(texts.mapInArrow(trimmed(ngrams), f"rep {kind}, c long, t long").distinct())
-    need = sets.groupBy("rep").agg(F.min("n_shingles").alias("n")).select("rep", F.ceil(F.col("n") * share / of).alias("need"))
+    tok = stored(texts.mapInArrow(trimmed(ngrams), f"rep {kind}, c long, need long, t long").distinct())
     for _ in range(2):
         several = tok.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
-        tok = tok.join(several, "t")
-        enough = tok.groupBy("rep").agg(F.count("*").alias("have")).join(need, "rep").where("have >= need").select("rep")
-        tok = stored(tok.join(enough, "rep"))
-    near = tok.join(tok.groupBy("t").agg(F.count("*").alias("m")), "t").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("ts")).join(need, "rep")
-    # With its last needed n-grams gone in part by a round of the loop, a set can't be linked either.
-    near = near.where(F.size("ts") >= F.col("need"))
-    near = near.select("rep", F.explode(F.slice("ts", F.lit(1), (F.size("ts") - F.col("need") + 1).cast("int"))).alias("x")).select("rep", "x.t")
-    return near.join(sets, "rep").select("rep", "n_shingles", "component", "t")
+        left = tok.join(several, "t").groupBy("rep", "c", "need").agg(F.collect_list("t").alias("ts"))
+        left = stored(left.where(F.size("ts") >= F.col("need")))
+        tok = left.select("rep", "c", "need", F.explode("ts").alias("t"))
+    near = tok.join(tok.groupBy("t").agg(F.count("*").alias("m")), "t").groupBy("rep", "need").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("ts"))
+    near = near.select("rep", F.slice("ts", F.lit(1), (F.size("ts") - F.col("need") + 1).cast("int")).alias("ts"))
+    return near.join(sets, "rep").select("rep", "n_shingles", "component", F.explode("ts").alias("x")).select("rep", "n_shingles", "component", "x.t")
 
 
 def _forests(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, share: int, of: int, pairs: bool) -> DataFrame:
