@@ -302,6 +302,19 @@ def test_long_texts_and_licences(spark, shard, monkeypatch):
     assert got == [(d, *b) for (d, _), b in zip(rows, brute_repeats(texts, 200), strict=True)]
 
 
+def test_texts_travel_twice(spark, monkeypatch):
+    """Texts are packed for one journey to their grams, hot or not, and one to their spans."""
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 2500)
+    r = np.random.default_rng(23)
+    text = lambda n: "".join(r.choice(list("abcdefgh"), n))
+    licence, pair = text(400), text(260)
+    texts = [text(50) + licence + text(50) for _ in range(20)] + [text(90) + pair + text(90) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = []
+    assert 0 < rows_made(spark, r"MapInArrow pack\(", lambda: got.extend(suffix.drop_repeats(docs, digest=True).collect())) <= 2 * len(texts)
+    assert sorted(map(tuple, got)) == [(d, *b) for d, b in enumerate(brute_repeats(texts, 200))]
+
+
 def test_licence_ships_linear_rows():
     """One licence in every text: a text's contexts of a hot anchor are a few bytes' worth each, and equal between texts."""
     r = np.random.default_rng(22)
