@@ -15,4 +15,4 @@ def test_sql(spark, name):
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in registry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in registry.queries()

@@ -159,6 +159,33 @@ def unpacked(column):
     return pa.array([open_.decompress(x.as_py()) for x in column], pa.large_binary())
 
 
+#: Rows of a table that may be broadcast to be attached to others.
+MOST_ATTACHED = 100_000
+
+
+def attach(rows: DataFrame, found: DataFrame, key: str, most: int = MOST_ATTACHED) -> DataFrame:
+    """``rows`` with the further columns of ``found``, null where there are none: a left join by ``key``, null equal to null.
+
+    ``found``, a stored table, has each key once and n, how many rows have it; n isn't added. Up
+    to ``most`` keys are broadcast. Beyond it only those of at least a 4,096th of the counted
+    rows are, of which there can't be more than 4,096; the rest is joined by shuffle, where no key
+    is larger than that. Rows without a key don't take part in the shuffle.
+    """
+    added = [c for c in found.columns if c not in (key, "n")]
+
+    def joined(left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
+        right = right.select(F.col(key).alias("__key"), *added, *more)
+        return left.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+
+    if found.limit(most + 1).count() <= most:
+        return joined(rows, found)
+    total = found.agg(F.sum("n")).first()[0]
+    hot = found.where((F.col("n") * 4096 >= total) | F.col(key).isNull())
+    near = joined(rows, hot, F.lit(True).alias("__hot"))
+    cold = near.where(F.col("__hot").isNull() & F.col(key).isNotNull()).drop("__hot", *added).join(found.drop("n"), key, "left")
+    return near.where(F.col("__hot").isNotNull() | F.col(key).isNull()).drop("__hot").unionByName(cold)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """Components of an undirected graph: (node, component), component = least node reachable.
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat_format, exact_dedup, langid, lattice, line_dedup, mixing, ngram_join, suffix, toxicity
+from vecspan.session import work_dir
+
+from . import bpe, chat_format, exact_dedup, langid, lattice, line_dedup, mixing, ngram_join, runs, suffix, toxicity, vector_codes, warc
 from .common import table, train_side
 
 
@@ -73,6 +75,47 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.drop_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = work_dir(spark, "warc")
+    warc.write_warc(pages, path)
+    out = warc.resolved(warc.captures(warc.read_records(spark, path)), pages.schema["page_id"].dataType.simpleString())
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, book = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.fingerprint(book)).alias("codebooks_sha256"))
+
+
+def _planted(doc_id: Column, text: Column) -> Column:
+    """The texts of op13: in one of ten, words from some place on are replaced by a cycle of those that follow it."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def cycled(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = F.floor((n - a) / (g % 8 + 3)) + 1
+        return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+
+    words = F.array(F.regexp_extract_all(text, F.lit("[^ \\t-\\r]+"), F.lit(0)))  # bound once, as the outer element
+    changed = F.array_join(F.transform(words, lambda w: F.when(F.size(w) > 0, F.array_join(cycled(w), " ")).otherwise("")), "")
+    return F.when(h % 10 == 0, changed).otherwise(text)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = runs.periodic_runs(docs.select("doc_id", _planted(F.col("doc_id"), F.col("text")).alias("text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    # The longest run; of equal ones that of smallest start, then period.
+    ordered = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), ordered.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.floor(F.col("top.length") * 1000 / -F.col("top.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 _OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -218,6 +261,72 @@ SELECT doc_id, any_value(n) AS n_bytes, (any_value(n) - sum(b - a))::BIGINT AS n
 FROM kept JOIN n USING (doc_id) GROUP BY doc_id
 """
 
+_OP11_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha1(coalesce(html, '')) AS digest FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY digest) AS first FROM p
+)
+SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN size >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN size >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM g
+"""
+
+_NEAREST = """a{r} AS MATERIALIZED (
+  SELECT vec_id, p.part, v, entry, list_sum(list_transform(list_zip(v, e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d
+  FROM p JOIN b{r} b ON p.part = b.part QUALIFY row_number() OVER (PARTITION BY vec_id, p.part ORDER BY d, entry) = 1
+)"""
+_MOVED = """m{r} AS (
+  SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY pos) AS e FROM (
+    SELECT part, entry, pos, sum(x)::DOUBLE AS s, count(*)::DOUBLE AS n FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{r}) GROUP BY part, entry, pos
+  ) GROUP BY part, entry
+), b{s} AS MATERIALIZED (SELECT part, entry, coalesce(m.e, b.e) AS e FROM b{r} b LEFT JOIN m{r} m USING (part, entry))"""
+_OP12_SQL = (
+    """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS v FROM v, (SELECT unnest(range(0, 16)) AS part)
+), b0 AS MATERIALIZED (
+  SELECT part, entry, v AS e FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 64) USING (vec_id)
+), """
+    + ",\n".join([_NEAREST.format(r=0), _MOVED.format(r=0, s=1), _NEAREST.format(r=1), _MOVED.format(r=1, s=2), _NEAREST.format(r=2)])
+    + """, c AS (
+  SELECT vec_id, string_agg(lower(format('{:02x}', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id
+), f AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS h FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM c JOIN v USING (vec_id), f
+"""
+)
+
+_OP13_SQL = r"""
+WITH RECURSIVE h AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS ws,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)), 4294967295) AS h
+  FROM documents
+), g AS (SELECT doc_id, ws, h, h // 10 AS g, len(ws) AS n FROM h
+), ap AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM g
+), t AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws FROM ap
+), q AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(ws[i + 1 : i + 4], ' ')) AS w FROM (SELECT doc_id, ws, unnest(range(0, n - 3)) AS i FROM t WHERE n >= 12)
+), e AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS p FROM q a JOIN q b ON a.doc_id = b.doc_id AND a.w = b.w AND a.i < b.i
+), island AS (
+  SELECT doc_id, p, min(i) AS s, max(i) + 4 + p AS e FROM (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM e) GROUP BY doc_id, p, k
+), run AS MATERIALIZED (
+  SELECT doc_id, s, e - s AS len, min(p) AS p FROM island WHERE e - s >= greatest(12, 2 * p) GROUP BY doc_id, s, e
+), sums AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS lines, arg_min({'s': s, 'l': len, 'p': p}, {'l': -len, 's': s, 'p': p}) AS top FROM run GROUP BY doc_id
+), gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + len)) AS i FROM run
+), kept AS (
+  SELECT t.doc_id, string_agg(ws[i + 1], ' ' ORDER BY i) AS c FROM (SELECT doc_id, ws, unnest(range(0, n)) AS i FROM t) t LEFT JOIN gone USING (doc_id, i) WHERE gone.doc_id IS NULL GROUP BY t.doc_id
+)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.p AS period, 1000 * top.l // top.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM t LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_chat_format": (op2_chat_format, _OP2_SQL),
@@ -229,6 +338,9 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_bpe": (op8_bpe, None),
     "op9_line_dedup": (op9_line_dedup, _OP9_SQL),
     "op10_ngram_join": (op10_ngram_join, _OP10_SQL),
+    "op11_warc": (op11_warc, _OP11_SQL),
+    "op12_vector_codes": (op12_vector_codes, _OP12_SQL),
+    "op13_runs": (op13_runs, _OP13_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
