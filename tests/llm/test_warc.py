@@ -34,7 +34,7 @@ def expected(rows, least=1000):
 def round_trip(spark, df, **how):
     path = work_dir(spark, "warc")
     warc.write_warc(df, path, **how)
-    out = warc.resolved(warc.captures(warc.read_records(spark, path)))
+    out = warc.resolved(warc.captures(warc.read_records(spark, path, with_payload=False)))
     return sorted((tuple(r) for r in out.select("id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
 
 
@@ -90,6 +90,7 @@ def test_archives_of_others(spark, tmp_path):
         "<r1>": ("response", ["<q1>", "<q9>"], ["<m1>"]), "<r2>": ("resource", ["<q2>"], []), "<lost>": (None, ["<lost>"], []), "<alone>": (None, [], ["<alone>"]),
     }
     assert rows["<r1>"].response.payload == bytes(range(256)) * 20 and rows["<r1>"].target_uri == "http://one" and rows["<lost>"].response is None
+    assert rows["<r1>"].response.payload_bytes == 5120 and rows["<r1>"].response.payload_sha1 == hashlib.sha1(bytes(range(256)) * 20).hexdigest()
     assert rows["<r1>"].requests[0].payload == b"body" and rows["<r1>"].metadata[0].fields == "a: 1"
 
 

@@ -79,7 +79,7 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = work_dir(spark, "warc")
     warc.write_warc(pages, path)
-    out = warc.resolved(warc.captures(warc.read_records(spark, path)), pages.schema["page_id"].dataType.simpleString())
+    out = warc.resolved(warc.captures(warc.read_records(spark, path, with_payload=False)), pages.schema["page_id"].dataType.simpleString())
     return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

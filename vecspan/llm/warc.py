@@ -7,6 +7,7 @@ stands for it) in WARC-Concurrent-To, in whatever archive it is.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vecspan.session import importable
 
-from .common import attach, connected_components, pick, stored, trimmed
+from .common import attach, connected_components, discard, pick, stored, trimmed
 
 #: Where the reader cuts archives; a payload may hold it too.
 _CUT = "\r\n\r\nWARC/"
@@ -22,7 +23,7 @@ _CUT = "\r\n\r\nWARC/"
 BATCH_BYTES = 16 << 20
 #: Types of the record that stands for a capture.
 MAIN = ("response", "revisit", "resource")
-_SCHEMA = "record_id string, type string, target_uri string, date string, concurrent_to array<string>, refers_to string, digest string, content_type string, http string, payload binary, fields string"
+_SCHEMA = "record_id string, type string, target_uri string, date string, concurrent_to array<string>, refers_to string, digest string, content_type string, http string, payload_bytes long, payload_sha1 string, payload binary, fields string"
 
 
 def _urn(uuid: Column) -> Column:
@@ -66,11 +67,12 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pick(pages, id=id_col, url=url_col, html=html_col)
     html = F.coalesce(F.col("html"), F.lit("")).cast("string")
     url = F.when(F.col("url").rlike("[\\x00-\\x20\\x7f]"), F.url_encode(F.col("url"))).otherwise(F.col("url"))
-    rows = stored(rows.select("id", url.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("size"), F.uuid().alias("uuid")))
+    pages_ = stored(rows.select("id", url.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("size"), F.uuid().alias("uuid")))
     key = F.when((F.col("size") >= least) & F.col("id").isNotNull(), F.col("digest"))
-    rows = rows.withColumn("key", key)
+    rows = pages_.withColumn("key", key)
     groups = rows.where("key is not null").groupBy("key").agg(F.max(F.struct("id", "uuid", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = attach(rows, stored(groups), "key")
+    groups = stored(groups)
+    rows = attach(rows, groups, "key")
     again = F.col("first").isNotNull() & (F.col("first.id") != F.col("id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     asked = F.concat(F.lit("GET "), F.coalesce(F.col("url"), F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n"))
@@ -87,6 +89,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     # A record's two line ends are what the writer puts after each row.
     lines = rows.select(F.explode(F.array(request, main, about)).alias("value"))
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    discard(pages_, groups)
 
 
 def parse(pieces: Iterator[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
@@ -148,7 +151,7 @@ def _headers(raw: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def _row(head: list[tuple[str, str]], block: bytes) -> tuple:
+def _row(head: list[tuple[str, str]], block: bytes, with_payload: bool) -> tuple:
     of = dict(head)
     kind = of.get("content-type", "")
     http = fields = None
@@ -158,13 +161,18 @@ def _row(head: list[tuple[str, str]], block: bytes) -> tuple:
         http = top.decode("utf-8", "replace")
     elif of.get("warc-type") == "metadata":
         fields, payload = block.decode("utf-8", "replace"), None
+    digest = (None, None) if payload is None else (len(payload), hashlib.sha1(payload).hexdigest())
     also = [v for k, v in head if k == "warc-concurrent-to"]
-    return of.get("warc-record-id"), of.get("warc-type"), of.get("warc-target-uri"), of.get("warc-date"), also, of.get("warc-refers-to"), of.get("warc-payload-digest"), kind, http, payload, fields
+    return of.get("warc-record-id"), of.get("warc-type"), of.get("warc-target-uri"), of.get("warc-date"), also, of.get("warc-refers-to"), of.get("warc-payload-digest"), kind, http, *digest, payload if with_payload else None, fields
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """A row per record of the archives under ``path``, plain or compressed as a whole or record by record.
 
+    payload_bytes and payload_sha1 are those of the payload that was read, whatever the header
+    says. Without ``with_payload`` the payload itself is left out where it was read, so that what
+    needs no more than its digest doesn't store and shuffle it.
+
     Spark's own text reader streams the archives, cut where records seem to begin, so that any
     store that Spark reads will do and a task holds a record at a time. A compressed archive is
     one task's; the pieces of plain ones, which are split, are put in order by archive first.
@@ -179,7 +187,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         pieces = pieces.select("value", "file_path")
     else:
         pieces = pieces.withColumn("at", F.monotonically_increasing_id()).repartition("file_path").sortWithinPartitions("file_path", "file_block_start", "at").select("value", "file_path")
-    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
     columns = [c.split()[0] for c in _SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +204,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         rows, size = [], 0
         for _, group in groupby(cuts(), key=lambda x: x[0]):
             for head, block in parse(v for _, v in group):
-                rows.append(_row(head, block))
-                size += len(block) + 500
+                rows.append(_row(head, block, with_payload))
+                size += (len(block) if with_payload else 0) + 500
                 if size >= BATCH_BYTES:
                     yield made(rows)
                     rows, size = [], 0
@@ -210,8 +218,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def captures(records: DataFrame) -> DataFrame:
     """A nested row per capture: capture_id, record_type, target_uri, date, refers_to, digest, response, requests, metadata.
 
-    ``records`` is what ``read_records`` gives. response is a struct of http and payload, the
-    other two are arrays, sorted by record identifier, of structs. Requests and metadata belong
+    ``records`` is what ``read_records`` gives. response is a struct of http, payload_bytes,
+    payload_sha1 and payload, the other two are arrays, sorted by record identifier, of structs. Requests and metadata belong
     to the response, revisit or resource that they name as concurrent or that names them; records
     that name each other in some longer way belong together too, and those whose capture has no
     main record make a row without response. A capture's records make one row, so they have to fit
@@ -240,7 +248,7 @@ def captures(records: DataFrame) -> DataFrame:
     members = members.groupBy("key").agg(F.sort_array(F.collect_list("request")).alias("requests"), F.sort_array(F.collect_list("about")).alias("metadata"))
     out = main.join(members, F.col("record_id") == F.col("key"), "full_outer")
     empty = [F.coalesce(c, F.array().cast(members.schema[c].dataType)).alias(c) for c in ("requests", "metadata")]
-    response = F.when(F.col("record_id").isNotNull(), F.struct("http", "payload"))
+    response = F.when(F.col("record_id").isNotNull(), F.struct("http", "payload_bytes", "payload_sha1", "payload"))
     return out.select(F.coalesce("record_id", "key").alias("capture_id"), F.col("type").alias("record_type"), "target_uri", "date", "refers_to", "digest", response.alias("response"), *empty)
 
 
@@ -252,10 +260,10 @@ def resolved(found: DataFrame, id_type: str = "long") -> DataFrame:
     the digest is the one that it states and the rest is null.
     """
     about = F.from_json(F.filter("metadata", lambda m: m["content_type"] == "application/json")[0]["fields"], f"id {id_type}")
-    payload = F.when(F.col("record_type") != "revisit", F.col("response.payload"))
+    own = F.when(F.col("record_type") != "revisit", F.col("response"))
     rows = found.select(
         "capture_id", about["id"].alias("id"), "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("key"),
-        F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("sha1"), F.regexp_replace("digest", "^sha1:", "").alias("stated"),
+        own["payload_bytes"].alias("size"), own["payload_sha1"].alias("sha1"), F.regexp_replace("digest", "^sha1:", "").alias("stated"),
     )
     rows = stored(rows)
     asked = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
