@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import pick, slices, text_bytes, trimmed
+from .common import pick, slices, stored, text_bytes, trimmed
 
 #: Bytes scored at once; longer texts are scored in pieces that see the bytes before them.
 _PIECE = 1 << 19
@@ -114,29 +114,30 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     """Context trees from a bounded sample of labelled rows.
 
     The bound is documented: of the rows that ``train`` admits and that have a language and a
-    text of at most ``most_bytes`` bytes, the ``per_lang`` rows of each language that come first
-    by a hash of the id, or where there are so many languages an equal share of ``most_rows``. More
-    languages than that are an error. Nothing else about the model depends on the size of the input.
+    text of at most ``most_bytes`` bytes, the ``per_lang`` of each language that come first by a
+    hash of id and text, or where there are so many languages an equal share of ``most_rows``. More
+    languages than that are an error. Rows are counted and drawn one by one, whether they have an
+    id, share one or have none; rows that repeat both id and text count once. Nothing else about
+    the model depends on the size of the input.
     """
     docs = docs if train is None else docs.where(train)
     docs = pick(docs, id=id_col, lang=lang_col, text=text_col).withColumn("lang", F.col("lang").cast("string"))
     ok = F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes)
-    rows = docs.where(ok).select("id", "lang")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64(F.col("id").isNull(), "id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    rows = docs.where(ok).select("lang", "text", draw.alias("draw"))
+    sizes = stored(rows.select("lang", "draw").distinct().groupBy("lang").agg(F.count("*").alias("n")))
     langs = sizes.limit(most_rows + 1).count()
     if langs > most_rows:
         raise ValueError(f"{lang_col} has over {most_rows} values")
     per_lang = min(per_lang, most_rows // max(1, langs))
     # A share by hash of which per_lang rows or more are all but certain comes first, so that a
     # language's rows don't meet in one task; rows that share is short of don't matter.
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
-    some = rows.withColumn("draw", draw).join(F.broadcast(sizes), "lang").where(F.col("draw") * F.col("n") <= 1.5 * per_lang)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
-    ids = some.withColumn("r", rank).where(F.col("r") <= per_lang).select("id").distinct()
-    picked = docs.where(ok)
+    some = rows.join(F.broadcast(sizes), "lang").where(F.col("draw") * F.col("n") <= 1.5 * per_lang)
+    once = some.groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     by: dict[str, list[bytes]] = defaultdict(list)
     # At most per_lang rows of each language, of most_bytes each.
-    for r in picked.join(F.broadcast(ids), "id").toLocalIterator():
+    for r in once.withColumn("r", rank).where(F.col("r") <= per_lang).select("lang", "text").toLocalIterator():
         by[r.lang].append(r.text.encode("utf-8"))
     return ByteTrees({k: sorted(v) for k, v in by.items()})
 

@@ -24,6 +24,10 @@ def _hash(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("∅")) for p in parts)))
 
 
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
@@ -124,7 +128,9 @@ def mix(docs: DataFrame, keep: list[str], source_col: str = "source", id_col: st
     is a sampling operator, and rows beyond a source's budget are left out by its definition.
 
     A null source is a source of its own, and a null text has no tokens; a source without
-    tokens is read once. Repeated rows count each, rows without an id too. A text of any length is
+    tokens is read once. Hashes are of id and text, so that rows without an id and texts that share
+    one are dealt and ordered as other rows are, the same way however the table is partitioned. Rows
+    that repeat both count each, and are taken for one another where a budget ends between them. A text of any length is
     read whole. An empty table gives an empty result; other columns may have any names.
 
     The hot source is one of many (source, block) keys. The plan has a row per source, epoch and
@@ -135,7 +141,7 @@ def mix(docs: DataFrame, keep: list[str], source_col: str = "source", id_col: st
     cover = budget == "cover"
     names = [f"k{i}" for i in range(len(keep))]
     rows = pick(docs, **dict(zip(names, keep, strict=True)), source=source_col, id=id_col, text=text_col)
-    rows = rows.withColumn("block", _number(_hash(F.lit(seed), F.col("source"), F.col("id"))) % blocks)
+    rows = rows.withColumn("block", _number(_hash(F.lit(seed), F.col("source"), F.col("id"), _digest(F.col("text")))) % blocks)
     sized = stored(rows.select(F.col("source").alias("s"), F.col("block").alias("b"), word_count(F.col("text")).alias("n")).groupBy("s", "b").agg(F.sum("n").alias("bt")))
     sources = stored(sized.groupBy("s").agg(F.sum("bt").alias("t")))
     count = sources.where("t > 0").count()
@@ -160,14 +166,14 @@ def mix(docs: DataFrame, keep: list[str], source_col: str = "source", id_col: st
     whole = against(ranked.where("room < 0")).select(*out)
     # The blocks in which a budget ends, cut by the first digits of the hash that orders their rows.
     ended = ranked.where("room >= 0")
-    row_hash = _hash(F.lit(seed), F.lit("row"), F.col("id"))
+    row_hash = _hash(F.lit(seed), F.lit("row"), F.col("id"), _digest(F.col("text")))
     sub = (_number(row_hash) / F.lit(2**32 // SUBS)).cast("long")
     sums = against(ended).groupBy("s", "b", "epoch", "block_rank", "room", sub.alias("sub")).agg(F.sum(word_count(F.col("text"))).alias("n"))
     by = Window.partitionBy("s", "epoch", "b").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0)
     subs = sums.withColumn("before", F.sum("n").over(by) - F.col("n")).where("before <= room")
     subs = stored(subs.select("s", "b", "epoch", "block_rank", "sub", F.when(F.col("before") + F.col("n") <= F.col("room"), F.lit(-1).cast("long")).otherwise(F.col("room") - F.col("before")).alias("room")))
     inside = against(subs, sub == F.col("sub"))
-    at = Window.partitionBy("s", "epoch", "b", "sub").orderBy(row_hash, "id").rowsBetween(Window.unboundedPreceding, 0)
+    at = Window.partitionBy("s", "epoch", "b", "sub").orderBy(row_hash, "id", _digest(F.col("text"))).rowsBetween(Window.unboundedPreceding, 0)
     last = inside.where("room >= 0").withColumn("upto", F.sum(word_count(F.col("text"))).over(at)).where("upto <= room")
     result = whole.unionByName(inside.where("room < 0").select(*out)).unionByName(last.select(*out))
     return result.toDF(*keep, *(["epoch", "block_rank"] if order else []))

@@ -153,8 +153,8 @@ FROM g
 _OP3_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS n,
-    ('0x' || substr(md5('1:' || coalesce(source, '∅') || ':' || doc_id), 1, 8))::BIGINT % 1024 AS block,
-    md5('1:row:' || doc_id) AS h
+    ('0x' || substr(md5('1:' || coalesce(source, '∅') || ':' || doc_id || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT % 1024 AS block,
+    md5('1:row:' || doc_id || ':' || md5(coalesce(text, ''))) AS h
   FROM documents
 ), sized AS (SELECT source, block, sum(n)::BIGINT AS bt FROM d GROUP BY source, block
 ), src AS (SELECT source, sum(bt)::BIGINT AS t FROM sized GROUP BY source

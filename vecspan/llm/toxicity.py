@@ -9,7 +9,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick
@@ -133,16 +133,19 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col: str = "d
     """Train on a bounded sample of labelled rows.
 
     The bound is documented: of the labelled rows that ``train_rows`` admits, half of
-    ``most_rows`` of each label at most, those first by a hash of the id, with texts of at most
-    ``most_bytes`` bytes. An id with both labels counts as toxic; several texts of one id are a
-    training row each.
+    ``most_rows`` of each label at most, with texts of at most ``most_bytes`` bytes: the texts of
+    the ids that come first by a hash, and of those, should ids have several, the ones that come
+    first by a hash of id and text. An id with both labels counts as toxic; several texts of one id
+    are a training row each, and rows that repeat both count once. Rows without an id have no label.
     """
     known = labels.where(train_rows)
     ok = pick(known, id=id_col, y=label_col).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     by = [ok.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most_rows // 2) for y in (0, 1)]
     chosen = by[0].unionByName(by[1])
     texts = pick(docs, id=id_col, text=text_col).where(F.octet_length("text") <= most_bytes)
-    found = sorted((r.id, r.y, zlib.compress(r.text.encode("utf-8"), 1)) for r in texts.join(F.broadcast(chosen), "id").toLocalIterator())
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("y", F.xxhash64("id", "text").alias("draw")).agg(F.min(F.struct("id", "text")).alias("row"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy("draw"))).where(F.col("place") <= most_rows // 2)
+    found = sorted((r.id, r.y, zlib.compress(r.text.encode("utf-8"), 1)) for r in rows.select("row.id", "y", "row.text").toLocalIterator())
     return train((zlib.decompress(t).decode("utf-8"), y) for _, y, t in found)
 
 
