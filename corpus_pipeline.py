@@ -32,14 +32,20 @@ def _document(doc_id: str, digest: Column | str) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds key to doc_id and text, which no two documents share: doc_id, or where ids are null or on two texts, text that sorts by id, nulls last."""
+    """Adds key to doc_id and text, which no two documents share: doc_id, or where ids are null or on two texts, text that sorts by id, nulls last.
+
+    Whole numbers sort by value, ids of other types by their text.
+    """
     rows = docs.select("doc_id", F.unhex(_digest(F.col("text"))).alias("d"))
     each = rows.groupBy("doc_id").agg(F.min("d").alias("low"), F.max("d").alias("high"))
     if each.where("doc_id is null or low <> high").isEmpty():
         return docs.withColumn("key", F.col("doc_id"))
-    # Flipping the sign bit makes hexadecimal digits sort as the numbers do.
-    by_id = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
-    return docs.withColumn("key", F.concat(F.coalesce(by_id, F.lit("null")), _digest(F.col("text"))))
+    by_id = F.col("doc_id").cast("string")
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        # Flipping the sign bit makes hexadecimal digits sort as the numbers do.
+        by_id = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    # After the id comes what sorts before any further character of a longer one.
+    return docs.withColumn("key", F.concat(F.coalesce(F.concat(F.lit("0"), by_id), F.lit("1")), F.lit("\u0000"), _digest(F.col("text"))))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
