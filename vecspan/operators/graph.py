@@ -83,7 +83,7 @@ def entry_points(base: DataFrame, centroids: DataFrame, queries: DataFrame, star
     return probe(queries, centroids, starts, metric, vec_col).join(F.broadcast(pivots), "cluster_id").select("qid", "node").distinct()
 
 
-def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, width: int, hops: int | None = None, starts: int = 8, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", centroids: DataFrame | None = None, entry: DataFrame | None = None, checks: int | None = None) -> DataFrame:
+def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, width: int, hops: int | None = None, starts: int = 8, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", centroids: DataFrame | None = None, entry: DataFrame | None = None, checks: int | None = None, stats: dict | None = None) -> DataFrame:
     """Follow edges until no beam, the ``width`` best rows seen for a query, changes.
 
     ``hops`` ends it earlier. It starts from the rows nearest to a query's ``starts`` nearest
@@ -93,7 +93,8 @@ def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, w
     new in it and its neighbours are broadcast up to MOST_FRONTIER rows, so that neither edges nor
     vectors are shuffled, and joined by shuffle beyond. With ``checks``, a query ends after the hop
     in which so many distances or more have been found for it. width must be at least k. ``graph`` is read
-    once a hop, so it had better be a table.
+    once a hop, so it had better be a table. ``stats`` gets the number of hops and of distances found,
+    each of which has read a vector.
     """
     if width < k:
         raise ValueError("width must be at least k")
@@ -120,10 +121,13 @@ def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, w
     while (hops is None or hop < hops) and not beam.where("fresh").isEmpty():
         step = graph.select(F.col("src").alias("node"), "dst").join(small(beam.where("fresh").select("qid", "node")), "node").select("qid", F.col("dst").alias("node")).distinct()
         new = measured(step.join(beam.select("qid", "node"), ["qid", "node"], "left_anti"))
-        if checks is not None:
+        if checks is not None or stats is not None:
             new = new.checkpoint()
             spent = spent.unionByName(new.groupBy("qid").agg(F.count("*").alias("n"))).groupBy("qid").agg(F.sum("n").alias("n")).checkpoint()
+        if checks is not None:
             new = new.join(spent.withColumnRenamed("n", "spent"), "qid").withColumn("fresh", F.col("spent") < checks).drop("spent")
         beam = top_by(beam.withColumn("fresh", F.lit(False)).unionByName(new), ["qid"], width, ["dist", "node"]).drop("rank").checkpoint()
         hop += 1
+    if stats is not None:
+        stats.update(hops=hop, distances=spent.agg(F.sum("n")).first()[0] or 0)
     return merge_topk(beam.drop("fresh").withColumnRenamed("node", id_col), k, id_col)

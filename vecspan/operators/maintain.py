@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,40 +104,44 @@ class VectorStore:
     merge_rows: int = 30_000_000
     id_col: str = "vec_id"
 
-    def _read(self, kind: str, version: int | None = None) -> DataFrame | None:
-        """The base, or all inserts ("delta") or deletes ("tombstones") so far; each is a folder that counts once it is complete."""
-        at = f"{self.path}/v{self._version() if version is None else version}"
+    def _parts(self, folder: str | None = None) -> dict[str, list[str]]:
+        """The complete folders of a version by kind, from one listing, so that they belong to one moment."""
+        at = f"{self.path}/{folder or self._version()[1]}"
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = path(at).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(path(at))]
-        whole = [f"{at}/{n}" for n in sorted(names) if n.split("-")[0] == kind and fs.exists(path(f"{at}/{n}/_SUCCESS"))]
-        return self.spark.read.parquet(*whole) if whole else None
-
-    def _version(self) -> int:
-        """The highest version that was published. A pointer is an empty file of its own that appears at once and never changes."""
+        names = sorted(s.getPath().getName() for s in fs.listStatus(path(at)))
+        found: dict[str, list[str]] = {}
+        for n in names:
+            if fs.exists(path(f"{at}/{n}/_SUCCESS")):
+                found.setdefault(n.split("-")[0], []).append(f"{at}/{n}")
+        return found
+
+    def _version(self) -> tuple[int, str]:
+        """The number and folder of the highest version that was published. A pointer is an empty file of its own, named after both, that appears at once and never changes."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=0) if fs.exists(p) else 0
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return max(((int(n.split("-")[0][1:]), n) for n in names if n.startswith("v")), default=(0, "v0"))
 
-    def _point(self, version: int) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{version}")
+    def _point(self, folder: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{folder}")
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p, False).close()
 
     def create(self, base: DataFrame) -> VectorStore:
         base.write.parquet(f"{self.path}/v0/base")
-        self._point(0)
+        self._point("v0")
         return self
 
     def insert(self, rows: DataFrame) -> None:
         seq = time.time_ns()
-        rows.withColumn("__seq", F.lit(seq)).write.parquet(f"{self.path}/v{self._version()}/delta-{seq}")
-        if self._read("delta").count() >= self.merge_rows:
+        rows.withColumn("__seq", F.lit(seq)).write.parquet(f"{self.path}/{self._version()[1]}/delta-{seq}")
+        if self.spark.read.parquet(*self._parts()["delta"]).count() >= self.merge_rows:
             self.merge()
 
     def delete(self, tags: DataFrame) -> DataFrame:
         """Lazy delete; returns the tags that weren't there."""
         seq = time.time_ns()
-        at = f"{self.path}/v{self._version()}"
+        at = f"{self.path}/{self._version()[1]}"
         tags.select(F.col(tags.columns[0]).cast("bigint").alias("tag")).distinct().write.parquet(f"{at}/asked-{seq}")
         asked = self.spark.read.parquet(f"{at}/asked-{seq}")
         failed_deletes(asked, self.rows(), "tag", self.id_col).write.parquet(f"{at}/failed-{seq}")
@@ -151,8 +156,8 @@ class VectorStore:
 
     def rows(self) -> DataFrame:
         """What is visible now. All parts are of one version, whatever is merged meanwhile."""
-        version = self._version()
-        base, delta, dead = (self._read(kind, version) for kind in ("base", "delta", "tombstones"))
+        parts = self._parts()
+        base, delta, dead = (self.spark.read.parquet(*parts[kind]) if kind in parts else None for kind in ("base", "delta", "tombstones"))
         if dead is not None:
             dead = dead.groupBy(F.col("tag").alias(self.id_col)).agg(F.max("__seq").alias("__dead"))
         if delta is not None:
@@ -169,10 +174,10 @@ class VectorStore:
         return exact_knn(self.rows(), queries, k, id_col=self.id_col, **how)
 
     def merge(self) -> None:
-        """Write the next snapshot, then point readers at it; the old one stays for running searches."""
-        version = self._version()
-        self.rows().write.parquet(f"{self.path}/v{version + 1}/base")
-        self._point(version + 1)
+        """Write the next snapshot under a name of its own, then point readers at it; the old one stays for running searches, and what a crash left behind is in nobody's way."""
+        folder = f"v{self._version()[0] + 1}-{uuid.uuid4().hex}"
+        self.rows().write.parquet(f"{self.path}/{folder}/base")
+        self._point(folder)
 
 
 def update_while_searching(store: VectorStore, queries: DataFrame, k: int, steps: list[tuple[str, DataFrame]], **how) -> list[list]:

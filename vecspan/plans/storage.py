@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vecspan.functions import distance, vectors
-from vecspan.operators import ivf, maintain
+from vecspan.operators import ivf, levels, maintain
 from vecspan.operators.topk import exact_knn
 from vecspan.session import work_dir
 from vecspan.sources import formats, text
 from vecspan.sources.catalog import Catalog
 
-from .catalogue import _ASSIGN, _BASE, _C, _LAYOUT, _Q, _TRUTH, DIM, K, NLIST, _knn_sql, _long, _with, asked, assigned, base, query
+from .catalogue import _ASSIGN, _BASE, _C, _CT, _FOUND, _LAYOUT, _PROBE, _Q, _TRUTH, DIM, K, NLIST, NPROBE, _knn_sql, _long, _with, asked, assigned, base, query, trained
 
 
 def _hundred(v: Column) -> Column:
@@ -176,3 +176,34 @@ def collection_search(spark, sf_dir):
     c.flush()
     c.create_index(NLIST, 2)
     return c.search(asked(b), K, nprobe=NLIST, expr="label < 5")
+
+
+_LIVE = """live AS (SELECT vec_id, CASE WHEN vec_id % 20 = 13 THEN list_transform(e, lambda x: -x) ELSE e END AS e, label FROM base WHERE vec_id % 10 <> 3 OR vec_id % 20 = 13)"""
+
+
+def _levelled(spark, b):
+    """A base without ids ending in 7; those come in two inserts, ids ending in 3 go, half of them come back negated; merges in between."""
+    flipped = b.where("vec_id % 20 = 13").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    index = levels.LevelledIndex(spark, work_dir(spark, "levels")).create(b.where("vec_id % 10 <> 7"), centroids=trained(b))
+    index.insert(b.where("vec_id % 20 = 7"))
+    index.insert(b.where("vec_id % 20 = 17"))
+    index.merge()
+    index.delete(b.where("vec_id % 10 = 3").select("vec_id"))
+    index.insert(flipped)
+    return index
+
+
+@query(_with(_BASE, _Q, _CT, _LIVE, _ASSIGN.replace("FROM base, c", "FROM live, c"), _PROBE, _FOUND) + f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM found WHERE probe_rank <= {NPROBE} QUALIFY rank <= {K}")
+def search_base_and_delta(spark, sf_dir):
+    """Inverted lists in levels under a commit log: base, merged and fresh inserts, deletes; searched by nprobe."""
+    b = base(spark, sf_dir)
+    return _levelled(spark, b).search(asked(b), K, NPROBE)
+
+
+@query(_with(_BASE, _LIVE) + "SELECT vec_id, label, list_sum(e) AS total FROM live")
+def levels_after_merge(spark, sf_dir):
+    """The same index with all levels merged into a new base."""
+    index = _levelled(spark, base(spark, sf_dir))
+    index.merge(whole=True)
+    return index.rows().select("vec_id", "label", F.aggregate(distance.doubles(F.col("embedding")), F.lit(0.0), lambda s, x: s + x).alias("total"))
+
