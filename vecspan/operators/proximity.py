@@ -61,15 +61,13 @@ def budgeted_shards(base: DataFrame, budget: int, row_bytes: int, overlap: int =
         raise ValueError("the budget is less than two rows")
     rows = base.where(distance.finite(F.col(vec_col))).select(id_col, vec_col)
     n = rows.count()
-    learn = ivf.sampled(rows, sample, id_col, vec_col)
-    taken = learn.count() if n else 0
-    parts, overlap = max(1, -(-n * overlap // most)), overlap if n > most else 1
     if n <= most:
-        parts = 1
+        return rows.withColumn("shard", F.lit(0).cast("bigint")), ivf.lloyd_step(rows, ivf.seed_centroids(rows, 1, id_col, vec_col), id_col, vec_col)
+    learn = ivf.sampled(rows, sample, id_col, vec_col)
+    taken = learn.count()
+    parts = -(-n * overlap // most)
     for _ in range(tries):
         cents = ivf.kmeans(learn, parts, 5, id_col, vec_col)
-        if parts == 1:
-            break
         sizes = rank_small(learn, cents, overlap, "l2_sq", id_col, vec_col).groupBy("cluster_id").count()
         if (sizes.agg(F.max("count")).first()[0] or 0) * n <= most * taken or parts * 4 > taken:
             break
@@ -157,7 +155,8 @@ def shard_links(x: np.ndarray, degree: int, width: int, pool: int, alpha: float)
 
     From random links, two rounds: every row is searched for from the medoid, and what the
     search stepped on is pruned to its neighbours; these get the row as a candidate in turn. The
-    first round prunes without slack, the second with ``alpha``.
+    first round prunes without slack, the second with ``alpha``. Both leave a place free, which
+    serves to bring in reach of the medoid what isn't; such a link comes first in its list.
     """
     m = len(x)
     medoid = int(((x - x.mean(0)) ** 2).sum(1).argmin())
@@ -165,6 +164,7 @@ def shard_links(x: np.ndarray, degree: int, width: int, pool: int, alpha: float)
         every = np.tile(np.arange(m), (m, 1))
         return every[~np.eye(m, dtype=bool)].reshape(m, m - 1), medoid
     rng = np.random.default_rng(m)
+    whole, degree = degree, max(1, degree - 1)
     links = np.full((m, degree), -1, np.int64)
     links[:, : max(1, degree // 2)] = rng.integers(0, m, (m, max(1, degree // 2)))
     for slack in (1.0, alpha):
@@ -187,7 +187,28 @@ def shard_links(x: np.ndarray, degree: int, width: int, pool: int, alpha: float)
             fits = (cand >= 0).sum(1) <= degree
             links[targets[fits]] = -np.sort(-cand[fits], 1)[:, :degree]
             links[targets[~fits]] = pruned_links(x, targets[~fits], cand[~fits], degree, pool, slack)
-    return links, medoid
+    out = np.full((m, max(2, whole)), -1, np.int64)
+    out[:, 1 : 1 + degree] = links
+    return _in_reach(x, out, medoid), medoid
+
+
+def _in_reach(x: np.ndarray, links: np.ndarray, start: int) -> np.ndarray:
+    """Links by which every row is reached from ``start``: the first place of each list, which is free, takes the nearest row that wasn't reached."""
+
+    def spread(rows: np.ndarray) -> None:
+        while len(rows):
+            reached[rows] = True
+            rows = np.unique(links[rows])
+            rows = rows[(rows >= 0) & ~reached[np.maximum(rows, 0)]]
+
+    reached = np.zeros(len(x), bool)
+    spread(np.array([start]))
+    for row in range(len(x)):
+        if not reached[row]:
+            free = np.flatnonzero(reached & (links[:, 0] < 0))
+            links[free[((x[free] - x[row]) ** 2).sum(1).argmin()], 0] = row
+            spread(np.array([row]))
+    return links
 
 
 def shard_graphs(shards: DataFrame, degree: int, width: int, pool: int, alpha: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -290,7 +311,7 @@ class ProximityGraph:
     stats: dict = field(default_factory=dict)
 
     @staticmethod
-    def build(base: DataFrame, degree: int = 32, width: int = 64, pool: int = 200, alpha: float = 1.2, budget: int = 256 << 20, overlap: int = 2, parts: int = 16, codes: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> ProximityGraph:
+    def build(base: DataFrame, degree: int = 32, width: int = 64, pool: int = 200, alpha: float = 1.2, budget: int = 8 << 20, overlap: int = 2, parts: int = 16, codes: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> ProximityGraph:
         """A graph over all rows with a finite vector; ids are unique.
 
         Rows are dealt to overlapping shards of at most ``budget`` bytes, each a task's; shards
@@ -456,9 +477,9 @@ class ProximityGraph:
         """
         new = rows.where(distance.finite(F.col(self.vec_col))).select(F.col(self.id_col).cast("bigint").alias("node"), F.col(self.vec_col).cast("array<float>").alias("v"))
         new = stored(pq.encode_rows(new, self.codebook, ["node", "v"], "v").withColumnRenamed("codes", "code"), "new")
-        walked = self._walk(new.select(F.col("node").alias("qid"), F.col("v").alias(self.vec_col)), self.width, 4, 8)
+        walked = self._walk(new.select(F.col("node").alias("qid"), F.col("v").alias(self.vec_col)), self.width, 16, 8)
         pairs = walked.select(F.col("qid").alias("node"), F.explode("near").alias("dst"))
-        shards, _ = budgeted_shards(new, 256 << 20, 16 * _dimension(new, "v") + 16 * self.degree + BLOCK, id_col="node", vec_col="v")
+        shards, _ = budgeted_shards(new, 8 << 20, 16 * _dimension(new, "v") + 16 * self.degree + BLOCK, id_col="node", vec_col="v")
         among = shard_graphs(shards, max(1, self.degree // 2), self.width, 200, self.alpha, "node", "v").select("node", F.explode("neighbours").alias("dst"))
         vectors = self.nodes.select("node", "v").unionByName(new.select("node", "v"))
         links = stored(self._pruned(stored(pairs.unionByName(among).distinct(), "pairs"), new.select("node", "v"), vectors), "links")
