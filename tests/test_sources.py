@@ -119,8 +119,9 @@ def test_matrices_inside_a_file(spark, base, tmp_path):
     assert rows(formats.read_vectors(spark, path)) == rows(base)
     assert rows(formats.read_vectors(spark, path, offset=n)) == rows(base.where("vec_id < 5"))
     res = spark.createDataFrame([(0, 1, 7, 0.5), (0, 2, 8, 1.5), (3, 1, 9, 2.5)], "qid bigint, rank bigint, vec_id bigint, dist double")
-    formats.write_result_matrix(res, str(tmp_path / "r.bin"), 2)
-    raw = (tmp_path / "r.bin").read_bytes()
+    formats.write_result_matrix(res, str(tmp_path / "r"), 2, files=1)
+    (part,) = (tmp_path / "r").glob("part-*.bin")
+    raw = part.read_bytes()
     assert struct.unpack("<iiIfIfIfIf", raw)[:8] == (2, 2, 7, 0.5, 8, 1.5, 9, 2.5)
 
 

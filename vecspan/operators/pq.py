@@ -54,8 +54,8 @@ def book_array(codebook: DataFrame):
     return np.array([v for _, _, v in rows], np.float64).reshape(n, len(rows) // n, -1), np.array([c for _, c, _ in rows], np.int64).reshape(n, -1)
 
 
-def train_codebook(base: DataFrame, n: int, dim: int, codes: int = 256, iterations: int = 15, id_col: str = "vec_id", vec_col: str = "embedding", sample: int | None = 256_000, seed: int = 0) -> DataFrame:
-    """(chunk, code, center) by k-means in each chunk; a round is one pass over a bounded sample for all chunks."""
+def train_codebook(base: DataFrame, n: int, dim: int, codes: int = 256, iterations: int = 15, id_col: str = "vec_id", vec_col: str = "embedding", sample: int | None = 256_000, seed: int = 0, digits: int = 12) -> DataFrame:
+    """(chunk, code, center) by k-means in each chunk, means to ``digits`` decimals; a round is one pass over a bounded sample for all chunks."""
     import numpy as np
 
     spark = importable(base.sparkSession)
@@ -78,7 +78,7 @@ def train_codebook(base: DataFrame, n: int, dim: int, codes: int = 256, iteratio
         moved = ivf.cluster_means(base.select(vec_col), by_chunk, book.shape[1], size).collect()  # the codebook
         book = book.copy()
         for r in moved:
-            book[r.part, r.cluster_id] = np.round(r.mean, 12)
+            book[r.part, r.cluster_id] = np.round(r.mean, digits)
         shared.unpersist()
     rows = [(c, k, book[c, k].tolist()) for c in range(book.shape[0]) for k in range(book.shape[1])]
     return spark.createDataFrame(rows, "chunk bigint, code bigint, center array<double>")
@@ -239,6 +239,18 @@ class IvfPqIndex:
         return some.select("cluster_id", id_col, "codes").mapInArrow(run, f"qid bigint, `{id_col}` {kind}, dist double")
 
 
+def reranked(found: DataFrame, base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """The k nearest of each query by whole vectors among candidates (qid, id): (qid, rank, id, dist).
+
+    Candidates with their query are broadcast to the base up to ivf.MOST_PROBES rows, which is then
+    read once without a shuffle; more are joined by id.
+    """
+    asked = found.select("qid", id_col).join(queries.select("qid", distance.doubles(F.col(vec_col)).alias("q")), "qid")
+    few = found.limit(ivf.MOST_PROBES + 1).count() <= ivf.MOST_PROBES
+    rows = base.select(id_col, distance.doubles(F.col(vec_col)).alias("v")).join(F.broadcast(asked) if few else asked, id_col)
+    return merge_topk(rows.select("qid", id_col, distance.l2_sq(F.col("q"), F.col("v")).alias("dist")), k, id_col)
+
+
 def differences(df: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, vector): each vector minus its nearest centroid."""
     rows = ivf.assign(df, centroids, "l2_sq", id_col, vec_col, keep=[id_col, vec_col])

@@ -141,7 +141,7 @@ def _scan(rows: DataFrame, queries: list, k: int, metric: str) -> DataFrame:
 
     spark = importable(rows.sparkSession)
     ids = np.array([r.qid for r in queries], np.int64)
-    q = np.array([r.v for r in queries], np.float64).reshape(len(queries), -1)
+    q = np.array([r.v for r in queries], np.float64).reshape(len(queries), -1 if queries else 0)
     shared = spark.sparkContext.broadcast((ids, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def held(refs: DataFrame, ref_id: str = "cluster_id", ref_vec: str = "centroid",
     if len(rows) > most:
         raise ValueError(f"the table to rank against has over {most} rows")
     rows.sort(key=lambda r: r.r)
-    return np.array([r.r for r in rows], np.int64), np.array([r.v for r in rows], np.float64).reshape(len(rows), -1)
+    return np.array([r.r for r in rows], np.int64), np.array([r.v for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
 
 
 def rank_small(df: DataFrame, refs: DataFrame, k: int, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", ref_id: str = "cluster_id", ref_vec: str = "centroid", most: int = 65_536, keep: list[str] | None = None) -> DataFrame:

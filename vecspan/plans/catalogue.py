@@ -579,37 +579,66 @@ def pq_encode(spark, sf_dir):
     return pq.encode(b, pq.seed_codebook(b, CHUNKS, DIM, 16), CHUNKS, DIM)
 
 
+#: Chunks, codes and rounds of the trained codebooks of the searches, and the candidates that are ranked again by whole vectors.
+PARTS, CODES, BOOK_ROUNDS, CANDIDATES = 16, 64, 3, 10 * K
+
+
+def _book_sql(parts: str) -> str:
+    """b: the codebook after BOOK_ROUNDS rounds over (vec_id, chunk, part), rounded to six decimals each time."""
+    out = [f"b0 AS MATERIALIZED (SELECT chunk, vec_id AS code, part AS center FROM {parts} WHERE vec_id < {CODES})"]
+    for r in range(1, BOOK_ROUNDS + 1):
+        out.append(f"""n{r} AS MATERIALIZED (SELECT p.vec_id, p.chunk, p.part, o.code, {sql('l2_sq', 'p.part', 'o.center')} AS d FROM {parts} p JOIN b{r - 1} o USING (chunk)
+  QUALIFY row_number() OVER (PARTITION BY p.vec_id, p.chunk ORDER BY d, o.code) = 1)""")
+        out.append(f"""w{r} AS (SELECT chunk, code, list(x ORDER BY pos) AS center FROM (SELECT chunk, code, pos, round(avg(x), 6) AS x FROM (SELECT chunk, code, generate_subscripts(part, 1) AS pos, unnest(part) AS x FROM n{r}) GROUP BY chunk, code, pos) GROUP BY chunk, code)""")
+        out.append(f"b{r} AS MATERIALIZED (SELECT chunk, code, coalesce(w{r}.center, o.center) AS center FROM b{r - 1} o LEFT JOIN w{r} USING (chunk, code))")
+    out.append(f"book AS (SELECT * FROM b{BOOK_ROUNDS})")
+    return ",\n".join(out)
+
+
+_CUT = f"list_slice({{0}}, chunk * {DIM // PARTS} + 1, (chunk + 1) * {DIM // PARTS})"
+_CHUNKS = f"(SELECT unnest(range(0, {PARTS})) AS chunk)"
+_AGAIN = f"""picked AS (SELECT qid, vec_id FROM adc QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {CANDIDATES}),
+again AS (SELECT qid, vec_id, {sql('l2_sq', 'qe', 'e')} AS dist FROM picked JOIN q USING (qid) JOIN base USING (vec_id))"""
+_RANKED = f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM again QUALIFY rank <= {K}"
+
+
 @query(
     _with(
-        _BASE, _Q, _PQ,
+        _BASE, _Q,
+        f"parts AS MATERIALIZED (SELECT vec_id, chunk, {_CUT.format('e')} AS part FROM base, {_CHUNKS})",
+        _book_sql("parts"),
+        f"codes AS (SELECT p.vec_id, p.chunk, b.code, {sql('l2_sq', 'p.part', 'b.center')} AS d FROM parts p JOIN book b USING (chunk) QUALIFY row_number() OVER (PARTITION BY p.vec_id, p.chunk ORDER BY d, b.code) = 1)",
         f"lut AS (SELECT p.vec_id AS qid, p.chunk, b.code, {sql('l2_sq', 'p.part', 'b.center')} AS d FROM parts p JOIN book b USING (chunk) WHERE p.vec_id % 100 = 0)",
         "adc AS (SELECT qid, c.vec_id, list_sum(list(l.d ORDER BY c.chunk)) AS dist FROM codes c JOIN lut l USING (chunk, code) GROUP BY qid, c.vec_id)",
+        _AGAIN,
     )
-    + "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM adc QUALIFY rank <= 10"
+    + _RANKED
 )
 def pq_adc_search(spark, sf_dir):
+    """Codes of trained codebooks; the nearest CANDIDATES of a query are ranked again by whole vectors."""
     b = base(spark, sf_dir)
-    book = pq.seed_codebook(b, CHUNKS, DIM, 16)
-    return pq.adc_search(b, book, asked(b), K, DIM)
+    book = pq.train_codebook(b, PARTS, DIM, CODES, BOOK_ROUNDS, sample=None, digits=6)
+    return pq.reranked(pq.adc_search(b, book, asked(b), CANDIDATES, DIM), b, asked(b), K)
 
 
 _IVFPQ = f"""diff AS (SELECT vec_id, cluster_id, list_transform(list_zip(e, ce), lambda p: p[1] - p[2]) AS d FROM assigned JOIN c USING (cluster_id)),
-dparts AS (SELECT vec_id, cluster_id, chunk, d[chunk * 8 + 1 : chunk * 8 + 8] AS part FROM diff, (SELECT unnest(range(0, 8)) AS chunk)),
-book AS (SELECT chunk, vec_id AS code, part AS center FROM dparts WHERE vec_id < 16),
+dparts AS MATERIALIZED (SELECT vec_id, cluster_id, chunk, {_CUT.format('d')} AS part FROM diff, {_CHUNKS}),
+{_book_sql('dparts')},
 codes AS (SELECT p.vec_id, p.cluster_id, p.chunk, b.code, {sql('l2_sq', 'p.part', 'b.center')} AS d FROM dparts p JOIN book b USING (chunk)
   QUALIFY row_number() OVER (PARTITION BY p.vec_id, p.chunk ORDER BY d, b.code) = 1),
 qdiff AS (SELECT qid, cluster_id, list_transform(list_zip(qe, ce), lambda p: p[1] - p[2]) AS d FROM probes JOIN c USING (cluster_id) WHERE probe_rank <= {NPROBE}),
-lut AS (SELECT qid, cluster_id, b.chunk, code, {sql('l2_sq', 'd[b.chunk * 8 + 1 : b.chunk * 8 + 8]', 'b.center')} AS d FROM qdiff, book b),
+lut AS (SELECT qid, cluster_id, b.chunk, code, {sql('l2_sq', _CUT.format('d').replace('chunk', 'b.chunk'), 'b.center')} AS d FROM qdiff, book b),
 adc AS (SELECT qid, o.vec_id, list_sum(list(l.d ORDER BY o.chunk)) AS dist FROM codes o JOIN lut l ON l.cluster_id = o.cluster_id AND l.chunk = o.chunk AND l.code = o.code GROUP BY qid, o.vec_id)"""
 
 
-@query(_with(_BASE, _Q, _CT, _ASSIGN, _PROBE, _IVFPQ) + "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM adc QUALIFY rank <= 10")
+@query(_with(_BASE, _Q, _CT, _ASSIGN, _PROBE, _IVFPQ, _AGAIN) + _RANKED)
 def ivf_pq_search(spark, sf_dir):
-    """Codes of differences from centroids in inverted lists, with the codebook of the first 16 rows."""
+    """Trained codes of differences from centroids in inverted lists; the nearest CANDIDATES are ranked again by whole vectors."""
     b = base(spark, sf_dir)
     c = trained(b)
-    book = pq.seed_codebook(pq.differences(b, c), CHUNKS, DIM, 16)
-    return pq.IvfPqIndex.build(b, NLIST, CHUNKS, centroids=c, codebook=book).search(asked(b), K, NPROBE)
+    book = pq.train_codebook(pq.differences(b, c), PARTS, DIM, CODES, BOOK_ROUNDS, sample=None, digits=6)
+    index = pq.IvfPqIndex.build(b, NLIST, PARTS, centroids=c, codebook=book)
+    return pq.reranked(index.search(asked(b), CANDIDATES, NPROBE), b, asked(b), K)
 
 
 @query()

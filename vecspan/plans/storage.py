@@ -63,7 +63,7 @@ def file_range(spark, sf_dir):
 def file_truthset(spark, sf_dir):
     """The true neighbours written as a truthset and read back; its queries are numbered."""
     b = base(spark, sf_dir)
-    path = f"{work_dir(spark, 'truth')}.bin"
+    path = work_dir(spark, "truth")
     formats.write_truthset(exact_knn(b, asked(b), K), path)
     return formats.register(spark).read.format("truthset").load(path).withColumn("dist", F.col("dist").cast("double"))
 

@@ -188,17 +188,40 @@ class _Written(WriterCommitMessage):
     path: str
 
 
-class _VectorWriter(DataSourceArrowWriter):
-    """A file of the format per task, named by the least id in it, so that sorted ranges stay in order."""
+class _PartsWriter(DataSourceArrowWriter):
+    """Files that tasks write under names of their own, and that get their names once all tasks have ended."""
 
-    def __init__(self, kind: str, options: dict, overwrite: bool):
-        self.kind, self.options, self.overwrite = kind, options, overwrite
+    def __init__(self, options: dict, overwrite: bool):
+        self.options, self.overwrite = options, overwrite
 
     def _store(self):
         store, at = opened(self.options["path"])
         store.create_dir(at, recursive=True)
         return store, at
 
+    def commit(self, messages: list) -> None:
+        store, at = self._store()
+        moves = [line.split("\t") for m in messages if m and m.path for line in m.path.split("\n")]
+        if self.overwrite:
+            for path, _ in files(self.options["path"])[1]:
+                store.delete_file(path)
+        for temp, final in moves:
+            store.move(temp, final)
+
+    def abort(self, messages: list) -> None:
+        store, _ = self._store()
+        for m in messages:
+            for line in m.path.split("\n") if m and m.path else []:
+                store.delete_file(line.split("\t")[0])
+
+
+class _VectorWriter(_PartsWriter):
+    """A file of the format per task, named by the least id in it, so that sorted ranges stay in order."""
+
+    def __init__(self, kind: str, options: dict, overwrite: bool):
+        super().__init__(options, overwrite)
+        self.kind = kind
+
     def write(self, batches: Iterator) -> WriterCommitMessage:
         import uuid
 
@@ -241,22 +264,86 @@ class _VectorWriter(DataSourceArrowWriter):
             store.delete_file(temp)
             return _Written("")
         final = f"{at}/part-{least if least is not None else 0:020d}-{uuid.uuid4().hex[:8]}.{self.kind}"
-        return _Written(f"{temp}\n{final}")
+        return _Written(f"{temp}\t{final}")
 
-    def commit(self, messages: list) -> None:
+
+class _MatrixWriter(_PartsWriter):
+    """Files of neighbour lists, a range of queries each: (qid, rank, id, dist[, tag]) rows that are sorted by query and rank, ``k`` a query.
+
+    "truthset": a header and the matrices of ids, distances and tags; "results": a header and
+    pairs of id and distance. A task holds 12 bytes a row, as the header counts them.
+    """
+
+    def __init__(self, kind: str, options: dict, overwrite: bool):
+        super().__init__(options, overwrite)
+        self.kind, self.k = kind, int(options["k"])
+
+    def write(self, batches: Iterator) -> WriterCommitMessage:
+        import uuid
+
+        import numpy as np
+
+        pair = np.dtype([("id", "<u4"), ("dist", "<f4")])
+        rows, least = [], None
+        for batch in (b for b in batches if b.num_rows):
+            column = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+            least = int(column["qid"][0]) if least is None else least
+            rows.append((column["vec_id"].astype("<u4"), column["dist"].astype("<f4"), column["tag"].astype("<u4") if self.kind == "truthset" else None))
+        if not rows:
+            return _Written("")
+        ids, dist = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+        if self.kind == "truthset":
+            body = [ids, dist, np.concatenate([r[2] for r in rows])]
+        else:
+            body = [np.rec.fromarrays([ids, dist], dtype=pair)]
         store, at = self._store()
-        moves = [m.path.split("\n") for m in messages if m and m.path]
-        if self.overwrite:
-            for path, _ in files(self.options["path"])[1]:
-                store.delete_file(path)
-        for temp, final in moves:
-            store.move(temp, final)
+        temp = f"{at}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(temp) as f:
+            f.write(struct.pack("<ii", len(ids) // self.k, self.k))
+            for part in body:
+                f.write(part.tobytes())
+        return _Written(f"{temp}\t{at}/part-{least + (1 << 62):020d}-{uuid.uuid4().hex[:8]}.bin")
 
-    def abort(self, messages: list) -> None:
-        store, _ = self._store()
-        for m in messages:
-            if m and m.path:
-                store.delete_file(m.path.split("\n")[0])
+
+class _TraceWriter(_PartsWriter):
+    """A file a batch from (batch, deletes, tag) rows that are sorted by batch, deletes first; streamed."""
+
+    def write(self, batches: Iterator) -> WriterCommitMessage:
+        import uuid
+
+        import numpy as np
+
+        store, at = self._store()
+        moves, f, now = [], None, None
+        for batch in (b for b in batches if b.num_rows):
+            number, m, tag = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("batch", "m", "tag"))
+            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if now != number[i]:
+                    if f is not None:
+                        f.close()
+                    now, temp = number[i], f"{at}/.{uuid.uuid4().hex}"
+                    f = store.open_output_stream(temp)
+                    f.write(struct.pack("<I", int(m[i])))
+                    moves.append(f"{temp}\t{at}/batch-{int(now):010d}.bin")
+                f.write(tag[i:j].astype("<u4").tobytes())
+        if f is not None:
+            f.close()
+        return _Written("\n".join(moves))
+
+
+class _Results(DataSource):
+    """Search results to write: (qid, rank, vec_id, dist) rows, with the option k."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "results"
+
+    def schema(self) -> str:
+        return "qid bigint, rank bigint, vec_id bigint, dist float"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _MatrixWriter("results", dict(self.options), overwrite)
 
 
 class _Truth(DataSource):
@@ -272,6 +359,9 @@ class _Truth(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _TruthReader(dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _MatrixWriter("truthset", dict(self.options), overwrite)
+
 
 class _TruthReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -318,6 +408,9 @@ class _Trace(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _TraceReader(dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _TraceWriter(dict(self.options), overwrite)
+
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _TraceStream(dict(self.options))
 
@@ -391,6 +484,7 @@ def register(spark: SparkSession) -> SparkSession:
         spark.dataSource.register(type(kind, (_Vectors,), {"kind": kind, "__module__": __name__, "__reduce__": _Vectors.__reduce__}))
     spark.dataSource.register(_Truth)
     spark.dataSource.register(_Trace)
+    spark.dataSource.register(_Results)
     return spark
 
 
@@ -411,30 +505,22 @@ def write_vectors(df: DataFrame, path: str, kind: str, mode: str = "append", id_
     rows.write.format(kind).mode(mode).save(path)
 
 
-def write_truthset(truth: DataFrame, path: str, tag_col: str | None = None) -> None:
-    """(qid, rank, vec_id, dist) as one truthset file.
+def write_truthset(truth: DataFrame, path: str, tag_col: str | None = None, files: int | None = None) -> None:
+    """(qid, rank, vec_id, dist) as truthset files, of a range of queries each, in a folder that is read as one.
 
-    The file is a header and three matrices, one after the other, and so is written in three
-    passes over the sorted rows, of which the driver holds a partition at a time.
+    Tasks write them; with ``files`` = 1 there is one file, and one task, as the format's other
+    readers want it.
     """
-    import numpy as np
-
-    per = truth.groupBy("qid").agg(F.count("*").alias("k")).agg(F.count("*"), F.min("k"), F.max("k")).first()
-    n, low, k = per[0], per[1] or 0, per[2] or 0
-    if low != k:
+    per = truth.groupBy("qid").agg(F.count("*").alias("k")).agg(F.min("k"), F.max("k")).first()
+    if per[0] != per[1]:
         raise ValueError("queries differ in their number of neighbours")
-    order = truth.select("qid", "rank", F.col("vec_id").alias("id"), "dist", F.col(tag_col or "vec_id").alias("tag")).orderBy("qid", "rank")
-    store, at = opened(path)
-    with store.open_output_stream(at) as f:
-        f.write(struct.pack("<ii", n, k))
-        for column, kind in (("id", "<u4"), ("dist", "<f4"), ("tag", "<u4")):
-            held: list = []
-            for r in order.select("qid", "rank", column).toLocalIterator():
-                held.append(r[2])
-                if len(held) == 1 << 16:
-                    f.write(np.array(held, kind).tobytes())
-                    held = []
-            f.write(np.array(held, kind).tobytes())
+    rows = truth.select("qid", "rank", F.col("vec_id").cast("bigint").alias("vec_id"), F.col("dist").cast("float").alias("dist"), F.col(tag_col or "vec_id").cast("bigint").alias("tag"))
+    _by_query(rows, files).write.format("truthset").option("k", per[0] or 1).mode("append").save(path)
+
+
+def _by_query(rows: DataFrame, files: int | None) -> DataFrame:
+    register(rows.sparkSession)
+    return rows.repartitionByRange(*([files] if files else []), "qid").sortWithinPartitions("qid", "rank")
 
 
 def save_matrix(df: DataFrame, path: str, kind: str = "fbin", offset: int = 0, id_col: str = "vec_id", vec_col: str = "embedding") -> int:
@@ -465,49 +551,27 @@ def save_matrix(df: DataFrame, path: str, kind: str = "fbin", offset: int = 0, i
     return written
 
 
-def write_result_matrix(results: DataFrame, path: str, k: int, id_col: str = "vec_id") -> None:
-    """(qid, rank, id, dist) as int32 queries, int32 k, then of each query in turn k pairs of uint32 id and float32 distance.
+def write_result_matrix(results: DataFrame, path: str, k: int, id_col: str = "vec_id", files: int | None = None) -> None:
+    """(qid, rank, id, dist) as files of int32 queries, int32 k, then of each query in turn k pairs of uint32 id and float32 distance.
 
-    Missing ranks are id 4294967295 and an infinite distance. Written like a truthset, a
-    partition at a time.
+    Missing ranks are id 4294967295 and an infinite distance. Tasks write a range of queries each
+    into a folder; with ``files`` = 1 there is one file.
     """
-    import numpy as np
-
-    pair = F.struct("rank", F.col(id_col).alias("id"), "dist")
-    lines = results.where(F.col("rank") <= k).groupBy("qid").agg(F.sort_array(F.collect_list(pair)).alias("r"))
-    n = lines.count()
-    store, at = opened(path)
-    kind = np.dtype([("id", "<u4"), ("dist", "<f4")])
-    with store.open_output_stream(at) as f:
-        f.write(struct.pack("<ii", n, k))
-        for line in lines.orderBy("qid").toLocalIterator():
-            row = np.zeros(k, kind)
-            row["id"], row["dist"] = 4294967295, np.inf
-            for x in line.r:
-                row[x["rank"] - 1] = (x["id"], x["dist"])
-            f.write(row.tobytes())
+    have = results.where(F.col("rank") <= k).select("qid", F.col("rank").cast("bigint").alias("rank"), F.col(id_col).cast("bigint").alias("vec_id"), F.col("dist").cast("float").alias("dist"))
+    every = have.groupBy("qid").agg(F.collect_list("rank").alias("there")).select("qid", F.explode(F.array_except(F.sequence(F.lit(1).cast("bigint"), F.lit(k).cast("bigint")), "there")).alias("rank"))
+    none = every.select("qid", "rank", F.lit(4294967295).cast("bigint").alias("vec_id"), F.lit(float("inf")).cast("float").alias("dist"))
+    _by_query(have.unionByName(none), files).write.format("results").option("k", k).mode("append").save(path)
 
 
 def write_trace(ops: DataFrame, path: str) -> None:
     """(batch, op, tag) rows as a trace: a file a batch, named in order. A batch has as many inserts as deletes.
 
-    A file is written from one place, so a batch's tags pass through the driver a partition at a time.
+    Tasks write whole batches, as a batch is one file; its rows stream through.
     """
-    import numpy as np
-
-    store, at = opened(path)
-    store.create_dir(at, recursive=True)
-    counts = ops.groupBy("batch").agg(F.sum((F.col("op") == "delete").cast("bigint")).alias("d"), F.sum((F.col("op") == "insert").cast("bigint")).alias("i")).orderBy("batch").collect()
-    for r in counts:
-        if r.d != r.i:
-            raise ValueError(f"batch {r.batch} has {r.d} deletes and {r.i} inserts")
-        with store.open_output_stream(f"{at}/batch-{r.batch:010d}.bin") as f:
-            f.write(struct.pack("<I", r.d))
-            rows = ops.where(F.col("batch") == r.batch).orderBy("op", "tag").select("tag")
-            held: list[int] = []
-            for x in rows.toLocalIterator():
-                held.append(x.tag)
-                if len(held) == 1 << 16:
-                    f.write(np.array(held, "<u4").tobytes())
-                    held = []
-            f.write(np.array(held, "<u4").tobytes())
+    register(ops.sparkSession)
+    is_delete = F.col("op") == "delete"
+    counts = ops.groupBy("batch").agg(F.sum(is_delete.cast("bigint")).alias("m"), F.sum((F.col("op") == "insert").cast("bigint")).alias("i"))
+    if bad := counts.where("m <> i").first():
+        raise ValueError(f"batch {bad.batch} has {bad.m} deletes and {bad.i} inserts")
+    rows = ops.where(F.col("op").isin("delete", "insert")).join(counts.select("batch", "m"), "batch").select(F.col("batch").cast("bigint").alias("batch"), "op", F.col("tag").cast("bigint").alias("tag"), "m")
+    rows.repartition("batch").sortWithinPartitions("batch", "op", "tag").write.format("trace").mode("append").save(path)
