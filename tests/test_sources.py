@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspan.sources import formats, text
+from vecspan.operators.topk import exact_knn
 from vecspan.sources.catalog import Catalog
+from vecspan.sources.commits import Conflict
 from vecspan.sources.datasets import Dataset, Registry
 
 
@@ -172,6 +174,48 @@ def test_collections(spark, base, tmp_path):
     assert not cat.has("one")
 
 
+def test_collections_after_the_index(spark, base, tmp_path):
+    """Rows that came after the index are found, those whose time ran out aren't, by any search; flushes keep both."""
+    import time
+
+    c = Catalog(spark, str(tmp_path / "cat")).create("late", "vec_id", "embedding", 3)
+    q = base.where("vec_id % 7 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    c.insert(base.where("vec_id < 25"))
+    c.create_index(4, 2)
+    c.insert(base.where("vec_id >= 25"))
+    want = sorted(map(tuple, exact_knn(base, q, 5).collect()))
+    for step in ("new", "loaded", "flushed", "later"):
+        if step == "loaded":
+            c.load()
+        if step == "flushed":
+            assert c.flush() == 50
+        if step == "later":
+            c.insert(base.where("vec_id = 3").withColumn("vec_id", F.lit(1000).cast("bigint")))
+            want = sorted(map(tuple, exact_knn(c.rows(), q, 5).collect()))
+        assert sorted(map(tuple, c.search(q, 5, nprobe=4).collect())) == want
+        assert sorted(map(tuple, c.search(q, 5).collect())) == want
+    assert {r.vec_id for r in c.search(q, 50, nprobe=4, expr="vec_id >= 20").collect()} == {*range(20, 50), 1000}
+    other = Catalog(spark, str(tmp_path / "cat")).create("short", "vec_id", "embedding", 3, ttl_seconds=6)
+    other.insert(base.where("vec_id < 10"))
+    other.create_index(2, 1)
+    time.sleep(7)
+    other.insert(base.where("vec_id between 10 and 12"))
+    for found in (other.search(q, 5, nprobe=2), other.search(q, 5)):
+        assert {r.vec_id for r in found.collect()} <= {10, 11, 12}
+    read, state = other._state()
+    real, other.spark = other._read, spark
+
+    def meanwhile(folders):
+        rows = real(folders)
+        if len(folders) == len(state["folders"]):
+            Catalog(spark, str(tmp_path / "cat")).get("short").drop_index()
+        return rows
+
+    other._read = meanwhile
+    with pytest.raises(Conflict):
+        other.create_index(2, 1)
+
+
 def test_event_windows(spark, tmp_path):
     from vecspan.streaming.ingest import event_windows
 

@@ -292,8 +292,12 @@ def ivf_cluster_topk(spark, sf_dir):
     return ivf.cluster_topk(found, K)
 
 
-def _ivf_sql(where: str) -> str:
-    return _with(_BASE, _Q, _CT, _ASSIGN, _PROBE, _FOUND) + f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM found WHERE probe_rank <= {NPROBE} AND {where} QUALIFY rank <= 10"
+#: Lists probed by the filtered search, whose neighbours lie further apart; its measured 10-recall is over 0.9.
+FILTERED_NPROBE = 14
+
+
+def _ivf_sql(where: str, nprobe: int = NPROBE) -> str:
+    return _with(_BASE, _Q, _CT, _ASSIGN, _PROBE, _FOUND) + f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM found WHERE probe_rank <= {nprobe} AND {where} QUALIFY rank <= 10"
 
 
 @query(_ivf_sql("true"))
@@ -314,11 +318,11 @@ def ivf_search_capped(spark, sf_dir):
     return ivf.search(ivf.layout(assigned(b, c)), c, asked(b), K, NPROBE, cap=5)
 
 
-@query(_ivf_sql("label = 3"))
+@query(_ivf_sql("label = 3", FILTERED_NPROBE))
 def ivf_search_filtered(spark, sf_dir):
     b = base(spark, sf_dir)
     c = trained(b)
-    return ivf.search(assigned(b, c), c, asked(b), K, NPROBE, where="label = 3")
+    return ivf.search(assigned(b, c), c, asked(b), K, FILTERED_NPROBE, where="label = 3")
 
 
 #: Results of several nprobe, and the true neighbours, without the queries' own rows.

@@ -207,3 +207,16 @@ def levels_after_merge(spark, sf_dir):
     index.merge(whole=True)
     return index.rows().select("vec_id", "label", F.aggregate(distance.doubles(F.col("embedding")), F.lit(0.0), lambda s, x: s + x).alias("total"))
 
+
+
+@query(_knn_sql("l2_sq", "label < 8"))
+def collection_after_index(spark, sf_dir):
+    """Rows inserted after the index was made, some of them flushed, some not."""
+    b = base(spark, sf_dir)
+    c = Catalog(spark, work_dir(spark, "catalog")).create("late", "vec_id", "embedding", DIM)
+    c.insert(b.where("vec_id % 4 = 0"))
+    c.create_index(NLIST, 2)
+    c.insert(b.where("vec_id % 4 = 1"))
+    c.flush()
+    c.insert(b.where("vec_id % 4 > 1"))
+    return c.search(asked(b), K, nprobe=NLIST, expr="label < 8")
