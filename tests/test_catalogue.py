@@ -3,7 +3,7 @@
 import pytest
 
 from oracle import differences
-from vecspan.plans import graphs, storage  # noqa: F401
+from vecspan.plans import graphs, storage, transforms  # noqa: F401
 from vecspan.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

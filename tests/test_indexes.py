@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspan.functions import vectors
-from vecspan.operators import evaluate, factory, graph, ivf, pq, topk
+from vecspan.operators import evaluate, factory, graph, ivf, multi, pq, topk, transform
 from vecspan.operators.topk import exact_knn
 from vecspan.sources import text
 
@@ -135,7 +135,7 @@ def test_graph_sweep(base, queries):
 def test_factory_builds(base, queries):
     assert pairs(factory.build(base, "IVF8,Flat", iterations=1).search(queries, 3, 8)) == pairs(exact_knn(base, queries, 3))
     assert factory.build(base, "Flat").count() == 200
-    assert vectors.dimension(factory.build(base, "PCA8,Flat")) == 8
+    assert vectors.dimension(factory.build(base, "PCA8,Flat").rows) == 8
 
 
 def test_graphs(base, queries):
@@ -165,3 +165,68 @@ def test_result_files(spark, base, queries, tmp_path):
     assert sorted(x[0] for x in lines) == [str(i) for i in range(6)] and all(len(x) == 4 and x[1] == "0.0" for x in lines)
     text.write_tags(base.select("vec_id").limit(3), str(tmp_path / "t"))
     assert spark.read.text(str(tmp_path / "t")).count() == 3
+
+
+def test_codes_joined_by_shuffle(base, queries, monkeypatch):
+    """Probes beyond the broadcast's bound, blocks of few codes, and filters give the same."""
+    index = factory.build(base, "IVF4,PQ8", codes=50, iterations=2)
+    want = pairs(index.search(queries, 5, 3))
+    some = pairs(index.search(queries, 5, 3, where="vec_id % 2 = 0"))
+    monkeypatch.setattr(pq, "MOST_PROBE_VALUES", 1)
+    for block in (65_536, 7):
+        monkeypatch.setattr(pq, "LIST_BLOCK", block)
+        assert pairs(index.search(queries, 5, 3)) == want
+        assert pairs(index.search(queries, 5, 3, where="vec_id % 2 = 0")) == some
+    assert index.search(queries.limit(0), 5, 3).collect() == []
+
+
+def test_nothing_to_search(base, queries):
+    """No queries, no rows: empty results."""
+    none, no_queries = base.limit(0), queries.limit(0)
+    for b, q in ((base, no_queries), (none, queries), (none, no_queries)):
+        for metric in ("l2_sq", "l1", "cosine"):
+            assert exact_knn(b, q, 3, metric).collect() == []
+    assert ivf.IvfIndex.build(none, 4, 1).search(queries, 3, 4).collect() == []
+    assert ivf.IvfIndex.build(base, 4, 1).search(no_queries, 3, 4).collect() == []
+
+
+def test_transforms(spark, base, queries, tmp_path):
+    """Principal directions against numpy; a transformed index against a search of transformed rows, saved and loaded."""
+    x = np.array([r.embedding for r in base.orderBy("vec_id").collect()], float)
+    found = transform.pca(base, 5)
+    values, directions = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert np.allclose(found.mean, x.mean(0)) and np.allclose(np.abs((found.rows * directions[:, ::-1].T[:5]).sum(1)), 1)
+    assert np.allclose(transform.cosines(16, 16).rows @ transform.cosines(16, 16).rows.T, np.eye(16))
+    want = pairs(exact_knn(found.apply(base), found.apply(queries), 4))
+    for name, nlist in (("flat", None), ("lists", 4)):
+        index = transform.TransformedIndex.build(base, found, nlist)
+        index.save(str(tmp_path / name))
+        for one in (index, transform.TransformedIndex.load(spark, str(tmp_path / name))):
+            assert pairs(one.search(queries, 4, nlist)) == want
+    assert pairs(factory.build(base, "PCA8,IVF4,Flat", iterations=1).search(queries, 3, 4)) == pairs(factory.build(base, "PCA8,Flat").search(queries, 3))
+    odd = spark.createDataFrame([(1, None), (2, [float("nan")] * x.shape[1])], "vec_id long, embedding array<float>")
+    assert found.apply(odd).collect() == [] and found.apply(base.limit(0)).collect() == []
+    for bad in (lambda: transform.pca(base, 10_000), lambda: transform.pca(base.limit(0), 1), lambda: factory.build(base, "PCA8,PQ4"), lambda: transform.TransformedIndex.load(spark, str(tmp_path / "lists")).search(queries, 3)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_multi_sequence():
+    """The walk against the sorted product, with ties, and its heap."""
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (5, 3), (20, 30), (0, 3)):
+        a, b = rng.integers(0, 6, n).astype(float), rng.integers(0, 6, m).astype(float)
+        got = list(multi.nearest_pairs(a, b, 10_000))
+        assert [d for d, _, _ in got] == sorted(x + y for x in a for y in b) and len({(i, j) for _, i, j in got}) == n * m
+        assert all(d == a[i] + b[j] for d, i, j in got)
+        assert list(multi.nearest_pairs(a, b, 4)) == got[:4]
+    a, b = rng.random(30), rng.random(30)
+    assert [x[1:] for x in multi.nearest_pairs(a, b, 900)] == [(i, j) for _, i, j in sorted((x + y, i, j) for i, x in enumerate(a) for j, y in enumerate(b))]
+
+
+def test_multi_index(base, queries):
+    """All cells visited find what an exact search finds."""
+    index = multi.MultiIndex.build(base, 6, 3)
+    assert pairs(index.search(queries, 4, 36)) == pairs(exact_knn(base, queries, 4))
+    assert index.cells(queries, 5).count() == 5 * queries.count() and index.lists.count() == base.count()
+    assert index.search(queries.limit(0), 3, 5).collect() == []

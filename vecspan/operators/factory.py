@@ -34,20 +34,16 @@ def parse(key: str) -> IndexSpec:
 
 
 def build(base, key: str, **how):
-    """The index a factory string names: an IvfIndex, for PQ an IvfPqIndex, or for "Flat" the table itself."""
-    from pyspark.sql import functions as F
-
-    from . import pq
+    """The index a factory string names: an IvfIndex, for PQ an IvfPqIndex, for PCA a TransformedIndex, or for "Flat" the table itself."""
+    from . import pq, transform
     from .ivf import IvfIndex
 
     spec = parse(key)
     if spec.pca:
-        from pyspark.ml.feature import PCA
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-
-        col = how.get("vec_col", "embedding")
-        rows = base.withColumn("__v", array_to_vector(F.col(col).cast("array<double>")))
-        base = PCA(k=spec.pca, inputCol="__v", outputCol="__p").fit(rows).transform(rows).withColumn(col, vector_to_array("__p")).drop("__v", "__p")
+        if spec.pq is not None:
+            raise ValueError(f"{key!r}: PCA goes with Flat")
+        cols = {k: v for k, v in how.items() if k in ("id_col", "vec_col")}
+        return transform.TransformedIndex.build(base, transform.pca(base, spec.pca, **cols), spec.nlist, **how)
     if spec.pq is None:
         return IvfIndex.build(base, spec.nlist, **how) if spec.nlist else base
     if spec.nlist:

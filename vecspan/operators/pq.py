@@ -17,8 +17,10 @@ from .topk import held, matrix, merge_topk
 
 #: Codes of a book times its components, at most: what a task holds.
 MOST_BOOK = 1 << 22
-#: Numbers of the probing queries that are sent to every task at once; more are searched block by block.
+#: Numbers of the probing queries that are sent to every task at once; more are joined with the codes by cluster.
 MOST_PROBE_VALUES = 1 << 24
+#: Rows of codes that a task of that join holds.
+LIST_BLOCK = 65_536
 
 
 def chunks(df: DataFrame, n: int, dim: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -127,6 +129,34 @@ def encode(df: DataFrame, codebook: DataFrame, n: int, dim: int, id_col: str = "
     return rows.select(id_col, F.posexplode("codes").alias("chunk", "code")).select(id_col, F.col("chunk").cast("bigint").alias("chunk"), F.col("code").cast("bigint").alias("code"))
 
 
+def book_size(codebook: DataFrame) -> int:
+    """Components of the vectors that a codebook encodes; 0 for an empty one."""
+    return codebook.groupBy("chunk").agg(F.max(F.size("center")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def places(codes, names):
+    """Codes as their places in a book whose codes have the (chunks, codes) ``names``."""
+    import numpy as np
+
+    order = [np.argsort(x) for x in names]
+    return np.stack([order[c][np.searchsorted(names[c], codes[:, c], sorter=order[c])] for c in range(len(names))], 1)
+
+
+def nearest_codes(q, book, codes, k: int):
+    """(row, distance) of the rows of ``codes`` that can be among the k nearest to a query, by a table of its parts' distances to the entries."""
+    import numpy as np
+
+    n, width, size = book.shape
+    parts = q.reshape(n, size)
+    table = np.stack([distance.exact(np.repeat(parts[x][None], width, 0), book[x], "l2_sq") for x in range(n)])
+    total = np.zeros(len(codes))
+    for x in range(n):
+        total += table[x, codes[:, x]]
+    k = min(k, len(total))
+    near = np.flatnonzero(total <= np.partition(total, k - 1)[k - 1])
+    return near, total[near]
+
+
 @dataclass
 class IvfPqIndex:
     """Codes in inverted lists: centroids, a codebook, and (cluster_id, id, codes) rows.
@@ -177,25 +207,58 @@ class IvfPqIndex:
     def search(self, queries: DataFrame, k: int, nprobe: int, where: Column | str | None = None) -> DataFrame:
         """(qid, rank, id, dist) over the codes of the probed clusters.
 
-        Probes, (query, cluster) pairs with the query's vector, go to every task in blocks of at
-        most MOST_PROBE_VALUES numbers, a map-only scan of the codes each, which reads the probed
-        clusters' partitions only; a task passes on the k best of a query, cluster and batch.
+        Up to MOST_PROBE_VALUES numbers, probes, (query, cluster) pairs with the query's vector, go
+        to every task of a map-only scan of the codes, which reads the probed clusters' partitions
+        only. More are joined with the codes by cluster instead, without the driver; a task then
+        holds LIST_BLOCK rows of codes, past which the probes of their cluster stream. Either way
+        a task passes on the k best of a query and block of codes.
         """
         probes = ivf.probe(queries, self.centroids, nprobe, vec_col=self.vec_col)
         asked = probes.select("qid", "cluster_id").join(queries.select("qid", distance.doubles(F.col(self.vec_col)).alias("q")), "qid")
         lists = self.lists.where(where) if where is not None else self.lists
-        found, block, values = None, [], 0
-        for r in asked.toLocalIterator():
-            block.append((r.qid, r.cluster_id, r.q))
-            values += len(r.q)
-            if values >= MOST_PROBE_VALUES:
-                part = self._scan(lists, block, k)
-                found = part if found is None else found.unionByName(part)
-                block, values = [], 0
-        if block or found is None:
-            part = self._scan(lists, block, k)
-            found = part if found is None else found.unionByName(part)
-        return merge_topk(found, k, self.id_col)
+        dim = book_size(self.codebook)
+        most = MOST_PROBE_VALUES // max(1, dim)
+        if asked.select("qid").limit(most + 1).count() > most:
+            return merge_topk(self._routed(lists, asked, k), k, self.id_col)
+        return merge_topk(self._scan(lists, [tuple(r) for r in asked.select("qid", "cluster_id", "q").toLocalIterator()], k), k, self.id_col)
+
+    def _routed(self, lists: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+        """(qid, id, dist) by a shuffle: a cluster's codes are dealt to blocks by id, its probes are sent to each block."""
+        import numpy as np
+        import pyarrow as pa
+
+        spark = importable(lists.sparkSession)
+        blocks = lists.groupBy("cluster_id").agg(F.count("*").alias("n")).select("cluster_id", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks"))  # a row a cluster
+        kind, id_col = lists.schema[self.id_col].dataType.simpleString(), self.id_col
+        rows = lists.join(F.broadcast(blocks), "cluster_id").select("cluster_id", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), F.col(id_col).alias("id"), "codes", F.lit(None).cast("bigint").alias("qid"), F.lit(None).cast("array<double>").alias("q"))
+        sent = asked.join(F.broadcast(blocks), "cluster_id").select("cluster_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("array<int>").alias("codes"), F.col("qid").cast("bigint").alias("qid"), "q")
+        both = rows.unionByName(sent).repartition("cluster_id", "block").sortWithinPartitions("cluster_id", "block", "side")
+        ids, cents = held(self.centroids)
+        shared = spark.sparkContext.broadcast((ids, cents, *book_array(self.codebook)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names_, centers, book, names = shared.value
+            at, own, codes = None, [], []
+            for batch in (b for b in batches if b.num_rows):
+                key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+                side = batch.column(2).to_numpy()
+                change = (key[1:] != key[:-1]).any(1) | (side[1:] != side[:-1])
+                cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    part, here = batch.slice(i, j - i), tuple(key[i])
+                    if at != here:
+                        at, own, codes = here, [], []
+                    if side[i] == 0:
+                        own.append(part.column(3))
+                        codes.append(places(part.column(4).flatten().to_numpy().reshape(j - i, -1), names))
+                    elif own:
+                        own, codes = [pa.concat_arrays(own)], [np.concatenate(codes)]
+                        q = matrix(part.column(6)) - centers[np.searchsorted(names_, here[0])]
+                        for qid, one in zip(part.column(5).to_pylist(), q, strict=True):
+                            near, dist = nearest_codes(one, book, codes[0], k)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), qid)), own[0].take(pa.array(near)), pa.array(dist)], names=["qid", id_col, "dist"])
+
+        return both.mapInArrow(run, f"qid bigint, `{id_col}` {kind}, dist double")
 
     def _scan(self, lists: DataFrame, block: list, k: int) -> DataFrame:
         import numpy as np
@@ -213,27 +276,18 @@ class IvfPqIndex:
         id_col = self.id_col
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from vecspan.functions.distance import exact
-
             probes_, book, names = shared.value
-            n, width, size = book.shape
-            place = [np.argsort(x) for x in names]
             for batch in (b for b in batches if b.num_rows):
                 cluster, own = batch.column(0).to_numpy(), batch.column(1)
-                codes = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, n)
-                codes = np.stack([place[c][np.searchsorted(names[c], codes[:, c], sorter=place[c])] for c in range(n)], 1)
+                codes = places(batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1), names)
                 for c in np.unique(cluster):
                     if int(c) not in probes_:
                         continue
                     rows = np.flatnonzero(cluster == c)
-                    qids, diff = probes_[int(c)]
-                    for qid, q in zip(qids.tolist(), diff.reshape(len(qids), n, size), strict=True):
-                        table = np.stack([exact(np.repeat(q[x][None], width, 0), book[x], "l2_sq") for x in range(n)])
-                        total = np.zeros(len(rows))
-                        for x in range(n):
-                            total += table[x, codes[rows, x]]
-                        near = np.flatnonzero(total <= np.partition(total, min(k, len(total)) - 1)[min(k, len(total)) - 1])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), qid)), own.take(pa.array(rows[near])), pa.array(total[near])], names=["qid", id_col, "dist"])
+                    mine = codes[rows]
+                    for qid, q in zip(probes_[int(c)][0].tolist(), probes_[int(c)][1], strict=True):
+                        near, dist = nearest_codes(q, book, mine, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), qid)), own.take(pa.array(rows[near])), pa.array(dist)], names=["qid", id_col, "dist"])
 
         some = lists.where(F.col("cluster_id").isin(sorted(by))) if len(by) < 1000 else lists
         return some.select("cluster_id", id_col, "codes").mapInArrow(run, f"qid bigint, `{id_col}` {kind}, dist double")

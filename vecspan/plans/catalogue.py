@@ -587,9 +587,9 @@ def pq_encode(spark, sf_dir):
 PARTS, CODES, BOOK_ROUNDS, CANDIDATES = 16, 64, 3, 10 * K
 
 
-def _book_sql(parts: str) -> str:
+def _book_sql(parts: str, codes: int = CODES) -> str:
     """b: the codebook after BOOK_ROUNDS rounds over (vec_id, chunk, part), rounded to six decimals each time."""
-    out = [f"b0 AS MATERIALIZED (SELECT chunk, vec_id AS code, part AS center FROM {parts} WHERE vec_id < {CODES})"]
+    out = [f"b0 AS MATERIALIZED (SELECT chunk, vec_id AS code, part AS center FROM {parts} WHERE vec_id < {codes})"]
     for r in range(1, BOOK_ROUNDS + 1):
         out.append(f"""n{r} AS MATERIALIZED (SELECT p.vec_id, p.chunk, p.part, o.code, {sql('l2_sq', 'p.part', 'o.center')} AS d FROM {parts} p JOIN b{r - 1} o USING (chunk)
   QUALIFY row_number() OVER (PARTITION BY p.vec_id, p.chunk ORDER BY d, o.code) = 1)""")

@@ -88,7 +88,7 @@ def graph_disk_recall(spark, sf_dir):
         jobs = job_count(spark, lambda: found.append(search()))
         recall = evaluate.mean_k_recall(evaluate.others(found[0], K), truth, K).first()
         distances, read, steps, kept = numbers()
-        rows.append((way, round(float(recall.recall if recall else 100.0), 6), distances / queries, read / queries, steps, jobs, kept))
+        rows.append((way, round(float(recall.recall if recall else 1.0), 6), distances / queries, read / queries, steps, jobs, kept))
 
     plain: dict = {}
     add("beam", lambda: graph.beam_search(edges, b, q, K + 1, WIDTH, centroids=cents, stats=plain), lambda: (plain["distances"], plain["distances"], plain["hops"], 0))
@@ -108,7 +108,7 @@ def graph_after_updates(spark, sf_dir):
     def add(what: str, rows: DataFrame) -> None:
         truth = evaluate.others(exact_knn(rows, q, K + 1), K)
         recall = evaluate.mean_k_recall(evaluate.others(g.search(q, K + 1, WIDTH, STEP), K), truth, K).first()
-        out.append((what, g.nodes.count(), round(float(recall.recall if recall else 100.0), 6)))
+        out.append((what, g.nodes.count(), round(float(recall.recall if recall else 1.0), 6)))
 
     add("new", b)
     for cycle in range(2):
