@@ -230,3 +230,17 @@ def test_multi_index(base, queries):
     assert pairs(index.search(queries, 4, 36)) == pairs(exact_knn(base, queries, 4))
     assert index.cells(queries, 5).count() == 5 * queries.count() and index.lists.count() == base.count()
     assert index.search(queries.limit(0), 3, 5).collect() == []
+
+
+def test_searches_by_join(base, queries, monkeypatch):
+    """Beyond the queries that go to every task, and for ids that aren't numbers, lists are joined; the result is the same."""
+    cents = ivf.kmeans(base, 6, 2)
+    lists = ivf.layout(ivf.assign(base, cents, keep=["vec_id", "embedding"]))
+    for metric, cap, where in (("l2_sq", None, None), ("l1", 3, None), ("cosine", None, "vec_id % 3 = 0")):
+        want = pairs(ivf.search(lists, cents, queries, 4, 3, metric, cap=cap, where=where))
+        with monkeypatch.context() as m:
+            m.setattr(ivf, "MOST_QUERIES", 1)
+            assert pairs(ivf.search(lists, cents, queries, 4, 3, metric, cap=cap, where=where)) == want
+    named = lists.withColumn("vec_id", F.concat(F.lit("r"), F.lpad(F.col("vec_id").cast("string"), 6, "0")))
+    want = pairs(ivf.search(lists, cents, queries, 4, 3))
+    assert [(q, r, int(v[1:])) for q, r, v in pairs(ivf.search(named, cents, queries, 4, 3))] == want

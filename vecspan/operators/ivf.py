@@ -17,6 +17,8 @@ from .topk import held, matrix, merge_topk, rank_small, top_by
 
 #: Probe rows (query, cluster, vector) that may be broadcast; more are joined by shuffle.
 MOST_PROBES = 200_000
+#: Queries whose vectors go to every task of a search.
+MOST_QUERIES = 16_384
 
 
 def seed_centroids(base: DataFrame, nlist: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -217,10 +219,59 @@ def cluster_topk(found: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
     return top_by(found, ["qid", "cluster_id"], k, ["dist", id_col])
 
 
+def cell_topk(lists: DataFrame, queries: DataFrame, probes: DataFrame, k: int, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(qid, id, dist): of each batch of rows and cluster in it, the k nearest to every query that probes the cluster.
+
+    A map-only scan of the lists with a matrix product a cluster, as the exact search does it;
+    queries and which clusters they probe go to every task, MOST_QUERIES queries and MOST_PROBES
+    probes at most. Rows that aren't probed are passed over.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = importable(lists.sparkSession)
+    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col("qid").cast("bigint").alias("qid"), distance.doubles(F.col(vec_col)).alias("v")).collect()
+    qids = np.array([r.qid for r in asked], np.int64)
+    vectors = np.array([r.v for r in asked], np.float64).reshape(len(asked), -1 if asked else 0)
+    at = {q: i for i, q in enumerate(qids.tolist())}
+    by: dict[int, list[int]] = {}
+    for r in probes.select("qid", "cluster_id").collect():
+        by.setdefault(r.cluster_id, []).append(at[r.qid])
+    shared = spark.sparkContext.broadcast((qids, vectors, {c: np.array(sorted(x), np.int64) for c, x in by.items()}))
+    kind = lists.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from vecspan.functions.distance import nearest
+
+        names, vec, probing = shared.value
+        for batch in (b for b in batches if b.num_rows):
+            cluster = batch.column(0).to_numpy()
+            order = np.lexsort((batch.column(1).to_numpy(), cluster))
+            clusters, first = np.unique(cluster[order], return_index=True)
+            for c, rows in zip(clusters.tolist(), np.split(order, first[1:]), strict=True):
+                if c not in probing:
+                    continue
+                part = batch.take(pa.array(rows))
+                i, j, d = nearest(vec[probing[c]], matrix(part.column(2)), k, metric)
+                yield pa.RecordBatch.from_arrays([pa.array(names[probing[c][i]]), part.column(1).take(pa.array(j)), pa.array(d)], names=["qid", id_col, "dist"])
+
+    some = lists.where(F.col("cluster_id").isin(sorted(by))) if len(by) < 1000 else lists
+    rows = some.where(F.col(vec_col).isNotNull()).select(F.col("cluster_id").cast("bigint").alias("cluster_id"), id_col, distance.doubles(F.col(vec_col)).alias("v"))
+    return rows.mapInArrow(run, f"qid bigint, `{id_col}` {kind}, dist double")
+
+
 def search(lists: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", cap: int | None = None, where: Column | str | None = None) -> DataFrame:
-    """Approximate neighbours (qid, rank, id, dist); fewer than k where the probed clusters hold fewer."""
+    """Approximate neighbours (qid, rank, id, dist); fewer than k where the probed clusters hold fewer.
+
+    Few queries are searched for by ``cell_topk``, more by the join of ``candidates``.
+    """
     probes = probe(queries, centroids, nprobe, metric, vec_col)
-    return merge_topk(candidates(lists, queries, probes, metric, id_col, vec_col, cap, where), k, id_col)
+    few = queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES and probes.limit(MOST_PROBES + 1).count() <= MOST_PROBES
+    if not few or lists.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return merge_topk(candidates(lists, queries, probes, metric, id_col, vec_col, cap, where), k, id_col)
+    lists = lists.where(where) if where is not None else lists
+    lists = lists.where(F.col("pos") < cap) if cap is not None else lists
+    return merge_topk(cell_topk(lists, queries, probes, k, metric, id_col, vec_col), k, id_col)
 
 
 def nprobe_sweep(lists: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobes: list[int], metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -20,7 +20,6 @@ from vecspan.functions import distance
 from vecspan.sources.commits import CommitLog, Conflict
 
 from . import ivf
-from .topk import merge_topk
 
 #: The base, and what merges of small inserts make.
 BASE, MERGED, FRESH = 2, 1, 0
@@ -148,10 +147,11 @@ class LevelledIndex:
     def search(self, queries: DataFrame, k: int, nprobe: int, where: Column | str | None = None, version: int | None = None) -> DataFrame:
         """(qid, rank, id, dist) over the probed clusters of every level, of what is visible."""
         _, state = self._state(version)
-        probes = ivf.probe(queries, self._centroids(state), nprobe, "l2_sq", self.vec_col)
+        cents = self._centroids(state)
+        probes = ivf.probe(queries, cents, nprobe, "l2_sq", self.vec_col)
         few = [r[0] for r in probes.select("cluster_id").distinct().limit(1001).collect()]
         lists = self._seen(self._every(state, sorted(few) if len(few) <= 1000 else None), state)
-        return merge_topk(ivf.candidates(lists, queries, probes, "l2_sq", self.id_col, self.vec_col, where=where), k, self.id_col)
+        return ivf.search(lists, cents, queries, k, nprobe, "l2_sq", self.id_col, self.vec_col, where=where)
 
     def merge(self, whole: bool = False) -> int | None:
         """Fold the small folders into one of level 1, or with ``whole`` everything into a new base; the commit, or None where there is nothing to do.
