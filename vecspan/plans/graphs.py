@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspan.functions.distance import sql
-from vecspan.operators import evaluate, graph, proximity
+from vecspan.operators import evaluate, graph, proximity, tree
 from vecspan.operators.topk import exact_knn, rank_small
 from vecspan.session import work_dir
 
@@ -135,3 +135,39 @@ def shards_within_budget(spark, sf_dir):
     near = rank_small(b, trained(b), 2).select("vec_id", "cluster_id")
     cut = proximity.cut_shards(near, SHARD_ROWS).select("cluster_id", (F.col("shard") % (1 << 24)).alias("piece"), "vec_id")
     return cut.groupBy("cluster_id", "piece").agg(F.count("*").alias("size"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
+
+
+#: Rows of a leaf, children of a node, and rows checked, of the balanced tree.
+LEAF, BRANCH, CHECKS = 32, 4, 256
+
+
+@query("SELECT count(*) AS rows, true AS even FROM embeddings")
+def balanced_tree_leaves(spark, sf_dir):
+    """All rows are in leaves, the largest of which has at most twice the rows of the smallest."""
+    sizes = tree.BalancedTree.build(base(spark, sf_dir), LEAF, BRANCH).leaves()
+    return sizes.agg(F.sum("size").alias("rows"), (F.max("size") <= 2 * F.min("size")).alias("even"))
+
+
+@query()
+def balanced_tree_search(spark, sf_dir):
+    """Leaves by a queue until CHECKS rows have been checked."""
+    b = base(spark, sf_dir)
+    return tree.BalancedTree.build(b, LEAF, BRANCH).search(asked(b), K, CHECKS)
+
+
+@query()
+def balanced_tree_recall(spark, sf_dir):
+    """10-recall by the rows checked: of leaves alone, and of a graph search that starts from the tree and ends after so many distances."""
+    b = base(spark, sf_dir)
+    q = asked(b)
+    truth = evaluate.others(exact_knn(b, q, K + 1), K)
+    t = tree.BalancedTree.build(b, LEAF, BRANCH)
+    path = work_dir(spark, "graph")
+    graph.both_ways(built(spark, b).nodes.select(F.col("node").alias("src"), F.explode("neighbours").alias("dst"))).write.parquet(path)
+    edges, out = spark.read.parquet(path), None
+    start = t.entries(q)
+    for checks in (128, 256, 512, 1024):
+        for way, found in (("tree", t.search(q, K + 1, checks)), ("tree and graph", graph.beam_search(edges, b, q, K + 1, WIDTH, entry=start, checks=checks))):
+            one = evaluate.mean_k_recall(evaluate.others(found, K), truth, K).select(F.lit(way).alias("way"), F.lit(checks).cast("bigint").alias("checks"), F.round("recall", 6).alias("recall"))
+            out = one if out is None else out.unionByName(one)
+    return out
