@@ -220,3 +220,19 @@ def collection_after_index(spark, sf_dir):
     c.flush()
     c.insert(b.where("vec_id % 4 > 1"))
     return c.search(asked(b), K, nprobe=NLIST, expr="label < 8")
+
+
+@query("""WITH t AS (SELECT max(CASE WHEN vec_id % 10 = 3 THEN vec_id + 5 ELSE vec_id END) AS now FROM embeddings)
+SELECT vec_id AS id FROM embeddings, t WHERE vec_id % 10 <> 3 AND vec_id + 100 > now""")
+def stream_expiry(spark, sf_dir):
+    """A row a second is inserted and lives for 100 seconds of the stream's clock; those ending in 3 are deleted after five: what is visible at the end."""
+    from vecspan.streaming import expiry
+
+    b, feed, out = base(spark, sf_dir), work_dir(spark, "feed"), work_dir(spark, "events")
+    second = F.col("vec_id").cast("bigint")
+    ops = b.select(F.col("vec_id").alias("tag"), F.lit("insert").alias("op"), F.timestamp_seconds(second).alias("ts"))
+    ops = ops.unionByName(b.where("vec_id % 10 = 3").select(F.col("vec_id").alias("tag"), F.lit("delete").alias("op"), F.timestamp_seconds(second + 5).alias("ts")))
+    ops.write.parquet(feed)
+    stream = spark.readStream.schema(ops.schema).parquet(feed)
+    expiry.keep_visible(expiry.with_expiry(stream, 100), out, work_dir(spark, "offsets")).awaitTermination()
+    return expiry.visible_ids(spark.read.schema("id bigint, op string, at bigint").parquet(out)).select("id")
