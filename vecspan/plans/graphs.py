@@ -12,7 +12,7 @@ from vecspan.operators import evaluate, graph, proximity, tree
 from vecspan.operators.topk import exact_knn, rank_small
 from vecspan.session import work_dir
 
-from .catalogue import _BASE, _CT, K, _graph, _with, asked, base, query, trained
+from .catalogue import _BASE, _CT, K, _with, asked, base, query, trained
 
 #: Neighbours a node, nodes of a beam, nodes a step, and records that are cached at most.
 DEGREE, WIDTH, STEP, CACHED = 16, 32, 8, 1024
@@ -74,13 +74,14 @@ def graph_disk_search(spark, sf_dir):
 
 @query()
 def graph_disk_recall(spark, sf_dir):
-    """The beam over edges and vectors beside the records, without and with a cache: 10-recall, distances and vectors read a query, steps, and jobs of the query set."""
+    """The beam over the graph's edges and the vectors beside the records, without and with a cache: 10-recall, distances and vectors read a query, steps, and jobs of the query set."""
     b = base(spark, sf_dir)
     q = asked(b)
     truth = evaluate.others(exact_knn(b, q, K + 1), K)
-    edges, cents = _graph(spark, b)
     g = built(spark, b)
     cached = g.with_cache(CACHED)
+    edges = g.nodes.select(F.col("node").alias("src"), F.explode("neighbours").alias("dst"))
+    start = rank_small(q, g.entries, 8, "l2_sq", "qid", ref_id="node", ref_vec="v").select("qid", "node")
     queries, rows = max(1, q.count()), []
 
     def add(way: str, search, numbers) -> None:
@@ -91,7 +92,7 @@ def graph_disk_recall(spark, sf_dir):
         rows.append((way, round(float(recall.recall if recall else 1.0), 6), distances / queries, read / queries, steps, jobs, kept))
 
     plain: dict = {}
-    add("beam", lambda: graph.beam_search(edges, b, q, K + 1, WIDTH, centroids=cents, stats=plain), lambda: (plain["distances"], plain["distances"], plain["hops"], 0))
+    add("edges", lambda: graph.beam_search(edges, b, q, K + 1, WIDTH, entry=start, stats=plain), lambda: (plain["distances"], plain["distances"], plain["hops"], 0))
     for way, one in (("records", g), ("cached", cached)):
         add(way, lambda one=one: one.search(q, K + 1, WIDTH, STEP), lambda one=one: (one.stats["code_distances"] + one.stats["vectors_read"], one.stats["vectors_read"], one.stats["steps"], one.stats.get("cached", 0)))
     return spark.createDataFrame(rows, "way string, recall double, distances double, vectors_read double, steps bigint, jobs bigint, cached bigint")
