@@ -129,10 +129,13 @@ def test_search_during_merges(spark, tmp_path):
     store = maintain.VectorStore(spark, str(tmp_path / "s")).create(base.where("vec_id < 10"))
     q = spark.createDataFrame([(0, [0.0])], "qid bigint, embedding array<float>")
     steps = [("insert", base.where("vec_id >= 10 and vec_id < 15")), ("delete", base.where("vec_id < 5").selectExpr("vec_id AS tag")), ("insert", base.where("vec_id >= 15"))]
-    seen = [sorted(r.vec_id for r in found) for found in maintain.update_while_searching(store, q, 100, steps)]
+    seen: list = []
+    for r in maintain.update_while_searching(store, q, 100, steps).orderBy("search", "vec_id").collect():
+        seen += [[]] * (r.search + 1 - len(seen))
+        seen[r.search] = [*seen[r.search], r.vec_id]
     states = [list(range(10)), list(range(15)), list(range(5, 15)), list(range(5, 20))]
     assert seen and all(s in states for s in seen) and [states.index(s) for s in seen] == sorted(states.index(s) for s in seen)
-    assert sorted(r.vec_id for r in store.rows().collect()) == states[-1] and store._version() == 3
+    assert sorted(r.vec_id for r in store.rows().collect()) == states[-1] and store._version()[0] == 3
     tags = spark.createDataFrame([(0, 70), (1, maintain.INVALID_TAG)], "position bigint, tag bigint")
     found = spark.createDataFrame([(0, 1, 0, 0.5), (0, 2, 1, 0.7)], "qid bigint, rank bigint, vec_id bigint, dist double")
     assert [r.tag for r in maintain.positions_to_tags(found, tags).collect()] == [70]

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecspan.session import work_dir
+
 from .topk import exact_knn
 
 #: The tag that marks an invalid point in tag files.
@@ -180,21 +182,25 @@ class VectorStore:
         self._point(folder)
 
 
-def update_while_searching(store: VectorStore, queries: DataFrame, k: int, steps: list[tuple[str, DataFrame]], **how) -> list[list]:
+def update_while_searching(store, queries: DataFrame, k: int, steps: list[tuple[str, DataFrame]], **how) -> DataFrame:
     """Apply ("insert" | "delete", rows) steps with a merge after each while another thread goes on searching.
 
-    Returns the results of all searches, each of which saw one version whole.
+    Returns the results of all searches, (search, ...) with a number each, from a table in the
+    shared folder; each search saw one version whole. ``store`` is a VectorStore or LevelledIndex;
+    ``how`` goes to its search.
     """
     import threading
 
-    found: list[list] = []
+    spark, path = queries.sparkSession, work_dir(queries.sparkSession, "searches")
     failed: list[BaseException] = []
     stop = threading.Event()
 
     def search() -> None:
+        done = 0
         try:
-            while not stop.is_set():
-                found.append(store.search(queries, k, **how).collect())
+            while not stop.is_set() or not done:
+                store.search(queries, k, **how).withColumn("search", F.lit(done)).write.parquet(f"{path}/{done:06d}")
+                done += 1
         except BaseException as e:  # noqa: BLE001 - raised below, in the caller's thread
             failed.append(e)
 
@@ -209,7 +215,7 @@ def update_while_searching(store: VectorStore, queries: DataFrame, k: int, steps
         reader.join()
     if failed:
         raise failed[0]
-    return found
+    return spark.read.parquet(f"{path}/*")
 
 
 def delete_reinsert_cycles(store: VectorStore, source: DataFrame, share: float, cycles: int, seed: int = 0) -> list[tuple[int, int]]:

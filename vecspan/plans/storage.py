@@ -236,3 +236,38 @@ def stream_expiry(spark, sf_dir):
     stream = spark.readStream.schema(ops.schema).parquet(feed)
     expiry.keep_visible(expiry.with_expiry(stream, 100), out, work_dir(spark, "offsets")).awaitTermination()
     return expiry.visible_ids(spark.read.schema("id bigint, op string, at bigint").parquet(out)).select("id")
+
+
+@query(_with(_BASE, _Q, _CT, "live AS (SELECT * FROM base WHERE vec_id % 10 <> 3)", _ASSIGN.replace("FROM base, c", "FROM live, c"), _PROBE, _FOUND) + f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, dist FROM found WHERE probe_rank <= {NPROBE} QUALIFY rank <= {K}")
+def search_after_writers(spark, sf_dir):
+    """Two threads insert and one deletes while this one merges and another searches; a search of what they leave."""
+    import threading
+
+    b = base(spark, sf_dir)
+    index = levels.LevelledIndex(spark, work_dir(spark, "levels")).create(b.where("vec_id % 10 < 5"), centroids=trained(b))
+    failed: list[BaseException] = []
+
+    def steps(run, *parts: str) -> threading.Thread:
+        def each() -> None:
+            try:
+                for where in parts:
+                    run(b.where(where))
+            except BaseException as e:  # noqa: BLE001 - raised below, in the caller's thread
+                failed.append(e)
+
+        return threading.Thread(target=each)
+
+    writers = [
+        steps(index.insert, "vec_id % 10 = 5", "vec_id % 10 = 6"),
+        steps(index.insert, "vec_id % 10 = 7", "vec_id % 10 IN (8, 9)"),
+        steps(lambda rows: index.delete(rows.select("vec_id")), "vec_id % 20 = 3", "vec_id % 20 = 13"),
+    ]
+    for w in writers:
+        w.start()
+    maintain.update_while_searching(index, asked(b), K, [("insert", b.where("vec_id % 10 = 4"))], nprobe=NPROBE)
+    for w in writers:
+        w.join()
+    if failed:
+        raise failed[0]
+    index.merge(whole=True)
+    return index.search(asked(b), K, NPROBE)
