@@ -225,3 +225,13 @@ def test_event_windows(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("ev_out").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("ev_out").agg(F.sum("n")).first()[0] == ev.count()
+
+
+def test_many_files(spark, base, tmp_path):
+    """A hundred files of one format are one table, numbered in order; each read task opens its own file."""
+    path = str(tmp_path / "many")
+    rows = base.select("vec_id", "embedding").crossJoin(spark.range(40)).select((F.col("vec_id") * 40 + F.col("id")).alias("vec_id"), "embedding")
+    formats.write_vectors(rows, path, "fbin", shards=100)
+    assert len(list((tmp_path / "many").glob("part-*"))) > 90
+    back = formats.read_vectors(spark, path, "fbin")
+    assert back.count() == rows.count() and back.join(rows, "vec_id").where(back.embedding != rows.embedding).isEmpty()

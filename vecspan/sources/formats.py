@@ -70,6 +70,20 @@ def files(path: str):
     return store, parts
 
 
+def side_by_side(read, parts: list) -> list:
+    """What ``read`` gives for each part, many at once: headers of many files are read in the time of a few."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(min(64, len(parts)) or 1) as pool:
+        return list(pool.map(read, parts))
+
+
+def _numbers(store, path: str, kind: str) -> tuple:
+    """The numbers that a file begins with."""
+    with store.open_input_file(path) as f:
+        return struct.unpack(kind, f.read(struct.calcsize(kind)))
+
+
 @dataclass
 class Split(InputPartition):
     path: str
@@ -152,8 +166,7 @@ class _VectorReader(DataSourceReader):
         start, end = max(start, self.low), min(end, self.high)
         most = int(self.options.get("rows_per_split", 100_000))
         out, ordinal = [], 0
-        for path, size in parts:
-            rows, dim, head, stride = self._head(store, path, size)
+        for (path, _), (rows, dim, head, stride) in zip(parts, side_by_side(lambda p: self._head(store, *p), parts), strict=True):
             low, high = max(0, start - ordinal), min(rows, end - ordinal)
             for at in range(low, high, most):
                 out.append(Split(path, at, min(most, high - at), dim, ordinal + at, head, stride, rows))
@@ -166,7 +179,7 @@ class _VectorReader(DataSourceReader):
 
         if not split.rows:
             return
-        store, _ = files(self.options["path"])
+        store, _ = opened(self.options["path"])
         dtype, kind = _TYPES[self.kind]
         with store.open_input_file(split.path) as f:
             raw = f.read_at(split.rows * split.stride, split.head + split.first * split.stride)
@@ -370,9 +383,7 @@ class _TruthReader(DataSourceReader):
     def partitions(self) -> list[Split]:
         store, parts = files(self.options["path"])
         out, ordinal = [], 0
-        for path, size in parts:
-            with store.open_input_file(path) as f:
-                rows, k = struct.unpack("<ii", f.read(8))
+        for (path, size), (rows, k) in zip(parts, side_by_side(lambda p: _numbers(store, p[0], "<ii"), parts), strict=True):
             most = int(self.options.get("rows_per_split", 100_000))
             for at in range(0, rows, most):
                 out.append(Split(path, at, min(most, rows - at), k, ordinal + at, 8, 4 * k, rows if size >= 8 + 12 * rows * k else -rows))
@@ -385,7 +396,7 @@ class _TruthReader(DataSourceReader):
 
         if not split.rows:
             return
-        store, _ = files(self.options["path"])
+        store, _ = opened(self.options["path"])
         with store.open_input_file(split.path) as f:
             blocks = [np.frombuffer(f.read_at(split.rows * split.stride, 8 + b * abs(split.total) * split.stride + split.first * split.stride), t) for b, t in enumerate(("<u4", "<f4", "<u4")[: 3 if split.total > 0 else 2])]
         ids = blocks[0].astype(np.int64)
@@ -420,9 +431,9 @@ def _trace_splits(options: dict, first: int = 0, end: int = 1 << 62) -> list[Spl
     store, parts = files(options["path"])
     most = int(options.get("rows_per_split", 1_000_000))
     out = []
-    for b, (path, size) in list(enumerate(parts))[first:end]:
-        with store.open_input_file(path) as f:
-            m = struct.unpack("<I", f.read(4))[0] if size >= 4 else 0
+    some = list(enumerate(parts))[first:end]
+    heads = side_by_side(lambda p: _numbers(store, p[1][0], "<I") if p[1][1] >= 4 else (0,), some)
+    for (b, (path, size)), (m,) in zip(some, heads, strict=True):
         if size < 4 + 8 * m:
             raise ValueError(f"{path} ends before its {m} inserts")
         out += [Split(path, at, min(most, 2 * m - at), 0, b, 4, 4, m) for at in range(0, 2 * m, most)]
@@ -435,7 +446,7 @@ def _trace_rows(options: dict, split: Split) -> Iterator:
 
     if not split.rows:
         return
-    store, _ = files(options["path"])
+    store, _ = opened(options["path"])
     with store.open_input_file(split.path) as f:
         tags = np.frombuffer(f.read_at(4 * split.rows, split.head + 4 * split.first), "<u4").astype(np.int64)
     insert = np.arange(split.first, split.first + split.rows) >= split.total
