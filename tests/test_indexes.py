@@ -244,3 +244,15 @@ def test_searches_by_join(base, queries, monkeypatch):
     named = lists.withColumn("vec_id", F.concat(F.lit("r"), F.lpad(F.col("vec_id").cast("string"), 6, "0")))
     want = pairs(ivf.search(lists, cents, queries, 4, 3))
     assert [(q, r, int(v[1:])) for q, r, v in pairs(ivf.search(named, cents, queries, 4, 3))] == want
+
+
+def test_saving_again(spark, base, queries, tmp_path):
+    """An index saved over another: who loaded the first goes on with it, who loads now gets the second."""
+    path = str(tmp_path / "index")
+    with pytest.raises(ValueError):
+        ivf.IvfIndex.load(spark, path)
+    ivf.IvfIndex.build(base.where("vec_id < 100"), 4, 1).save(path)
+    first = ivf.IvfIndex.load(spark, path)
+    ivf.IvfIndex.build(base, 4, 1).save(path)
+    assert pairs(first.search(queries, 3, 4)) == pairs(exact_knn(base.where("vec_id < 100"), queries, 3))
+    assert pairs(ivf.IvfIndex.load(spark, path).search(queries, 3, 4)) == pairs(exact_knn(base, queries, 3))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vecspan.functions import distance
 from vecspan.session import importable, work_dir
+from vecspan.sources.commits import CommitLog
 
 from .evaluate import mean_k_recall, others
 from .topk import held, matrix, merge_topk, rank_small, top_by
@@ -325,6 +326,28 @@ def write_lists_table(lists: DataFrame, path: str, id_col: str = "vec_id") -> No
     lists.repartitionByRange("cluster_id", id_col).sortWithinPartitions("cluster_id", id_col).write.mode("overwrite").partitionBy("cluster_id").parquet(path)
 
 
+def save_parts(path: str, about: dict, tables: dict[str, DataFrame], lists: DataFrame, id_col: str) -> None:
+    """Write an index's tables and lists under fresh names and commit what they are called."""
+    spark, token = lists.sparkSession, uuid.uuid4().hex
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/{name}-{token}")
+    write_lists_table(lists, f"{path}/lists-{token}", id_col)
+    log = CommitLog(spark, f"{path}/log")
+    log.commit({**about, "parts": {name: f"{name}-{token}" for name in (*tables, "lists")}}, log.version(), lambda others: None)
+
+
+def load_parts(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
+    """What was saved last at a path."""
+    log = CommitLog(spark, f"{path}/log")
+    last = log.version()
+    if last < 0:
+        raise ValueError(f"no index at {path}")
+    about = log.commits(last - 1, last)[0]
+    parts = {name: spark.read.parquet(f"{path}/{at}") for name, at in about["parts"].items()}
+    parts["lists"] = parts["lists"].withColumn("cluster_id", F.col("cluster_id").cast("bigint"))
+    return about, parts
+
+
 @dataclass
 class IvfIndex:
     """An index over a vector table: centroids, and the rows in cluster order."""
@@ -349,18 +372,17 @@ class IvfIndex:
         return IvfIndex(self.centroids, self.lists.unionByName(new), self.metric, self.id_col, self.vec_col, self.info)
 
     def save(self, path: str) -> None:
-        """Parquet tables, the rows partitioned by cluster, and a manifest."""
-        spark = self.lists.sparkSession
-        self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-        write_lists_table(self.lists, f"{path}/lists", self.id_col)
-        manifest = json.dumps({"metric": self.metric, "id_col": self.id_col, "vec_col": self.vec_col, "nlist": self.info.get("nlist")})
-        spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+        """Parquet tables under names of their own, the rows partitioned by cluster, which a commit then names.
+
+        What was saved at the path before stays, so that running searches go on with it.
+        """
+        about = {"metric": self.metric, "id_col": self.id_col, "vec_col": self.vec_col, "nlist": self.info.get("nlist")}
+        save_parts(path, about, {"centroids": self.centroids}, self.lists, self.id_col)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> IvfIndex:
-        m = json.loads(spark.read.text(f"{path}/manifest").first().value)
-        lists = spark.read.parquet(f"{path}/lists").withColumn("cluster_id", F.col("cluster_id").cast("bigint"))
-        return IvfIndex(spark.read.parquet(f"{path}/centroids"), lists, m["metric"], m["id_col"], m["vec_col"], {"nlist": m["nlist"]})
+        m, parts = load_parts(spark, path)
+        return IvfIndex(parts["centroids"], parts["lists"], m["metric"], m["id_col"], m["vec_col"], {"nlist": m["nlist"]})
 
     def search(self, queries: DataFrame, k: int, nprobe: int, where: Column | str | None = None) -> DataFrame:
         return search(self.lists, self.centroids, queries, k, nprobe, self.metric, self.id_col, self.vec_col, where=where)

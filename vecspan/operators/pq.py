@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -191,18 +190,13 @@ class IvfPqIndex:
         return IvfPqIndex(self.centroids, self.codebook, self.lists.unionByName(codes), self.id_col, self.vec_col)
 
     def save(self, path: str) -> None:
-        """Parquet tables, the codes partitioned by cluster, and a manifest."""
-        self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-        self.codebook.write.mode("overwrite").parquet(f"{path}/codebook")
-        ivf.write_lists_table(self.lists, f"{path}/lists", self.id_col)
-        manifest = json.dumps({"kind": "ivfpq", "id_col": self.id_col, "vec_col": self.vec_col})
-        self.lists.sparkSession.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+        """Parquet tables, the codes partitioned by cluster, as ``ivf.save_parts`` writes them."""
+        ivf.save_parts(path, {"kind": "ivfpq", "id_col": self.id_col, "vec_col": self.vec_col}, {"centroids": self.centroids, "codebook": self.codebook}, self.lists, self.id_col)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> IvfPqIndex:
-        m = json.loads(spark.read.text(f"{path}/manifest").first().value)
-        lists = spark.read.parquet(f"{path}/lists").withColumn("cluster_id", F.col("cluster_id").cast("bigint"))
-        return IvfPqIndex(spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/codebook"), lists, m["id_col"], m["vec_col"])
+        m, parts = ivf.load_parts(spark, path)
+        return IvfPqIndex(parts["centroids"], parts["codebook"], parts["lists"], m["id_col"], m["vec_col"])
 
     def search(self, queries: DataFrame, k: int, nprobe: int, where: Column | str | None = None) -> DataFrame:
         """(qid, rank, id, dist) over the codes of the probed clusters.
