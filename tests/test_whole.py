@@ -1,6 +1,7 @@
 """Queries over whole tables and the stated query set: every id divisible by 100."""
 
 import numpy as np
+import pytest
 
 from vecspan.operators import graph, topk
 from vecspan.plans.catalogue import ORACLES, QUERIES
@@ -75,6 +76,21 @@ def test_recall_of_the_searches(spark):
     assert found[10] <= found[100] and found[100] >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_codes_and_filters(spark, sf):
+    """Share of the nine nearest others that the searches of codes, cells and filtered lists find, at both sizes."""
+    from vecspan.operators import evaluate
+    from vecspan.operators.topk import exact_knn
+    from vecspan.plans import catalogue, graphs, transforms  # noqa: F401  both add queries
+
+    path = f"/root/testdata/{sf}"
+    b = catalogue.base(spark, path)
+    for name, where in (("pq_adc_search", None), ("ivf_pq_search", None), ("ivf_search_filtered", "label = 3"), ("graph_disk_search", None), ("multi_index_search", None)):
+        truth = evaluate.others(exact_knn(b, catalogue.asked(b), 11, where=where), 9)
+        found = evaluate.others(QUERIES[name](spark, path), 9)
+        assert evaluate.mean_k_recall(found, truth, 9).first().recall >= 0.9, name
+
+
 def test_concat_whole(spark):
     n = len(vectors(spark))
     assert sorted(map(tuple, QUERIES["vec_concat"](spark, SF).collect())) == [(i, 2) for i in range(n)]

@@ -12,7 +12,7 @@ from vecspan.session import work_dir
 from .catalogue import _BASE, _Q, BOOK_ROUNDS, DIM, K, _book_sql, _with, asked, base, query
 
 #: Directions that are kept, entries of a half codebook, and cells visited.
-SIZE, HALF, CELLS = 32, 32, 256
+SIZE, HALF, CELLS = 32, 32, 512
 
 _COSINES = f"""t AS MATERIALIZED (SELECT vec_id, label, list(x ORDER BY i) AS e FROM (
   SELECT vec_id, label, i, round(list_sum(list_transform(range(0, {DIM}), lambda j: e[j + 1] * cos(pi() * i * (2 * j + 1) / {2 * DIM}) * sqrt(2.0 / {DIM}))) / CASE WHEN i = 0 THEN sqrt(2.0) ELSE 1.0 END, 9) AS x
