@@ -224,10 +224,14 @@ def test_multi_sequence():
     assert [x[1:] for x in multi.nearest_pairs(a, b, 900)] == [(i, j) for _, i, j in sorted((x + y, i, j) for i, x in enumerate(a) for j, y in enumerate(b))]
 
 
-def test_multi_index(base, queries):
+def test_multi_index(base, queries, monkeypatch):
     """All cells visited find what an exact search finds."""
     index = multi.MultiIndex.build(base, 6, 3)
     assert pairs(index.search(queries, 4, 36)) == pairs(exact_knn(base, queries, 4))
+    some = pairs(index.search(queries, 4, 12))
+    with monkeypatch.context() as m:
+        m.setattr(ivf, "MOST_PAIRS", 1)
+        assert pairs(index.search(queries, 4, 12)) == some
     assert index.cells(queries, 5).count() == 5 * queries.count() and index.lists.count() == base.count()
     assert index.search(queries.limit(0), 3, 5).collect() == []
 

@@ -18,8 +18,8 @@ from .topk import held, matrix, merge_topk, rank_small, top_by
 
 #: Probe rows (query, cluster, vector) that may be broadcast; more are joined by shuffle.
 MOST_PROBES = 200_000
-#: Queries whose vectors go to every task of a search.
-MOST_QUERIES = 16_384
+#: Queries whose vectors go to every task of a search, and probes (two numbers each) that do.
+MOST_QUERIES, MOST_PAIRS = 16_384, 2_000_000
 
 
 def seed_centroids(base: DataFrame, nlist: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -220,11 +220,16 @@ def cluster_topk(found: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
     return top_by(found, ["qid", "cluster_id"], k, ["dist", id_col])
 
 
+def few_probes(queries: DataFrame, probes: DataFrame) -> bool:
+    """Whether ``cell_topk`` may be used."""
+    return queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES and probes.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS
+
+
 def cell_topk(lists: DataFrame, queries: DataFrame, probes: DataFrame, k: int, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(qid, id, dist): of each batch of rows and cluster in it, the k nearest to every query that probes the cluster.
 
     A map-only scan of the lists with a matrix product a cluster, as the exact search does it;
-    queries and which clusters they probe go to every task, MOST_QUERIES queries and MOST_PROBES
+    queries and which clusters they probe go to every task, MOST_QUERIES queries and MOST_PAIRS
     probes at most. Rows that aren't probed are passed over.
     """
     import numpy as np
@@ -232,13 +237,15 @@ def cell_topk(lists: DataFrame, queries: DataFrame, probes: DataFrame, k: int, m
 
     spark = importable(lists.sparkSession)
     asked = queries.where(F.col(vec_col).isNotNull()).select(F.col("qid").cast("bigint").alias("qid"), distance.doubles(F.col(vec_col)).alias("v")).collect()
+    asked.sort(key=lambda r: r.qid)
     qids = np.array([r.qid for r in asked], np.int64)
     vectors = np.array([r.v for r in asked], np.float64).reshape(len(asked), -1 if asked else 0)
-    at = {q: i for i, q in enumerate(qids.tolist())}
-    by: dict[int, list[int]] = {}
-    for r in probes.select("qid", "cluster_id").collect():
-        by.setdefault(r.cluster_id, []).append(at[r.qid])
-    shared = spark.sparkContext.broadcast((qids, vectors, {c: np.array(sorted(x), np.int64) for c, x in by.items()}))
+    pairs = probes.select(F.col("qid").cast("bigint").alias("qid"), F.col("cluster_id").cast("bigint").alias("cluster_id")).toArrow()
+    cluster, query = pairs.column("cluster_id").to_numpy(), np.searchsorted(qids, pairs.column("qid").to_numpy())
+    order = np.lexsort((query, cluster))
+    probed, first = np.unique(cluster[order], return_index=True)
+    by = dict(zip(probed.tolist(), np.split(query[order], first[1:]), strict=True)) if len(probed) else {}
+    shared = spark.sparkContext.broadcast((qids, vectors, by))
     kind = lists.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +274,7 @@ def search(lists: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, n
     Few queries are searched for by ``cell_topk``, more by the join of ``candidates``.
     """
     probes = probe(queries, centroids, nprobe, metric, vec_col)
-    few = queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES and probes.limit(MOST_PROBES + 1).count() <= MOST_PROBES
-    if not few or lists.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+    if not few_probes(queries, probes) or lists.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         return merge_topk(candidates(lists, queries, probes, metric, id_col, vec_col, cap, where), k, id_col)
     lists = lists.where(where) if where is not None else lists
     lists = lists.where(F.col("pos") < cap) if cap is not None else lists

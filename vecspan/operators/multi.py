@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from vecspan.functions import distance
 from vecspan.session import importable
 
-from . import pq
-from .ivf import MOST_PROBES
+from . import ivf, pq
 from .topk import matrix, merge_topk
 
 
@@ -84,7 +83,8 @@ class MultiIndex:
 
     def search(self, queries: DataFrame, k: int, cells: int) -> DataFrame:
         """(qid, rank, id, dist) among the rows of each query's ``cells`` nearest cells, by whole vectors."""
-        asked = self.cells(queries, cells).select("qid", "cell").join(queries.select("qid", distance.doubles(F.col(self.vec_col)).alias("q")), "qid")
-        few = asked.limit(MOST_PROBES + 1).count() <= MOST_PROBES
-        rows = self.lists.select("cell", self.id_col, distance.doubles(F.col(self.vec_col)).alias("v")).join(F.broadcast(asked) if few else asked, "cell")
-        return merge_topk(rows.select("qid", self.id_col, distance.l2_sq(F.col("q"), F.col("v")).alias("dist")), k, self.id_col)
+        probes = self.cells(queries, cells).select("qid", F.col("cell").alias("cluster_id"), F.col("rank").alias("probe_rank"))
+        lists = self.lists.withColumnRenamed("cell", "cluster_id")
+        if ivf.few_probes(queries, probes):
+            return merge_topk(ivf.cell_topk(lists, queries, probes, k, "l2_sq", self.id_col, self.vec_col), k, self.id_col)
+        return merge_topk(ivf.candidates(lists, queries, probes, "l2_sq", self.id_col, self.vec_col), k, self.id_col)

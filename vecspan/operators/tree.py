@@ -168,8 +168,7 @@ class BalancedTree:
     def search(self, queries: DataFrame, k: int, max_check: int) -> DataFrame:
         """(qid, rank, id, dist) among the rows of the visited leaves, by whole vectors."""
         visits = self.visits(queries, max_check)
-        few = queries.limit(ivf.MOST_QUERIES + 1).count() <= ivf.MOST_QUERIES and visits.limit(ivf.MOST_PROBES + 1).count() <= ivf.MOST_PROBES
-        if few:
+        if ivf.few_probes(queries, visits):
             return merge_topk(ivf.cell_topk(self.lists, queries, visits, k, "l2_sq", self.id_col, self.vec_col), k, self.id_col)
         return merge_topk(ivf.candidates(self.lists, queries, visits, "l2_sq", self.id_col, self.vec_col), k, self.id_col)
 
