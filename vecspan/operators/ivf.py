@@ -226,7 +226,7 @@ def few_probes(queries: DataFrame, probes: DataFrame) -> bool:
 
 
 def cell_topk(lists: DataFrame, queries: DataFrame, probes: DataFrame, k: int, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(qid, id, dist): of each batch of rows and cluster in it, the k nearest to every query that probes the cluster.
+    """(qid, id, dist): of each batch of rows, the k nearest to every query among those in clusters that it probes.
 
     A map-only scan of the lists with a matrix product a cluster, as the exact search does it;
     queries and which clusters they probe go to every task, MOST_QUERIES queries and MOST_PAIRS
@@ -252,16 +252,32 @@ def cell_topk(lists: DataFrame, queries: DataFrame, probes: DataFrame, k: int, m
         from vecspan.functions.distance import nearest
 
         names, vec, probing = shared.value
+
+        def least(found: list[tuple], ids) -> tuple:
+            """The k nearest of each query among what a batch's clusters gave: (query, row, distance)."""
+            q, row, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            by_query = np.lexsort((ids[row], d, q))
+            q, row, d = q[by_query], row[by_query], d[by_query]
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+            return q[kept], row[kept], d[kept]
+
         for batch in (b for b in batches if b.num_rows):
-            cluster = batch.column(0).to_numpy()
-            order = np.lexsort((batch.column(1).to_numpy(), cluster))
-            clusters, first = np.unique(cluster[order], return_index=True)
-            for c, rows in zip(clusters.tolist(), np.split(order, first[1:]), strict=True):
+            cluster, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows_of, v = np.lexsort((ids, cluster)), matrix(batch.column(2))
+            clusters, first = np.unique(cluster[rows_of], return_index=True)
+            found, size = [], 0
+            for c, rows in zip(clusters.tolist(), np.split(rows_of, first[1:]), strict=True):
                 if c not in probing:
                     continue
-                part = batch.take(pa.array(rows))
-                i, j, d = nearest(vec[probing[c]], matrix(part.column(2)), k, metric)
-                yield pa.RecordBatch.from_arrays([pa.array(names[probing[c][i]]), part.column(1).take(pa.array(j)), pa.array(d)], names=["qid", id_col, "dist"])
+                i, j, d = nearest(vec[probing[c]], v[rows], k, metric)
+                found.append((probing[c][i], rows[j], d))
+                size += len(d)
+                if size > MOST_SUMS // 8:
+                    found = [least(found, ids)]
+                    size = 0
+            if found:
+                q, row, d = least(found, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]), batch.column(1).take(pa.array(row)), pa.array(d)], names=["qid", id_col, "dist"])
 
     some = lists.where(F.col("cluster_id").isin(sorted(by))) if len(by) < 1000 else lists
     rows = some.where(F.col(vec_col).isNotNull()).select(F.col("cluster_id").cast("bigint").alias("cluster_id"), id_col, distance.doubles(F.col(vec_col)).alias("v"))
