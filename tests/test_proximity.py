@@ -75,6 +75,24 @@ def test_shards_of_one_task():
     assert (same >= -1).all()
 
 
+def test_links_that_merging_keeps_reach_all(base):
+    """The first places of a shard's lists reach every row; so does the merged graph of many small shards from its starts."""
+    for n, first in ((2, 1), (5, 2), (9, 1), (300, 1), (300, 2), (300, 4)):
+        x = np.random.default_rng(n).normal(size=(n, 8))
+        links, medoid = proximity.shard_links(x, 8, 16, 50, 1.2, first)
+        assert len(in_reach({i: [j for j in row[:first] if j >= 0] for i, row in enumerate(links.tolist())}, {medoid})) == n
+    g = proximity.ProximityGraph.build(base, degree=4, width=8, budget=150 * (16 * 64 + 16 * 4 + proximity.BLOCK))
+    rows = sound(g, 4)
+    assert len(in_reach(rows, {r.node for r in g.entries.collect()})) == len(rows) == 500
+
+
+def in_reach(rows, starts):
+    seen, todo = set(starts), list(starts)
+    while todo:
+        todo = [j for i in todo for j in rows[i] if j not in seen and not seen.add(j)]
+    return seen
+
+
 def test_budgets(spark, base):
     """No shard over the budget, though a third of the rows are equal; every row in two shards, or one where the table fits."""
     same = base.where("vec_id = 1").crossJoin(spark.range(250)).select((F.col("id") + 1000).alias("vec_id"), "embedding", "label")

@@ -150,19 +150,19 @@ def visited_nodes(x: np.ndarray, links: np.ndarray, start: int, rows: np.ndarray
         dist, node, done = (np.take_along_axis(p, by, 1) for p in (dist, node, done))
 
 
-def shard_links(x: np.ndarray, degree: int, width: int, pool: int, alpha: float) -> tuple[np.ndarray, int]:
+def shard_links(x: np.ndarray, degree: int, width: int, pool: int, alpha: float, sure: int | None = None) -> tuple[np.ndarray, int]:
     """(rows, degree) neighbours within one shard, and its medoid, the row nearest to the mean.
 
     From random links, two rounds: every row is searched for from the medoid, and what the
     search stepped on is pruned to its neighbours; these get the row as a candidate in turn. The
     first round prunes without slack, the second with ``alpha``. Both leave a place free, which
     serves to bring in reach of the medoid what isn't; such a link comes first in its list.
+    The first ``sure`` places of the lists alone, all by default, bring every row in reach.
     """
     m = len(x)
     medoid = int(((x - x.mean(0)) ** 2).sum(1).argmin())
     if m <= degree + 1:
-        every = np.tile(np.arange(m), (m, 1))
-        return every[~np.eye(m, dtype=bool)].reshape(m, m - 1), medoid
+        return (np.arange(m)[:, None] + np.arange(1, m)) % max(1, m), medoid  # the first places are a ring
     rng = np.random.default_rng(m)
     whole, degree = degree, max(1, degree - 1)
     links = np.full((m, degree), -1, np.int64)
@@ -189,11 +189,12 @@ def shard_links(x: np.ndarray, degree: int, width: int, pool: int, alpha: float)
             links[targets[~fits]] = pruned_links(x, targets[~fits], cand[~fits], degree, pool, slack)
     out = np.full((m, max(2, whole)), -1, np.int64)
     out[:, 1 : 1 + degree] = links
-    return _in_reach(x, out, medoid), medoid
+    _in_reach(x, out[:, :sure], medoid)
+    return out, medoid
 
 
-def _in_reach(x: np.ndarray, links: np.ndarray, start: int) -> np.ndarray:
-    """Links by which every row is reached from ``start``: the first place of each list, which is free, takes the nearest row that wasn't reached."""
+def _in_reach(x: np.ndarray, links: np.ndarray, start: int) -> None:
+    """Brings every row in reach of ``start``: the first place of each list, which is free, takes the nearest row that wasn't reached."""
 
     def spread(rows: np.ndarray) -> None:
         while len(rows):
@@ -208,11 +209,10 @@ def _in_reach(x: np.ndarray, links: np.ndarray, start: int) -> np.ndarray:
             free = np.flatnonzero(reached & (links[:, 0] < 0))
             links[free[((x[free] - x[row]) ** 2).sum(1).argmin()], 0] = row
             spread(np.array([row]))
-    return links
 
 
-def shard_graphs(shards: DataFrame, degree: int, width: int, pool: int, alpha: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(node, neighbours, medoid) of every shard's own graph, a grouped Arrow pass: a task holds one shard."""
+def shard_graphs(shards: DataFrame, degree: int, width: int, pool: int, alpha: float, id_col: str = "vec_id", vec_col: str = "embedding", sure: int | None = None) -> DataFrame:
+    """(node, neighbours, medoid) of every shard's own graph, a grouped Arrow pass: a task holds one shard. ``sure`` as for ``shard_links``."""
     import pyarrow as pa
 
     importable(shards.sparkSession)
@@ -221,7 +221,7 @@ def shard_graphs(shards: DataFrame, degree: int, width: int, pool: int, alpha: f
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("node")
         ids = table.column("node").to_numpy()
-        links, medoid = shard_links(matrix(table.column("v").combine_chunks()), degree, width, pool, alpha)
+        links, medoid = shard_links(matrix(table.column("v").combine_chunks()), degree, width, pool, alpha, sure)
         there = links >= 0
         ends = np.concatenate([[0], np.cumsum(there.sum(1))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[links[there]]))
@@ -231,7 +231,10 @@ def shard_graphs(shards: DataFrame, degree: int, width: int, pool: int, alpha: f
 
 
 def merged_links(parts: DataFrame, degree: int) -> DataFrame:
-    """(node, neighbours) from (node, neighbours) rows of several shards: in turn the next of each, at most ``degree``."""
+    """(node, neighbours) from (node, neighbours) rows of several shards: in turn the next of each, at most ``degree``.
+
+    Of n lists the first degree // n neighbours stay, whatever is cut.
+    """
     lists = F.sort_array(F.collect_list("neighbours"))
     turn = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(degree - 1)), lambda i: F.transform("lists", lambda one: F.get(one, i))))
     return parts.groupBy("node").agg(lists.alias("lists")).select("node", F.slice(F.array_distinct(F.array_compact(turn)), 1, degree).alias("neighbours"))
@@ -315,14 +318,16 @@ class ProximityGraph:
         """A graph over all rows with a finite vector; ids are unique.
 
         Rows are dealt to overlapping shards of at most ``budget`` bytes, each a task's; shards
-        that overlap make graphs of two thirds of ``degree``, whose links are merged. The work of a
-        row depends on the parameters and on the shard's size, not on the number of rows.
+        that overlap make graphs of two thirds of ``degree``, whose links are merged; the links that
+        merging keeps for certain reach every row of a shard from its medoid, a start, where
+        ``degree`` is at least ``overlap``. The work of a row depends on the parameters and on the
+        shard's size, not on the number of rows.
         """
         row_bytes = 16 * _dimension(base, vec_col) + 16 * degree + BLOCK
         shards, _ = budgeted_shards(base, budget, row_bytes, overlap, id_col=id_col, vec_col=vec_col)
         shards = stored(shards, "shards")
         one = shards.select("shard").distinct().limit(2).count() <= 1
-        found = stored(shard_graphs(shards, degree if one else max(1, 2 * degree // 3), width, pool, alpha, id_col, vec_col), "links")
+        found = stored(shard_graphs(shards, degree if one else max(1, 2 * degree // 3), width, pool, alpha, id_col, vec_col, None if one else max(1, degree // overlap)), "links")
         links = found.select("node", "neighbours") if one else merged_links(found, degree)
         rows = base.where(distance.finite(F.col(vec_col))).select(F.col(id_col).cast("bigint").alias("node"), F.col(vec_col).cast("array<float>").alias("v"))
         book = pq.train_codebook(rows, parts, _dimension(base, vec_col), codes, 10, "node", "v")
