@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vecspan.functions import distance, vectors
-from vecspan.operators import evaluate, factory, ivf, maintain
+from vecspan.operators import evaluate, factory, ivf, maintain, topk
 from vecspan.operators.topk import exact_knn, rank_small
 
 POINTS = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 4.0]), (4, [1.0, 0.0])]
@@ -183,3 +183,46 @@ def test_workloads(spark, tmp_path):
     assert one == two and all(0 <= x < 1 for r in one for x in r.embedding)
     more = ivf.IvfIndex.build(b.where("vec_id < 30"), 4, 1).add(b.where("vec_id >= 30"))
     assert more.lists.count() == 60
+
+
+def test_nearest_within_a_bound():
+    """Rows beyond the first part, ties and a bound: as by brute force."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(7, 4)), rng.normal(size=(2 * distance.HEAD + 5, 4)).round(1)
+    for metric in distance.METRICS:
+        for k in (1, 12):
+            i, j, d = distance.nearest(x, y, k, metric)
+            bound = d[i.searchsorted(np.arange(7)) + k - 1]
+            for got in ((i, j, d), distance.nearest(x, y, k, metric, bound=bound), distance.nearest(x, y, k, metric, bound=bound + 1)):
+                for q in range(7):
+                    all_ = distance.exact(np.tile(x[q], (len(y), 1)), y, metric)
+                    by = np.lexsort((np.arange(len(y)), all_))[:k]
+                    assert got[1][got[0] == q].tolist() == by.tolist() and got[2][got[0] == q].tolist() == all_[by].tolist()
+
+
+def test_declarative_search_sorts_few_pairs(spark, monkeypatch):
+    """Pairs beyond a bound from a sample don't leave the join; odd lengths, nulls, ties, and k beyond the rows."""
+    monkeypatch.setattr(topk, "pairs", None)
+    base = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(*[(F.col("id") * p % 97).cast("float") for p in (3, 5, 7)]).alias("embedding"))
+    odd = spark.createDataFrame([(-1, None), (-2, [1.0, None, 2.0]), (-3, [1.0, 2.0]), (-4, [float("nan")] * 3)], "vec_id long, embedding array<float>")
+    rows = base.unionByName(odd)
+    queries = rows.where("vec_id < 40").select(F.col("vec_id").alias("qid"), "embedding")
+    for metric in ("l2_sq", "l1", "cosine"):
+        got = topk.exact_knn(rows, queries.where("qid >= 0"), 5, metric, method="sql").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, topk.exact_knn(base, queries.where("qid >= 0"), 5, metric).collect()))
+    assert [tuple(r) for r in topk.exact_knn(rows, queries.where("qid < 0"), 5, method="sql").collect()] == [(-3, 1, -3, 0.0)]
+    assert topk.exact_knn(rows.limit(0), queries, 5, method="sql").collect() == []
+    assert topk.exact_knn(base.limit(3), queries.where("qid = 1"), 5, method="sql").count() == 3
+    as_columns = lambda df, id_, name: df.select(id_, F.col("embedding").cast("array<double>").alias(name))
+    left = topk.knn_by_columns(as_columns(base, "vec_id", "v"), as_columns(queries.where("qid >= 0"), "qid", "q"), 5, lambda x, y: distance.totals("l2_sq", x, y))
+    assert 200 <= left.count() < 40 * 3000 / 4
+
+
+def test_block_join_in_two_directions(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BASE_BLOCK", 100)
+    monkeypatch.setattr(topk, "QUERY_CELL", 60)
+    rows = spark.range(500).select("id", F.array(*[(F.col("id") * p % 89).cast("float") for p in (3, 5, 11)]).alias("v"))
+    queries = rows.withColumnRenamed("id", "qid")
+    found = topk.merge_topk(topk.block_join(rows, queries, 4, "l2_sq"), 4, "id")
+    want = topk.exact_knn(rows, queries, 4, id_col="id", vec_col="v")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))

@@ -14,8 +14,8 @@ from vecspan.session import importable, work_dir
 QUERY_BLOCK = 4096
 #: Blocks of queries that pass through the driver; beyond, queries and base are joined block by block.
 MOST_BLOCKS = 16
-#: Base rows that a task of the block join holds.
-BASE_BLOCK = 65_536
+#: Base rows that a task of the block join holds, and queries that pass it.
+BASE_BLOCK, QUERY_CELL = 65_536, 32_768
 
 
 def top_by(df: DataFrame, by: list[str], k: int, order: list[str], rank: str = "rank") -> DataFrame:
@@ -43,6 +43,37 @@ def pairs(base: DataFrame, queries: DataFrame, metric: str = "l2_sq", id_col: st
     return out
 
 
+def knn_by_columns(base: DataFrame, queries: DataFrame, k: int, total, kind: str = "double", id_col: str = "vec_id") -> DataFrame:
+    """(qid, id, dist) of pairs that hold the k nearest of each query, as a declarative plan.
+
+    ``base`` has the id and v, ``queries`` qid and q: arrays without nulls, compared where they have
+    the same length. ``total`` makes the distance from two lists of columns of type ``kind``. The
+    k-th distance to a sample of about sqrt(k * n) rows bounds a query's k nearest, so that only
+    pairs within it leave the join and are sorted. Queries are broadcast in blocks of about QUERY_BLOCK.
+    """
+    n, asked = base.count(), queries.count()
+    blocks, one_in = max(1, -(-asked // QUERY_BLOCK)), max(1, int((n / k) ** 0.5))
+    out = None
+    for dim in sorted(r[0] for r in queries.select(F.size("q")).distinct().collect()):
+
+        def wide(df: DataFrame, id_: str, name: str, dim: int = dim) -> DataFrame:
+            # Components are there; coalesce tells the plan so.
+            cells = [F.coalesce(F.col(name)[i].cast(kind), F.lit(0).cast(kind)).alias(f"{name}{i}") for i in range(dim)]
+            return df.where(F.size(name) == dim).select(id_, *cells)
+
+        d = total([F.col(f"q{i}") for i in range(dim)], [F.col(f"v{i}") for i in range(dim)])
+        b, q = wide(base, id_col, "v"), wide(queries, "qid", "q")
+        some = b.where(F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(one_in)) == 0)
+        for i in range(blocks):
+            part = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else q
+            first = some.crossJoin(F.broadcast(part)).select("qid", id_col, d.alias("dist")).where("dist is not null")
+            bound = top_by(first, ["qid"], k, ["dist", id_col]).where(F.col("rank") == k).groupBy("qid").agg(F.max("dist").alias("bound"))
+            within = part.join(bound, "qid", "left")
+            found = b.crossJoin(F.broadcast(within)).where(F.col("bound").isNull() | (d <= F.col("bound"))).select("qid", id_col, d.alias("dist")).where("dist is not null")
+            out = found if out is None else out.unionByName(found)
+    return out if out is not None else base.crossJoin(queries).select("qid", id_col, F.lit(None).cast(kind).alias("dist")).limit(0)
+
+
 def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2_sq", where: Column | str | None = None, method: str = "arrow", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Exact nearest neighbours: qid, rank, id, dist; min(k, n) rows a query, ordered by (dist, id).
 
@@ -50,7 +81,7 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2_sq"
     "arrow" scans batches of base vectors with a matrix product and passes on the k best of each
     batch; queries come in blocks of QUERY_BLOCK, each of which is broadcast; more than MOST_BLOCKS
     blocks are searched by ``block_join`` instead. "sql" is the same as a broadcast join over
-    built-in functions. Null vectors and those with a component that is null or not finite are
+    built-in functions (``knn_by_columns``). Null vectors and those with a component that is null or not finite are
     skipped, on either side.
     """
     distance.metric(metric)
@@ -58,7 +89,9 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2_sq"
     base = base.where(F.col(vec_col).isNotNull())
     queries = queries.where(F.col(vec_col).isNotNull())
     if method == "sql":
-        return merge_topk(pairs(base, queries, metric, id_col, vec_col), k, id_col)
+        b = base.where(distance.finite(F.col(vec_col))).select(id_col, distance.doubles(F.col(vec_col)).alias("v"))
+        q = queries.where(distance.finite(F.col(vec_col))).select("qid", distance.doubles(F.col(vec_col)).alias("q"))
+        return merge_topk(knn_by_columns(b, q, k, lambda x, y: distance.totals(metric, x, y), id_col=id_col), k, id_col)
     if method != "arrow":
         raise ValueError(f"unknown method {method!r}")
     rows = base.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"))
@@ -84,18 +117,19 @@ def block_join(rows: DataFrame, queries: DataFrame, k: int, metric: str) -> Data
     """(qid, id, dist): of each block of base rows the k nearest of every query, for any number of queries.
 
     Base rows (id, v) are dealt by hash into blocks of about BASE_BLOCK rows, and queries (qid, v)
-    are sent to each block, where they stream past the block's rows. Nothing passes through the
-    driver; what moves is the base once and the queries once a block.
+    into blocks of about QUERY_CELL. A pair of blocks is a task's work, where the queries stream past the
+    rows. Nothing passes through the driver; what moves is each side once a block of the other.
     """
     import numpy as np
     import pyarrow as pa
 
     importable(rows.sparkSession)
-    blocks = max(1, -(-rows.count() // BASE_BLOCK))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    base = rows.select(block.alias("block"), F.lit(0).alias("side"), "id", distance.doubles(F.col("v")).alias("v"))
-    each = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), F.col("qid").alias("id"), distance.doubles(F.col("v")).alias("v"))
-    both = base.unionByName(each).repartition("block").sortWithinPartitions("block", "side")
+    blocks, cells = max(1, -(-rows.count() // BASE_BLOCK)), max(1, -(-queries.count() // QUERY_CELL))
+    block, cell = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("qid"), F.lit(cells)).cast("int")
+    base = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: block * cells + c)).alias("block"), F.lit(0).alias("side"), "id", "v")
+    each = queries.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * cells + cell)).alias("block"), F.lit(1).alias("side"), F.col("qid").alias("id"), "v")
+    parts = max(blocks * cells, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = base.unionByName(each).repartition(parts, "block").sortWithinPartitions("block", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from vecspan.functions.distance import nearest
@@ -148,13 +182,16 @@ def _scan(rows: DataFrame, queries: list, k: int, metric: str) -> DataFrame:
         from vecspan.functions.distance import nearest
 
         qids, qs = shared.value
+        bound = np.full(len(qids), np.inf)  # the least k-th distance of a batch so far
         for batch in batches:
             if not batch.num_rows or not len(qids):
                 continue
             own = batch.column(0).to_numpy()
             by = np.argsort(own, kind="stable")
             own, vec = own[by], matrix(batch.column(1))[by]
-            i, j, d = nearest(qs, vec, k, metric)
+            i, j, d = nearest(qs, vec, k, metric, bound=bound)
+            last = np.arange(len(i)) - np.searchsorted(i, i) == k - 1
+            bound[i[last]] = np.minimum(bound[i[last]], d[last])
             yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(own[j]), pa.array(d)], names=["qid", "id", "dist"])
 
     return rows.mapInArrow(run, "qid bigint, id bigint, dist double")
