@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vecspan.functions import distance, vectors
 from vecspan.functions.distance import sql
 from vecspan.operators import evaluate, graph, ivf, maintain, pq
-from vecspan.operators.topk import exact_knn, farther_count, k_sweep, merge_topk, pairs, top_by
+from vecspan.operators.topk import exact_knn, farther_count, k_sweep, knn_by_columns, merge_topk, pairs, top_by
 from vecspan.session import importable, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,7 +132,7 @@ def exact_knn_l2_int(spark, sf_dir):
     """Integer components and truncated distances."""
     b = base(spark, sf_dir).select("vec_id", vectors.quantize_int8(F.col("embedding"), 0.0, 2.0).alias("v"))
     q = asked(b.withColumnRenamed("v", "embedding")).withColumnRenamed("embedding", "qv")
-    return merge_topk(b.crossJoin(F.broadcast(q)).select("qid", "vec_id", distance.l2_int(F.col("qv"), F.col("v")).alias("dist")), K)
+    return merge_topk(knn_by_columns(b.where("v is not null"), q.withColumnRenamed("qv", "q").where("q is not null"), K, distance.total_int, "bigint"), K)
 
 
 @query(_knn_sql("l2_sq", "label < 5 AND vec_id >= 100"))
