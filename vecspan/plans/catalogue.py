@@ -292,8 +292,7 @@ def ivf_probe_centroids(spark, sf_dir):
 @query(_with(_BASE, _Q, _C, _ASSIGN, _PROBE, _FOUND) + f"SELECT qid, cluster_id, probe_rank, vec_id, dist, row_number() OVER (PARTITION BY qid, cluster_id ORDER BY dist, vec_id) AS rank FROM found WHERE probe_rank <= {NPROBE} QUALIFY rank <= 10")
 def ivf_cluster_topk(spark, sf_dir):
     b = base(spark, sf_dir)
-    found = ivf.candidates(assigned(b), asked(b), ivf.probe(asked(b), seeds(b), NPROBE))
-    return ivf.cluster_topk(found, K)
+    return ivf.search_clusters(assigned(b), asked(b), ivf.probe(asked(b), seeds(b), NPROBE), K)
 
 
 #: Lists probed by the filtered search, whose neighbours lie further apart; its measured 10-recall is over 0.9.
