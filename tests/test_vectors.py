@@ -226,3 +226,12 @@ def test_block_join_in_two_directions(spark, monkeypatch):
     found = topk.merge_topk(topk.block_join(rows, queries, 4, "l2_sq"), 4, "id")
     want = topk.exact_knn(rows, queries, 4, id_col="id", vec_col="v")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pairs_are_compiled(spark):
+    """No function over arrays computes a distance; odd lengths and nulls have none."""
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [4.0, 6.0]), (3, [1.0]), (4, None), (5, [None, 1.0])], "vec_id long, embedding array<float>")
+    found = topk.pairs(rows, rows.withColumnRenamed("vec_id", "qid"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 0.0), (1, 2, 25.0), (2, 1, 25.0), (2, 2, 0.0), (3, 3, 0.0)]
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert topk.pairs(rows, rows.withColumnRenamed("vec_id", "qid").where("qid = 4")).collect() == []
