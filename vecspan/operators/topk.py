@@ -125,19 +125,14 @@ def block_join(rows: DataFrame, queries: DataFrame, k: int, metric: str) -> Data
     """(qid, id, dist): of each block of base rows the k nearest of every query, for any number of queries.
 
     Base rows (id, v) are dealt by hash into blocks of about BASE_BLOCK rows, and queries (qid, v)
-    into blocks of about QUERY_CELL. A pair of blocks is a task's work, where the queries stream past the
-    rows. Nothing passes through the driver; what moves is each side once a block of the other.
+    into blocks of about QUERY_CELL. A pair of blocks is a task's work, and no task has two; the queries stream past the
+    rows in it. Nothing passes through the driver; what moves is each side once a block of the other.
     """
     import numpy as np
     import pyarrow as pa
 
     importable(rows.sparkSession)
-    blocks, cells = max(1, -(-rows.count() // BASE_BLOCK)), max(1, -(-queries.count() // QUERY_CELL))
-    block, cell = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("qid"), F.lit(cells)).cast("int")
-    base = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: block * cells + c)).alias("block"), F.lit(0).alias("side"), "id", "v")
-    each = queries.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * cells + cell)).alias("block"), F.lit(1).alias("side"), F.col("qid").alias("id"), "v")
-    parts = max(blocks * cells, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    both = base.unionByName(each).repartition(parts, "block").sortWithinPartitions("block", "side")
+    both = paired_blocks(rows, queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from vecspan.functions.distance import nearest
@@ -165,6 +160,15 @@ def block_join(rows: DataFrame, queries: DataFrame, k: int, metric: str) -> Data
     return both.mapInArrow(run, "qid bigint, id bigint, dist double")
 
 
+def paired_blocks(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(block, side, id, v) of ``block_join``, block being the number of a pair of blocks and of its partition; base rows (side 0) come first."""
+    blocks, cells = max(1, -(-rows.count() // BASE_BLOCK)), max(1, -(-queries.count() // QUERY_CELL))
+    block, cell = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("qid"), F.lit(cells)).cast("int")
+    base = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: block * cells + c)).alias("block"), F.lit(0).alias("side"), "id", "v")
+    each = queries.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * cells + cell)).alias("block"), F.lit(1).alias("side"), F.col("qid").alias("id"), "v")
+    return base.unionByName(each).repartitionById(blocks * cells, "block").sortWithinPartitions("block", "side")
+
+
 def matrix(column):
     """(n, dim) doubles of an Arrow list column without nulls; all lists of one length."""
     import numpy as np
