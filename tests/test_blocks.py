@@ -33,3 +33,22 @@ def test_single_precision_finds_what_double_does(monkeypatch, scale, offset):
         want = np.lexsort((np.arange(400), all_))[:7]
         assert j[i == at].tolist() == want.tolist()
         assert d[i == at].tolist() == all_[want].tolist()
+
+
+def test_many_probes_are_several_scans_and_no_join(spark, monkeypatch):
+    from vecspan.operators import ivf
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))], "vec_id bigint, embedding array<float>")
+    cents = ivf.kmeans(rows, 8, 2)
+    lists = ivf.ordered(ivf.assign(rows, cents, keep=["vec_id", "embedding"]).drop("dist"))
+    queries = rows.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "qid")
+    want = sorted(map(tuple, ivf.search(lists, cents, queries, 5, 6).collect()))
+    monkeypatch.setattr(ivf, "MOST_PAIRS", 100)
+
+    def no_join(*_, **__):
+        raise AssertionError("a row a query and candidate")
+
+    monkeypatch.setattr(ivf, "candidates", no_join)
+    assert sorted(map(tuple, ivf.search(lists, cents, queries, 5, 6).collect())) == want
+    assert len(want) == 500
