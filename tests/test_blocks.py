@@ -52,3 +52,28 @@ def test_many_probes_are_several_scans_and_no_join(spark, monkeypatch):
     monkeypatch.setattr(ivf, "candidates", no_join)
     assert sorted(map(tuple, ivf.search(lists, cents, queries, 5, 6).collect())) == want
     assert len(want) == 500
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_a_task_passes_on_k_codes_of_a_query(spark, named):
+    """However many batches and clusters a task reads."""
+    from vecspan.operators import pq
+
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))], "vec_id bigint, embedding array<float>")
+    queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid")
+    if named:
+        rows = rows.withColumn("vec_id", F.concat(F.lit("é"), F.lpad(F.col("vec_id").cast("string"), 4, "0")))
+    index = pq.IvfPqIndex.build(rows, 5, 4, codes=16, iterations=2)
+    asked = [(q.qid, c, [float(x) for x in q.embedding]) for q in queries.collect() for c in range(5)]
+    cents = {r.cluster_id for r in index.centroids.collect()}
+    block = [a for a in asked if a[1] in cents]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        found = index._scan(index.lists.coalesce(1), block, 7)
+        assert found.groupBy("qid").count().agg(F.max("count"), F.count("*")).first()[:] == (7, 20)
+        near = sorted(map(tuple, index.search(queries, 7, 5).select("qid", "vec_id", "dist").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, found.select("qid", "vec_id", "dist").collect())) == near
+    assert near == sorted(map(tuple, index._routed(index.lists, spark.createDataFrame(block, "qid bigint, cluster_id bigint, q array<double>"), 7).transform(lambda d: pq.merge_topk(d, 7)).select("qid", "vec_id", "dist").collect()))

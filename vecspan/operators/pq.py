@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspan.functions import distance
-from vecspan.session import importable
+from vecspan.session import importable, work_dir
 
 from . import ivf
 from .topk import held, matrix, merge_topk
@@ -141,18 +141,18 @@ def places(codes, names):
     return np.stack([order[c][np.searchsorted(names[c], codes[:, c], sorter=order[c])] for c in range(len(names))], 1)
 
 
-def nearest_codes(q, book, codes, k: int):
-    """(row, distance) of the rows of ``codes`` that can be among the k nearest to a query, by a table of its parts' distances to the entries."""
+def nearest_codes(q, book, codes, k: int, bound: float = float("inf")):
+    """(row, distance) of the rows of ``codes`` that can be among the k nearest to a query, and within ``bound``, by a table of its parts' distances to the entries."""
     import numpy as np
 
     n, width, size = book.shape
-    parts = q.reshape(n, size)
-    table = np.stack([distance.exact(np.repeat(parts[x][None], width, 0), book[x], "l2_sq") for x in range(n)])
+    table = distance.exact(np.repeat(q.reshape(n, size), width, 0), book.reshape(-1, size), "l2_sq").reshape(n, width)
     total = np.zeros(len(codes))
     for x in range(n):
-        total += table[x, codes[:, x]]
-    k = min(k, len(total))
-    near = np.flatnonzero(total <= np.partition(total, k - 1)[k - 1])
+        total += table[x].take(codes[:, x])
+    near = np.flatnonzero(total <= bound) if np.isfinite(bound) else np.arange(len(total))
+    if len(near) > k:
+        near = near[total[near] <= np.partition(total[near], k - 1)[k - 1]]
     return near, total[near]
 
 
@@ -204,8 +204,8 @@ class IvfPqIndex:
         Up to MOST_PROBE_VALUES numbers, probes, (query, cluster) pairs with the query's vector, go
         to every task of a map-only scan of the codes, which reads the probed clusters' partitions
         only. More are joined with the codes by cluster instead, without the driver; a task then
-        holds LIST_BLOCK rows of codes, past which the probes of their cluster stream. Either way
-        a task passes on the k best of a query and block of codes.
+        holds LIST_BLOCK rows of codes, past which the probes of their cluster stream, and passes on the k best
+        of a query and block of codes; a task of the scan passes on the k best of a query.
         """
         probes = ivf.probe(queries, self.centroids, nprobe, vec_col=self.vec_col)
         asked = probes.select("qid", "cluster_id").join(queries.select("qid", distance.doubles(F.col(self.vec_col)).alias("q")), "qid")
@@ -271,17 +271,48 @@ class IvfPqIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             probes_, book, names = shared.value
+            qids = np.unique(np.concatenate([q for q, _ in probes_.values()])) if probes_ else np.zeros(0, np.int64)
+            bound = np.full(len(qids), np.inf)  # the k-th distance found so far
+
+            def least(found: list[tuple]) -> tuple:
+                """The k nearest of each query: (place of the query, id, distance)."""
+                at, own, d = (np.concatenate(x) for x in zip(*found, strict=True))
+                sort = np.lexsort((own, d, at))
+                at, own, d = at[sort], own[sort], d[sort]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                bound[at[place == k - 1]] = d[place == k - 1]
+                return at[place < k], own[place < k], d[place < k]
+
+            def passed(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+                at, own, d = least(found)
+                for s in range(0, len(at), 1 << 16):
+                    e = s + (1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[at[s:e]]), pa.array(own[s:e]).cast(id_type), pa.array(d[s:e])], names=["qid", id_col, "dist"])
+
+            found, size, kept, id_type = [], 0, 0, None
             for batch in (b for b in batches if b.num_rows):
-                cluster, own = batch.column(0).to_numpy(), batch.column(1)
+                cluster, id_type = batch.column(0).to_numpy(), batch.column(1).type
+                ids = batch.column(1).to_numpy(zero_copy_only=False)
+                ids = ids.astype(str) if ids.dtype == object else ids  # names, in the order of their code points
                 codes = places(batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1), names)
                 for c in np.unique(cluster):
                     if int(c) not in probes_:
                         continue
                     rows = np.flatnonzero(cluster == c)
-                    mine = codes[rows]
-                    for qid, q in zip(probes_[int(c)][0].tolist(), probes_[int(c)][1], strict=True):
-                        near, dist = nearest_codes(q, book, mine, k)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), qid)), own.take(pa.array(rows[near])), pa.array(dist)], names=["qid", id_col, "dist"])
+                    mine = np.asfortranarray(codes[rows])  # a part's codes side by side
+                    asked = np.searchsorted(qids, probes_[int(c)][0])
+                    for at, q in zip(asked.tolist(), probes_[int(c)][1], strict=True):
+                        near, dist = nearest_codes(q, book, mine, k, bound[at])
+                        found.append((np.full(len(near), at), ids[rows[near]], dist))
+                        size += len(near)
+                        if size > 2 * kept + ivf.MOST_KEPT // 8:
+                            found = [least(found)]
+                            size = kept = len(found[0][0])
+                            if kept > ivf.MOST_KEPT:
+                                yield from passed(found)
+                                found, size, kept = [], 0, 0
+            if found:
+                yield from passed(found)
 
         some = lists.where(F.col("cluster_id").isin(sorted(by))) if len(by) < 1000 else lists
         return some.select("cluster_id", id_col, "codes").mapInArrow(run, f"qid bigint, `{id_col}` {kind}, dist double")
@@ -291,8 +322,11 @@ def reranked(found: DataFrame, base: DataFrame, queries: DataFrame, k: int, id_c
     """The k nearest of each query by whole vectors among candidates (qid, id): (qid, rank, id, dist).
 
     Candidates with their query are broadcast to the base up to ivf.MOST_PROBES rows, which is then
-    read once without a shuffle; more are joined by id.
+    read once without a shuffle; more are joined by id. They are stored, so that they are searched for once.
     """
+    path = work_dir(base.sparkSession, "found")
+    found.select("qid", id_col).write.parquet(path)
+    found = base.sparkSession.read.parquet(path)
     asked = found.select("qid", id_col).join(queries.select("qid", distance.doubles(F.col(vec_col)).alias("q")), "qid")
     few = found.limit(ivf.MOST_PROBES + 1).count() <= ivf.MOST_PROBES
     rows = base.select(id_col, distance.doubles(F.col(vec_col)).alias("v")).join(F.broadcast(asked) if few else asked, id_col)

@@ -646,6 +646,7 @@ def ivf_pq_search(spark, sf_dir):
     c = trained(b)
     book = pq.train_codebook(pq.differences(b, c), PARTS, DIM, CODES, BOOK_ROUNDS, sample=None, digits=6)
     index = pq.IvfPqIndex.build(b, NLIST, PARTS, centroids=c, codebook=book)
+    index.lists = ivf.ordered(index.lists)
     return pq.reranked(index.search(asked(b), CANDIDATES, NPROBE), b, asked(b), K)
 
 
