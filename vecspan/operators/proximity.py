@@ -400,7 +400,7 @@ class ProximityGraph:
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Distances of fetched records: (qid, node, exact, neighbours, steer)."""
             steering = Steering(shared.value[0])
-            for batch in batches:
+            for batch in _sliced(batches):
                 rows = {"qid": [], "node": [], "exact": [], "neighbours": [], "steer": []}
                 for r in batch.to_pylist():
                     exact, steer = steering.measure(r["qid"], np.array(r["q"]), np.array(r["v"], np.float64), np.array(r["codes"], np.int64))
@@ -414,7 +414,7 @@ class ProximityGraph:
             book_, held_ = shared.value
             steering = Steering(book_)
             types = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
-            for batch in batches:
+            for batch in _sliced(batches):
                 out = []
                 for r in batch.to_pylist():
                     beam = Beam(width, expand, r)
@@ -548,6 +548,11 @@ class ProximityGraph:
 _FOUND = "array<struct<node:bigint,exact:double,neighbours:array<bigint>,steer:array<double>>>"
 
 
+def _sliced(batches: Iterator) -> Iterator:
+    """Batches of BLOCK rows at most, which are Python objects for a while: a beam or a record is some tens of kilobytes of them."""
+    return (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK))
+
+
 def _put(record: tuple, measured: tuple) -> tuple:
     return measured[0], record[1].tolist(), measured[1]
 
