@@ -24,8 +24,8 @@ from .topk import matrix, merge_topk, rank_small
 
 #: Rows of a frontier (query and node) that are broadcast to the records; more are joined by shuffle.
 MOST_FRONTIER = 100_000
-#: Rows that a shard's build searches or prunes side by side.
-BLOCK = 256
+#: Rows that a shard's build searches side by side, and rows of them that it prunes so that their candidates stay in a processor's cache.
+BLOCK, FEW = 256, 32
 #: Partitions of stored records by hash of the node.
 BUCKETS = 16
 
@@ -83,34 +83,48 @@ def kept_by_pruning(dist: np.ndarray, vec: np.ndarray, degree: int, alpha: float
     """Which candidates (rows, candidates) stay: the nearest, then again and again the nearest that no kept one is ``alpha`` times nearer to.
 
     ``dist`` are squared distances to the row itself in rising order, infinite where there is
-    no candidate, ``vec`` (rows, candidates, components) the candidates.
+    no candidate, ``vec`` (rows, candidates, components) the candidates, best as seen from the row. Products of
+    single precision tell most of them; what their rounding leaves open is measured in double precision.
     """
     alive, kept = np.isfinite(dist), np.zeros(dist.shape, bool)
-    for _ in range(min(degree, dist.shape[1])):
-        at = alive.argmax(1)
-        rows = np.flatnonzero(alive[np.arange(len(alive)), at])
-        if not len(rows):
-            break
-        at = at[rows]
-        kept[rows, at] = True
-        gap = vec[rows] - vec[rows, at][:, None]
-        alive[rows] &= alpha * alpha * np.einsum("ijk,ijk->ij", gap, gap) > dist[rows]
-        alive[rows, at] = False
+    every, factor = np.arange(len(dist)), alpha * alpha
+    with np.errstate(over="ignore", invalid="ignore"):
+        single = vec.astype(np.float32)
+        sq = np.einsum("ijk,ijk->ij", single, single)
+        # Dots are off by half an epsilon a term at most, and each factor was rounded too.
+        slack = factor * 4 * (vec.shape[2] + 8) * float(np.finfo(np.float32).eps)
+        for _ in range(min(degree, dist.shape[1])):
+            at = alive.argmax(1)
+            rows = np.flatnonzero(alive[every, at])
+            if not len(rows):
+                break
+            at = at[rows]
+            kept[rows, at] = True
+            part = single if len(rows) == len(dist) else single[rows]
+            both = sq[rows] + sq[rows, at][:, None]
+            more = factor * (both - 2 * (part @ single[rows, at][:, :, None])[:, :, 0]) - dist[rows]
+            farther = more > 0
+            i, j = np.nonzero(alive[rows] & ~(np.abs(more) > slack * both + 1e-30))
+            gap = vec[rows[i], j] - vec[rows[i], at[i]]
+            farther[i, j] = factor * np.einsum("ij,ij->i", gap, gap) > dist[rows[i], j]
+            alive[rows] &= farther
+            alive[rows, at] = False
     return kept
 
 
 def pruned_links(x: np.ndarray, own: np.ndarray, cand: np.ndarray, degree: int, pool: int, alpha: float) -> np.ndarray:
     """(rows, degree) of the neighbours that pruning leaves to each row of ``own`` from its candidates; -1 for none."""
     out = np.full((len(own), degree), -1, np.int64)
-    for at in range(0, len(own), BLOCK):
-        me, c = own[at : at + BLOCK], np.sort(cand[at : at + BLOCK], 1)
-        gap = x[me][:, None] - x[c]
+    for at in range(0, len(own), FEW):
+        me, c = own[at : at + FEW], np.sort(cand[at : at + FEW], 1)
+        c = c[:, (c >= 0).argmax(1).min() :]  # what all of them lack
+        gap = x[c] - x[me][:, None]
         dist = np.einsum("ijk,ijk->ij", gap, gap)
         dist[(c < 0) | (c == me[:, None])] = np.inf
         dist[:, 1:][c[:, 1:] == c[:, :-1]] = np.inf
-        by = np.argsort(dist, 1, kind="stable")[:, :pool]
+        by = np.argsort(dist, 1, kind="stable")[:, : max(1, min(pool, int(np.isfinite(dist).sum(1).max())))]
         c, dist = np.take_along_axis(c, by, 1), np.take_along_axis(dist, by, 1)
-        kept = kept_by_pruning(dist, x[c], degree, alpha)
+        kept = kept_by_pruning(dist, gap[np.arange(len(by))[:, None], by], degree, alpha)
         place = np.cumsum(kept, 1) - 1
         r, k = np.nonzero(kept)
         out[at + r, place[r, k]] = c[r, k]
@@ -136,15 +150,18 @@ def visited_nodes(x: np.ndarray, links: np.ndarray, start: int, rows: np.ndarray
         done |= pick
         near = np.where(some[:, :, None], links[step], -1).reshape(b, -1)
         there = np.flatnonzero(near >= 0)
-        key = np.unique(there // near.shape[1] * m + near.ravel()[there])
-        key = key[~seen.ravel()[key]]
+        key = there // near.shape[1] * m + near.ravel()[there]
+        key = np.unique(key[~seen.ravel()[key]])
         r, c = key // m, key % m
         seen[r, c] = True
-        gap = q[r] - x[c]
         many = np.bincount(r, minlength=b)
         place = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
         more_d, more_n = np.full((b, many.max(initial=0)), np.inf), np.full((b, many.max(initial=0)), -1)
-        more_d[r, place], more_n[r, place] = np.einsum("ij,ij->i", gap, gap), c
+        for s in range(0, len(r), 4 * BLOCK):  # few at a time stay in a processor's cache
+            e = s + 4 * BLOCK
+            gap = q[r[s:e]] - x[c[s:e]]
+            more_d[r[s:e], place[s:e]] = np.einsum("ij,ij->i", gap, gap)
+        more_n[r, place] = c
         dist, node, done = (np.concatenate(p, 1) for p in ((dist, more_d), (node, more_n), (done, more_n < 0)))
         by = np.argsort(dist, 1, kind="stable")[:, :width]
         dist, node, done = (np.take_along_axis(p, by, 1) for p in (dist, node, done))
@@ -211,12 +228,16 @@ def _in_reach(x: np.ndarray, links: np.ndarray, start: int) -> None:
             spread(np.array([row]))
 
 
-def shard_graphs(shards: DataFrame, degree: int, width: int, pool: int, alpha: float, id_col: str = "vec_id", vec_col: str = "embedding", sure: int | None = None) -> DataFrame:
-    """(node, neighbours, medoid) of every shard's own graph, a grouped Arrow pass: a task holds one shard. ``sure`` as for ``shard_links``."""
+def shard_graphs(shards: DataFrame, degree: int, width: int, pool: int, alpha: float, id_col: str = "vec_id", vec_col: str = "embedding", sure: int | None = None, parts: int | None = None) -> DataFrame:
+    """(node, neighbours, medoid) of every shard's own graph, a grouped Arrow pass: a task holds one shard at a time. ``sure`` as for ``shard_links``.
+
+    ``parts`` tasks are made where it is given: rows are few bytes but much work, which the plan can't tell.
+    """
     import pyarrow as pa
 
     importable(shards.sparkSession)
     rows = shards.select("shard", F.col(id_col).cast("bigint").alias("node"), F.col(vec_col).alias("v"))
+    rows = rows.repartition(parts, "shard") if parts else rows
 
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("node")
@@ -244,51 +265,52 @@ def merged_links(parts: DataFrame, degree: int) -> DataFrame:
 
 
 class Beam:
-    """The beam of one query: its ``width`` nearest nodes seen, by the distance that steers the search."""
+    """The beam of one query: its ``width`` nearest nodes seen, by the distance that steers the search. ``seen`` is in order."""
 
-    def __init__(self, width: int, expand: int, state: dict):
+    def __init__(self, width: int, expand: int, nodes: np.ndarray, dist: np.ndarray, done: np.ndarray, seen: np.ndarray, near: np.ndarray, near_dist: np.ndarray):
         self.width, self.expand = width, expand
-        self.nodes, self.dist, self.done = list(state["nodes"]), list(state["dist"]), list(state["done"])
-        self.seen, self.near, self.near_dist = set(state["seen"]), list(state["near"]), list(state["near_dist"])
+        self.nodes, self.dist, self.done, self.seen, self.near, self.near_dist = nodes, dist, done, np.sort(seen), near, near_dist
 
-    def want(self) -> list[int]:
+    def want(self) -> np.ndarray:
         """The nearest nodes of the beam that haven't been stepped on."""
-        return [n for n, d in zip(self.nodes, self.done, strict=True) if not d][: self.expand]
-
-    def take(self, found: list[tuple]) -> None:
-        """(node, exact distance, neighbours, their distances) of the wanted nodes. A wanted node that isn't there any more is passed over."""
-        asked = set(self.want())
-        self.done = [d or n in asked for n, d in zip(self.nodes, self.done, strict=True)]
-        beam = list(zip(self.dist, self.nodes, self.done, strict=True))
-        for node, exact, nodes, dist in sorted(found, key=lambda f: f[0]):
-            self.near.append(node)
-            self.near_dist.append(exact)
-            for n, d in zip(nodes, dist, strict=True):
-                if n not in self.seen:
-                    self.seen.add(n)
-                    beam.append((d, n, False))
-        beam.sort(key=lambda x: x[:2])
-        self.dist, self.nodes, self.done = (list(x) for x in zip(*beam[: self.width], strict=True)) if beam else ([], [], [])
-
-    def row(self) -> dict:
-        return {"nodes": self.nodes, "dist": self.dist, "done": self.done, "seen": sorted(self.seen), "near": self.near, "near_dist": self.near_dist, "want": self.want()}
-
-
-class Steering:
-    """Distances of queries to codes: a table a part of the query, of squared distances to the part's entries."""
-
-    def __init__(self, book: np.ndarray):
-        self.book, self.tables = book, {}
-
-    def measure(self, qid: int, q: np.ndarray, v: np.ndarray, codes: np.ndarray) -> tuple[float, list[float]]:
-        parts, _, size = self.book.shape
-        if qid not in self.tables:
-            if len(self.tables) > 1000:
-                self.tables = {}
-            gap = q.reshape(parts, 1, size) - self.book
-            self.tables[qid] = np.einsum("ijk,ijk->ij", gap, gap)
-        steer = self.tables[qid][np.arange(parts), codes.reshape(-1, parts)].sum(1) if len(codes) else np.zeros(0)
-        return float(distance.exact(q[None], v[None], "l2_sq")[0]), steer.tolist()
+        return self.nodes[np.flatnonzero(~self.done)[: self.expand]]
+
+    def take(self, found: np.ndarray, exact: np.ndarray, nodes: np.ndarray, dist: np.ndarray) -> None:
+        """The wanted nodes that were found, their exact distances, and all their neighbours with the distances that steer. A wanted node that isn't there any more is passed over."""
+        self.done = self.done.copy()
+        self.done[np.flatnonzero(~self.done)[: self.expand]] = True
+        by = np.argsort(found, kind="stable")
+        self.near, self.near_dist = np.concatenate([self.near, found[by]]), np.concatenate([self.near_dist, exact[by]])
+        fresh, first = np.unique(nodes, return_index=True)
+        at = np.searchsorted(self.seen, fresh)
+        new = at == len(self.seen)
+        new[~new] = self.seen[at[~new]] != fresh[~new]
+        fresh, first = fresh[new], first[new]
+        self.seen = np.sort(np.concatenate([self.seen, fresh]), kind="stable")
+        nodes, dist = np.concatenate([self.nodes, fresh]), np.concatenate([self.dist, dist[first]])
+        by = np.lexsort((nodes, dist))[: self.width]
+        self.nodes, self.dist, self.done = nodes[by], dist[by], np.concatenate([self.done, np.zeros(len(fresh), bool)])[by]
+
+    def row(self) -> tuple:
+        return self.nodes, self.dist, self.done, self.seen, self.near, self.near_dist, self.want()
+
+
+def steered(book: np.ndarray, q: np.ndarray, rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Squared distances of the ``rows`` of q to the entries that codes (one each, parts) name."""
+    parts, _, size = book.shape
+    out = np.zeros(len(codes))
+    for s in range(0, len(codes), 1024):
+        gap = q[rows[s : s + 1024]].reshape(-1, parts, size) - book[np.arange(parts), codes[s : s + 1024]]
+        out[s : s + 1024] = np.einsum("ijk,ijk->ij", gap, gap).sum(1)
+    return out
+
+
+def _parts(column) -> tuple:
+    """(where each list begins, and the end; the values) of an Arrow list column. Null lists are empty."""
+    import pyarrow.compute as pc
+
+    many = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(many)]).astype(np.int32), column.flatten()
 
 
 _STATE = "qid bigint, q array<double>, nodes array<bigint>, dist array<double>, done array<boolean>, seen array<bigint>, near array<bigint>, near_dist array<double>, want array<bigint>"
@@ -326,15 +348,16 @@ class ProximityGraph:
         row_bytes = 16 * _dimension(base, vec_col) + 16 * degree + BLOCK
         shards, _ = budgeted_shards(base, budget, row_bytes, overlap, id_col=id_col, vec_col=vec_col)
         shards = stored(shards, "shards")
-        one = shards.select("shard").distinct().limit(2).count() <= 1
-        found = stored(shard_graphs(shards, degree if one else max(1, 2 * degree // 3), width, pool, alpha, id_col, vec_col, None if one else max(1, degree // overlap)), "links")
+        many = shards.select("shard").distinct().count()
+        one = many <= 1
+        found = stored(shard_graphs(shards, degree if one else max(1, 2 * degree // 3), width, pool, alpha, id_col, vec_col, None if one else max(1, degree // overlap), 2 * many), "links")
         links = found.select("node", "neighbours") if one else merged_links(found, degree)
         rows = base.where(distance.finite(F.col(vec_col))).select(F.col(id_col).cast("bigint").alias("node"), F.col(vec_col).cast("array<float>").alias("v"))
         book = pq.train_codebook(rows, parts, _dimension(base, vec_col), codes, 10, "node", "v")
         own = stored(pq.encode_rows(rows, book, ["node", "v"], "v").withColumnRenamed("codes", "code"), "codes")
         nodes = _records(own.join(links, "node", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<bigint>"))), own)
         graph = ProximityGraph(nodes, _entries(nodes, found.where("medoid").select("node").distinct()), book, degree, width, alpha, None, id_col, vec_col)
-        graph.stats["shards"] = shards.select("shard").distinct().count()
+        graph.stats["shards"] = many
         return graph
 
     def with_cache(self, most: int = 4096) -> ProximityGraph:
@@ -399,32 +422,41 @@ class ProximityGraph:
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Distances of fetched records: (qid, node, exact, neighbours, steer)."""
-            steering = Steering(shared.value[0])
-            for batch in _sliced(batches):
-                rows = {"qid": [], "node": [], "exact": [], "neighbours": [], "steer": []}
-                for r in batch.to_pylist():
-                    exact, steer = steering.measure(r["qid"], np.array(r["q"]), np.array(r["v"], np.float64), np.array(r["codes"], np.int64))
-                    for name, value in zip(rows, (r["qid"], r["node"], exact, r["neighbours"], steer), strict=True):
-                        rows[name].append(value)
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
+            book_ = shared.value[0]
+            for batch in (b for b in _sliced(batches) if b.num_rows):
+                vectors = matrix(batch.column(1))
+                ends, _ = _parts(batch.column(4))
+                codes = _parts(batch.column(5))[1].to_numpy(zero_copy_only=False).reshape(-1, len(book_))
+                steer = steered(book_, vectors, np.repeat(np.arange(batch.num_rows), np.diff(ends)), codes)
+                exact = distance.exact(vectors, matrix(batch.column(3)), "l2_sq")
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(exact), batch.column(4), pa.ListArray.from_arrays(pa.array(ends), pa.array(steer))], names=["qid", "node", "exact", "neighbours", "steer"])
 
         def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Beams after what was found for them, followed as far as the cache goes."""
             book_, held_ = shared.value
-            steering = Steering(book_)
-            types = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
-            for batch in _sliced(batches):
-                out = []
-                for r in batch.to_pylist():
-                    beam = Beam(width, expand, r)
-                    if r["found"] is not None or not r["first"]:
-                        beam.take([(f["node"], f["exact"], f["neighbours"], f["steer"]) for f in r["found"] or []])
-                    vector = np.array(r["q"])
-                    while (want := beam.want()) and all(n in held_ for n in want):
-                        beam.take([(n, *_put(held_[n], steering.measure(r["qid"], vector, held_[n][0], held_[n][2]))) for n in want])
-                    out.append((r["qid"], r["q"], *beam.row().values()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+            names = [c.split()[0] for c in schema.split(", ")]
+            kinds = (np.int64, np.float64, bool, np.int64, np.int64, np.float64, np.int64)
+            for batch in (b for b in _sliced(batches) if b.num_rows):
+                vectors, first, out = matrix(batch.column("q")), batch.column("first").to_numpy(zero_copy_only=False), []
+                state = [(e, v.to_numpy(zero_copy_only=False)) for e, v in (_parts(batch.column(c)) for c in names[2:-1])]
+                whole = batch.column("found").is_valid().to_numpy(zero_copy_only=False)
+                found_at, found = _parts(batch.column("found"))
+                node, exact = (found.field(c).to_numpy(zero_copy_only=False) for c in ("node", "exact"))
+                near_at, near = _parts(found.field("neighbours"))
+                near, steer = near.to_numpy(zero_copy_only=False), _parts(found.field("steer"))[1].to_numpy(zero_copy_only=False)
+                for i in range(batch.num_rows):
+                    beam = Beam(width, expand, *(v[e[i] : e[i + 1]] for e, v in state))
+                    if whole[i] or not first[i]:
+                        s, e = found_at[i], found_at[i + 1]
+                        beam.take(node[s:e], exact[s:e], near[near_at[s] : near_at[e]], steer[near_at[s] : near_at[e]])
+                    while held_ and len(want := beam.want()) and all(n in held_ for n in want.tolist()):
+                        records = [held_[n] for n in want.tolist()]
+                        codes = np.concatenate([r[2] for r in records]).reshape(-1, len(book_))
+                        d = distance.exact(np.repeat(vectors[i][None], len(want), 0), np.stack([r[0] for r in records]), "l2_sq")
+                        beam.take(want, d, np.concatenate([r[1] for r in records]), steered(book_, vectors, np.full(len(codes), i), codes))
+                    out.append(beam.row())
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32)), pa.array(np.concatenate(c).astype(kind))) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("q"), *lists], names=names)
 
         at = rank_small(q, self.entries, starts, "l2_sq", "qid", "q", ref_id="node", ref_vec="v", keep=["qid"])
         first = at.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("dist", "node"))).alias("s")).join(q, "qid")
@@ -523,10 +555,10 @@ class ProximityGraph:
                 many = np.diff(batch.column(2).offsets.to_numpy())
                 flat, vec = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, me.shape[1])
                 r = np.repeat(np.arange(len(many)), many)
-                gap = me[r] - vec
+                gap = vec - me[r]
                 d = np.einsum("ij,ij->i", gap, gap)
                 by = np.lexsort((flat, d, r))
-                flat, vec, d = flat[by], vec[by], d[by]
+                flat, gap, d = flat[by], gap[by], d[by]
                 place = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
                 kept = np.ones(len(r), bool)
                 over = np.flatnonzero(many > degree)
@@ -537,7 +569,7 @@ class ProximityGraph:
                     at = np.full(len(many), -1)
                     at[part] = np.arange(len(part))
                     some = at[r] >= 0
-                    dist[at[r[some]], place[some]], held_[at[r[some]], place[some]] = d[some], vec[some]
+                    dist[at[r[some]], place[some]], held_[at[r[some]], place[some]] = d[some], gap[some]
                     kept[some] = kept_by_pruning(dist, held_, degree, alpha)[at[r[some]], place[some]]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(r[kept], minlength=len(many)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[kept]))], names=["node", "links"])
@@ -549,14 +581,10 @@ _FOUND = "array<struct<node:bigint,exact:double,neighbours:array<bigint>,steer:a
 
 
 def _sliced(batches: Iterator) -> Iterator:
-    """Batches of BLOCK rows at most, which are Python objects for a while: a beam or a record is some tens of kilobytes of them."""
+    """Batches of BLOCK rows at most, so that what a task holds of beams and records at once is bounded."""
     return (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK))
 
 
-def _put(record: tuple, measured: tuple) -> tuple:
-    return measured[0], record[1].tolist(), measured[1]
-
-
 def _cached(cache: DataFrame | None) -> dict:
     """node: (vector, neighbours, codes) of a bounded table of records."""
     if cache is None:
