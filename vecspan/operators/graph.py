@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +85,7 @@ def entry_points(base: DataFrame, centroids: DataFrame, queries: DataFrame, star
     return probe(queries, centroids, starts, metric, vec_col).join(F.broadcast(pivots), "cluster_id").select("qid", "node").distinct()
 
 
-def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, width: int, hops: int | None = None, starts: int = 8, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", centroids: DataFrame | None = None, entry: DataFrame | None = None, checks: int | None = None, stats: dict | None = None) -> DataFrame:
+def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, width: int, hops: int | None = None, starts: int = 8, metric: str = "l2_sq", id_col: str = "vec_id", vec_col: str = "embedding", centroids: DataFrame | None = None, entry: DataFrame | None = None, checks: int | list[int] | None = None, stats: dict | None = None) -> DataFrame:
     """Follow edges until no beam, the ``width`` best rows seen for a query, changes.
 
     ``hops`` ends it earlier. It starts from the rows nearest to a query's ``starts`` nearest
@@ -92,7 +94,8 @@ def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, w
     edge list and the vectors. The beam has ``width`` rows a query and is checkpointed; what is
     new in it and its neighbours are broadcast up to MOST_FRONTIER rows, so that neither edges nor
     vectors are shuffled, and joined by shuffle beyond. With ``checks``, a query ends after the hop
-    in which so many distances or more have been found for it. width must be at least k. ``graph`` is read
+    in which so many distances or more have been found for it; with a list of them, one search gives the result
+    of each, with the number in a column ``checks``. width must be at least k. ``graph`` is read
     once a hop, so it had better be a table. ``stats`` gets the number of hops and of distances found,
     each of which has read a vector.
     """
@@ -118,16 +121,28 @@ def beam_search(graph: DataFrame, base: DataFrame, queries: DataFrame, k: int, w
 
     beam = top_by(measured(first), ["qid"], width, ["dist", "node"]).drop("rank").checkpoint()
     hop, spent = 0, beam.groupBy("qid").agg(F.count("*").alias("n"))
+    limits = sorted(set(checks)) if isinstance(checks, list) else []
+    checks, ended = (limits[-1] if limits else checks), []
     while (hops is None or hop < hops) and not beam.where("fresh").isEmpty():
         step = graph.select(F.col("src").alias("node"), "dst").join(small(beam.where("fresh").select("qid", "node")), "node").select("qid", F.col("dst").alias("node")).distinct()
         new = measured(step.join(beam.select("qid", "node"), ["qid", "node"], "left_anti"))
         if checks is not None or stats is not None:
-            new = new.checkpoint()
+            new, before = new.checkpoint(), spent
             spent = spent.unionByName(new.groupBy("qid").agg(F.count("*").alias("n"))).groupBy("qid").agg(F.sum("n").alias("n")).checkpoint()
         if checks is not None:
             new = new.join(spent.withColumnRenamed("n", "spent"), "qid").withColumn("fresh", F.col("spent") < checks).drop("spent")
         beam = top_by(beam.withColumn("fresh", F.lit(False)).unionByName(new), ["qid"], width, ["dist", "node"]).drop("rank").checkpoint()
+        if limits:  # the beams of queries that end here for some of the limits
+            over = F.array_compact(F.array(*[F.when((F.col("n") >= c) & ((F.col("was") < c) | F.lit(hop == 0)), c) for c in limits]))
+            passed = spent.join(before.withColumnRenamed("n", "was"), "qid").select("qid", F.explode(over.cast("array<bigint>")).alias("checks"))
+            ended.append(beam.drop("fresh").join(passed, "qid").checkpoint())
         hop += 1
     if stats is not None:
         stats.update(hops=hop, distances=spent.agg(F.sum("n")).first()[0] or 0)
+    if limits:
+        done = reduce(DataFrame.unionByName, ended, beam.drop("fresh").withColumn("checks", F.lit(0).cast("bigint")).limit(0))
+        each = F.array(*[F.lit(c).cast("bigint") for c in limits])
+        rest = beam.drop("fresh").withColumn("checks", F.explode(each)).join(done.select("qid", "checks").distinct(), ["qid", "checks"], "left_anti")
+        every = done.unionByName(rest).withColumnRenamed("node", id_col)
+        return top_by(every, ["checks", "qid"], k, ["dist", id_col]).select("checks", "qid", "rank", id_col, "dist")
     return merge_topk(beam.drop("fresh").withColumnRenamed("node", id_col), k, id_col)

@@ -161,14 +161,15 @@ def balanced_tree_recall(spark, sf_dir):
     """10-recall by the rows checked: of leaves alone, and of a graph search that starts from the tree and ends after so many distances."""
     b = base(spark, sf_dir)
     q = asked(b)
-    truth = evaluate.others(exact_knn(b, q, K + 1), K)
+    truth = proximity.stored(evaluate.others(exact_knn(b, q, K + 1), K), "truth")
     t = tree.BalancedTree.build(b, LEAF, BRANCH)
     path = work_dir(spark, "graph")
     graph.both_ways(built(spark, b).nodes.select(F.col("node").alias("src"), F.explode("neighbours").alias("dst"))).write.parquet(path)
     edges, out = spark.read.parquet(path), None
-    start = t.entries(q)
-    for checks in (128, 256, 512, 1024):
-        for way, found in (("tree", t.search(q, K + 1, checks)), ("tree and graph", graph.beam_search(edges, b, q, K + 1, WIDTH, entry=start, checks=checks))):
+    start, steps = t.entries(q), [128, 256, 512, 1024]
+    walked = proximity.stored(graph.beam_search(edges, b, q, K + 1, WIDTH, entry=start, checks=steps), "walked")
+    for checks in steps:
+        for way, found in (("tree", t.search(q, K + 1, checks)), ("tree and graph", walked.where(F.col("checks") == checks).drop("checks"))):
             one = evaluate.mean_k_recall(evaluate.others(found, K), truth, K).select(F.lit(way).alias("way"), F.lit(checks).cast("bigint").alias("checks"), F.round("recall", 6).alias("recall"))
             out = one if out is None else out.unionByName(one)
     return out
