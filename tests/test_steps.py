@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vecspan.operators import proximity
@@ -73,3 +74,49 @@ def test_distances_to_codes():
     want = [sum(((q[r, 3 * p : 3 * p + 3] - book[p, c[p]]) ** 2).sum() for p in range(4)) for r, c in zip(rows, codes, strict=True)]
     assert np.allclose(got, want, rtol=1e-12)
     assert len(proximity.steered(book, q, rows[:0], codes[:0])) == 0
+
+
+def test_a_node_is_linked_anew():
+    """Candidates given twice count once, lists are pruned as by hand, a bare node loses its list, others keep theirs; batches may end anywhere."""
+    rng = np.random.default_rng(4)
+    v, code = rng.normal(size=(40, 3)).astype(np.float32), rng.integers(0, 9, (40, 2)).astype(np.int32)
+    names = ["kind", "dst", "bucket", "node", "v", "code", "neighbours", "codes"]
+    cand = {0: rng.integers(1, 40, 60), 1: np.array([5, 4, 5]), 3: np.arange(4, 30), 77: np.array([1, 2])}
+    rows = [(0, None, 7, n, v[n].tolist(), code[n].tolist(), [n + 1], code[n + 1].tolist()) for n in range(5)]
+    rows += [(2, int(d), 7, n, v[d].tolist(), code[d].tolist(), None, None) for n, c in cand.items() for d in c]
+    rows += [(1, None, 7, n, None, None, None, None) for n in (1, 2)]
+    rows.sort(key=lambda r: (r[3], r[0]))
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    whole = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    for size in (1, 2, 7, 1000):
+        tables = list(proximity._whole_groups(iter(whole.to_batches(max_chunksize=size)), "node"))
+        assert sum(t.num_rows for t in tables) == len(rows)
+        found = [r for t in tables for r in proximity.relinked(t, 4, 1.2).to_pylist()]
+        assert sorted(r["node"] for r in found) == list(range(5))
+        for r in found:
+            n = r["node"]
+            assert r["v"] == v[n].tolist() and r["code"] == code[n].tolist() and r["bucket"] == 7
+            if n in cand:
+                c = np.unique(cand[n])
+                d = ((v[c].astype(float) - v[n]) ** 2).sum(1)
+                c = c[np.lexsort((c, d))]
+                keep = plain_pruning(np.sort(d)[None], (v[c].astype(float) - v[n])[None], 4, 1.2)[0] if len(c) > 4 else np.ones(len(c), bool)
+                assert r["neighbours"] == c[keep].tolist()
+            else:
+                assert r["neighbours"] == ([] if n == 2 else [n + 1])
+            assert r["codes"] == code[r["neighbours"]].ravel().tolist()
+
+
+def test_an_insert_spreads_its_shards_and_sends_records_once(spark, monkeypatch):
+    """Graphs of new rows are a task for about each shard, and of a large frontier the records are dealt once for all steps and let go."""
+    base = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    gone = base.where("vec_id % 10 = 3")
+    g = proximity.ProximityGraph.build(base, degree=8, width=16).delete(gone.select("vec_id"))
+    want = sorted((r.node, r.neighbours, r.codes) for r in g.insert(gone).nodes.collect())
+    parts, dealt, make, deal = [], [], proximity.shard_graphs, proximity.ProximityGraph._dealt
+    monkeypatch.setattr(proximity, "shard_graphs", lambda *a, **k: parts.append(k.get("parts")) or make(*a, **k))
+    monkeypatch.setattr(proximity.ProximityGraph, "_dealt", lambda self: dealt.append(deal(self)) or dealt[-1])
+    monkeypatch.setattr(proximity, "MOST_FRONTIER", 10)
+    again = g.insert(gone)
+    assert parts == [2] and len(dealt) == 1 and not dealt[0].is_cached
+    assert sorted((r.node, r.neighbours, r.codes) for r in again.nodes.collect()) == want

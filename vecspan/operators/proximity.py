@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from .topk import matrix, merge_topk, rank_small
 MOST_FRONTIER = 100_000
 #: Rows that a shard's build searches side by side, and rows of them that it prunes so that their candidates stay in a processor's cache.
 BLOCK, FEW = 256, 32
-#: Partitions of stored records by hash of the node.
-BUCKETS = 16
+#: Partitions of stored records by hash of the node, and records that a task relinks or joins with a frontier, about.
+BUCKETS, PIECE = 16, 8192
 
 
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
@@ -400,7 +401,8 @@ class ProximityGraph:
         """(qid, rank, id, dist) by exact distances; fewer than k where fewer nodes can be reached.
 
         A step reads the records of the ``expand`` nearest nodes of each beam, all queries at once,
-        and is one Spark job; a frontier of up to MOST_FRONTIER rows is broadcast and prunes buckets.
+        and is one Spark job; a frontier of up to MOST_FRONTIER rows is broadcast and prunes buckets, a larger one
+        is sent to records that the executors keep, dealt by node.
         Steps whose records are all in the cache need no job. Codes steer; the nodes stepped on,
         whose vectors were read, are ranked by exact distance. It ends for a query when its beam
         has been stepped on. Queries without a finite vector find nothing. stats then has steps,
@@ -462,7 +464,7 @@ class ProximityGraph:
         first = at.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("dist", "node"))).alias("s")).join(q, "qid")
         none = F.array()
         state = first.select("qid", "q", F.col("s.node").alias("nodes"), F.col("s.dist").alias("dist"), F.transform("s", lambda _: F.lit(False)).alias("done"), F.col("s.node").alias("seen"), none.cast("array<bigint>").alias("near"), none.cast("array<double>").alias("near_dist"), F.lit(None).cast(_FOUND).alias("found"), F.lit(True).alias("first"))
-        ended, steps = None, 0
+        ended, steps, dealt = None, 0, None
         while True:
             seen = Observation()
             state = stored(state.mapInArrow(stepped, schema).observe(seen, F.sum(F.size("want")).alias("want")), "beams")
@@ -474,14 +476,26 @@ class ProximityGraph:
             steps += 1
             state = state.where("size(want) > 0")
             asked = state.select("qid", "q", F.explode("want").alias("node")).withColumn("bucket", _bucket())
-            asked = F.broadcast(asked) if want <= MOST_FRONTIER else asked
-            found = self.nodes.join(asked, ["bucket", "node"]).select("qid", "q", "node", "v", "neighbours", "codes").mapInArrow(measured, "qid bigint, node bigint, exact double, neighbours array<bigint>, steer array<double>")
+            if want > MOST_FRONTIER and dealt is None:
+                dealt = self._dealt()
+            if want <= MOST_FRONTIER:
+                both = self.nodes.join(F.broadcast(asked), ["bucket", "node"])
+            else:
+                both = dealt.join(asked.hint("shuffle_merge"), "node")
+            found = both.select("qid", "q", "node", "v", "neighbours", "codes").mapInArrow(measured, "qid bigint, node bigint, exact double, neighbours array<bigint>, steer array<double>")
             found = found.groupBy("qid").agg(F.collect_list(F.struct("node", "exact", "neighbours", "steer")).alias("found"))
             state = state.drop("want").join(found, "qid", "left").withColumn("first", F.lit(False))
+        if dealt is not None:
+            dealt.unpersist()
         totals = ended.agg(F.coalesce(F.sum(F.size("seen")), F.lit(0)), F.coalesce(F.sum(F.size("near")), F.lit(0)), F.count("*")).first()
         self.stats.update(steps=steps, code_distances=totals[0], vectors_read=totals[1], queries=totals[2])
         return ended
 
+    def _dealt(self) -> DataFrame:
+        """The records that steps read, dealt by node and in order, and kept in the executors: a frontier is sent to them, and they aren't sent again for each step."""
+        many = -(-self.nodes.count() // PIECE) + BUCKETS
+        return self.nodes.select("node", "v", "neighbours", "codes").repartition(many, "node").sortWithinPartitions("node").persist(StorageLevel.MEMORY_AND_DISK)
+
     # --- rows that come and go ---
 
     def delete(self, dead: DataFrame) -> ProximityGraph:
@@ -493,17 +507,14 @@ class ProximityGraph:
         """
         gone = stored(dead.select(F.col(dead.columns[0]).cast("bigint").alias("dst")).where("dst is not null").distinct(), "gone")
         few = F.broadcast(gone) if gone.count() <= MOST_FRONTIER else gone
-        left = self.nodes.join(few.withColumnRenamed("dst", "node") if few is gone else F.broadcast(gone.withColumnRenamed("dst", "node")), "node", "left_anti")
+        left = self.nodes.join(few.withColumnRenamed("dst", "node"), "node", "left_anti")
         edges = left.select("node", F.explode("neighbours").alias("dst"))
         cut = stored(edges.join(few, "dst"), "cut")
         touched = cut.select("node").distinct()
         own = edges.join(touched, "node", "left_semi").join(few, "dst", "left_anti")
         onward = cut.join(self.nodes.select(F.col("node").alias("dst"), "neighbours"), "dst").select("node", F.explode("neighbours").alias("dst")).where("dst <> node").join(few, "dst", "left_anti")
-        pairs = own.select("node", "dst").unionByName(onward).distinct()
-        mended = self._pruned(pairs, left.select("node", "v"), left.select("node", "v"))
-        mended = touched.join(mended, "node", "left").select("node", F.coalesce("links", F.array().cast("array<bigint>")).alias("links"))
-        nodes = left.join(mended, "node", "left").withColumn("neighbours", F.coalesce("links", "neighbours")).select("node", "v", "code", "neighbours")
-        return self._with(stored(nodes, "nodes"))
+        pairs = own.select("node", "dst").unionByName(onward)
+        return self._with(stored(self._relinked(left, pairs, left, touched), "records", "bucket"))
 
     def insert(self, rows: DataFrame) -> ProximityGraph:
         """The graph with new rows (id and vector), whose ids it doesn't have.
@@ -513,68 +524,62 @@ class ProximityGraph:
         in turn and are pruned where that makes too many. Codes are those of the trained codebook.
         """
         new = rows.where(distance.finite(F.col(self.vec_col))).select(F.col(self.id_col).cast("bigint").alias("node"), F.col(self.vec_col).cast("array<float>").alias("v"))
-        new = stored(pq.encode_rows(new, self.codebook, ["node", "v"], "v").withColumnRenamed("codes", "code"), "new")
+        none = (_bucket().alias("bucket"), "node", "v", "code", F.array().cast("array<bigint>").alias("neighbours"), F.array().cast("array<int>").alias("codes"))
+        new = stored(pq.encode_rows(new, self.codebook, ["node", "v"], "v").withColumnRenamed("codes", "code").select(*none), "new")
         walked = self._walk(new.select(F.col("node").alias("qid"), F.col("v").alias(self.vec_col)), self.width, 16, 8)
         pairs = walked.select(F.col("qid").alias("node"), F.explode("near").alias("dst"))
         shards, _ = budgeted_shards(new, 8 << 20, 16 * _dimension(new, "v") + 16 * self.degree + BLOCK, id_col="node", vec_col="v")
-        among = shard_graphs(shards, max(1, self.degree // 2), self.width, 200, self.alpha, "node", "v").select("node", F.explode("neighbours").alias("dst"))
-        vectors = self.nodes.select("node", "v").unionByName(new.select("node", "v"))
-        links = stored(self._pruned(stored(pairs.unionByName(among).distinct(), "pairs"), new.select("node", "v"), vectors), "links")
-        back = stored(links.select(F.col("node").alias("dst"), F.explode("links").alias("node")), "back")
-        targets = back.select("node").distinct()
-        known = self.nodes.select("node", "neighbours").unionByName(links.select("node", F.col("links").alias("neighbours")))
-        both = known.join(targets, "node", "left_semi").select("node", F.explode("neighbours").alias("dst")).unionByName(back.select("node", "dst")).distinct()
-        again = self._pruned(both, vectors, vectors)
-        nodes = self.nodes.select("node", "v", "code", "neighbours").unionByName(new.join(links, "node", "left").select("node", "v", "code", F.coalesce("links", F.array().cast("array<bigint>")).alias("neighbours")))
-        nodes = nodes.join(again, "node", "left").withColumn("neighbours", F.coalesce("links", "neighbours")).select("node", "v", "code", "neighbours")
-        return self._with(stored(nodes, "nodes"))
-
-    def _with(self, rows: DataFrame) -> ProximityGraph:
+        shards = stored(shards, "shards")
+        many = shards.select("shard").distinct().count()
+        among = shard_graphs(shards, max(1, self.degree // 2), self.width, 200, self.alpha, "node", "v", parts=2 * many).select("node", F.explode("neighbours").alias("dst"))
+        fresh = stored(self._relinked(new, stored(pairs.unionByName(among), "pairs"), self.nodes.unionByName(new)), "fresh", "bucket")
+        every = self.nodes.select(*fresh.columns).unionByName(fresh)
+        back = fresh.select(F.explode("neighbours").alias("node"), F.col("node").alias("dst"))
+        known = every.join(back.select("node").distinct(), "node", "left_semi").select("node", F.explode("neighbours").alias("dst"))
+        return self._with(stored(self._relinked(every, known.unionByName(back), every), "records", "bucket"))
+
+    def _with(self, records: DataFrame) -> ProximityGraph:
+        rows = records.select("node", "v")
         starts = self.entries.join(rows.select("node"), "node", "left_semi")
         lost = stored(self.entries.join(rows.select("node"), "node", "left_anti"), "lost")
         if not lost.isEmpty():
             from .topk import exact_knn
 
             heirs = exact_knn(rows, lost.select(F.col("node").alias("qid"), "v"), 1, id_col="node", vec_col="v").select("node").distinct()
-            starts = stored(starts.unionByName(rows.join(heirs, "node").select("node", "v")).distinct(), "entries")
-        return replace(self, nodes=_records(rows, rows.select("node", "code")), entries=starts, cache=None, stats={})
+            starts = stored(starts.unionByName(rows.join(heirs, "node")).distinct(), "entries")
+        return replace(self, nodes=records, entries=starts, cache=None, stats={})
+
+    def _relinked(self, records: DataFrame, pairs: DataFrame, known: DataFrame, bare: DataFrame | None = None) -> DataFrame:
+        """``records`` in order, in which nodes with candidates have these as neighbours, pruned to the degree where there are more.
 
-    def _pruned(self, pairs: DataFrame, own: DataFrame, vectors: DataFrame) -> DataFrame:
-        """(node, links): candidates (node, dst) pruned to the degree where there are more. A node has some degree * (degree + 1) candidates at most."""
+        ``pairs`` are the candidates (node, dst), in any order and number of times, and ``known`` records of
+        all of them; ``bare`` nodes lose their neighbours where they have no candidates. Other records stay as they are.
+        Candidates come with their codes, so that no other node's record is read, and as rows that are sorted to their
+        node: a task holds a batch of them, and the candidates of one node.
+        """
         import pyarrow as pa
 
+        importable(records.sparkSession)
         degree, alpha = self.degree, self.alpha
-        cand = pairs.join(vectors.select(F.col("node").alias("dst"), F.col("v").alias("w")), "dst").groupBy("node").agg(F.collect_list(F.struct("dst", "w")).alias("c"))
-        rows = cand.join(own.select("node", "v"), "node").select("node", "v", F.col("c.dst").alias("dst"), F.flatten("c.w").alias("w"))
+        names = ["bucket", "node", "v", "code", "neighbours", "codes"]
+        kinds = {c: records.schema[c].dataType.simpleString() for c in names}
+        lack = {c: F.lit(None).cast(kinds[c]).alias(c) for c in names}
+        row = [F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("dst"), *(c for c in names if c != "bucket")]
+        far = known.select(F.col("node").alias("dst"), "v", "code")
+        rows = records.select(*row).unionByName(pairs.join(far, "dst").select(F.lit(2).alias("kind"), "dst", "node", "v", "code", lack["neighbours"], lack["codes"]))
+        if bare is not None:
+            rows = rows.unionByName(bare.select(F.lit(1).alias("kind"), lack["node"].alias("dst"), "node", *(lack[c] for c in names[2:])))
+        pieces = -(-records.count() // PIECE) // BUCKETS + 1  # of a bucket
+        piece = F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(pieces)).cast("int")
+        rows = rows.withColumn("bucket", _bucket()).withColumn("piece", F.col("bucket") * pieces + piece)
+        rows = rows.repartitionById(BUCKETS * pieces, "piece").sortWithinPartitions("node", "kind").select("kind", "dst", *names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK)):
-                if not batch.num_rows:
-                    continue
-                me = matrix(batch.column(1))
-                many = np.diff(batch.column(2).offsets.to_numpy())
-                flat, vec = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, me.shape[1])
-                r = np.repeat(np.arange(len(many)), many)
-                gap = vec - me[r]
-                d = np.einsum("ij,ij->i", gap, gap)
-                by = np.lexsort((flat, d, r))
-                flat, gap, d = flat[by], gap[by], d[by]
-                place = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
-                kept = np.ones(len(r), bool)
-                over = np.flatnonzero(many > degree)
-                for x in range(0, len(over), 32):  # few at a time: padded to the longest list
-                    part = over[x : x + 32]
-                    wide = int(many[part].max())
-                    dist, held_ = np.full((len(part), wide), np.inf), np.zeros((len(part), wide, me.shape[1]))
-                    at = np.full(len(many), -1)
-                    at[part] = np.arange(len(part))
-                    some = at[r] >= 0
-                    dist[at[r[some]], place[some]], held_[at[r[some]], place[some]] = d[some], gap[some]
-                    kept[some] = kept_by_pruning(dist, held_, degree, alpha)[at[r[some]], place[some]]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(r[kept], minlength=len(many)))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[kept]))], names=["node", "links"])
-
-        return rows.mapInArrow(run, "node bigint, links array<bigint>")
+            for table in _whole_groups(batches, "node"):
+                yield from relinked(table, degree, alpha).to_batches()
+
+        found = rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+        return found.sortWithinPartitions("bucket", "node")
 
 
 _FOUND = "array<struct<node:bigint,exact:double,neighbours:array<bigint>,steer:array<double>>>"
@@ -585,6 +590,72 @@ def _sliced(batches: Iterator) -> Iterator:
     return (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK))
 
 
+def _whole_groups(batches: Iterator, column: str) -> Iterator:
+    """Tables of the batches' rows, which are in order of a column, so that all rows of a value are in one table."""
+    import pyarrow as pa
+
+    held_: list = []
+    for batch in (b for b in batches if b.num_rows):
+        key = batch.column(column).to_numpy()
+        first = int(np.searchsorted(key, key[-1]))  # where the last value begins, which may go on
+        if held_ and (first or held_[-1].column(column)[-1].as_py() != key[0]):
+            yield pa.Table.from_batches([*held_, batch.slice(0, first)])
+            held_ = []
+        elif first:
+            yield pa.Table.from_batches([batch.slice(0, first)])
+        held_.append(batch.slice(first))
+    if held_:
+        yield pa.Table.from_batches(held_)
+
+
+def relinked(table, degree: int, alpha: float):
+    """Records (kind 0) of a table in order of node and kind, with the neighbours that pruning leaves of their candidates (kind 2, dst).
+
+    Rows of kind 1 are nodes that lose their neighbours where they have no candidates. Rows without a record are passed over.
+    """
+    import pyarrow as pa
+
+    table = table.combine_chunks()
+    kind, node = table.column("kind").to_numpy(), table.column("node").to_numpy()
+    records = table.filter(pa.array(kind == 0)).select(["bucket", "node", "v", "code", "neighbours", "codes"])
+    ids = records.column("node").to_numpy()
+    if not len(ids) or not (kind > 0).any():
+        return records
+    at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)  # the record of each row
+    there = ids[at] == node
+    changed = np.zeros(len(ids), bool)
+    changed[at[there & (kind > 0)]] = True
+    pick = np.flatnonzero(there & (kind == 2))
+    r, dst = at[pick], table.column("dst").to_numpy()[pick]
+    me = matrix(records.column("v").combine_chunks())
+    vec = matrix(table.column("v").combine_chunks().take(pa.array(pick))) if len(pick) else np.zeros((0, me.shape[1]))
+    gap = vec - me[r]
+    d = np.einsum("ij,ij->i", gap, gap)
+    by = np.lexsort((dst, d, r))
+    by = by[np.concatenate([[True], (r[by][1:] != r[by][:-1]) | (dst[by][1:] != dst[by][:-1])])] if len(by) else by
+    r, dst, gap, d, pick = r[by], dst[by], gap[by], d[by], pick[by]
+    many = np.bincount(r, minlength=len(ids))
+    begin = np.cumsum(many) - many
+    kept = np.ones(len(r), bool)
+    over = np.flatnonzero(many > degree)
+    over = over[np.argsort(many[over], kind="stable")]  # lists of a length side by side, as they are padded to the longest
+    for x in range(0, len(over), FEW):
+        part = over[x : x + FEW]
+        place = np.arange(many[part].max())
+        some = place < many[part][:, None]
+        where = np.where(some, begin[part][:, None] + place, 0)
+        kept[where[some]] = kept_by_pruning(np.where(some, d[where], np.inf), gap[where], degree, alpha)[some]
+    r, dst, pick = r[kept], dst[kept], pick[kept]
+    code = table.column("code").combine_chunks().take(pa.array(pick))
+    many = np.bincount(r, minlength=len(ids))[changed]
+    ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+    parts = len(code.flatten()) // max(1, len(pick))
+    new = records.filter(pa.array(changed)).select(["bucket", "node", "v", "code"])
+    new = new.append_column("neighbours", pa.ListArray.from_arrays(pa.array(ends), pa.array(dst)))
+    new = new.append_column("codes", pa.ListArray.from_arrays(pa.array(ends * parts), code.flatten()))
+    return pa.concat_tables([records.filter(pa.array(~changed)), new.cast(records.schema)])
+
+
 def _cached(cache: DataFrame | None) -> dict:
     """node: (vector, neighbours, codes) of a bounded table of records."""
     if cache is None:
