@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ from .topk import matrix, merge_topk, rank_small
 MOST_FRONTIER = 100_000
 #: Rows that a shard's build searches side by side, and rows of them that it prunes so that their candidates stay in a processor's cache.
 BLOCK, FEW = 256, 32
-#: Partitions of stored records by hash of the node, and records that a task relinks or joins with a frontier, about.
+#: Partitions of stored records by hash of the node, and records that a task relinks, about.
 BUCKETS, PIECE = 16, 8192
 
 
@@ -401,8 +400,7 @@ class ProximityGraph:
         """(qid, rank, id, dist) by exact distances; fewer than k where fewer nodes can be reached.
 
         A step reads the records of the ``expand`` nearest nodes of each beam, all queries at once,
-        and is one Spark job; a frontier of up to MOST_FRONTIER rows is broadcast and prunes buckets, a larger one
-        is sent to records that the executors keep, dealt by node.
+        and is one Spark job; a frontier of up to MOST_FRONTIER rows is broadcast and prunes buckets; more are joined by shuffle.
         Steps whose records are all in the cache need no job. Codes steer; the nodes stepped on,
         whose vectors were read, are ranked by exact distance. It ends for a query when its beam
         has been stepped on. Queries without a finite vector find nothing. stats then has steps,
@@ -464,7 +462,7 @@ class ProximityGraph:
         first = at.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("dist", "node"))).alias("s")).join(q, "qid")
         none = F.array()
         state = first.select("qid", "q", F.col("s.node").alias("nodes"), F.col("s.dist").alias("dist"), F.transform("s", lambda _: F.lit(False)).alias("done"), F.col("s.node").alias("seen"), none.cast("array<bigint>").alias("near"), none.cast("array<double>").alias("near_dist"), F.lit(None).cast(_FOUND).alias("found"), F.lit(True).alias("first"))
-        ended, steps, dealt = None, 0, None
+        ended, steps = None, 0
         while True:
             seen = Observation()
             state = stored(state.mapInArrow(stepped, schema).observe(seen, F.sum(F.size("want")).alias("want")), "beams")
@@ -476,26 +474,14 @@ class ProximityGraph:
             steps += 1
             state = state.where("size(want) > 0")
             asked = state.select("qid", "q", F.explode("want").alias("node")).withColumn("bucket", _bucket())
-            if want > MOST_FRONTIER and dealt is None:
-                dealt = self._dealt()
-            if want <= MOST_FRONTIER:
-                both = self.nodes.join(F.broadcast(asked), ["bucket", "node"])
-            else:
-                both = dealt.join(asked.hint("shuffle_merge"), "node")
-            found = both.select("qid", "q", "node", "v", "neighbours", "codes").mapInArrow(measured, "qid bigint, node bigint, exact double, neighbours array<bigint>, steer array<double>")
+            asked = F.broadcast(asked) if want <= MOST_FRONTIER else asked
+            found = self.nodes.join(asked, ["bucket", "node"]).select("qid", "q", "node", "v", "neighbours", "codes").mapInArrow(measured, "qid bigint, node bigint, exact double, neighbours array<bigint>, steer array<double>")
             found = found.groupBy("qid").agg(F.collect_list(F.struct("node", "exact", "neighbours", "steer")).alias("found"))
             state = state.drop("want").join(found, "qid", "left").withColumn("first", F.lit(False))
-        if dealt is not None:
-            dealt.unpersist()
         totals = ended.agg(F.coalesce(F.sum(F.size("seen")), F.lit(0)), F.coalesce(F.sum(F.size("near")), F.lit(0)), F.count("*")).first()
         self.stats.update(steps=steps, code_distances=totals[0], vectors_read=totals[1], queries=totals[2])
         return ended
 
-    def _dealt(self) -> DataFrame:
-        """The records that steps read, dealt by node and in order, and kept in the executors: a frontier is sent to them, and they aren't sent again for each step."""
-        many = -(-self.nodes.count() // PIECE) + BUCKETS
-        return self.nodes.select("node", "v", "neighbours", "codes").repartition(many, "node").sortWithinPartitions("node").persist(StorageLevel.MEMORY_AND_DISK)
-
     # --- rows that come and go ---
 
     def delete(self, dead: DataFrame) -> ProximityGraph:
